@@ -1,0 +1,23 @@
+"""The registered queries of this subpackage: thin wrappers with production parameters over whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from . import bpe
+from .common import table
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"op5_byte_bpe": op5_byte_bpe}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
