@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, chat, html_text, token_fst
 from .common import table
 
 
@@ -15,8 +15,22 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_fst.counts(table(spark, sf_dir, "documents"), token_fst.load(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql("select -1L conv_id, t turn, r role, '</s>[INST] ok [/INST]' text from values (0L, 'user'), (1L, 'assistant') as v(t, r)")
+    return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_byte_bpe": op5_byte_bpe}
+    found = (op5_byte_bpe, op8_html_text, op9_token_counts, op10_chat_format)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
