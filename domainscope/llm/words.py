@@ -1,0 +1,47 @@
+"""Words and word windows as 64-bit hashes, by numpy over whole batches."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from xxhash import xxh64_intdigest
+
+U = np.uint64
+#: The base of the rolling polynomial; odd, so that it is invertible modulo 2**64.
+BASE = U(0x9E3779B97F4A7C15)
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxh64_intdigest, words), U, len(words))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective finaliser: every bit of the result depends on every bit of x."""
+    x = x ^ (x >> U(30))
+    x = x * U(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> U(27))
+    x = x * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def windows(h: np.ndarray, k: int) -> np.ndarray:
+    """Rabin-Karp hashes of the k-word windows that start at each word, mixed; none if there are fewer words."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.empty(0, U)
+    out = h[:n].copy()
+    for j in range(1, k):
+        out *= BASE
+        out += h[j : j + n]
+    return mix(out)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the optimiser takes the size of df to be: the size of its files, for a plain scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def parts(df: DataFrame, each: int, most: int = 1 << 20) -> int:
+    """How many parts of about ``each`` bytes df makes, and no fewer than there are shuffle partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(most, -(-input_bytes(df) // each)))
