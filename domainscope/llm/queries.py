@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html_text, minhash, substring_dedup, token_fst
+from . import bpe, chat, html_text, minhash, substring_dedup, token_fst, toxicity
 from .common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -37,7 +42,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_minhash_dedup, op5_byte_bpe, op7_substring_dedup, op8_html_text, op9_token_counts, op10_chat_format)
+    found = (op2_toxicity, op3_minhash_dedup, op5_byte_bpe, op7_substring_dedup, op8_html_text, op9_token_counts, op10_chat_format)
     return {f.__name__: f for f in found}
 
 
