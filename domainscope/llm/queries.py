@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html_text, minhash, substring_dedup, token_fst, toxicity
+from . import ann, bpe, chat, decontaminate, html_text, minhash, substring_dedup, token_fst, toxicity
 from .common import table
 
 
@@ -20,10 +20,18 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"), k=13).drop("removed")
 
@@ -42,7 +50,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_toxicity, op3_minhash_dedup, op5_byte_bpe, op7_substring_dedup, op8_html_text, op9_token_counts, op10_chat_format)
+    found = (op2_toxicity, op3_minhash_dedup, op4_additive_ann, op5_byte_bpe, op6_decontamination, op7_substring_dedup, op8_html_text, op9_token_counts, op10_chat_format)
     return {f.__name__: f for f in found}
 
 
