@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, decontaminate, html_text, minhash, substring_dedup, token_fst, toxicity
+from . import ann, bpe, chat, decontaminate, html_text, minhash, pii, substring_dedup, token_fst, toxicity
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
@@ -50,7 +54,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_toxicity, op3_minhash_dedup, op4_additive_ann, op5_byte_bpe, op6_decontamination, op7_substring_dedup, op8_html_text, op9_token_counts, op10_chat_format)
+    found = (op1_pii, op2_toxicity, op3_minhash_dedup, op4_additive_ann, op5_byte_bpe, op6_decontamination, op7_substring_dedup, op8_html_text, op9_token_counts, op10_chat_format)
     return {f.__name__: f for f in found}
 
 
