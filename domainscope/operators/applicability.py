@@ -114,7 +114,7 @@ def train_di(
         scaled = train.select(*space.columns()).dropna()
         covariance = scaled.agg(*(F.covar_samp(a, b).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names))).first()
         metric = Metric("mahalanobis", whiten=whitening(np.array(covariance, float).reshape(len(names), -1)))
-    base = train.select(F.col(row_id).cast("long").alias("row_id"), *features.columns(), *([F.col(fold).cast("long").alias("__given")] if fold else []))
+    base = train.select(F.col(row_id).cast("long").alias("row_id"), *features.columns("__"), *([F.col(fold).cast("long").alias("__given")] if fold else []))
     inner = Features([F.col(f"__f{i}") for i in range(len(features.numeric))])
     averages = nearest(base, base, inner, metric, "row_id", rule="other").select(*base.columns, (F.col("sum_dist") / F.col("n_dist")).alias("avg_dist"), F.col("nn_dist").alias("__self"))
     averages = averages.persist()

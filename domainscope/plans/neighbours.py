@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,36 @@ from pyspark.sql import types as T
 from domainscope.functions.metrics import Metric, Rows
 
 REFERENCE_ROWS = 100_000
+#: Neighbours whose distances agree to so many decimals are ties, and go to the smaller id.
+TIES = 9
 _CELLS = 1 << 20
 
 
+class Shape(NamedTuple):
+    """How many numbers and categories a row is compared by; goes to the tasks, where Columns can't."""
+
+    numbers: int
+    kinds: int
+
+    def rows(self, table: pa.Table | pa.RecordBatch) -> tuple[Rows, np.ndarray]:
+        """The features of a table that has ``Features.columns``, and which rows miss none."""
+        whole = np.ones(table.num_rows, bool)
+
+        def column(name: str) -> pa.Array:
+            c = table.column(table.schema.get_field_index(name))
+            return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+
+        numeric, categories = np.empty((table.num_rows, self.numbers)), np.empty((table.num_rows, self.kinds), np.int64)
+        for i in range(self.numbers):
+            numeric[:, i] = column(f"__nf{i}").to_numpy(zero_copy_only=False)
+            whole &= ~np.isnan(numeric[:, i])
+        for i in range(self.kinds):
+            c = column(f"__nc{i}")
+            whole &= c.is_valid().to_numpy(zero_copy_only=False)
+            categories[:, i] = c.fill_null(0).to_numpy(zero_copy_only=False)
+        return Rows(numeric, categories), whole
+
+
 @dataclass(frozen=True)
 class Features:
     """What a row is compared by: Columns of numbers, and of categories."""
@@ -30,27 +58,17 @@ class Features:
     numeric: list[Column]
     categories: list[Column] = field(default_factory=list)
 
-    def columns(self) -> list[Column]:
+    @property
+    def shape(self) -> Shape:
+        return Shape(len(self.numeric), len(self.categories))
+
+    def columns(self, prefix: str = "__n") -> list[Column]:
         """The features under fixed names: numbers as double, categories as a hash, null where missing."""
         return [
-            *(F.nanvl(c.cast("double"), F.lit(None)).alias(f"__f{i}") for i, c in enumerate(self.numeric)),
-            *(F.when(c.isNotNull(), F.xxhash64(c.cast("string"))).alias(f"__c{i}") for i, c in enumerate(self.categories)),
+            *(F.nanvl(c.cast("double"), F.lit(None)).alias(f"{prefix}f{i}") for i, c in enumerate(self.numeric)),
+            *(F.when(c.isNotNull(), F.xxhash64(c.cast("string"))).alias(f"{prefix}c{i}") for i, c in enumerate(self.categories)),
         ]
 
-    def rows(self, table: pa.Table | pa.RecordBatch) -> tuple[Rows, np.ndarray]:
-        """The features of a table that has ``columns``, and which rows miss none."""
-        numeric = [np.asarray(table.column(table.schema.get_field_index(f"__f{i}")).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(f"__f{i}").to_numpy(), float) for i in range(len(self.numeric))]
-        whole = np.ones(table.num_rows, bool)
-        for x in numeric:
-            whole &= ~np.isnan(x)
-        categories = []
-        for i in range(len(self.categories)):
-            c = table.column(table.schema.get_field_index(f"__c{i}"))
-            whole &= ~np.asarray(c.is_null().to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.is_null().to_numpy(), bool)
-            categories.append(np.asarray(c.fill_null(0).to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.fill_null(0).to_numpy(), np.int64))
-        stack = lambda x, kind: np.stack(x, axis=1).astype(kind) if x else np.empty((table.num_rows, 0), kind)
-        return Rows(stack(numeric, float), stack(categories, np.int64)), whole
-
 
 @dataclass(frozen=True)
 class References:
@@ -63,7 +81,7 @@ class References:
     @classmethod
     def collect(cls, df: DataFrame, features: Features, row_id: str, fold: str | None = None) -> References:
         table = df.select(F.col(row_id).cast("long").alias("__id"), (F.col(fold).cast("long") if fold else F.lit(None).cast("long")).alias("__fold"), *features.columns()).orderBy("__id").toArrow()
-        rows, whole = features.rows(table)
+        rows, whole = features.shape.rows(table)
         folds = table.column("__fold").fill_null(np.iinfo(np.int64).min).to_numpy()
         return cls(table.column("__id").to_numpy()[whole], folds[whole], Rows(rows.numeric[whole], rows.categories[whole]))
 
@@ -83,7 +101,7 @@ def partial(metric: Metric, queries: Rows, refs: Rows, banned, k: int, threshold
         total = np.where(finite, d, 0).sum(axis=1)
         under = (d < threshold).sum(axis=1) if threshold is not None else np.zeros(len(d), np.int64)
         if k:
-            top = np.argsort(d, axis=1, kind="stable")[:, :k] if k < n <= 4 * k or n <= 64 else _smallest(d, min(k, n))
+            top = _smallest(np.round(d, TIES), min(k, n))
             near = np.take_along_axis(d, top, axis=1)
         else:
             top, near = np.empty((len(d), 0), np.int64), np.empty((len(d), 0))
@@ -141,11 +159,12 @@ def nearest(
 def _mapped(queries, features, metric, row_id, fold, refs, rule, apart, k, threshold) -> DataFrame:
     names = queries.columns
     wide = queries.select(*names, F.col(row_id).cast("long").alias("__id"), (F.col(fold).cast("long") if fold else F.lit(None).cast("long")).alias("__fold"), *features.columns())
+    shape = features.shape
     schema = T.StructType([*queries.schema.fields, *(T.StructField(c, T._parse_datatype_string(t)) for c, t in _RESULT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, whole = features.rows(b)
+            rows, whole = shape.rows(b)
             at = {f: b.column(b.schema.get_field_index(f)).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False) for f in ("__id", "__fold")}
             place = np.flatnonzero(whole)
             some = metric.prepared(Rows(rows.numeric[place], rows.categories[place]))
@@ -176,7 +195,7 @@ def _results(some: Rows, place: np.ndarray, n: int, refs: References, banned, me
 
 def _blocked(queries, references, features, own, metric, row_id, ref_id, rule, fold, apart, k, threshold, n, limit) -> DataFrame:
     """The same by an equi-join of packed blocks; query rows need an id of their own."""
-    blocks = -(-n // limit)
+    blocks, shape, own_shape = -(-n // limit), features.shape, own.shape
     packed_schema = "block int, data binary"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +224,8 @@ def _blocked(queries, references, features, own, metric, row_id, ref_id, rule, f
         for b in batches:
             for data, packed in zip(b.column(0), b.column(1), strict=True):
                 q, r = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (data, packed))
-                rows, whole = features.rows(q)
-                ref_rows, ref_whole = own.rows(r)
+                rows, whole = shape.rows(q)
+                ref_rows, ref_whole = own_shape.rows(r)
                 col = lambda t, c: t.column(c).fill_null(np.iinfo(np.int64).min).to_numpy()
                 refs = References(col(r, "__id")[ref_whole], col(r, "__fold")[ref_whole], metric.prepared(Rows(ref_rows.numeric[ref_whole], ref_rows.categories[ref_whole])))
                 place = np.flatnonzero(whole)
@@ -215,7 +234,7 @@ def _blocked(queries, references, features, own, metric, row_id, ref_id, rule, f
                 yield pa.RecordBatch.from_arrays([q.column("__id").combine_chunks(), *out], names=["__id", *(c for c, _ in _RESULT)])
 
     found = left.join(right, "block").select("data", "refs").mapInArrow(run, "__id long, " + ", ".join(f"{c} {t}" for c, t in _RESULT))
-    nearest_k = F.slice(F.array_sort(F.flatten(F.collect_list(F.zip_with(F.coalesce("nn_dists", F.array()), F.coalesce("nn_ids", F.array()), lambda d, i: F.struct(d.alias("d"), i.alias("i")))))), 1, max(1, k))
+    nearest_k = F.slice(F.array_sort(F.flatten(F.collect_list(F.zip_with(F.coalesce("nn_dists", F.array()), F.coalesce("nn_ids", F.array()), lambda d, i: F.struct(F.round(d, TIES).alias("r"), i.alias("i"), d.alias("d")))))), 1, max(1, k))
     merged = found.groupBy("__id").agg(F.min("nn_dist").alias("nn_dist"), F.sum("sum_dist").alias("sum_dist"), F.sum("n_dist").alias("n_dist"), F.sum("n_under").alias("n_under"), nearest_k.alias("__near"))
     merged = merged.select("__id", "nn_dist", "sum_dist", "n_dist", "n_under", F.when(F.lit(k > 0) & F.col("n_dist").isNotNull(), F.transform("__near", lambda s: s["d"])).alias("nn_dists"), F.when(F.lit(k > 0) & F.col("n_dist").isNotNull(), F.transform("__near", lambda s: s["i"])).alias("nn_ids"))
     return queries.join(merged, queries[row_id].cast("long").eqNullSafe(merged["__id"]), "left").drop("__id")
