@@ -40,15 +40,28 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterable[tuple]], Itera
     return df.mapInArrow(run, schema)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, materialised in the folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """df, materialised in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+#: Up to so many short rows, under 20 MB, are broadcast after they have been counted; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def hinted(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many rows, for a join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def file_bytes(path: str) -> bytes:
     """A tokenizer file, read on the driver (under 2 MB by design of such files; checked) and shipped with the tasks."""
     with open(path, "rb") as f:

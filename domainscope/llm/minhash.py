@@ -7,11 +7,15 @@ symbols agree in some chunk up to E errors, so each chunk is indexed under every
 That finds *all* pairs within this distance: with K = 40, M = 10, E = 1 up to 19 of 40, where a similarity of 0.8 is
 expected at 8 and exceeds 19 in fewer than one pair in 10,000.
 
-Pairs within an index key aren't all emitted. First, each member is compared with one centre of its key, the class that meets
-most others over all keys, and what is confirmed is merged into components. Then every pair of one key whose components
-still differ is compared, so that no link between different components is lost; links within a component change nothing.
-Before the comparison of full sets, two lossless or nearly lossless tests are made in the join: the ratio of the set sizes,
-and the distance of a 128-bit sketch (a similarity of 0.8 is expected at 12.8; pairs up to 30 stay, over five deviations).
+Pairs within an index key aren't all emitted. First, each member is compared with CENTRES members of its key, the class that meets
+most others over all keys and some by hash, and what is confirmed is merged into components. Then every pair of one key whose components
+still differ is compared, so that no link between different components is lost; links within a component change nothing. Two sets of different
+components can only share shingles that are met in more than one component, c(x) of x's; so nothing with c(x) below the share of
+its size has a link left, and a pair's intersection is at most the smaller c. Both tests lose nothing, and they clear the crowds
+of distant variants around a much copied text.
+Before the comparison of full sets, some tests are made in the join: the ratio of the set sizes, the parities of the sets' elements
+by hash bucket, which bound their difference from below (both lose nothing), and the distance of a 128-bit sketch (a similarity of 0.8 is
+expected at 12.8; pairs up to 30 stay, over five deviations). A pair that shares several keys is compared at the first only.
 
 Edge cases: null and empty texts, and texts of white space only, have an empty set, are linked with nothing and are kept. With fewer
 words than a shingle the whole sequence is the one shingle. Rows repeated with one doc_id fall into one class and each keep their row. A null
@@ -29,11 +33,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_and_text
+from .common import checkpointed, hinted, id_and_text
 from .words import U, hashes, mix, windows
 
-SYMBOLS, CHUNKS, ERRORS = 40, 10, 1
-SKETCH_BITS, SKETCH_RADIUS = 128, 30
+SYMBOLS, CHUNKS, ERRORS, CENTRES = 40, 10, 1, 3
+SKETCH_BITS, SKETCH_RADIUS, PARITY_BITS = 128, 30, 512
 _rng = np.random.default_rng(20240117)
 _ODD = [U(int(x) | 1) for x in _rng.integers(1, 1 << 63, SYMBOLS + SKETCH_BITS // 2, dtype=np.int64)]
 
@@ -66,36 +70,49 @@ def signatures(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return symbols, np.packbits(bits, axis=1).view(">i8").astype(np.int64)
 
 
+def parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(sets, PARITY_BITS / 64): for each set, whether the number of its elements in a hash bucket is odd.
+
+    Two sets differ in at least as many elements as their parities in bits, whatever they share."""
+    bucket = np.repeat(np.arange(len(sizes)) * PARITY_BITS, sizes) + (mix(flat) >> U(65 - PARITY_BITS.bit_length())).astype(np.int64)
+    odd = np.bincount(bucket, minlength=len(sizes) * PARITY_BITS).reshape(len(sizes), PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool), axis=1).view(">i8").astype(np.int64)
+
+
 def keys(symbols: np.ndarray) -> np.ndarray:
-    """(sets, index keys): for each chunk and each symbol left out of it, a hash of the others and of their place."""
+    """(sets, index keys): for each chunk and each symbol left out of it, a hash of the others; the last six bits are its number."""
     size = SYMBOLS // CHUNKS
     x = mix(symbols.astype(U) + (np.arange(SYMBOLS, dtype=U) << U(16)))
     chunks = x.reshape(len(x), CHUNKS, size)
     place = mix(np.arange(CHUNKS * size, dtype=U) + U(1 << 40)).reshape(CHUNKS, size)
-    return mix((chunks.sum(axis=2, dtype=U)[:, :, None] - chunks) ^ place).reshape(len(x), CHUNKS * size).view(np.int64)
+    hashed = mix((chunks.sum(axis=2, dtype=U)[:, :, None] - chunks) ^ place).reshape(len(x), CHUNKS * size)
+    return ((hashed & ~U(63)) | np.arange(CHUNKS * size, dtype=U)).view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64())), ("chunks", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (digest of the set, null if empty), s1, s2 (sketch), keys (index keys)."""
+    """doc_id, t (hash of the text), n (set size), h1, h2 (digest of the set, null if empty), s1, s2 (sketch), keys (index keys),
+    chunks (the signature, four symbols in a number), parity (of the number of shingles in each of PARITY_BITS buckets)."""
 
-    def batch(ids: list, texts: list[str]) -> pa.RecordBatch:
+    def batch(ids: list, t: pa.Array, texts: list[str]) -> pa.RecordBatch:
         sets = [shingles(t.encode(), k) for t in texts]
         n = np.array([len(s) for s in sets], np.int64)
         full = [i for i in range(len(sets)) if n[i]]
-        cols: list[list] = [[None] * len(sets) for _ in range(5)]
+        cols: list[list] = [[None] * len(sets) for _ in range(7)]
         if full:
             sizes = n[full]
-            symbols, sketch = signatures(np.concatenate([sets[i] for i in full]), np.r_[0, np.cumsum(sizes)[:-1]])
-            index = keys(symbols)
+            flat = np.concatenate([sets[i] for i in full])
+            symbols, sketch = signatures(flat, np.r_[0, np.cumsum(sizes)[:-1]])
+            odd = parities(flat, sizes)
+            index, packed = keys(symbols), symbols.view(np.int64)
             for at, i in enumerate(full):
                 d = xxhash.xxh3_128_digest(sets[i])
                 cols[0][i], cols[1][i] = np.frombuffer(d, np.int64).tolist()
                 cols[2][i], cols[3][i] = sketch[at].tolist()
-                cols[4][i] = index[at]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([ids, n, *cols], _SIGNED.types, strict=True)], schema=_SIGNED)
+                cols[4][i], cols[5][i], cols[6][i] = index[at], packed[at], odd[at]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([ids, t, n, *cols], _SIGNED.types, strict=True)], schema=_SIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,10 +123,10 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 while end < len(ids) and (end == at or size + len(texts[end]) < 2_000_000):
                     size += len(texts[end])
                     end += 1
-                yield batch(ids[at:end], texts[at:end])
+                yield batch(ids[at:end], b.column(2).slice(at, end - at), texts[at:end])
                 at = end
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, s1 long, s2 long, keys array<long>")
+    return id_and_text(docs).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, n long, h1 long, h2 long, s1 long, s2 long, keys array<long>, chunks array<long>, parity array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -130,6 +147,29 @@ def _near(a: str, b: str, percent: int) -> Column:
     return size & ((F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))) <= SKETCH_RADIUS)
 
 
+def _little_apart(a: str, b: str, percent: int) -> Column:
+    """What can still be a link, from the parities: sets of this similarity differ in at most (100 - percent) / (100 + percent) of their sizes' sum."""
+    apart = sum((F.bit_count(F.col(f"{a}.q{i}").bitwiseXOR(F.col(f"{b}.q{i}"))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return apart * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
+
+
+def _first_met(a: str, b: str) -> Column:
+    """Whether the key of two joined rows is the first that they share, and their signatures are within the guaranteed distance.
+
+    Of the four 16-bit symbols in a number, those that differ are found by adding 2**15 - 1 to each without its top bit."""
+    low, top = 0x00007FFF7FFF7FFF, 0x0000800080008000
+    distance, first = F.lit(0), []
+    for i in range(CHUNKS):
+        x = F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))
+        three = (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(top))
+        last = F.shiftrightunsigned(x, 48) != 0
+        n = F.bit_count(three) + last.cast("int")
+        which = F.when(last, 3).when(three == 0x8000, 0).when(three == 0x80000000, 1).otherwise(2)
+        first.append(F.when(n == 0, 4 * i).when(n == 1, which + 4 * i))
+        distance = distance + n
+    return (distance < CHUNKS * (ERRORS + 1)) & (F.coalesce(*first) == F.col(f"{a}.key").bitwiseAND(F.lit(63)))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
 
@@ -148,6 +188,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _in_other_components(sets: DataFrame) -> DataFrame:
+    """rep, c: how many shingles of each set (rep, elements, root) are in a set with another root, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                flat = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                sizes = np.array([len(x) for x in flat])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(flat)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(part.column(2).to_numpy(), sizes))], names=["token", "rep", "root"])
+
+    tokens = sets.select("rep", "elements", "root").mapInArrow(run, "token long, rep long, root long")
+    both = tokens.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first < last").select("token")
+    return tokens.join(both, "token", "left_semi").groupBy("rep").agg(F.count("*").alias("c"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: each node of the undirected edges (a, b) with the smallest node that it is connected with.
 
@@ -170,37 +226,69 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id = component_id)."""
+def _rooted(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, t, n, root of every row."""
     all_docs = checkpointed(signed(docs, k))
     classes = checkpointed(
-        all_docs.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("keys").alias("keys"))
+        all_docs.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("keys").alias("keys"), F.min("chunks").alias("chunks"), F.min("parity").alias("parity"))
     )  # equal sets have equal signatures, so that any of them will do
     members = classes.where("rep is not null").select("rep", "n", "s1", "s2", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "size")
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = checkpointed(members.join(shared, "key"))
     weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
     texts = id_and_text(docs).withColumnRenamed("doc_id", "rep").join(weight.select("rep"), "rep", "left_semi")
     sets = checkpointed(_sets(texts, k).dropDuplicates(["rep"]))
 
-    centres = members.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", F.negative("rep").alias("order"), "rep", "n", "s1", "s2")).alias("c"))
+    orders = [F.col("weight"), *(F.xxhash64("rep", F.lit(i)) for i in range(CENTRES - 1))]
+    centres = members.join(weight, "rep").groupBy("key").agg(F.array_distinct(F.array(*(F.max(F.struct(o.alias("o"), F.negative("rep").alias("order"), F.struct("rep", "n", "s1", "s2").alias("m")))["m"] for o in orders))).alias("c"))
     tried = (
-        members.alias("x").join(centres.select("key", "c.rep", "c.n", "c.s1", "c.s2").alias("y"), "key").where((F.col("x.rep") != F.col("y.rep")) & _near("x", "y", percent))
+        members.alias("x").join(centres.select("key", F.explode("c").alias("c")).select("key", "c.*").alias("y"), "key").where((F.col("x.rep") != F.col("y.rep")) & _near("x", "y", percent))
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     )
-    stars = checkpointed(_confirmed(tried, sets, percent))
+    odd = classes.select("rep", "n", *(F.get("parity", i).alias(f"q{i}") for i in range(PARITY_BITS // 64)))
+    tried = checkpointed(tried)
+    near = tried.join(odd.alias("x"), F.col("a") == F.col("x.rep")).join(odd.alias("y"), F.col("b") == F.col("y.rep")).where(_little_apart("x", "y", percent)).select("a", "b")
+    stars = checkpointed(_confirmed(near, sets, percent))
 
     merged = components(stars)
     placed = checkpointed(members.join(merged.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
     centre = placed.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.mode("root").alias("centre")).where("first < last").select("key", "centre")
-    open_keys = placed.join(centre, "key")
+    open_keys = checkpointed(placed.join(centre, "key"))
+    others = _in_other_components(sets.join(open_keys.select("rep", "root").distinct(), "rep"))
+    chunks = classes.select("rep", *(F.get("chunks", i).alias(f"p{i}") for i in range(CHUNKS)))
+    open_keys = open_keys.join(others, "rep").where(F.col("c") * 100 >= F.col("n") * percent).join(chunks, "rep").join(odd.drop("n"), "rep")
+    open_keys = checkpointed(open_keys)
+    fits = (F.least("x.c", "y.c") * (100 + percent)) >= ((F.col("x.n") + F.col("y.n")) * percent)
     rest = (
-        open_keys.where("root <> centre").alias("x").join(open_keys.alias("y"), "key").where((F.col("x.root") != F.col("y.root")) & _near("x", "y", percent))
+        open_keys.where("root <> centre").alias("x").join(open_keys.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & fits & _near("x", "y", percent) & _little_apart("x", "y", percent) & _first_met("x", "y"))
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     )
     links = stars.unionByName(_confirmed(rest.join(tried, ["a", "b"], "left_anti"), sets, percent))
     roots = components(links)
     named = classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
-    found = all_docs.where("h1 is not null").select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "n", "root")
-    alone = all_docs.where("h1 is null").select("doc_id", "n", F.col("doc_id").alias("root"))
-    return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("root")).alias("kept"))
+    found = all_docs.where("h1 is not null").select("doc_id", "t", "n", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "t", "n", "root")
+    alone = all_docs.where("h1 is null").select("doc_id", "t", "n", F.col("doc_id").alias("root"))
+    return found.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id = component_id)."""
+    kept = F.col("doc_id").eqNullSafe(F.col("root"))
+    return _rooted(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near duplicates, all columns unchanged: the smallest doc_id's; of several texts under it, the one of the
+    smallest hash; of rows that repeat both, any one. Rows without words or without a doc_id all stay."""
+    rows = _rooted(docs, k, percent).where("n > 0 and doc_id is not null").groupBy("root", "doc_id", "t").agg(F.count("*").alias("copies"))
+    rows = checkpointed(rows)
+    stay = rows.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("s")).select("s.*")
+    gone = checkpointed(rows.select("doc_id", "t").join(stay, ["doc_id", "t"], "left_anti"))
+    twice = rows.where("copies > 1").select("doc_id", "t").join(stay, ["doc_id", "t"], "left_semi")
+    names = docs.columns
+    keyed = docs.select(F.struct("*").alias("row")).withColumns({"doc_id": F.col("row.doc_id").cast("long"), "t": F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit("")))})
+    left = keyed.join(hinted(gone, gone.count()), ["doc_id", "t"], "left_anti")
+    if (n := twice.count()):
+        again = left.join(hinted(twice, n), ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
+        left = left.join(hinted(twice, n), ["doc_id", "t"], "left_anti").unionByName(again)
+    return left.select(*(F.col("row").getField(c).alias(c) for c in names))
