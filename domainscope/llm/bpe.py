@@ -207,3 +207,17 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         id_and_text(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
         pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]),
     )
+
+
+def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids array<int>, decoded_sha256 of every text."""
+    data = file_bytes(path)
+
+    def make():
+        codec, _ = _codec(data, pattern)
+        return lambda rows: ((d, len(ids), ids, hashlib.sha256(codec.decode(ids)).hexdigest()) for d, t in rows for ids in [codec.encode(t)])
+
+    return map_rows(
+        id_and_text(docs), make, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string",
+        pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())]), rows=200,
+    )

@@ -234,46 +234,58 @@ def _index(texts: tuple[str, ...], share: float) -> Index:
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("item_words", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
 
 
+def _searched(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item, distance, start, end) for the texts of a batch, about _FLAT words at a time."""
+    at, flat, size = 0, [], 0
+    for row, t in enumerate(texts):
+        flat.append(words(t.as_py() or ""))
+        size += len(flat[-1])
+        if size >= _FLAT or row == len(texts) - 1:
+            for d, *x in index.search(np.concatenate(flat), np.cumsum([0, *map(len, flat)])):
+                yield (at + d, *x)
+            at, flat, size = row + 1, [], 0
+
+
 def _scan(docs: DataFrame, ids: list, texts: tuple[str, ...], share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(texts, share)
-
-        def search(who: list, flat: list[np.ndarray]) -> pa.RecordBatch | None:
-            edges = np.cumsum([0, *map(len, flat)])
-            rows = [(who[d], ids[i], dist, int(index.sizes[i]), a, b) for d, i, dist, a, b in index.search(np.concatenate(flat), edges)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FOUND.types, strict=True)], schema=_FOUND) if rows else None
-
         for b in batches:
-            who, flat, size = [], [], 0
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                who.append(d)
-                flat.append(words(t.as_py()))
-                size += len(flat[-1])
-                if size >= _FLAT:
-                    if (out := search(who, flat)) is not None:
-                        yield out
-                    who, flat, size = [], [], 0
-            if who and (out := search(who, flat)) is not None:
-                yield out
+            who = b.column(0).to_pylist()
+            rows = [(who[r], ids[i], dist, int(index.sizes[i]), start, end) for r, i, dist, start, end in _searched(b.column(1), index)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FOUND.types, strict=True)], schema=_FOUND)
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, distance, item_words, start_word, end_word (exclusive): the items that each document holds."""
+def _item_blocks(benchmark: DataFrame) -> Iterator[tuple[list, tuple[str, ...]]]:
+    """Ids and texts of the items that are long enough to be evidence, in blocks of about ITEM_BYTES."""
     items = id_and_text(benchmark, "item_id").where(F.length("text") > 0)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // ITEM_BYTES)
-    if not blocks:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long")
-    passes = []
     for n in range(blocks):
         some = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == n).orderBy("item_id", "text").collect()  # about ITEM_BYTES
-        passes.append(_scan(docs, [r["item_id"] for r in some], tuple(r["text"] for r in some), share))
+        yield [r["item_id"] for r in some], tuple(r["text"] for r in some)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id, distance, item_words, start_word, end_word (exclusive): the items that each document holds."""
+    passes = [_scan(docs, ids, texts, share) for ids, texts in _item_blocks(benchmark)]
+    if not passes:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long")
     return reduce(DataFrame.unionByName, passes)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no item, all their columns unchanged."""
-    held = leaks(docs, benchmark, share).select("doc_id").distinct()
-    return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(held["doc_id"]), "left_anti")
+    for _, texts in _item_blocks(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], texts: tuple[str, ...] = texts) -> Iterator[pa.RecordBatch]:
+            index = _index(texts, share)
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[[r for r, *_ in _searched(b.column(b.schema.get_field_index(text_col)), index)]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

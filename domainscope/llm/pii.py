@@ -24,11 +24,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_and_text
+from .common import BROADCAST_ROWS, checkpointed, hinted, id_and_text
 
 REACH, MIN_CONTEXTS, GENERALISE, REMOVE = 80, 3, 0.9, 0.98
-#: Up to so many terms or documents (under 20 MB) are broadcast; more are joined by a shuffle.
-BROADCAST = 200_000
 KINDS = ("email", "ip", "card", "phone")
 _PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -120,11 +118,6 @@ def _terms(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)), lambda t: (F.length(t) >= 3) & F.rlike(t, F.lit(r"\p{L}")))
 
 
-def _hinted(df: DataFrame, rows: int) -> DataFrame:
-    """df for a join: broadcast if its checked number of rows allows it."""
-    return F.broadcast(df) if rows <= BROADCAST else df
-
-
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     """term, disclosure of the terms to sanitise (the largest over all entities); found: base() of docs. None: there are none."""
     by = found.select(F.explode("base").alias("s")).select("s.entity", F.xxhash64("s.around").alias("context"), F.explode(_terms(F.col("s.around"))).alias("term"))
@@ -137,7 +130,7 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame | None:
         return None
     words = docs.select(F.explode(_terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term"))
     known = terms.withColumn("known", F.lit(True))
-    if rows <= BROADCAST:
+    if rows <= BROADCAST_ROWS:
         words = words.join(F.broadcast(known), "term", "left").groupBy(F.when(F.col("known"), F.col("term")).alias("term")).agg(F.count("*").alias("n_t"))
     else:
         words = words.groupBy("term").agg(F.count("*").alias("n_t"))
@@ -154,9 +147,9 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame | None:
 def _term_spans(keyed: DataFrame, risky: DataFrame) -> DataFrame:
     """k1, k2, added: the spans of risky terms, by kind, then start, of each distinct row with any."""
     risky = risky.select("term", F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("term").alias("kind"))
-    hits = keyed.select("k1", "k2", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(_hinted(risky, risky.count()), "term")
+    hits = keyed.select("k1", "k2", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(hinted(risky, risky.count()), "term")
     hits = checkpointed(hits.groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("terms")))
-    texts = keyed.join(_hinted(hits, hits.count()), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    texts = keyed.join(hinted(hits, hits.count()), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     spans = F.transform("m_t", lambda x, i: F.struct(F.try_element_at("terms", F.lower(x)).alias("kind"), (F.get("e_t", i) - F.char_length(x)).alias("start"), F.get("e_t", i).alias("end")))
     return _matches(texts, {"t": _TERM}).select("k1", "k2", F.array_sort(F.filter(spans, lambda s: s["kind"].isNotNull())).alias("added"))
 
@@ -222,7 +215,7 @@ def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     cuts = F.transform("base", span)
     if risky is not None:
         added = checkpointed(_term_spans(keyed, risky))
-        rows = rows.join(_hinted(added, added.count()), ["k1", "k2"], "left")
+        rows = rows.join(hinted(added, added.count()), ["k1", "k2"], "left")
         cuts = F.concat(cuts, F.coalesce(F.transform("added", span), F.array().cast("array<struct<start: bigint, end: bigint, kind: string>>")))
     rows = rows.select("row", "text", F.array_sort(cuts).alias("cuts"))
     some = F.size("cuts") > 0
