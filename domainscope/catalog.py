@@ -328,6 +328,18 @@ def aoa_grid_masked(spark, d):
     return applicability.masked(applicability.aoa(new, model), "layer").select("id", r6("di", "di"), "aoa")
 
 
+@query()
+def aoa_plot(spark, d):
+    f, model = _model(spark, d, fold="fold", lpd=True)
+    found = applicability.aoa(f.where("not train"), model, lpd=True)
+    return found.plot_data("di").unionByName(found.plot_data("lpd"))
+
+
+@query()
+def train_di_plot(spark, d):
+    return _model(spark, d)[1].plot_data()
+
+
 # -- distance distributions
 
 _OWN = f"own AS (SELECT i.id, min({_XY}) AS v FROM xy i, xy j WHERE i.train AND j.train AND i.id<>j.id GROUP BY i.id)"
@@ -621,6 +633,19 @@ def knndm_summary(spark, d):
     return matching.knndm(x.where("x < 30000"), pred, "id", k=4, nk_len=10).summary(spark)
 
 
+@query()
+def geodist_domain(spark, d):
+    """Against a sample of a polygon instead of prediction rows."""
+    found = geodist.geodist(views.xy(spark, d).where("train"), None, "id", modeldomain=grid.Domain(ring=((0.0, 0.0), (100_000.0, 0.0), (0.0, 100_000.0))), samplesize=500)
+    return found.rows
+
+
+@query()
+def geodist_plot(spark, d):
+    p = views.xy(spark, d)
+    return geodist.geodist(p.where("train"), p.where("not train"), "id").plot_data("ecdf", km=True)
+
+
 # -- grids and samples
 
 _GRID = "cells AS (SELECT i AS cell_id, i//40 AS row, i%40 AS col, (i%40+0.5)*2500.0 AS x, 100000.0-(i//40+0.5)*2500.0 AS y, (i*37)%101 AS layer FROM range(1600) r(i))"

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from domainscope.errors import DomainError, DomainWarning
-from domainscope.functions.distributions import upper_whisker
+from domainscope.functions.distributions import kernel_density, upper_whisker
 from domainscope.functions.metrics import Metric, whitening
 from domainscope.functions.scaling import Dummies, Scaler, is_categorical
 from domainscope.operators.folds import FoldLists, Folds
@@ -87,6 +87,10 @@ class TrainDI:
         row = (", ".join(self.space.variables), self.n, self.metric.name, self.dbar, self.threshold, self.avg_lpd)
         return self.train.sparkSession.createDataFrame([row], "variables string, n long, method string, avg_distance double, threshold double, avg_lpd long")
 
+    def plot_data(self, points: int = 512) -> DataFrame:
+        """x, density of the training DI, and the threshold in each row."""
+        return kernel_density(self.rows, "train_di", points).withColumn("threshold", F.lit(self.threshold))
+
     def __repr__(self) -> str:
         return f"TrainDI({self.n} rows, {len(self.space.variables)} variables, {self.metric.name}, threshold {self.threshold:.6g})"
 
@@ -175,6 +179,17 @@ class Aoa:
         """The largest local density met, the max_lpd to use next time."""
         return None if self.max_lpd is None else self.rows.agg(F.max("lpd")).first()[0]
 
+    def plot_data(self, variable: str = "di", points: int = 512) -> DataFrame:
+        """what (train or target), x, density of the DI or LPD of both, and the threshold in each row."""
+        if variable not in ("di", "lpd") or variable == "lpd" and (self.max_lpd is None or self.model.avg_lpd is None):
+            raise DomainError(f"no {variable} to plot")
+        own = self.train_di.select(F.col("train_di" if variable == "di" else "lpd").alias("v"))
+        curves = [kernel_density(df, "v", points).withColumn("what", F.lit(what)) for what, df in (("train", own), ("target", self.rows.select(F.col(variable).alias("v"))))]
+        return curves[0].unionByName(curves[1]).withColumn("threshold", F.lit(self.threshold if variable == "di" else None).cast("double"))
+
+    def __repr__(self) -> str:
+        return f"Aoa(threshold {self.threshold:.6g}, {'with' if self.max_lpd else 'without'} local density)"
+
     def summary(self) -> DataFrame:
         lpd = [F.avg("lpd").alias("mean_lpd"), F.max("lpd").alias("max_lpd")] if self.max_lpd else []
         return self.rows.agg(F.count("*").alias("n"), F.count("di").alias("scored"), F.sum("aoa").alias("inside"), F.avg("di").alias("mean_di"), F.max("di").alias("max_di"), *lpd).withColumn("threshold", F.lit(self.threshold))

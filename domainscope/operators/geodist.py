@@ -14,8 +14,10 @@ from domainscope.functions.distributions import ecdf, kernel_density, union, was
 from domainscope.functions.metrics import TIME_UNITS, Metric, check, time_value, whitening
 from domainscope.functions.scaling import Scaler, is_categorical
 from domainscope.operators.folds import FoldLists
-from domainscope.plans.neighbours import Features, nearest, ranges
+from domainscope.plans.cells import nearest_in_plane
+from domainscope.plans.neighbours import REFERENCE_ROWS, Features, nearest, ranges
 from domainscope.plans.ordered import nearest_1d
+from domainscope.sources.grid import Domain
 
 
 @dataclass(frozen=True)
@@ -47,11 +49,12 @@ class Comparer:
     metric: Metric
     categorical: list[str]
     variables: list[str]
+    place: Geo | None = None
 
     @classmethod
     def geographical(cls, geo: Geo, metric: str) -> Comparer:
         check("geographical", metric, False, geo.lonlat)
-        return cls(Features(geo.columns()), Metric(metric), [], [geo.x, geo.y])
+        return cls(Features(geo.columns()), Metric(metric), [], [geo.x, geo.y], geo)
 
     @classmethod
     def feature(cls, train: DataFrame, variables: list[str], metric: str, scale: bool = True, other: DataFrame | None = None) -> Comparer:
@@ -76,18 +79,26 @@ class Comparer:
             learned = Metric(metric, whiten=whitening(np.array(row, float).reshape(len(columns), -1)))
         return cls(Features(columns, [F.col(v) for v in categorical]), learned, categorical, variables)
 
+    def planar(self, references: DataFrame) -> bool:
+        """Whether a search by cells of the plane is the better way: points, Euclidean, and too many references to travel."""
+        return self.metric.name == "euclidean" and self.place is not None and references.count() > REFERENCE_ROWS
+
     def nearest(self, queries: DataFrame, references: DataFrame, row_id: str, **how) -> DataFrame:
         return nearest(queries, references, self.features, self.metric, row_id, **how)
 
 
 def self_distances(x: DataFrame, comparer: Comparer, row_id: str) -> DataFrame:
     """row_id, dist: to the nearest other row."""
-    return comparer.nearest(x, x, row_id, rule="other").select(F.col(row_id).alias("row_id"), F.col("nn_dist").alias("dist"))
+    if comparer.planar(x):
+        return nearest_in_plane(x, x, row_id, comparer.place.x, comparer.place.y, other=True).select(F.col(row_id).alias("row_id"), "dist")
+    return comparer.nearest(x, x, row_id, rule="other", keep=[row_id]).select(F.col(row_id).alias("row_id"), F.col("nn_dist").alias("dist"))
 
 
 def distances_to(queries: DataFrame, x: DataFrame, comparer: Comparer, row_id: str, x_id: str | None = None) -> DataFrame:
     """row_id, dist: of each query to the nearest training row."""
-    return comparer.nearest(queries, x, row_id, reference_id=x_id).select(F.col(row_id).alias("row_id"), F.col("nn_dist").alias("dist"))
+    if x_id in (None, row_id) and comparer.planar(x):
+        return nearest_in_plane(queries, x, row_id, comparer.place.x, comparer.place.y).select(F.col(row_id).alias("row_id"), "dist")
+    return comparer.nearest(queries, x, row_id, reference_id=x_id, keep=[row_id]).select(F.col(row_id).alias("row_id"), F.col("nn_dist").alias("dist"))
 
 
 def cv_distances(x: DataFrame, comparer: Comparer, row_id: str, fold: str | None = None, lists: FoldLists | None = None) -> DataFrame:
@@ -96,10 +107,10 @@ def cv_distances(x: DataFrame, comparer: Comparer, row_id: str, fold: str | None
         raise DomainError("one of fold and lists is needed")
     if fold is not None:
         tested = x.where(F.col(fold).isNotNull())
-        return comparer.nearest(tested, x, row_id, rule="out_of_fold", fold=fold).select(F.col(row_id).alias("row_id"), F.col(fold).alias("fold"), F.col("nn_dist").alias("dist"))
+        return comparer.nearest(tested, x, row_id, rule="out_of_fold", fold=fold, keep=[row_id, fold]).select(F.col(row_id).alias("row_id"), F.col(fold).alias("fold"), F.col("nn_dist").alias("dist"))
     pairs = x.sparkSession.createDataFrame([(i, f) for f, ids in lists.test.items() for i in ids], "__r long, __fold_no long")
     tested = x.join(F.broadcast(pairs), F.col(row_id).cast("long") == pairs["__r"]).drop("__r")
-    return comparer.nearest(tested, x, row_id, rule="apart", fold="__fold_no", apart=lists.allowed()).select(F.col(row_id).alias("row_id"), F.col("__fold_no").alias("fold"), F.col("nn_dist").alias("dist"))
+    return comparer.nearest(tested, x, row_id, rule="apart", fold="__fold_no", apart=lists.allowed(), keep=[row_id, "__fold_no"]).select(F.col(row_id).alias("row_id"), F.col("__fold_no").alias("fold"), F.col("nn_dist").alias("dist"))
 
 
 def time_distances(queries: DataFrame, references: DataFrame | None, time: str, row_id: str, unit: str) -> DataFrame:
@@ -145,8 +156,17 @@ class GeoDist:
         return union(frames)
 
 
+def prediction_rows(x: DataFrame, pred: DataFrame | None, domain: Domain | None, n: int, sampling: str, row_id: str, seed: int = 1) -> DataFrame:
+    """The prediction rows given, or a sample of the model domain."""
+    if pred is not None:
+        return pred
+    if domain is None:
+        raise DomainError("prediction rows or a model domain are needed")
+    return domain.points(x.sparkSession, n, sampling, seed, row_id)
+
+
 def geodist(
-    x: DataFrame, preddata: DataFrame, row_id: str, *, space: str = "geographical", metric: str | None = None, geo: Geo | None = None, pred_geo: Geo | None = None, variables: list[str] | None = None,
+    x: DataFrame, preddata: DataFrame | None, row_id: str, *, modeldomain: Domain | None = None, samplesize: int = 2000, sampling: str = "regular", space: str = "geographical", metric: str | None = None, geo: Geo | None = None, pred_geo: Geo | None = None, variables: list[str] | None = None,
     testdata: DataFrame | None = None, fold: str | None = None, lists: FoldLists | None = None, time: str | None = None, time_unit: str = "auto", scale: bool = True, pred_id: str | None = None,
 ) -> GeoDist:
     """The distances sample-to-sample, prediction-to-sample and, if given, test-to-sample and CV."""
@@ -154,6 +174,7 @@ def geodist(
     if space not in ("geographical", "feature", "time"):
         raise DomainError(f"space {space!r}: geographical, feature or time")
     pred_id = pred_id or row_id
+    preddata = prediction_rows(x, preddata, modeldomain, samplesize, sampling, pred_id)
     unit = None
     if space == "time":
         if metric not in (None, "abs_time"):

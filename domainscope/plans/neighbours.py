@@ -143,24 +143,25 @@ _RESULT = [("nn_dist", "double"), ("sum_dist", "double"), ("n_dist", "long"), ("
 def nearest(
     queries: DataFrame, references: DataFrame, features: Features, metric: Metric, row_id: str, *, rule: str = "all", fold: str | None = None, apart: dict[int, np.ndarray] | None = None,
     k: int = 0, threshold: float | None = None, reference_features: Features | None = None, reference_id: str | None = None, limit: int = REFERENCE_ROWS,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """queries with nn_dist (null: no reference allowed, or a feature is missing), sum_dist, n_dist, n_under, nn_dists, nn_ids.
+    """queries (of their columns those in keep, None: all; the others are never read) with nn_dist (null: no reference allowed, or a feature is missing), sum_dist, n_dist, n_under, nn_dists, nn_ids.
 
     apart: for each fold the ids of the references that its test rows may use."""
     own, ref_id = reference_features or features, reference_id or row_id
     n = references.count()
     if n > limit:
-        return _blocked(queries, references, features, own, metric, row_id, ref_id, rule, fold, apart, k, threshold, n, limit)
+        return _blocked(queries, references, features, own, metric, row_id, ref_id, rule, fold, apart, k, threshold, n, limit, keep)
     refs = References.collect(references, own, ref_id, fold if rule == "out_of_fold" else None)
     prepared = References(refs.ids, refs.folds, metric.prepared(refs.rows))
-    return _mapped(queries, features, metric, row_id, fold, prepared, rule, apart, k, threshold)
+    return _mapped(queries, features, metric, row_id, fold, prepared, rule, apart, k, threshold, keep)
 
 
-def _mapped(queries, features, metric, row_id, fold, refs, rule, apart, k, threshold) -> DataFrame:
-    names = queries.columns
+def _mapped(queries, features, metric, row_id, fold, refs, rule, apart, k, threshold, keep) -> DataFrame:
+    names = queries.columns if keep is None else keep
     wide = queries.select(*names, F.col(row_id).cast("long").alias("__id"), (F.col(fold).cast("long") if fold else F.lit(None).cast("long")).alias("__fold"), *features.columns())
     shape = features.shape
-    schema = T.StructType([*queries.schema.fields, *(T.StructField(c, T._parse_datatype_string(t)) for c, t in _RESULT)])
+    schema = T.StructType([*(queries.schema[c] for c in names), *(T.StructField(c, T._parse_datatype_string(t)) for c, t in _RESULT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,7 +194,7 @@ def _results(some: Rows, place: np.ndarray, n: int, refs: References, banned, me
     return [pa.array(least, mask=empty), pa.array(total, mask=empty), pa.array(count, mask=missing), pa.array(under, mask=missing), pa.array(dists, pa.list_(pa.float64())), pa.array(ids, pa.list_(pa.int64()))]
 
 
-def _blocked(queries, references, features, own, metric, row_id, ref_id, rule, fold, apart, k, threshold, n, limit) -> DataFrame:
+def _blocked(queries, references, features, own, metric, row_id, ref_id, rule, fold, apart, k, threshold, n, limit, keep) -> DataFrame:
     """The same by an equi-join of packed blocks; query rows need an id of their own."""
     blocks, shape, own_shape = -(-n // limit), features.shape, own.shape
     packed_schema = "block int, data binary"
@@ -237,7 +238,8 @@ def _blocked(queries, references, features, own, metric, row_id, ref_id, rule, f
     nearest_k = F.slice(F.array_sort(F.flatten(F.collect_list(F.zip_with(F.coalesce("nn_dists", F.array()), F.coalesce("nn_ids", F.array()), lambda d, i: F.struct(F.round(d, TIES).alias("r"), i.alias("i"), d.alias("d")))))), 1, max(1, k))
     merged = found.groupBy("__id").agg(F.min("nn_dist").alias("nn_dist"), F.sum("sum_dist").alias("sum_dist"), F.sum("n_dist").alias("n_dist"), F.sum("n_under").alias("n_under"), nearest_k.alias("__near"))
     merged = merged.select("__id", "nn_dist", "sum_dist", "n_dist", "n_under", F.when(F.lit(k > 0) & F.col("n_dist").isNotNull(), F.transform("__near", lambda s: s["d"])).alias("nn_dists"), F.when(F.lit(k > 0) & F.col("n_dist").isNotNull(), F.transform("__near", lambda s: s["i"])).alias("nn_ids"))
-    return queries.join(merged, queries[row_id].cast("long").eqNullSafe(merged["__id"]), "left").drop("__id")
+    found = queries.join(merged, queries[row_id].cast("long").eqNullSafe(merged["__id"]), "left").drop("__id")
+    return found if keep is None else found.select(*keep, *(c for c, _ in _RESULT))
 
 
 def ranges(a: DataFrame, b: DataFrame | None, columns: list[Column], b_columns: list[Column] | None = None) -> tuple[float, ...]:

@@ -126,6 +126,33 @@ def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     return x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)) & (crossings % 2 == 1)
 
 
+@dataclass(frozen=True)
+class Domain:
+    """Where predictions will be made: a box, a polygon (its ring), or the cells of a grid table in which any of the layers has a value."""
+
+    box: tuple[float, float, float, float] | None = None
+    ring: tuple[tuple[float, float], ...] | None = None
+    cells: DataFrame | None = None
+    layers: tuple[str, ...] = ()
+
+    def points(self, spark: SparkSession, n: int, sampling: str = "regular", seed: int = 1, row_id: str = "id") -> DataFrame:
+        """About n points (exactly n at random) with their x and y; of a grid, cells with all their columns, fewer if there are fewer."""
+        if self.cells is not None:
+            if not self.layers:
+                raise DomainError("a grid domain needs its layers")
+            if sampling == "random":
+                found = sample_cells(self.cells, list(self.layers), n, seed)
+            else:
+                some = footprint(self.cells, list(self.layers))
+                step = max(1, round(math.sqrt(some.count() / n)))
+                found = some.where((F.col("row") % step == step // 2) & (F.col("col") % step == step // 2))
+            return found.withColumn(row_id, F.col("cell_id"))
+        if self.ring is None and self.box is None:
+            raise DomainError("a domain needs a box, a ring or cells")
+        box = self.box or (min(x for x, _ in self.ring), min(y for _, y in self.ring), max(x for x, _ in self.ring), max(y for _, y in self.ring))
+        return sample_points(spark, box, n, sampling, list(self.ring) if self.ring else None, seed).withColumnRenamed("id", row_id)
+
+
 def clustered_points(spark: SparkSession, box: tuple[float, float, float, float], n: int, parents: int, radius: float, ring: list[tuple[float, float]] | None = None, seed: int = 1, tries: int = 200) -> DataFrame:
     """id, x, y, parent: parents uniform in the area, then round((n - parents) / parents) children of each within radius of it and in the area.
 

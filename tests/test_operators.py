@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from domainscope.errors import DomainError, DomainWarning
 from domainscope.functions.metrics import Metric
 from domainscope.operators import applicability, cluster, folds, geodist, learners, matching, profiles, selection, validation
+from domainscope.plans.cells import nearest_in_plane
 from domainscope.plans.neighbours import Features, nearest
 from domainscope.sources import grid
 
@@ -58,6 +59,17 @@ def test_blocks_give_the_same(spark):
     assert np.allclose(a["nn_dist"], b["nn_dist"]) and (a["n_dist"] == 89).all() and (b["n_dist"] == 89).all()
 
 
+@pytest.mark.parametrize("other", [False, True])
+def test_cells_give_the_same(spark, other):
+    rng = np.random.default_rng(14)
+    x = points(spark, np.vstack([rng.normal(0, 0.01, (150, 2)), rng.random((30, 2)) * 100, [[1.0, 1.0]] * 3]))
+    q = x if other else points(spark, np.vstack([rng.random((40, 2)) * 300 - 100, rng.normal(0, 0.01, (40, 2))]), 1000).unionByName(spark.createDataFrame([(5, None, 1.0)], "id long, x double, y double"))
+    a = {r["row_id"]: r["dist"] for r in (geodist.self_distances(x, geo(), "id") if other else geodist.distances_to(q, x, geo(), "id")).collect()}
+    b = {r["id"]: r["dist"] for r in nearest_in_plane(q, x, "id", other=other).collect()}
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], abs=1e-9) if a[i] is not None else b[i] is None for i in a)
+    assert nearest_in_plane(q, x.limit(0), "id").where("dist is not null").count() == 0
+
+
 def test_duplicates_ties_and_missing(spark):
     x = points(spark, [(0, 0), (0, 0), (2, 0), (-2, 0)])
     d = {r["row_id"]: r["dist"] for r in geodist.self_distances(x, geo(), "id").collect()}
@@ -429,6 +441,20 @@ def test_polygon_and_samples(spark):
         grid.sample_points(spark, (0, 0, 1, 1), 5, "magic")
 
 
+def test_model_domains(spark):
+    cells = grid.Grid(0, 100, 5, 20, 20).cells(spark).withColumn("v", F.when(F.col("col") < 10, F.col("cell_id")))
+    raster = grid.Domain(cells=cells, layers=("v",))
+    assert raster.points(spark, 50, "random").count() == 50 and raster.points(spark, 50).where("v is null").count() == 0
+    assert 30 <= raster.points(spark, 50).count() <= 80
+    x = points(spark, np.random.default_rng(15).random((30, 2)) * 20)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert geodist.geodist(x, None, "id", modeldomain=grid.Domain(box=(0, 0, 100, 100)), samplesize=100).w_sample > 0
+        assert len(matching.nndm(x, None, "id", modeldomain=grid.Domain(ring=((0, 0), (100, 0), (0, 100))), samplesize=100).ids) == 30
+    with pytest.raises(DomainError):
+        geodist.geodist(x, None, "id")
+
+
 def test_clustered_points(spark):
     p = grid.clustered_points(spark, (0, 0, 100, 100), 53, 5, 3.0).toPandas()
     assert len(p) == 5 * (1 + round(48 / 5)) and p["id"].is_unique
