@@ -16,14 +16,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import file_bytes, id_and_text, map_rows
+from .common import file_bytes, id_and_text, kept, map_rows
 
 
 class RankQueue:
@@ -69,7 +68,7 @@ class ByteBpe:
     """ranks: token bytes to id, where the id is the merge rank. pattern cuts a text into pieces."""
 
     #: Pieces up to so many characters are remembered, at most KEEP of them; the memory is emptied when full.
-    SHORT, KEEP = 24, 600_000
+    SHORT, KEEP = 24, 300_000
     #: Pieces of up to so many bytes are merged without the queue.
     FEW = 32
 
@@ -160,10 +159,12 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
 def _codec(data: bytes, pattern: str) -> tuple[ByteBpe, dict[int, str]]:
-    codec = ByteBpe.from_bytes(data, pattern)
-    return codec, {i: str(i) for i in codec.tokens}
+    def make():
+        codec = ByteBpe.from_bytes(data, pattern)
+        return codec, {i: str(i) for i in codec.tokens}
+
+    return kept(("bpe", data, pattern), make)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -40,6 +40,19 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterable[tuple]], Itera
     return df.mapInArrow(run, schema)
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What an operator keeps in a Python worker from task to task: tables that are costly to make, and memories of results.
+
+    A worker serves many operators, one after another; it keeps the state of the last one only, so that memory doesn't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"

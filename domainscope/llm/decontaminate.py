@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, kept
 from .words import BASE, U, hashes, mix
 
 #: A quarter of an item's words may be edited. Shorter items than MIN_WORDS are no evidence.
 SHARE, MIN_WORDS = 0.25, 8
 WALKS, AGREE, RECALL = 8, 0.45, 0.99
 ITEM_BYTES = 16 << 20
-_PIECE, _FLAT, _WINDOWS, _COPIES = 1 << 20, 600_000, 20_000, 2_000_000
+_PIECE, _FLAT, _WINDOWS, _COPIES = 1 << 20, 400_000, 20_000, 2_000_000
 _BLANK = bytes(32 if c < 33 or c == 127 or c < 127 and not chr(c).isalnum() else c for c in range(256))
 _END = U(0x5851F42D4C957F2D)
 
@@ -226,9 +226,8 @@ def verify(flat: np.ndarray, jobs: list[tuple[np.ndarray, int, int]]) -> list[tu
     return out
 
 
-@lru_cache(maxsize=2)
 def _index(texts: tuple[str, ...], share: float) -> Index:
-    return Index([words(t) for t in texts], share)
+    return kept(("leaks", texts, share), lambda: Index([words(t) for t in texts], share))
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("item_words", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64())])

@@ -118,9 +118,9 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             at = 0
-            while at < len(ids):  # about 2 MB of text at a time
+            while at < len(ids):  # about 2 MB of text, and 1,000 documents, at a time
                 end, size = at, 0
-                while end < len(ids) and (end == at or size + len(texts[end]) < 2_000_000):
+                while end < len(ids) and (end == at or end < at + 1000 and size + len(texts[end]) < 2_000_000):
                     size += len(texts[end])
                     end += 1
                 yield batch(ids[at:end], b.column(2).slice(at, end - at), texts[at:end])

@@ -20,13 +20,12 @@ result; other columns are ignored; a text's length is not limited, and one witho
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_bytes, map_rows
+from .common import file_bytes, kept, map_rows
 
 Map = tuple[str, int | None, int]
 
@@ -186,9 +185,8 @@ def load(path: str) -> tuple[tuple[str, float], ...]:
     return tuple((sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
 
 
-@lru_cache(maxsize=2)
 def _transducer(pieces: tuple) -> Transducer:
-    return Transducer(pieces)
+    return kept(("tokens", pieces), lambda: Transducer(pieces))
 
 
 def counts(docs: DataFrame, pieces: tuple, limit: int = 4096) -> DataFrame:

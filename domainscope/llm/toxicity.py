@@ -21,7 +21,6 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -30,11 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_rows
+from .common import id_and_text, kept, map_rows
 
 TOXIC, ORDINARY, MAX_CHARS = 1500, 3000, 20_000
 THRESHOLD = 0.3
-_LONGEST, _KEEP = 48, 400_000
+_LONGEST, _KEEP = 48, 200_000
 _PUNCTUATION = bytes(c for c in range(33, 128) if not chr(c).isalnum() and chr(c) not in "'-@")
 _LOWER = bytes(range(256)).lower()
 _LONG = re.compile(rb"\S{49,}")
@@ -157,9 +156,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([tuple(r) for r in rows], total.get(1, 0) / sum(total.values()))
 
 
-@lru_cache(maxsize=2)
 def _gains(model: Model) -> Gains:
-    return Gains(model)
+    return kept(("toxicity", model), lambda: Gains(model))
 
 
 def score(model: Model, text: str, gains: Gains | None = None) -> tuple[float, int, int]:
