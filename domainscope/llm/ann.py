@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BOOKS, WORDS, BEAM, SAMPLE, ROUNDS = 8, 256, 6, 20_000, 8
+BOOKS, WORDS, BEAM, SAMPLE, ROUNDS = 12, 256, 4, 20_000, 8
 #: Rows of a block at most, queries of a block at most, and candidates of a block that are scored exactly: at least LEAST_POOL,
 #: and a POOL_SHARE-th of the block's entries.
-ROWS, QUERIES, LEAST_POOL, POOL_SHARE = 32_768, 4096, 192, 40
+ROWS, QUERIES, LEAST_POOL, POOL_SHARE = 32_768, 4096, 192, 32
 
 
 class Codebooks(NamedTuple):
@@ -91,6 +91,14 @@ def _encode(x: np.ndarray, words: np.ndarray, beam: int) -> tuple[np.ndarray, np
     return codes[:, 0], np.einsum("ij,ij->i", coded, coded)
 
 
+def _exact(columns: np.ndarray, near: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """(queries, candidates) scores in double precision, summed over the components in their order, so that every engine that does gets the same."""
+    out = np.zeros(near.shape)
+    for column, v in zip(columns, q.T, strict=True):
+        out += column[near] * v[:, None] if metric == "ip" else np.square(column[near] - v[:, None])
+    return out if metric == "ip" else -out
+
+
 def search_block(queries: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: Codebooks, k: int, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query ids, ids, scores) of the k best of one block for each query, best first; ids ascend, so that ties do."""
     order = np.lexsort((ids, *vectors.T[::-1]))
@@ -98,7 +106,7 @@ def search_block(queries: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, vector
     starts = np.flatnonzero(new)
     sizes = np.diff(np.r_[starts, len(order)])
     first = order[starts]
-    entry, code = vectors[first].astype(np.float64), [np.ascontiguousarray(c, np.intp) for c in codes[first].T]
+    columns, code = np.ascontiguousarray(vectors[first].T.astype(np.float64)), [np.ascontiguousarray(c, np.intp) for c in codes[first].T]
     pool = min(len(first), max(LEAST_POOL, -(-len(first) // POOL_SHARE)))
     few = np.minimum(sizes, k + 1)
     for i in range(0, len(queries), 64):
@@ -113,8 +121,7 @@ def search_block(queries: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, vector
             near = np.argpartition(-score, pool - 1, axis=1)[:, :pool]
         else:
             near = np.broadcast_to(np.arange(len(first)), (len(q), len(first)))
-        for j, (qv, at) in enumerate(zip(q.astype(np.float64), near, strict=True)):
-            exact = entry[at] @ qv if metric == "ip" else -np.square(entry[at] - qv).sum(axis=1)
+        for j, (at, exact) in enumerate(zip(near, _exact(columns, near, q.astype(np.float64), metric), strict=True)):
             if len(at) > k + 1:
                 least = np.partition(exact, len(exact) - k - 1)[-k - 1]
                 at, exact = at[exact >= least], exact[exact >= least]
