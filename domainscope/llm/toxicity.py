@@ -152,7 +152,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     order = F.xxhash64("doc_id", F.lit("fit"))
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(TOXIC).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(ORDINARY)).distinct()
     texts = id_and_text(docs).where(F.length("text").between(1, MAX_CHARS))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select(order.alias("order"), "text", "toxic").dropDuplicates(["text", "toxic"]).collect()  # at most TOXIC + ORDINARY ids
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min(order).alias("order"), F.max("toxic").alias("toxic"))
+    rows = rows.select("order", "text", "toxic").collect()  # at most TOXIC + ORDINARY ids; the same in every run
     return fit([tuple(r) for r in rows], total.get(1, 0) / sum(total.values()))
 
 
