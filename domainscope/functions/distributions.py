@@ -38,16 +38,16 @@ class KsTest:
     exact: bool
 
 
-def ks_greater(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> KsTest:
+def ks_greater(a: DataFrame, a_col: str, b: DataFrame, b_col: str, exact: bool | None = None) -> KsTest:
     """One-sided two-sample test against "the CDF of a lies above that of b": D+ = max(F_a - F_b)."""
     steps, n, m = _pooled(a, a_col, b, b_col)
     d = max(0.0, steps.agg(F.max(F.col("fa") - F.col("fb"))).first()[0])
-    return ks_p_value(d, n, m)
+    return ks_p_value(d, n, m, exact)
 
 
-def ks_p_value(d: float, n: int, m: int) -> KsTest:
-    """Exact by counting lattice paths that stay under the line if n m < 10,000, else asymptotic."""
-    if n * m >= 10_000:
+def ks_p_value(d: float, n: int, m: int, exact: bool | None = None) -> KsTest:
+    """Exact by counting lattice paths that stay under the line, or asymptotic; None: exact if n m < 10,000."""
+    if not (n * m < 10_000 if exact is None else exact):
         return KsTest(d, min(1.0, math.exp(-2 * d * d * n * m / (n + m))), False)
     # share of paths from (0, 0) to (n, m) on which i / n - j / m never reaches d
     q = (0.5 + math.floor(d * n * m - 1e-7)) / (n * m)

@@ -24,6 +24,8 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
     """Columns by name, rows in order, floats to 9 places."""
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if str(df[c].dtype) in ("Int32", "Int64"):
+            df[c] = df[c].astype(float)
         if df[c].dtype.kind == "f" or df[c].dtype == object and df[c].map(lambda v: isinstance(v, float)).any():
             df[c] = df[c].astype(float).round(9) + 0.0
     return df.sort_values(list(df.columns), ignore_index=True)
