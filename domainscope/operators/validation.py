@@ -118,7 +118,7 @@ def moving_error(rows: DataFrame, variable: str, window: int, ties: list[str], o
     Each row enters the windows that hold it, and these are aggregated by number: no window function over all rows in one task."""
     if window < 1:
         raise DomainError("the window must hold at least one row")
-    ranked = with_rank(rows.where(F.col(variable).isNotNull()).select(F.col(variable).alias("v"), F.col(obs).alias("obs"), F.col(pred).alias("pred"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(ties))), "v", [f"t{i}" for i in range(len(ties))])
+    ranked = with_rank(rows.where(F.col(variable).isNotNull()).select(F.col(variable).alias("v"), F.col(obs).alias("obs"), F.col(pred).alias("pred"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(ties))).persist(), "v", [f"t{i}" for i in range(len(ties))])
     back, ahead = (window - 1) // 2, window // 2
     spread = ranked.select("*", F.explode(F.sequence(F.col("rank") - ahead, F.col("rank") + back)).alias("at"))
     metrics = regression_metrics() | {"accuracy": F.avg((F.col("obs") == F.col("pred")).cast("double"))}
@@ -131,7 +131,7 @@ def moving_error(rows: DataFrame, variable: str, window: int, ties: list[str], o
 
 def moving_kappa(rows: DataFrame, variable: str, window: int, ties: list[str], obs: str = "obs", pred: str = "pred") -> DataFrame:
     """The same for kappa; 0 where a window holds one class alone."""
-    ranked = with_rank(rows.where(F.col(variable).isNotNull()).select(F.col(variable).alias("v"), F.col(obs).cast("string").alias("obs"), F.col(pred).cast("string").alias("pred"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(ties))), "v", [f"t{i}" for i in range(len(ties))])
+    ranked = with_rank(rows.where(F.col(variable).isNotNull()).select(F.col(variable).alias("v"), F.col(obs).cast("string").alias("obs"), F.col(pred).cast("string").alias("pred"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(ties))).persist(), "v", [f"t{i}" for i in range(len(ties))])
     back, ahead = (window - 1) // 2, window // 2
     spread = ranked.select("*", F.explode(F.sequence(F.col("rank") - ahead, F.col("rank") + back)).alias("at"))
     base = spread.groupBy("at").agg(F.count("*").alias("n"), F.max(F.when(F.col("rank") == F.col("at"), F.col("v"))).alias(variable), F.sum((F.col("obs") == F.col("pred")).cast("double")).alias("right"))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from domainscope.functions.metrics import Metric, Rows
 
-REFERENCE_ROWS = 100_000
+REFERENCE_ROWS, SMALL_BYTES = 100_000, 32 << 20
 #: Neighbours whose distances agree to so many decimals are ties, and go to the smaller id.
 TIES = 9
 _CELLS = 1 << 20
@@ -160,6 +160,7 @@ def nearest(
 def _mapped(queries, features, metric, row_id, fold, refs, rule, apart, k, threshold, keep) -> DataFrame:
     names = queries.columns if keep is None else keep
     wide = queries.select(*names, F.col(row_id).cast("long").alias("__id"), (F.col(fold).cast("long") if fold else F.lit(None).cast("long")).alias("__fold"), *features.columns())
+    wide = _spread(wide)
     shape = features.shape
     schema = T.StructType([*(queries.schema[c] for c in names), *(T.StructField(c, T._parse_datatype_string(t)) for c, t in _RESULT)])
 
@@ -175,6 +176,13 @@ def _mapped(queries, features, metric, row_id, fold, refs, rule, apart, k, thres
     return wide.mapInArrow(run, schema)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A small input, which may be a single split, is dealt over all cores first: its distances cost more than the exchange. A large one has splits enough."""
+    if df.isStreaming or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _results(some: Rows, place: np.ndarray, n: int, refs: References, banned, metric: Metric, k: int, threshold: float | None) -> list[pa.Array]:
     least, total, count, under = np.full(n, np.inf), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
     dists: list = [None] * n

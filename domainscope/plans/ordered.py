@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 200
+BUCKETS, BUCKET_ROWS = 200, 50_000
 _B = "__bucket"
 
 
 def _splits(df: DataFrame, value: str) -> list:
-    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    """Points that cut the values into parts of about BUCKET_ROWS rows, at most BUCKETS; none for as few rows as one task sorts at ease."""
+    parts = min(BUCKETS, -(-df.count() // BUCKET_ROWS))
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
     return sorted(set(df.agg(F.percentile_approx(value, shares, 10 * BUCKETS)).first()[0] or ()))
 
 
@@ -37,7 +41,10 @@ def _bucketed(df: DataFrame, value: str, splits: list) -> DataFrame:
 
 def with_rank(df: DataFrame, value: str, ties: list[str], name: str = "rank") -> DataFrame:
     """df with the place of each row, from 1, in the order of (value, ties)."""
-    dealt = _bucketed(df, value, _splits(df, value))
+    splits = _splits(df, value)
+    if not splits:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(value, *ties)).cast("long"))
+    dealt = _bucketed(df, value, splits)
     sizes = dict(dealt.groupBy(_B).count().collect())
     before, total = {}, 0
     for b in sorted(sizes):
@@ -70,7 +77,7 @@ def _lookup(values: dict, kind: str, column: str = _B) -> Column:
 
 def running_totals(df: DataFrame, value: str, counters: list[str]) -> DataFrame:
     """One row for each distinct value: value, next (the next larger value, null at the end), and the running sums of the counters."""
-    sums = df.groupBy(value).agg(*(F.sum(c).alias(c) for c in counters))
+    sums = df.groupBy(value).agg(*(F.sum(c).alias(c) for c in counters)).persist()
     dealt = _bucketed(sums, value, _splits(sums, value))
     rows = sorted(dealt.groupBy(_B).agg(F.min(value).alias("least"), *(F.sum(c).alias(c) for c in counters)).collect(), key=lambda r: r[_B])
     before, following = {c: {} for c in counters}, {}
@@ -102,11 +109,10 @@ def nearest_1d(df: DataFrame, value: str, is_reference: str) -> DataFrame:
         over[r[_B]], known = known, r["least"] if r["least"] is not None else known
     kind = df.schema[value].dataType
     fixed = lambda d: F.try_element_at(F.create_map(*(F.lit(x) for kv in d.items() for x in kv if kv[1] is not None)), F.col(_B)).cast(kind) if any(v is not None for v in d.values()) else F.lit(None).cast(kind)
-    order = Window.partitionBy(_B).orderBy(value, F.col(is_reference).cast("int"))
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    return dealt.select(
-        *df.columns, F.coalesce(F.last(ref, ignorenulls=True).over(back), fixed(under)).alias("below"), F.coalesce(F.first(ref, ignorenulls=True).over(ahead), fixed(over)).alias("above"),
-    )
+    # both ways as running frames, which take linear time; the second runs exactly against the first, ties included
+    placed = dealt.withColumn("__at", F.row_number().over(Window.partitionBy(_B).orderBy(value, F.col(is_reference).cast("int"))))
+    before = lambda order: F.last(ref, ignorenulls=True).over(Window.partitionBy(_B).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.select(*df.columns, F.coalesce(before(F.col("__at")), fixed(under)).alias("below"), F.coalesce(before(F.desc("__at")), fixed(over)).alias("above"))
 
 
 __all__ = ["hash_rank", "nearest_1d", "running_totals", "with_rank"]

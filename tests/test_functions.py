@@ -116,7 +116,8 @@ def test_dummies(spark):
     assert rows[3]["c_x"] is None
 
 
-def test_ranks_and_totals_do_not_depend_on_partitions(spark):
+def test_ranks_and_totals_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 50)
     rng = np.random.default_rng(5)
     rows = [(i, float(v)) for i, v in enumerate(rng.integers(0, 40, size=500))]
     expect = {i: r for r, (i, _) in enumerate(sorted(rows, key=lambda x: (x[1], x[0])), 1)}
@@ -133,6 +134,20 @@ def test_hash_rank_is_a_permutation(spark):
     assert sorted(ranks) == list(range(1, 301))
 
 
+def test_nearest_1d_in_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 20)
+    rng = np.random.default_rng(6)
+    rows = [(i, float(v), bool(r)) for i, (v, r) in enumerate(zip(rng.integers(0, 60, 300), rng.random(300) < 0.3, strict=True))]
+    refs = [(i, v) for i, v, r in rows if r]
+    for x in ordered.nearest_1d(spark.createDataFrame(rows, "id long, v double, ref boolean"), "v", "ref").collect():
+        gaps = [abs(v - x["v"]) for i, v in refs if i != x["id"]]
+        got = [abs(x[c] - x["v"]) for c in ("below", "above") if x[c] is not None]
+        assert min(got) == min(gaps)
+    expect = {i: r for r, (i, *_) in enumerate(sorted(rows, key=lambda x: (x[1], x[0])), 1)}
+    ranked = ordered.with_rank(spark.createDataFrame(rows, "id long, v double, ref boolean").repartition(5), "v", ["id"])
+    assert {r["id"]: r["rank"] for r in ranked.collect()} == expect
+
+
 def test_nearest_1d(spark):
     rows = [(0.0, True), (1.0, False), (4.0, True), (4.0, False), (9.0, False)]
     got = {(r["v"], r["ref"]): (r["below"], r["above"]) for r in ordered.nearest_1d(spark.createDataFrame(rows, "v double, ref boolean"), "v", "ref").collect()}
