@@ -420,7 +420,7 @@ def test_budget():
 
 
 def test_ml_learners(spark):
-    df, names, *_ = linear(spark, 60, 2)
+    df, names, *_ = linear(spark, 60, 3)
     p = learners.MlEvaluator(df, "y", "fold", "lm", "rmse")(("v0", "v1"))
     assert p.value > 0
     with pytest.raises(DomainError):
