@@ -191,6 +191,13 @@ def nn_time_cv(spark, d):
     return _dist(geodist.time_cv_distances(train, "ts", "id", "fold", "hours"), fold=True)
 
 
+@query()
+def nn_time_cv_whole(spark, d):
+    """nn_time_cv over all training events; its SQL, a join of all pairs, reads a tenth of them."""
+    train = views.tm(spark, d).where("train").withColumn("fold", F.col("unit") % 5)
+    return _dist(geodist.time_cv_distances(train, "ts", "id", "fold", "hours"), fold=True)
+
+
 @query("SELECT i.id, round(min(list_distance(i.v, j.v)),6) AS dist FROM vec i, vec j WHERE NOT i.train AND j.train GROUP BY i.id", "vec")
 def nn_vec_l2(spark, d):
     v = views.vec(spark, d)
@@ -594,43 +601,43 @@ def rf_weighted_aoa(spark, d):
 
 def _points(spark, d) -> tuple[DataFrame, DataFrame]:
     p = views.xy(spark, d)
-    return p.where("train and unit < 12"), p.where("not train")
+    return p.where("train"), p.where("not train")
 
 
 @query()
 def nndm_indices(spark, d):
     x, pred = _points(spark, d)
-    return matching.nndm(x.where("id % 20 = 0"), pred, "id").table(spark)
+    return matching.nndm(x, pred, "id").table(spark)
 
 
 @query()
 def nndm_plot(spark, d):
     x, pred = _points(spark, d)
-    return matching.nndm(x.where("id % 20 = 0"), pred, "id").plot_data(spark)
+    return matching.nndm(x, pred, "id").plot_data(spark)
 
 
 @query()
 def knndm_kmeans(spark, d):
     x, pred = _points(spark, d)
-    return matching.knndm(x.where("x < 30000"), pred, "id", k=4, clustering="kmeans", nk_len=10).table(spark)
+    return matching.knndm(x, pred, "id", k=4, clustering="kmeans").table(spark)
 
 
 @query()
 def knndm_hclust(spark, d):
     x, pred = _points(spark, d)
-    return matching.knndm(x.where("x < 30000"), pred, "id", k=4, nk_len=10).table(spark)
+    return matching.knndm(x, pred, "id", k=4).table(spark)
 
 
 @query()
 def knndm_split(spark, d):
     x, pred = _points(spark, d)
-    return matching.knndm(x.where("x < 30000"), pred, "id", test_prop=0.3, nk_len=10).table(spark)
+    return matching.knndm(x, pred, "id", test_prop=0.3).table(spark)
 
 
 @query()
 def knndm_summary(spark, d):
     x, pred = _points(spark, d)
-    return matching.knndm(x.where("x < 30000"), pred, "id", k=4, nk_len=10).summary(spark)
+    return matching.knndm(x, pred, "id", k=4).summary(spark)
 
 
 @query()

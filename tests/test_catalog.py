@@ -1,9 +1,10 @@
 """Every catalogued query runs, and agrees with its SQL where it has one."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from domainscope import catalog
+from domainscope import catalog, views
 from domainscope.testing import difference
 
 
@@ -25,3 +26,23 @@ def test_runs(spark, sf_dir, name):
 def test_entry(spark):
     assert {"id", "di", "aoa", "lpd"} <= set(entry.entry(spark).columns)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_times_across_folds_are_of_all_training_events(spark, sf_dir):
+    train = views.tm(spark, sf_dir).where("train").select("id", "unit", "ts").toPandas()
+    hours, fold = train["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) / 3600e6, train["unit"].to_numpy() % 5
+    gaps = np.where(fold[:, None] == fold[None, :], np.inf, np.abs(hours[:, None] - hours[None, :]))
+    got = catalog.QUERIES["nn_time_cv_whole"](spark, sf_dir).toPandas().set_index("id")
+    assert sorted(got.index) == sorted(train["id"])
+    assert np.allclose(got.loc[train["id"], "dist"], gaps.min(axis=1), atol=1e-6)
+    assert (got.loc[train["id"], "fold"].to_numpy() == fold).all()
+
+
+def test_matching_is_over_all_training_points(spark):
+    where = "/root/testdata/sf0.01"
+    ids = {r["id"] for r in views.xy(spark, where).where("train").select("id").collect()}
+    assert catalog.QUERIES["nndm_indices"](spark, where).count() == len(ids) ** 2
+    for name in ("knndm_kmeans", "knndm_hclust", "knndm_split"):
+        assert {r["row_id"] for r in catalog.QUERIES[name](spark, where).collect()} == ids
+    sizes = catalog.QUERIES["knndm_summary"](spark, where).first()["fold_sizes"]
+    assert sum(map(int, sizes.split(", "))) == len(ids)
