@@ -65,12 +65,11 @@ def pairs(h: np.ndarray) -> np.ndarray:
 
 
 class Kind(NamedTuple):
-    """Items of about one length: least and greatest number of words, edits allowed to these, and the LSH of the kind."""
+    """Items of about one length: greatest number of words, edits allowed to it, the fewest pairs that any of them keeps, and the LSH of the kind."""
 
-    low: int
     high: int
-    k_low: int
     k_high: int
+    pairs: int
     members: np.ndarray  # places of the items
     steps: np.ndarray  # (keys, SAMPLED) steps; key i uses walk i % WALKS
     keys: np.ndarray  # ascending
@@ -104,7 +103,9 @@ class Index:
         keys = self.keys(flat, starts, steps)
         owners = np.tile(members, len(steps))
         order = np.argsort(keys.ravel(), kind="stable")
-        return Kind(low, high, int(allowed(low, self.share)), int(allowed(high, self.share)), members, steps, keys.ravel()[order], owners[order])
+        sizes = self.sizes[members]  # what is left of their pairs is not monotone in length
+        least = int((sizes - 1 - 2 * allowed(sizes, self.share)).min())
+        return Kind(high, int(allowed(high, self.share)), least, members, steps, keys.ravel()[order], owners[order])
 
     def keys(self, flat: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> np.ndarray:
         """(keys, windows): the LSH keys of the windows that start there."""
@@ -151,7 +152,7 @@ class Index:
         """The starts of windows that hold enough pairs of items; present: running sum over pairs, with a 0 before."""
         n = len(present) - 1
         ends = np.minimum(np.arange(n) + kind.high + kind.k_high - 1, n)
-        return np.flatnonzero(present[ends] - present[:-1] >= kind.low - 1 - 2 * kind.k_low)
+        return np.flatnonzero(present[ends] - present[:-1] >= kind.pairs)
 
     def search(self, flat: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, distance, start, end) for the documents flat[edges[i]:edges[i + 1]]; the places count from the document's start."""

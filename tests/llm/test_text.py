@@ -377,6 +377,20 @@ def test_exact_leaks_by_brute_force(spark, real, rows, sf_dir):
     assert got == expect
 
 
+@pytest.mark.parametrize("m", [4, 9, 12])
+def test_items_of_4m_words_with_m_edits_beside_one_of_4m_less_1(m):
+    """m substitutions with two words or more between them leave just as many pairs as the lemma says."""
+    found = 0
+    for trial in range(20):
+        beside, item, around = (" ".join(f"{what}{trial}x{i}" for i in range(n)) for what, n in (("a", 4 * m - 1), ("b", 4 * m), ("c", 60)))
+        edited = item.split()
+        edited[1 : 3 * m : 3] = [f"e{i}" for i in range(m)]
+        doc = decontaminate.words(" ".join([around, *edited, around]))
+        got = decontaminate.Index([decontaminate.words(beside), decontaminate.words(item)], 0.25).search(doc, np.array([0, len(doc)]))
+        found += [x[:3] for x in got] == [(0, 1, m)]
+    assert found >= 15
+
+
 def test_no_benchmark(spark):
     assert decontaminate.leaks(docs(spark, EDGES), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
