@@ -1,17 +1,13 @@
-"""Benchmark decontamination by CGK embeddings, bit-sampling LSH and exact edit verification.
+"""Benchmark decontamination by blocks of items, pairs of words and exact edit verification.
 
 Texts and items are lower-cased sequences of words, ASCII punctuation read as white space. A document holds an item if some run of
 its words is within an edit distance (insertions, deletions, substitutions of words) of at most a share of the item's length.
 
-The CGK embedding walks over a word sequence: step j copies the word at the pointer and moves on if the random bit of (j, word) is
-set. Two walks with the same bits fall into step again after an edit, so that a small edit distance becomes a small Hamming
-distance between the copies. Item-sized windows start at every word of a document; a key is the copies at SAMPLED random steps of
-one of WALKS walks; there are enough keys to meet the target recall if a share AGREE of the steps agrees. What meets an item's key
+Nothing is sampled and nothing is lost, at any length and number of items. k edits leave one of k + 1 blocks of an item as it is, moved
+by at most k words: the blocks of all items are looked up at every word of a document. They also leave at least L - 1 - 2 k of the
+L - 1 word pairs of an item (q-gram lemma): a place with fewer pairs, first of any item and then of its own, is ruled out. What is left
 is verified exactly, with free ends in the document.
 
-Before any walk, windows are ruled out by the q-gram lemma, which loses nothing: k edits leave at least L - 1 - 2 k of the
-L - 1 word pairs of an item, so a window with fewer pairs that occur in any item can hold none.
-
 Items are held in memory in blocks of at most ITEM_BYTES; each block is one pass over the documents, without any shuffle.
 
 Edge cases: null and empty texts hold nothing; items of fewer than MIN_WORDS words tell nothing and are held by nothing; an item with
@@ -21,7 +17,6 @@ then first, is reported; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -32,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, kept
-from .words import BASE, U, hashes, mix
+from .words import BASE, U, hashes, mix, windows
 
 #: A quarter of an item's words may be edited. Shorter items than MIN_WORDS are no evidence.
 SHARE, MIN_WORDS = 0.25, 8
-WALKS, AGREE, RECALL = 8, 0.45, 0.99
 ITEM_BYTES = 16 << 20
-_PIECE, _FLAT, _WINDOWS, _COPIES = 1 << 20, 400_000, 20_000, 2_000_000
+_PIECE, _FLAT, _HITS = 1 << 20, 400_000, 1_000_000
 _BLANK = bytes(32 if c < 33 or c == 127 or c < 127 and not chr(c).isalnum() else c for c in range(256))
 _END = U(0x5851F42D4C957F2D)
 
@@ -64,125 +58,110 @@ def pairs(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * BASE + h[1:])
 
 
-class Kind(NamedTuple):
-    """Items of about one length: greatest number of words, edits allowed to it, the fewest pairs that any of them keeps, and the LSH of the kind."""
+class Known:
+    """Hashes as a bitmap of their first bits: what is not set is not among them."""
+
+    def __init__(self, h: np.ndarray):
+        bits = max(20, int(len(h) * 32).bit_length())
+        self.shift, self.set = U(64 - bits), np.zeros(1 << bits, bool)
+        self.set[(h >> self.shift).astype(np.int64)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        return self.set[(h >> self.shift).astype(np.int64)]
+
 
-    high: int
-    k_high: int
-    pairs: int
-    members: np.ndarray  # places of the items
-    steps: np.ndarray  # (keys, SAMPLED) steps; key i uses walk i % WALKS
-    keys: np.ndarray  # ascending
-    owners: np.ndarray  # the item of each key
+class Blocks(NamedTuple):
+    """The blocks of one number of words: their hashes, ascending, and the item of each and its place there."""
+
+    keys: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
+    known: Known
 
 
 class Index:
-    def __init__(self, items: list[np.ndarray], share: float, seed: int = 11):
-        self.items, self.share = items, share
+    def __init__(self, items: list[np.ndarray], share: float):
+        self.items = items
         self.sizes = np.array([len(x) for x in items], np.int64)
-        self.sampled = 3 if len(items) <= 1000 else 4
-        self.n_keys = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**self.sampled) / WALKS) * WALKS
+        self.edits = allowed(self.sizes, share)
         usable = np.flatnonzero(self.sizes >= MIN_WORDS)
-        known = np.unique(np.concatenate([pairs(items[i]) for i in usable])) if len(usable) else np.empty(0, U)
-        self.bits = max(20, int(len(known) * 32).bit_length())
-        self.known = np.zeros(1 << self.bits, bool)
-        self.known[(known >> U(64 - self.bits)).astype(np.int64)] = True
-        self.kinds, rng, at = [], np.random.default_rng(seed), 0
-        order = usable[np.argsort(self.sizes[usable], kind="stable")]
-        while at < len(order):
-            low = int(self.sizes[order[at]])
-            end = at + int(np.searchsorted(self.sizes[order[at:]], low * 1.15, "right"))
-            self.kinds.append(self._kind(order[at:end], low, int(self.sizes[order[end - 1]]), rng))
-            at = end
-
-    def _kind(self, members: np.ndarray, low: int, high: int, rng: np.random.Generator) -> Kind:
-        last = max(self.sampled, int(1.8 * low))
-        steps = np.sort(rng.random((self.n_keys, last)).argsort(axis=1)[:, : self.sampled], axis=1)
-        flat = np.concatenate([np.r_[self.items[i], np.full(last, _END)] for i in members])
-        starts = np.cumsum([0, *(len(self.items[i]) + last for i in members[:-1])])
-        keys = self.keys(flat, starts, steps)
-        owners = np.tile(members, len(steps))
-        order = np.argsort(keys.ravel(), kind="stable")
-        sizes = self.sizes[members]  # what is left of their pairs is not monotone in length
-        least = int((sizes - 1 - 2 * allowed(sizes, self.share)).min())
-        return Kind(high, int(allowed(high, self.share)), least, members, steps, keys.ravel()[order], owners[order])
-
-    def keys(self, flat: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> np.ndarray:
-        """(keys, windows): the LSH keys of the windows that start there."""
-        last, out = int(steps.max()) + 1, np.empty((len(steps), len(starts)), U)
-        some = max(16, _COPIES // (last * WALKS))  # windows at a time
-        for i in range(0, len(starts), some):
-            out[:, i : i + some] = self._keys(flat, starts[i : i + some], steps, last)
-        return out
-
-    @staticmethod
-    def _keys(flat: np.ndarray, starts: np.ndarray, steps: np.ndarray, last: int) -> np.ndarray:
-        walks = np.arange(WALKS, dtype=U)[:, None]
-        copies, at, end = np.empty((last, WALKS, len(starts)), U), np.tile(starts, (WALKS, 1)), len(flat) - 1
-        for j in range(last):
-            word = copies[j] = flat[np.minimum(at, end)]
-            if not j % 64:
-                seed = mix((walks << U(32)) + U(j + 1))
-            at += ((mix(word ^ seed) >> U(j % 64)) & U(1)).astype(np.int64)
-        out = np.empty((len(steps), len(starts)), U)
-        for i, sampled in enumerate(steps):
-            key = np.full(len(starts), U(i), U)
-            for j in sampled:
-                key = key * BASE + copies[j, i % WALKS]
-            out[i] = mix(key)
+        self.known = Known(np.concatenate([pairs(items[i]) for i in usable])) if len(usable) else None
+        found: dict[int, list] = {}
+        for i in usable.tolist():
+            k, size = int(self.edits[i]), int(self.sizes[i])
+            bounds = np.arange(k + 2) * size // (k + 1)
+            widths = np.diff(bounds)
+            for width in np.unique(widths).tolist():
+                places = bounds[:-1][widths == width]
+                found.setdefault(width, []).append((windows(items[i], width)[places], np.full(len(places), i), places))
+        self.blocks = {}
+        for width, each in found.items():
+            keys, owners, places = (np.concatenate(c) for c in zip(*each, strict=True))
+            order = np.argsort(keys, kind="stable")
+            self.blocks[width] = Blocks(keys[order], owners[order], places[order], Known(keys))
+
+    def candidates(self, flat: np.ndarray, edges: np.ndarray, present: np.ndarray) -> np.ndarray:
+        """(document, item, start): where a block of the item is, and around it enough pairs of any item; the start is that of the item if
+        nothing before the block is edited. present: running sum over pairs of items, with a 0 before."""
+        found = [np.empty((0, 3), np.int64)]
+        for width, blocks in self.blocks.items():
+            h = windows(flat, width)
+            at = np.flatnonzero(blocks.known(h))
+            first = np.searchsorted(blocks.keys, h[at], "left")
+            n = np.searchsorted(blocks.keys, h[at], "right") - first
+            doc = np.searchsorted(edges, at, "right") - 1
+            hit = np.flatnonzero((n > 0) & (at + width <= edges[doc + 1]))
+            at, first, n, doc = at[hit], first[hit], n[hit], doc[hit]
+            part = np.cumsum(n) // _HITS  # so many hits at a time
+            for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1) if len(at) else []:
+                m = n[some]
+                place = np.repeat(first[some], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                item, d = blocks.items[place], np.repeat(doc[some], m)
+                start = np.repeat(at[some], m) - blocks.places[place]
+                k, size = self.edits[item], self.sizes[item]
+                low, high = np.maximum(edges[d], start - k), np.minimum(edges[d + 1], start + size + k)
+                good = present[high - 1] - present[low] >= size - 1 - 2 * k
+                found.append(np.unique(np.stack([d, item, start], axis=1)[good], axis=0))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def with_own_pairs(self, jobs: list[tuple[int, int, int, int]], flat: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The (document, item, from, to) where enough pairs are those of the item itself."""
+        by: dict[int, list[tuple[int, int, int, int]]] = {}
+        for job in jobs:
+            by.setdefault(job[1], []).append(job)
+        out, there = [], pairs(flat)
+        for i, own in by.items():
+            known, least = np.unique(pairs(self.items[i])), self.sizes[i] - 1 - 2 * self.edits[i]
+            for n in range(0, len(own), 512):
+                some = own[n : n + 512]
+                a, b = (np.array([job[c] for job in some]) for c in (2, 3))
+                at = a[:, None] + np.arange(max(1, (b - a).max() - 1))
+                h = there[np.minimum(at, len(there) - 1)]
+                same = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                enough = (same & (at < b[:, None] - 1)).sum(axis=1) >= least
+                out += [job for job, good in zip(some, enough, strict=True) if good]
         return out
 
-    def candidates(self, flat: np.ndarray, kind: Kind, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, items) that share a key, each once."""
-        found = []
-        for i in range(0, len(starts), _WINDOWS):
-            some = starts[i : i + _WINDOWS]
-            keys = self.keys(flat, some, kind.steps)
-            a = np.searchsorted(kind.keys, keys, "left").ravel()
-            n = np.searchsorted(kind.keys, keys, "right").ravel() - a
-            hit = np.flatnonzero(n)
-            if len(hit):
-                a, n = a[hit], n[hit]
-                places = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append(np.unique(np.stack([np.repeat(some[hit % len(some)], n), kind.owners[places]], axis=1), axis=0))
-        both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return both[:, 0], both[:, 1]
-
-    def likely(self, present: np.ndarray, kind: Kind) -> np.ndarray:
-        """The starts of windows that hold enough pairs of items; present: running sum over pairs, with a 0 before."""
-        n = len(present) - 1
-        ends = np.minimum(np.arange(n) + kind.high + kind.k_high - 1, n)
-        return np.flatnonzero(present[ends] - present[:-1] >= kind.pairs)
-
     def search(self, flat: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, distance, start, end) for the documents flat[edges[i]:edges[i + 1]]; the places count from the document's start."""
-        if len(flat) < 2 or not self.kinds:
+        if len(flat) < 2 or not self.blocks:
             return []
-        there = self.known[(pairs(flat) >> U(64 - self.bits)).astype(np.int64)]
+        there = self.known(pairs(flat))
         inner = edges[1:-1]
         there[inner[(inner > 0) & (inner < len(flat))] - 1] = False
-        present = np.r_[0, np.cumsum(there, dtype=np.int32)]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for kind in self.kinds:
-            starts = self.likely(present, kind)
-            if not len(starts):
+        jobs, last = [], None
+        for d, i, s in self.candidates(flat, edges, np.r_[0, np.cumsum(there, dtype=np.int32)]).tolist():
+            k = int(self.edits[i])
+            if last is not None and last[:2] == (d, i) and s <= last[2] + k:
                 continue
-            at, item = self.candidates(flat, kind, starts)
-            if not len(at):
-                continue
-            doc = np.searchsorted(edges, at, "right") - 1
-            order = np.lexsort((at, item, doc))
-            jobs, last = [], None
-            for d, i, s in zip(doc[order].tolist(), item[order].tolist(), at[order].tolist(), strict=True):
-                k = int(allowed(self.sizes[i], self.share))
-                if last is not None and last[:2] == (d, i) and s <= last[2] + k:
-                    continue
-                last = (d, i, s)
-                jobs.append((d, i, max(int(edges[d]), s - k), min(int(edges[d + 1]), s + int(self.sizes[i]) + 3 * k)))
-            for (d, i, a, _), (dist, start, end) in zip(jobs, verify(flat, [(self.items[i], a, b) for _, i, a, b in jobs]), strict=True):
-                if dist <= allowed(self.sizes[i], self.share):
-                    new = (dist, a + start - int(edges[d]), a + end - int(edges[d]))
-                    best[d, i] = min(best.get((d, i), new), new)
+            last = (d, i, s)
+            jobs.append((d, i, max(int(edges[d]), s - k), min(int(edges[d + 1]), s + int(self.sizes[i]) + 2 * k)))
+        jobs = self.with_own_pairs(jobs, flat)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for (d, i, a, _), (dist, start, end) in zip(jobs, verify(flat, [(self.items[i], a, b) for _, i, a, b in jobs]), strict=True):
+            if dist <= self.edits[i]:
+                new = (dist, a + start - int(edges[d]), a + end - int(edges[d]))
+                best[d, i] = min(best.get((d, i), new), new)
         return [(d, i, *x) for (d, i), x in sorted(best.items())]
 
 

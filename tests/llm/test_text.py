@@ -388,7 +388,52 @@ def test_items_of_4m_words_with_m_edits_beside_one_of_4m_less_1(m):
         doc = decontaminate.words(" ".join([around, *edited, around]))
         got = decontaminate.Index([decontaminate.words(beside), decontaminate.words(item)], 0.25).search(doc, np.array([0, len(doc)]))
         found += [x[:3] for x in got] == [(0, 1, m)]
-    assert found >= 15
+    assert found == 20
+
+
+@pytest.mark.parametrize("n_items", [24, 1200])
+@pytest.mark.parametrize("size", [60, 120, 250])
+def test_items_at_the_edit_limit_whatever_their_length_and_number(size, n_items):
+    """A full quarter of the words substituted: every leak is found, in benchmarks of any size."""
+    rng = np.random.default_rng(size + n_items)
+    items = [[f"i{n}x{j}" for j in range(size)] for n in range(24)]
+    given = []
+    for item in items:
+        edited = list(item)
+        for j in rng.choice(size, size // 4, replace=False):
+            edited[j] = f"e{j}"
+        given.append(decontaminate.words(" ".join(["before"] * 20 + edited + ["after"] * 20)))
+    more = [[f"m{n}x{j}" for j in range(8)] for n in range(n_items - len(items))]
+    index = decontaminate.Index([decontaminate.words(" ".join(x)) for x in [*items, *more]], 0.25)
+    got = index.search(np.concatenate(given), np.cumsum([0, *map(len, given)]))
+    assert [x[:2] for x in got] == [(n, n) for n in range(24)] and all(x[2] <= size // 4 for x in got)
+
+
+def test_leaks_by_brute_force():
+    """Few different words, so that places are many and near the limit; any kind of edit."""
+    rng = np.random.default_rng(3)
+    some = lambda n: [f"w{i}" for i in rng.integers(0, 12, n)]
+    items, given = [some(rng.integers(8, 21)) for _ in range(25)], []
+    for n in range(50):
+        w = list(items[n % 25])
+        for _ in range(rng.integers(0, len(w) // 3 + 1)):
+            at = int(rng.integers(len(w)))
+            w[at : at + int(rng.integers(2))] = some(int(rng.integers(2)))
+        given.append(some(rng.integers(0, 15)) + w + some(rng.integers(0, 15)))
+
+    def closest(item, doc):
+        row = [0] * (len(doc) + 1)
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(doc, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    expect = {(d, i, k) for d, doc in enumerate(given) for i, item in enumerate(items) if (k := closest(item, doc)) <= len(item) // 4}
+    flat = [decontaminate.words(" ".join(x)) for x in given]
+    found = decontaminate.Index([decontaminate.words(" ".join(x)) for x in items], 0.25).search(np.concatenate(flat), np.cumsum([0, *map(len, flat)]))
+    assert {x[:3] for x in found} == expect and len(expect) > 25
 
 
 def test_no_benchmark(spark):
