@@ -1,7 +1,9 @@
 """Benchmark decontamination by blocks of items, pairs of words and exact edit verification.
 
-Texts and items are lower-cased sequences of words, ASCII punctuation read as white space. A document holds an item if some run of
-its words is within an edit distance (insertions, deletions, substitutions of words) of at most a share of the item's length.
+Texts and items are lower-cased sequences of words, ASCII and CJK punctuation read as white space; in scripts that set no spaces each
+character is a word. A document holds an item if some run of
+its words is within an edit distance (insertions, deletions, substitutions of words) of at most a share of the item's length. Items under MIN_WORDS words are held only
+by documents that have them word for word.
 
 Nothing is sampled and nothing is lost, at any length and number of items. k edits leave one of k + 1 blocks of an item as it is, moved
 by at most k words: the blocks of all items are looked up at every word of a document. They also leave at least L - 1 - 2 k of the
@@ -10,13 +12,14 @@ is verified exactly, with free ends in the document.
 
 Items are held in memory in blocks of at most ITEM_BYTES; each block is one pass over the documents, without any shuffle.
 
-Edge cases: null and empty texts hold nothing; items of fewer than MIN_WORDS words tell nothing and are held by nothing; an item with
+Edge cases: null and empty texts hold nothing; items without words are held by nothing; an item with
 repeated rows gives a row for each of them, as a repeated document does; of several places in one document the closest,
 then first, is reported; an empty table gives an empty result; other columns are ignored. A text is read whole whatever its length.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -29,12 +32,19 @@ from pyspark.sql import functions as F
 from .common import id_and_text, kept
 from .words import BASE, U, hashes, mix, windows
 
-#: A quarter of an item's words may be edited. Shorter items than MIN_WORDS are no evidence.
+#: A quarter of an item's words may be edited, none of an item under MIN_WORDS.
 SHARE, MIN_WORDS = 0.25, 8
 ITEM_BYTES = 16 << 20
 _PIECE, _FLAT, _HITS = 1 << 20, 400_000, 1_000_000
 _BLANK = bytes(32 if c < 33 or c == 127 or c < 127 and not chr(c).isalnum() else c for c in range(256))
 _END = U(0x5851F42D4C957F2D)
+#: Thai, Lao, Myanmar, Khmer, kana, Han; and the punctuation between them.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U000323af]")
+_MARKS = re.compile("[\u3000-\u3004\u3008-\u303f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
+def _spaced(text: str) -> str:
+    return text if text.isascii() else _UNSPACED.sub(r" \g<0> ", _MARKS.sub(" ", text))
 
 
 def words(text: str) -> np.ndarray:
@@ -44,14 +54,15 @@ def words(text: str) -> np.ndarray:
         end = at + _PIECE
         while end < len(text) and text[end] not in " \t\n\r":
             end += 1
-        found.append(hashes(text[at:end].lower().encode("utf-8", "surrogatepass").translate(_BLANK).split()))
+        found.append(hashes(_spaced(text[at:end]).lower().encode("utf-8", "surrogatepass").translate(_BLANK).split()))
         at = end
     return found[0] if len(found) == 1 else np.concatenate(found) if found else np.empty(0, U)
 
 
 def allowed(length: np.ndarray | int, share: float):
     """The most edits for an item of so many words."""
-    return np.floor(np.asarray(length) * share + 1e-9).astype(np.int64)
+    length = np.asarray(length)
+    return np.where(length < MIN_WORDS, 0, np.floor(length * share + 1e-9)).astype(np.int64)
 
 
 def pairs(h: np.ndarray) -> np.ndarray:
@@ -84,7 +95,7 @@ class Index:
         self.items = items
         self.sizes = np.array([len(x) for x in items], np.int64)
         self.edits = allowed(self.sizes, share)
-        usable = np.flatnonzero(self.sizes >= MIN_WORDS)
+        usable = np.flatnonzero(self.sizes)
         self.known = Known(np.concatenate([pairs(items[i]) for i in usable])) if len(usable) else None
         found: dict[int, list] = {}
         for i in usable.tolist():
@@ -120,7 +131,7 @@ class Index:
                 start = np.repeat(at[some], m) - blocks.places[place]
                 k, size = self.edits[item], self.sizes[item]
                 low, high = np.maximum(edges[d], start - k), np.minimum(edges[d + 1], start + size + k)
-                good = present[high - 1] - present[low] >= size - 1 - 2 * k
+                good = present[np.maximum(high - 1, low)] - present[low] >= size - 1 - 2 * k
                 found.append(np.unique(np.stack([d, item, start], axis=1)[good], axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
@@ -132,6 +143,9 @@ class Index:
         out, there = [], pairs(flat)
         for i, own in by.items():
             known, least = np.unique(pairs(self.items[i])), self.sizes[i] - 1 - 2 * self.edits[i]
+            if least <= 0:
+                out += own
+                continue
             for n in range(0, len(own), 512):
                 some = own[n : n + 512]
                 a, b = (np.array([job[c] for job in some]) for c in (2, 3))
@@ -144,7 +158,7 @@ class Index:
 
     def search(self, flat: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, distance, start, end) for the documents flat[edges[i]:edges[i + 1]]; the places count from the document's start."""
-        if len(flat) < 2 or not self.blocks:
+        if not len(flat) or not self.blocks:
             return []
         there = self.known(pairs(flat))
         inner = edges[1:-1]
@@ -238,7 +252,7 @@ def _scan(docs: DataFrame, ids: list, texts: tuple[str, ...], share: float) -> D
 
 
 def _item_blocks(benchmark: DataFrame) -> Iterator[tuple[list, tuple[str, ...]]]:
-    """Ids and texts of the items that are long enough to be evidence, in blocks of about ITEM_BYTES."""
+    """Ids and texts of the items, in blocks of about ITEM_BYTES."""
     items = id_and_text(benchmark, "item_id").where(F.length("text") > 0)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // ITEM_BYTES)

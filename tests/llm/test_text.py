@@ -436,6 +436,21 @@ def test_leaks_by_brute_force():
     assert {x[:3] for x in found} == expect and len(expect) > 25
 
 
+def test_short_items_and_texts_without_spaces(spark):
+    chinese, thai = "水的沸点在海平面上是摄氏一百度吗", "น้ำเดือดที่อุณหภูมิเท่าไร"
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet, then?"), (2, chinese), (3, thai), (4, "日本の首都は?"), (5, "pangram"), (6, " .,; "), (7, "three little words")], "item_id long, text string")
+    given = [
+        (10, "asked: who wrote (Hamlet) then"), (11, "who wrote Hamlet and then"), (12, "题目：" + chinese[:5] + "，" + chinese[5:] + "。答"), (13, chinese.replace("海", "河") + "！"), (14, chinese[:8]),
+        (15, "ก" + thai + "ก"), (16, "問「日本の首都は？」答"), (17, "日本の首都"), (18, "Pangram"), (19, "a pangram"), (20, "pangrams"), (21, "three little words three little words"), (22, "three little"), (23, "words"), (24, "."),
+    ]
+    df = docs(spark, given)
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["start_word"]) for r in decontaminate.leaks(df, bench).collect()}
+    assert got == {(10, 1, 0, 1), (12, 2, 0, 2), (13, 2, 1, 0), (15, 3, 0, 1), (16, 4, 0, 1), (18, 5, 0, 0), (19, 5, 0, 1), (21, 7, 0, 0)}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(df, bench).collect()} == {11, 14, 17, 20, 22, 23, 24}
+    one = decontaminate.words("pangram")
+    assert decontaminate.Index([one], 0.25).search(one, np.array([0, 1])) == [(0, 0, 0, 0, 1)]
+
+
 def test_no_benchmark(spark):
     assert decontaminate.leaks(docs(spark, EDGES), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
