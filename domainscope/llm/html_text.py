@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a DOM. Nodes that never hold article text (scripts, styles, forms, navigation, footers, asides,
-page headers, and blocks whose class, id or role names an advert, menu, notice or comment section) are set aside. For
-each node left, with C characters, T tags, LC characters in links and LT link tags below it,
+page headers, hidden elements, and blocks whose role, class or id names an advert, navigation or comment section) are set
+aside. Classes and ids that articles have too, such as related or notice, count only where half of the text is in links or
+an element has under SPARSE characters, and not in headings. For each node left, with C characters, T tags, LC characters in links and LT link tags below it,
 
     density = C / T * log(C * T / (LC * LT)) / log(ln(C / (C - LC) * LC + LC_body / C_body * C + e))
 
@@ -41,39 +42,53 @@ _ENDS = {
 }
 _SCOPE = frozenset("article aside body button div blockquote section main table td th li ul ol header footer nav form".split())
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor(?:ed)?|promo\w*|sidebar|side-bar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|newsletter|subscribe|popup|modal|share|sharing|social|related|recommended|comments?|disqus|respond|replies|widget|toolbar|pagination|pager|skip-link)(?:$|[\s_-])", re.I
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor(?:ed)?|sidebar|side-bar|navbar|navigation|nav|breadcrumbs?|footer|masthead|cookies?|gdpr|newsletter|popup|comments?|disqus|toolbar|pagination|pager|skip-link)(?:$|[\s_-])", re.I
 )
+_DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:banner|promo\w*|menu|consent|notice|subscribe|modal|share|sharing|social|related|recommended|respond|replies|widget)(?:$|[\s_-])", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Characters to an element below which a block of a doubtful name is no text.
+SPARSE = 20
 _ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<decl>[!?/](?![a-zA-Z])[^>]*)(?:>|\Z)|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?P<cut>\Z)))", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s/=][^\s/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "kids", "drop", "doubt", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop, self.kids = tag, parent, drop, []
+    def __init__(self, tag: str, parent: Node | None, drop: bool, doubt: bool = False):
+        self.tag, self.parent, self.drop, self.doubt, self.kids = tag, parent, drop, doubt, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _dropped(tag: str, attrs: str, inside: Node) -> bool:
+def _attributes(attrs: str) -> dict[str, str]:
+    """The values by lower-cased name, of a repeated name the first."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        value = m[2] or ""
+        found.setdefault(m[1].lower(), value[1:-1] if value[:1] in ("'", '"') and value[:1] == value[-1:] else value)
+    return found
+
+
+def _dropped(tag: str, attrs: str, inside: Node) -> tuple[bool, bool]:
+    """Whether an element never holds article text; and whether it doesn't if its text is sparse or in links."""
     if tag in _DROP:
-        return True
+        return True, False
     if tag == "header":
         while inside is not None:
             if inside.tag in ("article", "main"):
-                return False
+                return False, False
             inside = inside.parent
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    for m in _ATTR.finditer(attrs) if attrs else ():
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or name == "role" and value.lower() in _ROLES or name in ("class", "id") and _NAMES.search(value):
-            return True
-    return False
+        return True, False
+    if tag in ("html", "body", "article", "main") or not attrs:
+        return False, False
+    has = _attributes(attrs)
+    names = has.get("class", ""), has.get("id", "")
+    hidden = "hidden" in has and has["hidden"].lower() != "until-found"
+    drop = hidden or has.get("role", "").strip().lower() in _ROLES or any(map(_NAMES.search, names))
+    return drop, not drop and tag not in _HEADINGS and any(map(_DOUBTFUL.search, names))
 
 
 def parse(html: str) -> Node:
@@ -114,7 +129,7 @@ def parse(html: str) -> Node:
                     x = x.parent
                 if x.tag == "p":
                     here = x.parent
-            node = Node(tag, here, _dropped(tag, m["attrs"], here))
+            node = Node(tag, here, *_dropped(tag, m["attrs"], here))
             here.kids.append(node)
             if tag in _RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -136,22 +151,30 @@ def parse(html: str) -> Node:
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """The nodes that are kept, in page order, with their counts and densities."""
+def _kept(root: Node) -> list[Node]:
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.drop)
+    return order
+
+
+def _measure(root: Node) -> list[Node]:
+    """The nodes that are kept, in page order, with their counts and densities."""
+    order = _kept(root)
     for node in reversed(order):
         node.chars += sum(len(_SPACE.sub(" ", unescape(k)).strip()) for k in node.kids if isinstance(k, str))
         if node.tag == "a":
             node.link_chars = node.chars
-        if (up := node.parent) is not None:
+        if node.doubt and (2 * node.link_chars >= node.chars or node.chars < SPARSE * (1 + node.tags)):
+            node.drop = True
+        elif (up := node.parent) is not None:
             up.chars += node.chars
             up.tags += 1 + node.tags
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags + (node.tag == "a")
+    order = _kept(root)
     body = next((x for x in order if x.tag == "body"), root)
     share = body.link_chars / max(body.chars, 1)
     for node in order:

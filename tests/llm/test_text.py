@@ -496,6 +496,20 @@ def test_main_text():
     assert html_text.extract(PAGE) == "The évent\nFirst paragraph with enough text to be dense, and some more of it.\nSecond one, with a break 😀."
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'aria-hidden="false"', 'title="a hidden gem"', 'data-role="banner"', "data-class='ad'", 'data-x="class=ad"', 'id="related-work"', 'class="notice"', "class=social-history", 'class="widget share"', 'hidden="until-found"'])
+def test_attributes_that_hide_nothing(attrs):
+    text = "A paragraph of the article with enough text to be dense, and some more."
+    page = "<html><body><div class='content'{}><p{}>" + text + "</p><p>" + text + " <a href='/x?id=menu&class=ad'>A link</a> ends it.</p></div></body></html>"
+    expect = text + "\n" + text + " A link ends it."
+    assert html_text.extract(page.format(" " + attrs if "class" not in attrs else "", "")) == html_text.extract(page.format("", " " + attrs)) == expect
+
+
+@pytest.mark.parametrize("block", ["<div hidden>Hidden text of a paragraph that nobody is to see</div>", '<div data-a="x" ROLE="Navigation">Text of a paragraph that leads elsewhere on this site</div>', "<p class=x id=side_ad>Text of an advert that is long enough to be dense</p>", '<div class="related"><ul><li><a href="/1">Another article of this site</a></li><li><a href="/2">One more article of it</a></li></ul></div>', '<div class="share">Share it</div>'])
+def test_attributes_that_hide(block):
+    text = "A paragraph of the article with enough text to be dense, and some more."
+    assert html_text.extract(f"<html><body><article><p>{text}</p>{block}<p>{text}</p><h2 id='related-work'>Related work</h2></article></body></html>") == f"{text}\n{text}\nRelated work"
+
+
 def test_odd_pages(spark):
     given = [(1, "u", None), (2, "u", ""), (3, None, "plain text only"), (4, "u", "<p>one<p>two"), (5, "u", "<div>" * 5000 + "<p>deep text here</p>"), (6, "u", "<p>cut <a href='x"), (7, "u", "<script>only</script>")]
     df = spark.createDataFrame(given, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
