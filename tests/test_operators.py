@@ -3,6 +3,7 @@
 import warnings
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,6 +374,33 @@ def test_calibrated_errors_are_monotone(spark, kind):
         profiles.error_profile(df, "id", "lpd")
 
 
+def test_multi_cv_holds_out_every_cluster(spark):
+    """As many clusters as rows: leave-one-out, against direct fits and distances; and 14 clusters against direct fits."""
+    rng = np.random.default_rng(8)
+    n = 24
+    x, place = rng.normal(size=(n, 2)), rng.uniform(0, 100, (n, 2))
+    y = x @ [2.0, -1.0] + rng.normal(size=n)
+    train = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "a": x[:, 0], "b": x[:, 1], "x": place[:, 0], "y": place[:, 1], "obs": y}))
+    design = np.column_stack([np.ones(n), x])
+    loo = [design[i] @ np.linalg.lstsq(np.delete(design, i, 0), np.delete(y, i), rcond=None)[0] for i in range(n)]
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    d = np.sqrt(np.square(z[:, None] - z[None]).sum(axis=2)) + np.diag([np.inf] * n)
+    di = d.min(axis=1) / np.mean([np.delete(r, i).mean() for i, r in enumerate(d)])
+    got, threshold = profiles.multi_cv_predictions(train, "id", ["a", "b"], "obs", length=2)
+    last = got.where(F.col("n_clusters") == n).toPandas().set_index("id")
+    assert sorted(last.index) == np.flatnonzero(di <= threshold).tolist()
+    assert np.allclose(last["pred"], np.array(loo)[last.index]) and np.allclose(last["di"], di[last.index])
+    some = profiles.multi_cv_predictions(train, "id", ["a", "b"], "obs", length=3)[0].where("n_clusters = 14").toPandas().set_index("id")
+    clusters = cluster.kmeans(z, 14, 1)
+    pred = [design[i] @ np.linalg.lstsq(design[clusters != clusters[i]], y[clusters != clusters[i]], rcond=None)[0] for i in range(n)]
+    assert len(some) and np.allclose(some["pred"], np.array(pred)[some.index])
+    dense = profiles.multi_cv_predictions(train, "id", ["a", "b"], "obs", length=2, variable="lpd")[0].toPandas()
+    assert len(dense) and (dense["lpd"] > 0).all()
+    far = profiles.multi_cv_predictions(train, "id", ["a", "b"], "obs", length=2, variable="geodist")[0].where(F.col("n_clusters") == n).toPandas().set_index("id").sort_index()
+    gap = np.sqrt(np.square(place[:, None] - place[None]).sum(axis=2)) + np.diag([np.inf] * n)
+    assert len(far) == n and np.allclose(far["geodist"], gap.min(axis=1))
+
+
 def test_moving_kappa(spark):
     rows = spark.createDataFrame([(i, float(i), "ab"[i % 2], "ab"[i % 2] if i < 5 else "a") for i in range(10)], "id long, di double, obs string, pred string")
     got = {r["rank"]: r["kappa"] for r in validation.moving_kappa(rows, "di", 4, ["id"]).collect()}
