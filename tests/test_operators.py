@@ -319,6 +319,19 @@ def test_knndm(spark):
         assert same.q == "random CV" and np.bincount(same.folds)[1:].tolist() == [24] * 4
 
 
+def test_all_prediction_distances_count(spark, monkeypatch):
+    """At any number of prediction rows, repeated distances included; the limit is that of an earlier version, which went over to quantiles."""
+    monkeypatch.setattr(matching, "PREDICTION_ROWS", 100, raising=False)
+    rng = np.random.default_rng(4)
+    at, new = rng.uniform(0, 100, (20, 2)), rng.integers(0, 30, (500, 2))
+    x, pred = points(spark, at), points(spark, new, 1000)
+    expect = np.sort(np.sqrt(np.square(new[:, None] - at[None]).sum(axis=2)).min(axis=1))
+    found = matching.nndm(x, pred, "id")
+    assert len(found.gij) == 500 and np.allclose(found.gij, expect)
+    assert len(np.unique(expect)) < 500
+    assert len(matching.knndm(x, pred, "id", k=3).gij) == 500
+
+
 def test_matching_errors(spark):
     x = points(spark, SIX)
     for bad in ({"maxp": 0.25, "k": 4}, {"clustering": "magic"}, {"nk_len": 0}, {"test_prop": 1.2}, {"k": 5, "maxp": 1.0}):
