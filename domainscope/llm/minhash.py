@@ -1,7 +1,7 @@
 """Near-duplicate groups by MinHash signatures and a multi-index Hamming join.
 
 A document's set is its distinct word shingles (64-bit hashes). Documents of equal sets form a class, known by a 128-bit
-digest; only the classes go on. A class gets a signature of K symbols of b = 16 bits, one MinHash each. The
+digest and numbered; only the classes go on. A class gets a signature of K symbols of b = 16 bits, one MinHash each. The
 signature is split into M chunks; by the pigeonhole principle two signatures that differ in at most M (E + 1) - 1
 symbols agree in some chunk up to E errors, so each chunk is indexed under every way of leaving out E of its symbols.
 That finds *all* pairs within this distance: with K = 40, M = 10, E = 1 up to 19 of 40, where a similarity of 0.8 is
@@ -13,13 +13,13 @@ still differ is compared, so that no link between different components is lost;
 components can only share shingles that are met in more than one component, c(x) of x's; so nothing with c(x) below the share of
 its size has a link left, and a pair's intersection is at most the smaller c. Both tests lose nothing, and they clear the crowds
 of distant variants around a much copied text.
-Before the comparison of full sets, some tests are made in the join: the ratio of the set sizes, the parities of the sets' elements
-by hash bucket, which bound their difference from below (both lose nothing), and the distance of a 128-bit sketch (a similarity of 0.8 is
-expected at 12.8; pairs up to 30 stay, over five deviations). A pair that shares several keys is compared at the first only.
+Before the comparison of full sets, two tests that lose nothing are made: the ratio of the set sizes, and the parities of the sets' elements
+by hash bucket, which bound their difference from below. A pair that shares several keys is compared at the first only.
 
 Edge cases: null and empty texts, and texts of white space only, have an empty set, are linked with nothing and are kept. With fewer
-words than a shingle the whole sequence is the one shingle. Rows repeated with one doc_id fall into one class and each keep their row. A null
-doc_id gets a row of its own class id as everyone does: components are named by the smallest doc_id that is not null. An empty table gives
+words than a shingle the whole sequence is the one shingle. Rows repeated with one doc_id fall into one class and each keep their row; an id
+that comes with different texts stands in the class of each, links them all the same, and each row has the component of its own text. A null
+doc_id gets a row as everyone does: components are named by the smallest doc_id that is not null. An empty table gives
 an empty result; other columns are ignored; texts are used whole.
 """
 
@@ -37,9 +37,9 @@ from .common import checkpointed, hinted, id_and_text
 from .words import U, hashes, mix, windows
 
 SYMBOLS, CHUNKS, ERRORS, CENTRES = 40, 10, 1, 3
-SKETCH_BITS, SKETCH_RADIUS, PARITY_BITS = 128, 30, 512
+PARITY_BITS = 512
 _rng = np.random.default_rng(20240117)
-_ODD = [U(int(x) | 1) for x in _rng.integers(1, 1 << 63, SYMBOLS + SKETCH_BITS // 2, dtype=np.int64)]
+_ODD = [U(int(x) | 1) for x in _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.int64)]
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -53,21 +53,12 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], U)
 
 
-def signatures(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the sets that begin at starts in flat: (sets, K) 16-bit symbols and (sets, 2) words of the bit sketch."""
+def signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For the sets that begin at starts in flat: (sets, K) 16-bit symbols."""
     symbols = np.empty((len(starts), SYMBOLS), np.uint16)
-    bits = np.empty((len(starts), SKETCH_BITS), bool)
     for i, a in enumerate(_ODD):
-        x = flat * a
-        if i < SYMBOLS:
-            least = np.minimum.reduceat(x, starts)
-            symbols[:, i] = (mix(least) >> U(48)).astype(np.uint16)
-        else:
-            j = 2 * (i - SYMBOLS)
-            bits[:, j] = (mix(np.minimum.reduceat((x >> U(32)).astype(np.uint32), starts).astype(U)) & U(1)).astype(bool)
-            x = (x & U(0xFFFFFFFF)).astype(np.uint32) * np.uint32(0x85EBCA6B)
-            bits[:, j + 1] = (mix(np.minimum.reduceat(x, starts).astype(U)) & U(1)).astype(bool)
-    return symbols, np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+        symbols[:, i] = (mix(np.minimum.reduceat(flat * a, starts)) >> U(48)).astype(np.uint16)
+    return symbols
 
 
 def parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -79,39 +70,39 @@ def parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), axis=1).view(">i8").astype(np.int64)
 
 
-def keys(symbols: np.ndarray) -> np.ndarray:
-    """(sets, index keys): for each chunk and each symbol left out of it, a hash of the others; the last six bits are its number."""
+def index_keys() -> Column:
+    """The index keys of a signature (chunks): for each chunk and each symbol left out of it, a hash of the others; the last six bits are its number.
+
+    Computed where they are exploded, so that 40 numbers a class are neither stored nor shuffled."""
     size = SYMBOLS // CHUNKS
-    x = mix(symbols.astype(U) + (np.arange(SYMBOLS, dtype=U) << U(16)))
-    chunks = x.reshape(len(x), CHUNKS, size)
-    place = mix(np.arange(CHUNKS * size, dtype=U) + U(1 << 40)).reshape(CHUNKS, size)
-    hashed = mix((chunks.sum(axis=2, dtype=U)[:, :, None] - chunks) ^ place).reshape(len(x), CHUNKS * size)
-    return ((hashed & ~U(63)) | np.arange(CHUNKS * size, dtype=U)).view(np.int64)
+    others = [F.lit(int(np.int64(~(0xFFFF << 16 * j)) if j < size - 1 else 0xFFFFFFFFFFFF)).cast("long") for j in range(size)]
+    number = lambda i, j: F.lit(size * i + j).cast("long")
+    return F.array(*(F.xxhash64(number(i, j), F.get("chunks", i).bitwiseAND(others[j])).bitwiseAND(F.lit(-64).cast("long")).bitwiseOR(number(i, j)) for i in range(CHUNKS) for j in range(size)))
+
 
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("chunks", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64())), ("chunks", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
+
+def _digest(elements: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(elements), np.int64).tolist())
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, t (hash of the text), n (set size), h1, h2 (digest of the set, null if empty), s1, s2 (sketch), keys (index keys),
+    """doc_id, t (hash of the text), n (set size), h1, h2 (digest of the set, null if empty),
     chunks (the signature, four symbols in a number), parity (of the number of shingles in each of PARITY_BITS buckets)."""
 
     def batch(ids: list, t: pa.Array, texts: list[str]) -> pa.RecordBatch:
         sets = [shingles(t.encode(), k) for t in texts]
         n = np.array([len(s) for s in sets], np.int64)
         full = [i for i in range(len(sets)) if n[i]]
-        cols: list[list] = [[None] * len(sets) for _ in range(7)]
+        cols: list[list] = [[None] * len(sets) for _ in range(4)]
         if full:
             sizes = n[full]
             flat = np.concatenate([sets[i] for i in full])
-            symbols, sketch = signatures(flat, np.r_[0, np.cumsum(sizes)[:-1]])
-            odd = parities(flat, sizes)
-            index, packed = keys(symbols), symbols.view(np.int64)
+            packed, odd = signatures(flat, np.r_[0, np.cumsum(sizes)[:-1]]).view(np.int64), parities(flat, sizes)
             for at, i in enumerate(full):
-                d = xxhash.xxh3_128_digest(sets[i])
-                cols[0][i], cols[1][i] = np.frombuffer(d, np.int64).tolist()
-                cols[2][i], cols[3][i] = sketch[at].tolist()
-                cols[4][i], cols[5][i], cols[6][i] = index[at], packed[at], odd[at]
+                cols[0][i], cols[1][i] = _digest(sets[i])
+                cols[2][i], cols[3][i] = packed[at], odd[at]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([ids, t, n, *cols], _SIGNED.types, strict=True)], schema=_SIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,25 +117,24 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 yield batch(ids[at:end], b.column(2).slice(at, end - at), texts[at:end])
                 at = end
 
-    return id_and_text(docs).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, n long, h1 long, h2 long, s1 long, s2 long, keys array<long>, chunks array<long>, parity array<long>")
+    return id_and_text(docs).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, n long, h1 long, h2 long, chunks array<long>, parity array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """rep, elements: the sets as packed ascending 64-bit hashes."""
+    """h1, h2, elements: the sets (of docs' second column) as packed ascending 64-bit hashes, with their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.encode(), k).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["rep", "elements"])
+                sets = [shingles(t.encode(), k) for t in b.column(1).slice(at, 500).to_pylist()]
+                h1, h2 = zip(*map(_digest, sets), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([x.tobytes() for x in sets], pa.binary())], names=["h1", "h2", "elements"])
 
-    return docs.mapInArrow(run, "rep long, elements binary")
+    return docs.mapInArrow(run, "h1 long, h2 long, elements binary")
 
 
-def _near(a: str, b: str, percent: int) -> Column:
-    """What can still be a link, from sizes and sketches."""
-    size = (F.least(f"{a}.n", f"{b}.n") * 100) >= (F.greatest(f"{a}.n", f"{b}.n") * percent)
-    return size & ((F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))) <= SKETCH_RADIUS)
+def _alike_in_size(a: str, b: str, percent: int) -> Column:
+    return (F.least(f"{a}.n", f"{b}.n") * 100) >= (F.greatest(f"{a}.n", f"{b}.n") * percent)
 
 
 def _little_apart(a: str, b: str, percent: int) -> Column:
@@ -184,12 +174,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("y")), "b")
+    joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("elements").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _in_other_components(sets: DataFrame) -> DataFrame:
-    """rep, c: how many shingles of each set (rep, elements, root) are in a set with another root, too."""
+    """c, shared: how many shingles of each set (c, elements, root) are in a set with another root, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,11 +187,11 @@ def _in_other_components(sets: DataFrame) -> DataFrame:
                 part = b.slice(at, 500)
                 flat = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
                 sizes = np.array([len(x) for x in flat])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(flat)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(part.column(2).to_numpy(), sizes))], names=["token", "rep", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(flat)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(part.column(2).to_numpy(), sizes))], names=["token", "c", "root"])
 
-    tokens = sets.select("rep", "elements", "root").mapInArrow(run, "token long, rep long, root long")
+    tokens = sets.select("c", "elements", "root").mapInArrow(run, "token long, c long, root long")
     both = tokens.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first < last").select("token")
-    return tokens.join(both, "token", "left_semi").groupBy("rep").agg(F.count("*").alias("c"))
+    return tokens.join(both, "token", "left_semi").groupBy("c").agg(F.count("*").alias("shared"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -227,47 +217,52 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, t, n, root of every row."""
+    """doc_id, t, n, root (the smallest doc_id of the component) and component (its number; none of empty sets) of every row."""
     all_docs = checkpointed(signed(docs, k))
-    classes = checkpointed(
-        all_docs.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("keys").alias("keys"), F.min("chunks").alias("chunks"), F.min("parity").alias("parity"))
-    )  # equal sets have equal signatures, so that any of them will do
-    members = classes.where("rep is not null").select("rep", "n", "s1", "s2", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = checkpointed(members.join(shared, "key"))
-    weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
-    texts = id_and_text(docs).withColumnRenamed("doc_id", "rep").join(weight.select("rep"), "rep", "left_semi")
-    sets = checkpointed(_sets(texts, k).dropDuplicates(["rep"]))
-
-    orders = [F.col("weight"), *(F.xxhash64("rep", F.lit(i)) for i in range(CENTRES - 1))]
-    centres = members.join(weight, "rep").groupBy("key").agg(F.array_distinct(F.array(*(F.max(F.struct(o.alias("o"), F.negative("rep").alias("order"), F.struct("rep", "n", "s1", "s2").alias("m")))["m"] for o in orders))).alias("c"))
+    full = all_docs.where("h1 is not null")
+    # equal sets have equal signatures, so that any of them will do; the number c of a class holds once it is written
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t"))
+    classes = full.groupBy("h1", "h2").agg(least.alias("m"), F.min("n").alias("n"), F.first("chunks").alias("chunks"), F.first("parity").alias("parity"))
+    classes = checkpointed(classes.select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.t").alias("t"), "n", "chunks", "parity", F.monotonically_increasing_id().alias("c")))
+    every = classes.select("c", "n", F.explode(index_keys()).alias("key"))
+    shared = every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = checkpointed(every.join(shared, "key"))
+    weight = members.groupBy("c").agg(F.sum("size").alias("weight"))
+    named = classes.select("c", "h1", "h2", "rep", "t").join(weight.select("c"), "c", "left_semi")
+    texts = id_and_text(docs).withColumn("t", F.xxhash64("text"))
+    texts = texts.join(named.select("rep", F.col("t").alias("u")), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t") == F.col("u")), "left_semi")
+    sets = checkpointed(_sets(texts.select("doc_id", "text"), k).dropDuplicates(["h1", "h2"]).join(named, ["h1", "h2"]).select("c", "elements"))
+
+    orders = [F.col("weight"), *(F.xxhash64("c", F.lit(i)) for i in range(CENTRES - 1))]
+    centres = members.join(weight, "c").groupBy("key").agg(F.array_distinct(F.array(*(F.max(F.struct(o.alias("o"), F.negative("c").alias("order"), F.struct("c", "n").alias("m")))["m"] for o in orders))).alias("m"))
     tried = (
-        members.alias("x").join(centres.select("key", F.explode("c").alias("c")).select("key", "c.*").alias("y"), "key").where((F.col("x.rep") != F.col("y.rep")) & _near("x", "y", percent))
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        members.alias("x").join(centres.select("key", F.explode("m").alias("m")).select("key", "m.*").alias("y"), "key").where((F.col("x.c") != F.col("y.c")) & _alike_in_size("x", "y", percent))
+        .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
     )
-    odd = classes.select("rep", "n", *(F.get("parity", i).alias(f"q{i}") for i in range(PARITY_BITS // 64)))
+    odd = classes.select("c", "n", *(F.get("parity", i).alias(f"q{i}") for i in range(PARITY_BITS // 64)))
     tried = checkpointed(tried)
-    near = tried.join(odd.alias("x"), F.col("a") == F.col("x.rep")).join(odd.alias("y"), F.col("b") == F.col("y.rep")).where(_little_apart("x", "y", percent)).select("a", "b")
+    near = tried.join(odd.alias("x"), F.col("a") == F.col("x.c")).join(odd.alias("y"), F.col("b") == F.col("y.c")).where(_little_apart("x", "y", percent)).select("a", "b")
     stars = checkpointed(_confirmed(near, sets, percent))
 
     merged = components(stars)
-    placed = checkpointed(members.join(merged.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+    placed = checkpointed(members.join(merged.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")))
     centre = placed.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.mode("root").alias("centre")).where("first < last").select("key", "centre")
     open_keys = checkpointed(placed.join(centre, "key"))
-    others = _in_other_components(sets.join(open_keys.select("rep", "root").distinct(), "rep"))
-    chunks = classes.select("rep", *(F.get("chunks", i).alias(f"p{i}") for i in range(CHUNKS)))
-    open_keys = open_keys.join(others, "rep").where(F.col("c") * 100 >= F.col("n") * percent).join(chunks, "rep").join(odd.drop("n"), "rep")
+    others = _in_other_components(sets.join(open_keys.select("c", "root").distinct(), "c"))
+    chunks = classes.select("c", *(F.get("chunks", i).alias(f"p{i}") for i in range(CHUNKS)))
+    open_keys = open_keys.join(others, "c").where(F.col("shared") * 100 >= F.col("n") * percent).join(chunks, "c").join(odd.drop("n"), "c")
     open_keys = checkpointed(open_keys)
-    fits = (F.least("x.c", "y.c") * (100 + percent)) >= ((F.col("x.n") + F.col("y.n")) * percent)
+    fits = (F.least("x.shared", "y.shared") * (100 + percent)) >= ((F.col("x.n") + F.col("y.n")) * percent)
     rest = (
-        open_keys.where("root <> centre").alias("x").join(open_keys.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & fits & _near("x", "y", percent) & _little_apart("x", "y", percent) & _first_met("x", "y"))
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        open_keys.where("root <> centre").alias("x").join(open_keys.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & fits & _alike_in_size("x", "y", percent) & _little_apart("x", "y", percent) & _first_met("x", "y"))
+        .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
     )
     links = stars.unionByName(_confirmed(rest.join(tried, ["a", "b"], "left_anti"), sets, percent))
-    roots = components(links)
-    named = classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
-    found = all_docs.where("h1 is not null").select("doc_id", "t", "n", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "t", "n", "root")
-    alone = all_docs.where("h1 is null").select("doc_id", "t", "n", F.col("doc_id").alias("root"))
+    roots = components(links).withColumnRenamed("node", "c").join(classes.select("c", "rep"), "c")
+    roots = roots.join(roots.groupBy("root").agg(F.min("rep").alias("least")), "root").select("c", "root", "least")
+    names = classes.select("c", "h1", "h2", "rep").join(roots, "c", "left").select("h1", "h2", F.coalesce("root", "c").alias("component"), F.coalesce("least", "rep").alias("root"))
+    found = full.select("doc_id", "t", "n", "h1", "h2").join(names, ["h1", "h2"]).select("doc_id", "t", "n", "root", "component")
+    alone = all_docs.where("h1 is null").select("doc_id", "t", "n", F.col("doc_id").alias("root"), F.lit(None).cast("long").alias("component"))
     return found.unionByName(alone)
 
 
@@ -280,9 +275,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near duplicates, all columns unchanged: the smallest doc_id's; of several texts under it, the one of the
     smallest hash; of rows that repeat both, any one. Rows without words or without a doc_id all stay."""
-    rows = _rooted(docs, k, percent).where("n > 0 and doc_id is not null").groupBy("root", "doc_id", "t").agg(F.count("*").alias("copies"))
+    rows = _rooted(docs, k, percent).where("n > 0 and doc_id is not null").groupBy("component", "doc_id", "t").agg(F.count("*").alias("copies"))
     rows = checkpointed(rows)
-    stay = rows.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("s")).select("s.*")
+    stay = rows.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("s")).select("s.*")
     gone = checkpointed(rows.select("doc_id", "t").join(stay, ["doc_id", "t"], "left_anti"))
     twice = rows.where("copies > 1").select("doc_id", "t").join(stay, ["doc_id", "t"], "left_semi")
     names = docs.columns

@@ -235,14 +235,30 @@ def test_one_row_of_each_group_stays(spark):
     assert ids.count("7") == 1 and "8" not in ids and ids.count("5") == 1 and {"1", "2", "3", "None"} <= set(ids)
 
 
-def test_pairs_within_the_guaranteed_distance_share_a_key():
+def test_one_id_with_several_texts_loses_no_link(spark):
+    """30 ids with two texts each, and a near copy of the second under another id; every text stays once."""
+    rng = np.random.default_rng(8)
+    text = lambda: list(rng.choice([f"w{i}" for i in range(5000)], 60))
+    given = []
+    for i in range(30):
+        a, b = text(), text()
+        given += [(10 * i, " ".join(a)), (10 * i, " ".join(b)), (10 * i + 7, " ".join([*b[:-1], "other"]))]
+    got = minhash.near_duplicates(docs(spark, given), 4, 80).collect()
+    assert all(r["component_id"] == r["doc_id"] // 10 * 10 for r in got) and len(got) == 90
+    left = minhash.deduplicated(docs(spark, given), 4, 80).collect()
+    assert sorted(r["text"] for r in left) == sorted(t for i, t in given if i % 10 == 0)
+
+
+def test_pairs_within_the_guaranteed_distance_share_a_key(spark):
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 16, (200, minhash.SYMBOLS)).astype(np.uint16)
     b = a.copy()
     for row in b:
         at = rng.choice(minhash.SYMBOLS, minhash.CHUNKS * (minhash.ERRORS + 1) - 1, replace=False)
         row[at] += 1
-    assert (minhash.keys(a) == minhash.keys(b)).any(axis=1).all()
+    both = spark.createDataFrame([(x.view(np.int64).tolist(), y.view(np.int64).tolist()) for x, y in zip(a, b)], "a array<long>, b array<long>")
+    keys = lambda c: both.withColumnRenamed(c, "chunks").select(minhash.index_keys().alias("k")).collect()
+    assert all(set(x["k"]) & set(y["k"]) and len(set(x["k"])) == minhash.SYMBOLS for x, y in zip(keys("a"), keys("b"), strict=True))
 
 
 # -- nearest neighbours
