@@ -6,7 +6,12 @@ hashes over all chunks and answers each chunk with the entries that a smaller do
 that a third of all documents share costs one entry a chunk, never a group of all its occurrences; texts move once (compressed), hashes
 once, answers are small. The covered windows merge into maximal removal intervals.
 
-A window is told from another by its 64-bit hash and, independently mixed, its bucket.
+Two rolling hashes with their own word hashes and bases tell windows apart. A chunk compares all 128 bits; between chunks travel 64 bits of the first and 16 of the
+second, whose other bits choose the bucket: 80 bits and the logarithm of the number of buckets, which grows with the input.
+Among 10^13 windows, in 2^24 buckets, one pair by chance is expected in 4 * 10^5 such corpora.
+
+Chunks and buckets hold a constant amount of data each, whatever the input. A blob shrinks as the number of buckets grows, down to one window of
+26 bytes and about as much again for its row, three times what a window costs in a large blob.
 
 Edge cases: null and empty texts have no words and keep nothing (the digest of the empty string); a text of fewer words
 than a window loses nothing, and a window repeated within one document alone stays; rows repeated with one doc_id are not
@@ -26,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
-from .words import U, hashes, mix, parts, windows
+from .words import SECOND, U, parts, two_hashes, windows
 
 _NULL_ID = np.iinfo(np.int64).min
-_CHUNK_BYTES, _BUCKET_BYTES = 6 << 20, 6 << 20
+_PART_BYTES = 4 << 20
+_LOW = U((1 << 48) - 1)
 
 
 def _packed(docs: DataFrame, chunks: int) -> DataFrame:
@@ -57,57 +63,80 @@ class _Chunk:
         inflate = zstandard.ZstdDecompressor().decompress
         self.words: list[list[bytes] | None] = []
         self.counts: list[int] = []
-        each = []
+        first, second = [], []
         for i in self.order:
             words = inflate(packed[int(i)].as_py(), max_output_size=(1 << 31) - 1).split()
-            each.append(windows(hashes(words), k))
+            one, two = two_hashes(words)
+            first.append(windows(one, k))
+            second.append(windows(two, k, SECOND))
             self.counts.append(len(words))
             self.words.append(words if keep_words else None)
-        self.sizes = np.array([len(x) for x in each], np.int64)
-        all_windows = np.concatenate(each) if each else np.empty(0, U)
-        #: distinct hashes, the first place of each (so the smallest doc_id), and of each place its distinct hash
-        self.distinct, self.first, self.inverse = np.unique(all_windows, return_index=True, return_inverse=True)
+        self.sizes = np.array([len(x) for x in first], np.int64)
+        one, two = (np.concatenate(x) if x else np.empty(0, U) for x in (first, second))
+        order, starts = _grouped(one, two)
+        #: of each place its distinct window; of each distinct window its first place (so the smallest doc_id) and hashes
+        self.inverse = np.empty(len(order), np.int64)
+        self.inverse[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+        self.first = order[starts]
+        self.one, self.two = one[self.first], two[self.first]
         self.owner = np.repeat(self.ids[self.order], self.sizes)
-        bucket = (mix(self.distinct ^ U(0xD6E8FEB86659FD93)) % U(buckets)).astype(np.int64)
+        bucket = ((self.two & _LOW) % U(buckets)).astype(np.int64)
         self.by_bucket = np.lexsort((self.first, bucket))
         self.edges = np.searchsorted(bucket[self.by_bucket], np.arange(buckets + 1))
 
 
+def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs stand together, each by ascending place, and where each distinct pair starts in it."""
+    order = np.argsort(one, kind="stable")
+    a, b = one[order], two[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # equal first hashes of different windows
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        same = a[1:] == a[:-1]
+    return order, np.flatnonzero(np.r_[np.ones(min(1, len(a)), bool), ~(same & (b[1:] == b[:-1]))])
+
+
 def _send(k: int, buckets: int):
+    """For each bucket a blob: the number of owners, the owners, the number of each one's windows, and the windows' two hashes."""
+
     def run(table: pa.Table) -> pa.Table:
         c = _Chunk(table, k, buckets, False)
-        chunk, rows = table.column("chunk")[0].as_py(), []
-        for b in range(buckets):
+        chunk, rows, short = table.column("chunk")[0].as_py(), [], (c.two >> U(48)).astype(np.uint16)
+        for b in np.flatnonzero(np.diff(c.edges)).tolist():
             at = c.by_bucket[c.edges[b] : c.edges[b + 1]]
-            if len(at):
-                owners = c.owner[c.first[at]]
-                starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
-                rows.append((b, chunk, owners[starts].tobytes(), np.diff(np.r_[starts, len(at)]).astype(np.uint32).tobytes(), c.distinct[at].tobytes()))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _SENT.types, strict=True)], schema=_SENT)
+            owners = c.owner[c.first[at]]
+            starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+            runs = np.diff(np.r_[starts, len(at)]).astype(np.uint32)
+            rows.append((b, chunk, np.uint32(len(starts)).tobytes() + owners[starts].tobytes() + runs.tobytes() + c.one[at].tobytes() + short[at].tobytes()))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, _SENT.types, strict=True)], schema=_SENT)
 
     return run
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("owners", pa.binary()), ("runs", pa.binary()), ("hashes", pa.binary())])
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of a blob the owner and the two hashes."""
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    owners, runs = np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, np.uint32, n, 4 + 8 * n)
+    total, at = int(runs.sum()), 4 + 12 * n
+    return np.repeat(owners, runs), np.frombuffer(blob, U, total, at), np.frombuffer(blob, np.uint16, total, at + 8 * total)
+
+
+_SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("blob", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("places", pa.binary())])
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For each chunk the places in its blob whose hash a smaller doc_id of another chunk has."""
-    col = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-    hs, owners, runs = col("hashes", U), col("owners", np.int64), col("runs", np.uint32)
-    h = np.concatenate(hs)
-    d = np.concatenate([np.repeat(o, r) for o, r in zip(owners, runs, strict=True)])
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    """For each chunk the places in its blob whose window a smaller doc_id of another chunk has."""
+    owners, one, two = zip(*(_unpacked(x.as_py()) for x in table.column("blob")), strict=True)
+    edges, d = np.cumsum([0, *map(len, one)]), np.concatenate(owners)
+    order, starts = _grouped(np.concatenate(one), np.concatenate(two))
     least = np.minimum.reduceat(d[order], starts)
     later = np.empty(len(d), bool)
-    later[order] = np.repeat(least, np.diff(np.r_[starts, len(h)])) < d[order]
-    bucket, rows, at = table.column("bucket")[0].as_py(), [], 0
-    for chunk, x in zip(table.column("chunk").to_pylist(), hs, strict=True):
-        places = np.flatnonzero(later[at : at + len(x)])
-        at += len(x)
+    later[order] = np.repeat(least, np.diff(np.r_[starts, len(order)])) < d[order]
+    bucket, rows = table.column("bucket")[0].as_py(), []
+    for chunk, a, b in zip(table.column("chunk").to_pylist(), edges, edges[1:]):
+        places = np.flatnonzero(later[a:b])
         if len(places):
             rows.append((chunk, bucket, places.astype(np.uint32).tobytes()))
     return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, _ANSWER.types, strict=True)], schema=_ANSWER)
@@ -127,10 +156,10 @@ def _remove(k: int, buckets: int):
         if not table.num_rows:
             return _DONE.empty_table()
         c = _Chunk(table, k, buckets, True)
-        later = np.zeros(len(c.distinct), bool)
+        later = np.zeros(len(c.first), bool)
         for b, places in zip(answers.column("bucket").to_pylist(), answers.column("places").to_pylist(), strict=True):
             later[c.by_bucket[c.edges[b] : c.edges[b + 1]][np.frombuffer(places, np.uint32)]] = True
-        flagged = (later | False)[c.inverse] | (c.owner[c.first][c.inverse] < c.owner) if len(c.inverse) else np.zeros(0, bool)
+        flagged = later[c.inverse] | (c.owner[c.first][c.inverse] < c.owner) if len(c.inverse) else np.zeros(0, bool)
         rows, at = [], 0
         for i, words, n, size in zip(c.ids[c.order].tolist(), c.words, c.counts, c.sizes.tolist(), strict=True):
             cuts = _intervals(flagged[at : at + size], k)
@@ -151,9 +180,8 @@ _DONE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed"
 
 def removals(docs: DataFrame, k: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, removed (intervals of word numbers, ends exclusive) of every row."""
-    chunks = parts(docs.select("doc_id", "text"), _CHUNK_BYTES)
-    buckets = parts(docs.select("doc_id", "text"), _BUCKET_BYTES)
+    chunks = buckets = parts(docs.select("doc_id", "text"), _PART_BYTES)
     packed = _packed(docs, chunks)
-    sent = packed.groupBy("chunk").applyInArrow(_send(k, buckets), "bucket int, chunk int, owners binary, runs binary, hashes binary")
+    sent = packed.groupBy("chunk").applyInArrow(_send(k, buckets), "bucket int, chunk int, blob binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, places binary")
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(k, buckets), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: long, end: long>>")

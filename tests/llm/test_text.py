@@ -499,6 +499,27 @@ def test_removals_against_brute_force(spark, rows):
         assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == removed_by_force(given)
 
 
+def test_windows_of_equal_first_hash_are_told_apart(monkeypatch):
+    """Every first hash collides; chunks and buckets by hand, as the workers run them."""
+    import pyarrow as pa
+    import zstandard
+
+    real = substring_dedup.windows
+    monkeypatch.setattr(substring_dedup, "windows", lambda h, k, *base: real(h, k, *base) * np.uint64(bool(base)))
+    rng = np.random.default_rng(5)
+    given = [(i, " ".join(rng.choice([f"w{j}" for j in range(300)], 60))) for i in range(8)]
+    given += [(20 + i, f"a{i} " + given[i][1][:150] + f" b{i}") for i in range(4)] + [(30, given[0][1])]
+    press, buckets = zstandard.ZstdCompressor().compress, 3
+    chunks = [pa.table({"chunk": pa.array([n] * len(x), pa.int32()), "doc_id": [i for i, _ in x], "packed": [press(t.encode()) for _, t in x]}) for n, x in enumerate((given[::2], given[1::2]))]
+    sent = pa.concat_tables([substring_dedup._send(13, buckets)(c) for c in chunks])
+    answers = pa.concat_tables([substring_dedup._answer(sent.filter(pa.array([b == n for b in sent.column("bucket").to_pylist()]))) for n in sorted(set(sent.column("bucket").to_pylist()))])
+    got = []
+    for n, c in enumerate(chunks):
+        own = answers.filter(pa.array([x == n for x in answers.column("chunk").to_pylist()], pa.bool_()))
+        got += [(str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup._remove(13, buckets)(c, own).to_pylist()]
+    assert sorted(got) == removed_by_force(given)
+
+
 # -- pages
 
 
