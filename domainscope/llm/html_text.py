@@ -1,15 +1,20 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a DOM. Nodes that never hold article text (scripts, styles, forms, navigation, footers, asides,
-page headers, hidden elements, and blocks whose role, class or id names an advert, navigation or comment section) are set
-aside. Classes and ids that articles have too, such as related or notice, count only where half of the text is in links or
-an element has under SPARSE characters, and not in headings. For each node left, with C characters, T tags, LC characters in links and LT link tags below it,
+A page is parsed into a DOM. Elements that never hold article text (scripts, styles, forms, navigation, footers, asides,
+page headers, hidden elements and those of such a role) are set aside. For each node left, with C characters, T tags, LC characters
+in links and LT link tags below it, and with LCb and Cb those of body,
 
-    density = C / T * log(C * T / (LC * LT)) / log(ln(C / (C - LC) * LC + LC_body / C_body * C + e))
+    density = C / T * log(C * T / (LC * LT)) / log(ln(C / (C - LC) * LC + LCb / Cb * C + e))
 
-with empty counts read as 1. The density sum of a node is the sum over its children. The node of the largest sum
-gives, along its path up to body, a threshold: the least density met there. The subtree of the largest sum among the nodes that reach
-the threshold is selected; an article or main element around it is taken whole. Ties go to the outer, earlier node.
+with empty counts read as 1, so that no logarithm has a pole. The density sum of a block is the sum over the blocks below it (inline elements are
+looked through) and its own text; the node of the largest sum is taken, ties going to the outer, earlier node. Its path up to body gives a
+threshold: while the node above reaches SHARE of the least density met so far, the selection grows to it; an article or main element
+around it is taken whole, as an article's short blocks and lists belong to it whatever their density.
+
+Classes and ids only lower scores. A block named as an advert, navigation or comment section counts LOWERED of its density, with all it holds, and so does
+one of a doubtful name, which articles have too (related, notice ...), if half of its text is in links or an element has under SPARSE characters.
+Within the selection such blocks are left out, except those around its main part, which is found by going down to where most of the text is, counted by
+these scores: whatever a wrapper is called, the selected text stays.
 
 Text: character references decoded, white space within a block turned into one space, blocks trimmed and joined in
 page order by one line feed. Edge cases: null or empty html, or one with no text, gives an empty string; broken,
@@ -46,8 +51,9 @@ _NAMES = re.compile(
 )
 _DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:banner|promo\w*|menu|consent|notice|subscribe|modal|share|sharing|social|related|recommended|respond|replies|widget)(?:$|[\s_-])", re.I)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: Characters to an element below which a block of a doubtful name is no text.
-SPARSE = 20
+#: Characters to an element below which a block of a doubtful name is no text; what is left of the density of blocks by their name; the
+#: share of the least density on the path so far that the node above needs.
+SPARSE, LOWERED, SHARE = 20, 0.1, 0.7
 _ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<decl>[!?/](?![a-zA-Z])[^>]*)(?:>|\Z)|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?P<cut>\Z)))", re.S)
 _ATTR = re.compile(r"""([^\s/=][^\s/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
@@ -55,12 +61,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "doubt", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "kids", "drop", "doubt", "low", "own", "counts", "density", "sum", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, doubt: bool = False):
-        self.tag, self.parent, self.drop, self.doubt, self.kids = tag, parent, drop, doubt, []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.sum = 0.0
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, low: bool = False, doubt: bool = False):
+        self.tag, self.parent, self.drop, self.low, self.doubt, self.kids = tag, parent, drop, low, doubt, []
+        #: characters, tags, characters in links, link tags: of all below, and without what is in blocks below
+        self.counts, self.own = [0, 0, 0, 0], [0, 0, 0, 0]
+        self.density = self.sum = self.weight = 0.0
 
 
 def _attributes(attrs: str) -> dict[str, str]:
@@ -72,28 +79,29 @@ def _attributes(attrs: str) -> dict[str, str]:
     return found
 
 
-def _dropped(tag: str, attrs: str, inside: Node) -> tuple[bool, bool]:
-    """Whether an element never holds article text; and whether it doesn't if its text is sparse or in links."""
+def _judged(tag: str, attrs: str, inside: Node) -> tuple[bool, bool, bool]:
+    """Whether an element never holds article text; whether its name lowers its score; and whether it does if its text is sparse or in links."""
     if tag in _DROP:
-        return True, False
+        return True, False, False
     if tag == "header":
         while inside is not None:
             if inside.tag in ("article", "main"):
-                return False, False
+                return False, False, False
             inside = inside.parent
-        return True, False
+        return True, False, False
     if tag in ("html", "body", "article", "main") or not attrs:
-        return False, False
+        return False, False, False
     has = _attributes(attrs)
     names = has.get("class", ""), has.get("id", "")
     hidden = "hidden" in has and has["hidden"].lower() != "until-found"
-    drop = hidden or has.get("role", "").strip().lower() in _ROLES or any(map(_NAMES.search, names))
-    return drop, not drop and tag not in _HEADINGS and any(map(_DOUBTFUL.search, names))
+    drop = hidden or has.get("role", "").strip().lower() in _ROLES
+    low = any(map(_NAMES.search, names))
+    return drop, low, not low and tag not in _HEADINGS and any(map(_DOUBTFUL.search, names))
 
 
 def parse(html: str) -> Node:
     """The DOM as a tree of nodes whose kids are nodes and strings, in page order."""
-    root = Node("#root", None, False)
+    root = Node("#root", None)
     here, at, n = root, 0, len(html)
     while at < n:
         lt = html.find("<", at)
@@ -129,7 +137,7 @@ def parse(html: str) -> Node:
                     x = x.parent
                 if x.tag == "p":
                     here = x.parent
-            node = Node(tag, here, *_dropped(tag, m["attrs"], here))
+            node = Node(tag, here, *_judged(tag, m["attrs"], here))
             here.kids.append(node)
             if tag in _RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -160,57 +168,75 @@ def _kept(root: Node) -> list[Node]:
     return order
 
 
-def _measure(root: Node) -> list[Node]:
-    """The nodes that are kept, in page order, with their counts and densities."""
+def _is_block(node: Node) -> bool:
+    return node.tag in _BLOCK or node.tag in ("#root", "html")
+
+
+def composite(counts: list[int], share: float) -> float:
+    """The density of characters, tags, characters in links and link tags; share: of body's characters, those in links."""
+    c, t, lc, lt = (max(x, 1) for x in counts)
+    return c / t * math.log(c * t / (lc * lt)) / math.log(math.log(c / max(c - lc, 1) * lc + share * c + math.e)) if counts[0] else 0.0
+
+
+def _measure(root: Node) -> tuple[list[Node], Node]:
+    """The nodes that are kept, in page order, with their counts, densities and sums; and the body."""
     order = _kept(root)
     for node in reversed(order):
-        node.chars += sum(len(_SPACE.sub(" ", unescape(k)).strip()) for k in node.kids if isinstance(k, str))
-        if node.tag == "a":
-            node.link_chars = node.chars
-        if node.doubt and (2 * node.link_chars >= node.chars or node.chars < SPARSE * (1 + node.tags)):
-            node.drop = True
-        elif (up := node.parent) is not None:
-            up.chars += node.chars
-            up.tags += 1 + node.tags
-            up.link_chars += node.link_chars
-            up.link_tags += node.link_tags + (node.tag == "a")
-    order = _kept(root)
+        chars = sum(len(_SPACE.sub(" ", unescape(k)).strip()) for k in node.kids if isinstance(k, str))
+        for counts in (node.counts, node.own):
+            counts[0] += chars
+            if node.tag == "a":
+                counts[2] = counts[0]
+        if (up := node.parent) is not None:
+            for k in range(4):
+                up.counts[k] += node.counts[k] + (k == 1 or k == 3 and node.tag == "a")
+                if not _is_block(node):
+                    up.own[k] += node.own[k] + (k == 1 or k == 3 and node.tag == "a")
+        if node.doubt:
+            node.low = 2 * node.counts[2] >= node.counts[0] or node.counts[0] < SPARSE * (1 + node.counts[1])
     body = next((x for x in order if x.tag == "body"), root)
-    share = body.link_chars / max(body.chars, 1)
+    share = max(body.counts[2], 1) / max(body.counts[0], 1)
+    lowered: dict[int, float] = {}
     for node in order:
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
-        if c:
-            inner = c / max(c - lc, 1) * lc + share * c + math.e
-            node.density = c / t * max(math.log(max(c * t / (max(lc, 1) * max(lt, 1)), 1.0 + 1e-9)) / max(math.log(math.log(inner) + 1e-9 + (math.e - 1)), 1e-9), 0.0)
-    for node in order:
-        node.sum = sum(k.density for k in node.kids if isinstance(k, Node) and not k.drop)
-    return order
-
-
-def _select(root: Node) -> Node:
-    order = _measure(root)
-    body = next((x for x in order if x.tag == "body"), root)
-    within = order if body is root else [x for x in order if x.tag not in ("#root", "html")]
-    best = max(within, key=lambda x: x.sum, default=body)
-    threshold, x = best.density, best
-    while x is not None and x is not body:
-        threshold, x = min(threshold, x.density), x.parent
-    threshold = min(threshold, body.density)
-    best = max((x for x in within if x.density >= threshold), key=lambda x: x.sum, default=best)
-    if not best.sum:
-        best = body
-    outer, x = best, best
+        score = LOWERED if node.low else lowered.get(id(node.parent), 1.0)
+        lowered[id(node)] = score
+        node.density = score * composite(node.counts, share)
+        node.weight += score * node.own[0] if _is_block(node) else 0.0
+        node.sum += score * composite(node.own, share) if _is_block(node) else 0.0
+    for node in reversed(order):
+        if (up := node.parent) is not None:
+            up.weight += node.weight
+            up.sum += node.density if _is_block(node) else node.sum
+    return order, body
+
+
+def _select(root: Node) -> tuple[Node, set[int]]:
+    """The selected node, and the blocks around its main part."""
+    order, body = _measure(root)
+    within = [x for x in order if _is_block(x) and (body is root or x.tag not in ("#root", "html"))]
+    top = max(within, key=lambda x: x.sum, default=body)
+    if not top.sum:
+        top = body
+    least, x = top.density, top.parent
+    while top is not body and x is not None and x is not body and x.density >= SHARE * least:
+        least = min(least, x.density) if _is_block(x) else least
+        top, x = x, x.parent
+    outer, x = top, top
     while x is not None:
         if x.tag in ("article", "main"):
             outer = x
         x = x.parent
-    return outer
+    around, x = {id(outer)}, outer
+    while (kids := [k for k in x.kids if isinstance(k, Node) and not k.drop and k.weight > 0]):
+        x = max(kids, key=lambda k: k.weight)
+        around.add(id(x))
+    return outer, around
 
 
 def extract(html: str | None) -> str:
     if not html:
         return ""
-    top = _select(parse(html))
+    top, around = _select(parse(html))
     blocks: list[str] = []
     run: list[str] = []
 
@@ -227,7 +253,7 @@ def extract(html: str | None) -> str:
             run.append(unescape(k))
         elif k is None:
             end()
-        elif not k.drop or k is top:
+        elif not k.drop and not k.low or id(k) in around:
             if k.tag in _BLOCK:
                 end()
                 stack.append(None)

@@ -547,10 +547,82 @@ def test_attributes_that_hide(block):
     assert html_text.extract(f"<html><body><article><p>{text}</p>{block}<p>{text}</p><h2 id='related-work'>Related work</h2></article></body></html>") == f"{text}\n{text}\nRelated work"
 
 
+@pytest.mark.parametrize("page", ["<div class='content has-sidebar'><p>{}</p></div>", "<div class='no-sidebar'><p>{}</p></div>", "<div class='related-posts-page'><article><p>{}</p></article></div>", "<section id=comments><div class=comment><p>{}</p></div></section>"])
+def test_a_wrapper_stays_whatever_its_name(page):
+    assert html_text.extract(f"<html><body>{page}</body></html>".format("Real article text here.")) == "Real article text here."
+
+
+@pytest.mark.parametrize("noise", ["<div class='comments'><p>" + "A reader says so. " * 40 + "</p></div>", "<div id='sidebar'><p>" + "Text beside it. " * 40 + "</p></div>", "<ul>" + "<li><a href='/x'>Another page of this site</a></li>" * 30 + "</ul>"])
+def test_pages_without_an_article_element(noise):
+    parts = [f"Paragraph {i} of the text, which is long enough to be dense as the others are." for i in range(6)]
+    text = "<h1>Head</h1>" + "".join(f"<p>{x}</p>" for x in parts[:3]) + "<div>" + "".join(f"<p>{x}</p>" for x in parts[3:]) + "</div>"
+    assert html_text.extract(f"<html><body><div id=top><a href='/'>Home</a></div><div id=page>{text}</div>{noise}</body></html>") == "\n".join(["Head", *parts])
+
+
+def random_dom(rng, depth=0):
+    """A tree of (tag, kids), whose kids are trees and texts, of tags that need no repair."""
+    tag = "div" if depth == 0 else str(rng.choice(["div", "section", "ul", "b", "a", "span"]))
+    inline = tag in ("b", "a", "span")
+    kids = []
+    for _ in range(rng.integers(1, 5)):
+        if depth < 5 and not inline and rng.random() < 0.6:
+            kids.append(random_dom(rng, depth + 1))
+        else:
+            kids.append(" ".join(rng.choice(["so", "many", "words", "stand", "here"], rng.integers(1, 15))))
+    return tag, kids
+
+
+def counts_by_force(node, blocks=True):
+    """Characters, tags, characters in links, link tags below; without blocks: not those of blocks."""
+    c = t = lc = lt = 0
+    for kid in node[1]:
+        if isinstance(kid, str):
+            c += len(kid)
+        elif blocks or kid[0] in ("b", "a", "span"):
+            x = counts_by_force(kid, blocks)
+            c, t, lc, lt = c + x[0], t + x[1] + 1, lc + (x[0] if kid[0] == "a" else x[2]), lt + x[3] + (kid[0] == "a")
+    return c, t, c if node[0] == "a" else lc, lt
+
+
+def density_by_force(counts, body):
+    c, t, lc, lt = (max(x, 1) for x in counts)
+    if not counts[0]:
+        return 0
+    base = np.log(c / max(1, c - lc) * lc + max(body[2], 1) / max(body[0], 1) * c + np.e)
+    return c / t * np.log(c / lc * t / lt) / np.log(base)
+
+
+def test_density_against_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        tree = ("body", [random_dom(rng) for _ in range(rng.integers(1, 4))])
+        html = lambda n: n if isinstance(n, str) else f"<{n[0]}>" + "".join(map(html, n[1])) + f"</{n[0]}>"  # noqa: E731, B023
+        body, nodes = counts_by_force(tree), []
+
+        def visit(n):
+            inline = n[0] in ("b", "a", "span")
+            below = [visit(k) for k in n[1] if not isinstance(k, str)]
+            total = sum(d if block else s for block, d, s in below)
+            d = density_by_force(counts_by_force(n), body)  # noqa: B023
+            if not inline:
+                total += density_by_force(counts_by_force(n, False), body)  # noqa: B023
+                nodes.append((n, d, total))  # noqa: B023
+            return not inline, d, total
+
+        visit(tree)
+        order, _ = html_text._measure(html_text.parse("<html>" + html(tree) + "</html>"))
+        got = [x for x in order if x.tag in ("body", "div", "section", "ul")]
+        assert sorted((x.tag, round(x.density, 6), round(x.sum, 6)) for x in got) == sorted((n[0], round(float(d), 6), round(float(t), 6)) for n, d, t in nodes)
+        best = max(got, key=lambda x: x.sum)
+        assert abs(best.sum - max(t for _, _, t in nodes)) < 1e-6
+
+
 def test_odd_pages(spark):
-    given = [(1, "u", None), (2, "u", ""), (3, None, "plain text only"), (4, "u", "<p>one<p>two"), (5, "u", "<div>" * 5000 + "<p>deep text here</p>"), (6, "u", "<p>cut <a href='x"), (7, "u", "<script>only</script>")]
+    given = [(1, "u", None), (2, "u", ""), (3, None, "plain text only"), (4, "u", "<p>one<p>two"), (5, "u", "<div>" * 5000 + "<p>deep text here</p>"), (6, "u", "<p>cut <a href='x"), (7, "u", "<script>only</script>"), (8, "u", "<p>" + "long text " * 300_000 + "</p>"), (9, "u", PAGE), (9, "u", PAGE)]
     df = spark.createDataFrame(given, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = {r["page_id"]: r for r in html_text.main_text(df).collect()}
+    found = html_text.main_text(df).collect()
+    got = {r["page_id"]: r for r in found}
+    assert sum(r["text"] == html_text.extract(PAGE) for r in found if r["page_id"] == 9) == 2 and got[8]["n_chars"] == 2_999_999
     assert [got[i]["text"] for i in (1, 2, 3, 4, 7)] == ["", "", "plain text only", "one\ntwo", ""]
     assert got[5]["text"] == "deep text here" and got[6]["text"] == "cut"
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
