@@ -53,6 +53,11 @@ def kept(key: tuple, make: Callable[[], object]):
     return _kept[key]
 
 
+def release() -> None:
+    """Drops what ``kept`` holds in this worker, for an operator that keeps nothing itself."""
+    _kept.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hinted, id_and_text
+from .common import checkpointed, hinted, id_and_text, release
 from .words import U, hashes, mix, windows
 
 SYMBOLS, CHUNKS, ERRORS, CENTRES = 40, 10, 1, 3
@@ -106,6 +106,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([ids, t, n, *cols], _SIGNED.types, strict=True)], schema=_SIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             at = 0
@@ -121,16 +122,16 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """h1, h2, elements: the sets (of docs' second column) as packed ascending 64-bit hashes, with their digests."""
+    """h1, h2, elements: the sets (of docs' second column) as ascending 64-bit hashes, with their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                sets = [shingles(t.encode(), k) for t in b.column(1).slice(at, 500).to_pylist()]
+            for at in range(0, b.num_rows, 200):
+                sets = [shingles(t.encode(), k).view(np.int64) for t in b.column(1).slice(at, 200).to_pylist()]
                 h1, h2 = zip(*map(_digest, sets), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([x.tobytes() for x in sets], pa.binary())], names=["h1", "h2", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(sets, pa.list_(pa.int64()))], names=["h1", "h2", "elements"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, elements binary")
+    return docs.mapInArrow(run, "h1 long, h2 long, elements array<long>")
 
 
 def _alike_in_size(a: str, b: str, percent: int) -> Column:
@@ -162,34 +163,14 @@ def _first_met(a: str, b: str) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("elements").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    return joined.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
 
 def _in_other_components(sets: DataFrame) -> DataFrame:
     """c, shared: how many shingles of each set (c, elements, root) are in a set with another root, too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                flat = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-                sizes = np.array([len(x) for x in flat])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(flat)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(part.column(2).to_numpy(), sizes))], names=["token", "c", "root"])
-
-    tokens = sets.select("c", "elements", "root").mapInArrow(run, "token long, c long, root long")
+    tokens = sets.select("c", "root", F.explode("elements").alias("token"))
     both = tokens.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first < last").select("token")
     return tokens.join(both, "token", "left_semi").groupBy("c").agg(F.count("*").alias("shared"))
 
