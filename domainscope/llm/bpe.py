@@ -4,8 +4,12 @@ Pieces are cut by a pre-tokenisation pattern; inside a piece the adjacent pair o
 leftmost of equals. The queue has one bucket for each merge rank; a three-level bitmap over the ranks gives the next
 rank by find-first-set. Buckets hold positions of a doubly linked list of parts. An entry whose part is gone or whose
 pair has another rank by now is stale and skipped, so nothing is ever deleted from the middle of a bucket. A piece of
-n bytes takes O(n log n) steps whatever its length, so a single run of a million letters is no special case. Pieces of
-at most 32 bytes skip the queue: a scan over so few pairs gives the same merges for less than the queue's fixed cost.
+n bytes takes O(n log n) steps whatever its length, so a single run of a million letters is no special case.
+
+One queue serves many pieces: the pieces of a group of texts that aren't remembered lie behind one another, with a barrier
+after each that no pair reaches over. Merges in different pieces don't touch, so that the lowest rank of all is the lowest of its
+piece, too, and a rank's bits are set and found once for all pieces. Texts are read GROUP characters at a time or so; what is
+held beside a text and its ids doesn't grow with either.
 
 Edge cases: null text is empty; an empty text gives no ids, the digest of the empty string, and decodes to b"".
 Repeated rows each get their own result; an empty table gives an empty result; other columns are ignored.
@@ -16,8 +20,9 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from heapq import heappop, heappush
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,7 +31,7 @@ from .common import file_bytes, id_and_text, kept, map_rows
 
 
 class RankQueue:
-    """Positions by merge rank; pop() returns the leftmost position of the lowest rank."""
+    """Buckets of positions by merge rank, and a bitmap of three levels over the ranks whose bucket is open."""
 
     def __init__(self, ranks: int):
         self.low = [0] * ((ranks >> 6) + 1)
@@ -34,50 +39,42 @@ class RankQueue:
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
+    def open(self, rank: int, positions: list[int]) -> None:
+        self.buckets[rank] = positions
+        self.low[rank >> 6] |= 1 << (rank & 63)
+        self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
+        self.top |= 1 << (rank >> 12)
+
+    def take(self) -> tuple[int, list[int]]:
+        """The lowest open rank and its bucket, which is closed."""
         a = (self.top & -self.top).bit_length() - 1
         word = self.mid[a]
         b = (a << 6) + (word & -word).bit_length() - 1
         word = self.low[b]
         rank = (b << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= self.low[b] - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, position
+        self.low[b] = word & (word - 1)
+        if not self.low[b]:
+            self.mid[a] &= self.mid[a] - 1
+            if not self.mid[a]:
+                self.top &= self.top - 1
+        return rank, self.buckets.pop(rank)
 
 
 class ByteBpe:
     """ranks: token bytes to id, where the id is the merge rank. pattern cuts a text into pieces."""
 
-    #: Pieces up to so many characters are remembered, at most KEEP of them; the memory is emptied when full.
+    #: Pieces up to so many characters are remembered, about KEEP of them; when there are more, those of the last group.
     SHORT, KEEP = 24, 300_000
-    #: Pieces of up to so many bytes are merged without the queue.
-    FEW = 32
+    #: Characters of the texts that are encoded together.
+    GROUP = 1 << 20
+    _NONE, _BARRIER = -1, -2
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.find = regex.compile(pattern).findall
-        self.none = max(ranks.values()) + 1
-        self.queue = RankQueue(self.none)
+        self.pattern = regex.compile(pattern)
+        self.queue = RankQueue(max(ranks.values()) + 1)
         self.tokens = {i: t for t, i in ranks.items()}
+        self.two = np.array([ranks.get(bytes((a, b)), self._NONE) for a in range(256) for b in range(256)], np.int32)
         self.known: dict[str, tuple[int, ...]] = {}
 
     @classmethod
@@ -85,75 +82,126 @@ class ByteBpe:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
         return cls(ranks, pattern)
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
-        return self.scan(piece) if len(piece) <= self.FEW else self.merge(piece)
-
-    def scan(self, piece: bytes) -> list[int]:
-        """The same merges for a handful of bytes, where looking through all pairs is cheaper than any queue."""
-        get, none = self.ranks.get, self.none
-        at = list(range(len(piece) + 1))
-        now = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
-        while now and (r := min(now)) != none:
-            i = now.index(r)
-            del at[i + 1], now[i]
-            if i < len(now):
-                now[i] = get(piece[at[i] : at[i + 2]], none)
-            if i:
-                now[i - 1] = get(piece[at[i - 1] : at[i + 1]], none)
-        ranks = self.ranks
-        return [ranks[piece[a:b]] for a, b in zip(at, at[1:])]
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Merges by the rank queue, in O(n log n) whatever the length."""
-        get = self.ranks.get
-        n, queue = len(piece), self.queue
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        now = [-1] * n  # the rank of the pair that starts here; -1: none, or the part is gone
-        for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                now[i] = r
-                queue.push(r, i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
-            if now[i] != rank:
-                continue
-            j = after[i]
-            k = after[j]
-            now[j] = -1
-            after[i] = k
-            if k < n:
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each piece, by one queue for all of them."""
+        data = b"\0".join(pieces) + b"\0"
+        barriers = np.cumsum([len(p) + 1 for p in pieces]) - 1
+        byte = np.frombuffer(data, np.uint8).astype(np.int32)
+        pair = np.full(len(data), self._NONE, np.int32)
+        pair[:-1] = self.two[(byte[:-1] << 8) | byte[1:]]
+        pair[barriers - 1] = self._NONE
+        pair[barriers] = self._BARRIER
+        now = pair.tolist()  # the rank of the pair that starts here
+        after, before = list(range(1, len(data) + 1)), list(range(-1, len(data) - 1))
+        queue, ranks, none, barrier = self.queue, self.ranks, self._NONE, self._BARRIER
+        buckets, rank_of = queue.buckets, ranks.get
+        order = np.argsort(pair, kind="stable")[np.count_nonzero(pair < 0) :]
+        if len(order):
+            sorted_ranks = pair[order]
+            starts = np.flatnonzero(np.r_[True, sorted_ranks[1:] != sorted_ranks[:-1]])
+            for r, positions in zip(sorted_ranks[starts].tolist(), np.split(order, starts[1:]), strict=True):
+                queue.open(r, positions.tolist())
+        while queue.top:
+            rank, bucket = queue.take()
+            bucket.sort()
+            for n, i in enumerate(bucket):
+                if now[i] != rank:
+                    continue
+                j = after[i]
+                k = after[j]
+                now[j] = none
+                after[i] = k
                 before[k] = i
-                r = get(piece[i : after[k]])
-                now[i] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, i)
+                lowest = rank
+                if now[k] != barrier:
+                    r = now[i] = rank_of(data[i : after[k]], none)
+                    if r >= 0:
+                        if (b := buckets.get(r)) is not None:
+                            b.append(i)
+                        else:
+                            queue.open(r, [i])
+                        lowest = r
+                else:
+                    now[i] = none
+                h = before[i]
+                if h >= 0 and now[h] != barrier:
+                    r = now[h] = rank_of(data[h:k], none)
+                    if r >= 0:
+                        if (b := buckets.get(r)) is not None:
+                            b.append(h)
+                        else:
+                            queue.open(r, [h])
+                        if r < lowest:
+                            lowest = r
+                if lowest < rank:  # a vocabulary in which a longer token has a lower rank: that one is first
+                    if rest := bucket[n + 1 :]:
+                        queue.open(rank, rest)
+                    break
+        out, i = [], 0
+        for end in barriers.tolist():
+            ids = []
+            while i < end:
+                k = after[i]
+                ids.append(ranks[data[i:k]])
+                i = k
+            out.append(tuple(ids))
+            i = end + 1
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        """Has the ids of all these pieces in ``known``."""
+        new = [(p, p.encode("utf-8", "surrogatepass")) for p in pieces - self.known.keys()]
+        queued = []
+        for p, b in new:
+            if (whole := self.ranks.get(b)) is not None:
+                self.known[p] = (whole,)
             else:
-                now[i] = -1
-            if (h := before[i]) >= 0:
-                r = get(piece[h:k])
-                now[h] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, h)
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
+                queued.append((p, b))
+        if queued:
+            self.known.update(zip((p for p, _ in queued), self.merge([b for _, b in queued]), strict=True))
+
+    def forget(self, pieces: set[str]) -> None:
+        for p in [p for p in pieces if len(p) > self.SHORT]:
+            del self.known[p]
+        if len(self.known) > self.KEEP:
+            last = {p: self.known[p] for p in pieces if len(p) <= self.SHORT}
+            self.known = last if len(last) <= self.KEEP else {}
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each of some texts, which are held together."""
+        cut = [self.pattern.findall(t) for t in texts]
+        pieces = set(chain.from_iterable(cut))
+        self.learn(pieces)
+        ids = [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
+        self.forget(pieces)
         return ids
 
+    def encode_long(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text of any length, some pieces at a time."""
+        found = (m.group() for m in self.pattern.finditer(text))
+        while cut := list(islice(found, 1 + self.GROUP // 8)):
+            pieces = set(cut)
+            self.learn(pieces)
+            yield list(chain.from_iterable(map(self.known.__getitem__, cut)))
+            self.forget(pieces)
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, more = self.known.get, ids.extend
-        for piece in self.find(text):
-            if (got := known(piece)) is None:
-                got = tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
-                if len(piece) <= self.SHORT:
-                    if len(self.known) >= self.KEEP:
-                        self.known.clear()
-                    self.known[piece] = got
-            more(got)
-        return ids
+        return self.encode_all([text])[0] if len(text) <= self.GROUP else list(chain.from_iterable(self.encode_long(text)))
+
+    def groups(self, rows: Iterable[tuple[object, str]]) -> Iterator[tuple[object, Iterable[list[int]]]]:
+        """(key, its ids in one or more lists) of (key, text) rows, in their order."""
+        some, size = [], 0
+        for key, text in rows:
+            if size + len(text) > self.GROUP and some:
+                yield from zip((k for k, _ in some), ([x] for x in self.encode_all([t for _, t in some])), strict=True)
+                some, size = [], 0
+            if len(text) > self.GROUP:
+                yield key, self.encode_long(text)
+            else:
+                some.append((key, text))
+                size += len(text)
+        if some:
+            yield from zip((k for k, _ in some), ([x] for x in self.encode_all([t for _, t in some])), strict=True)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -173,7 +221,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make():
         codec, _ = _codec(data, pattern)
-        return lambda rows: ((d, codec.encode(t)) for d, t in rows)
+        return lambda rows: ((d, list(chain.from_iterable(ids))) for d, ids in codec.groups(rows))
 
     return map_rows(id_and_text(docs), make, "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), rows=200)
 
@@ -195,12 +243,16 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make():
         codec, names = _codec(data, pattern)
-        name, sha = names.__getitem__, hashlib.sha256
+        name = names.__getitem__
 
         def work(rows) -> Iterator[tuple]:
-            for d, t in rows:
-                ids = codec.encode(t)
-                yield d, len(ids), sha(",".join(map(name, ids)).encode()).hexdigest(), sha(codec.decode(ids)).hexdigest()
+            for d, parts in codec.groups(rows):
+                n, told, decoded = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in parts:
+                    told.update((("," if n and ids else "") + ",".join(map(name, ids))).encode())
+                    decoded.update(codec.decode(ids))
+                    n += len(ids)
+                yield d, n, told.hexdigest(), decoded.hexdigest()
 
         return work
 
@@ -216,7 +268,7 @@ def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make():
         codec, _ = _codec(data, pattern)
-        return lambda rows: ((d, len(ids), ids, hashlib.sha256(codec.decode(ids)).hexdigest()) for d, t in rows for ids in [codec.encode(t)])
+        return lambda rows: ((d, len(ids), ids, hashlib.sha256(codec.decode(ids)).hexdigest()) for d, parts in codec.groups(rows) for ids in [list(chain.from_iterable(parts))])
 
     return map_rows(
         id_and_text(docs), make, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string",

@@ -325,13 +325,49 @@ def test_bpe_round_trip(spark):
     assert all(r["decoded_sha256"] == sha(given[r["doc_id"]][1]) and len(r["ids"]) == r["n_tokens"] for r in both)
 
 
-def test_rank_queue_and_scan_merge_alike():
-    codec = bpe.ByteBpe.from_bytes(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+def merged_by_force(ranks, piece):
+    """The leftmost pair of the lowest rank, again and again."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return tuple(ranks[x] for x in parts)
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_rank_queue_against_brute_force(shuffled, monkeypatch):
+    """Many pieces in one queue; with shuffled ranks longer tokens may come before their parts."""
     rng = np.random.default_rng(5)
-    for n in (2, 3, 17, 60):
-        for _ in range(40):
-            piece = bytes(rng.choice(list(b"aeinrst \xc3\xa9"), n))
-            assert codec.scan(piece) == codec.merge(piece)
+    ranks = bpe.ByteBpe.from_bytes(open(RANKS, "rb").read(), public_tokenizers.PATTERN).ranks
+    if shuffled:
+        ranks = dict(zip(ranks, rng.permutation(len(ranks)).tolist()))
+    codec, taken = bpe.ByteBpe(ranks, public_tokenizers.PATTERN), []
+    take = codec.queue.take
+    monkeypatch.setattr(codec.queue, "take", lambda: taken.append(1) or take())
+    pieces = [bytes(rng.choice(list(b"aeinrst \xc3\xa9"), n)) for n in (1, 2, 3, 17, 60) for _ in range(40)] + [b"aaaaaaa", b"a" * 500]
+    assert codec.merge(pieces) == [merged_by_force(ranks, p) for p in pieces]
+    assert taken and not codec.queue.buckets and not any(codec.queue.low) and not any(codec.queue.mid)
+
+
+def test_every_piece_of_several_tokens_goes_through_the_queue(monkeypatch):
+    codec, seen = bpe.ByteBpe.from_bytes(open(RANKS, "rb").read(), public_tokenizers.PATTERN), []
+    merge = codec.merge
+    monkeypatch.setattr(codec, "merge", lambda pieces: seen.extend(pieces) or merge(pieces))
+    text = "some quxly wordths and blorfing of snarks"
+    ids = codec.encode(text)
+    assert set(seen) == {p.encode() for p in codec.pattern.findall(text) if p.encode() not in codec.ranks} and seen and codec.decode(ids) == text.encode()
+
+
+def test_groups_of_texts_and_long_ones_give_the_same_ids(monkeypatch):
+    codec = bpe.ByteBpe.from_bytes(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    texts = ["", "abc def", "one quxly two " * 50, *LONG, "blorf " * 9]
+    expect = [codec.encode(t) for t in texts]
+    for group, keep in ((1, 3), (80, 0), (700, 10)):
+        monkeypatch.setattr(bpe.ByteBpe, "GROUP", group)
+        monkeypatch.setattr(bpe.ByteBpe, "KEEP", keep)
+        assert [[x for part in parts for x in part] for _, parts in codec.groups(enumerate(texts))] == expect
 
 
 # -- decontamination
