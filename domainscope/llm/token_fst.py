@@ -5,16 +5,18 @@ prefix holds what the future can depend on: the longest suffix that still begins
 it the last token of the encoding up to there with its count. Reading a character moves to one next state and emits
 the change of the token count, which may be negative when tokens fuse. That is exact because an encoding is valid if
 and only if each neighbouring pair of its tokens is left alone by the merges, so that the last token of each prefix
-follows from those of the shorter ones. States are made when first met and kept by content (a table that is full is
-emptied and filled anew; the state in hand survives, as it says itself what it is).
+follows from those of the shorter ones. All states on the way through every piece of the vocabulary are compiled ahead, when a worker
+loads it; those beyond, of which there is no small bound, are compiled when a text first reaches them and kept by content (a table that is full is
+compiled anew).
 
-No piece has a space after another character, so every space after a non-space is a reset: from the start state a word
-is one transition, whose count is remembered. A text is cut anywhere into chunks. The map of a chunk from any incoming
-state is (head, count, state): the characters before its first reset, the tokens of the rest, the state it ends in.
-Such maps compose associatively; `scan` combines them pairwise in log-depth rounds.
+No piece has a space after another character, so every space after a non-space is a reset: what follows is read from the start
+state, and the emitted count of a whole word is remembered. A text is cut into chunks of CHUNK characters, wherever that is. A chunk's map takes
+any incoming state to the state after it and the count it emits: its head up to the first reset depends on the state that comes in, the
+rest is fixed. Such maps compose associatively, so that a prefix scan combines them in a logarithmic number of rounds of
+independent compositions; the last prefix, applied to the start state, is the text's count, and the others are those at the chunks' ends.
 
 Edge cases: null text is empty; an empty text has 0 tokens; repeated rows count each; an empty table gives an empty
-result; other columns are ignored; a text's length is not limited, and one without any space is one long head.
+result; other columns are ignored; a text's length is not limited, and one without any space is one long head, walked once.
 """
 
 from __future__ import annotations
@@ -27,7 +29,19 @@ from pyspark.sql import functions as F
 
 from .common import file_bytes, kept, map_rows
 
-Map = tuple[str, int | None, int]
+State = tuple[str, tuple[tuple[str, int], ...]]
+
+
+class Map:
+    """What a stretch of text does to a state: it reads head (a string, or two maps one after the other) from it, and after that, if there is
+    a reset, ends in a state that is known, with a count that is. ``known`` holds where states have been found to go."""
+
+    __slots__ = ("head", "count", "end", "known")
+
+    def __init__(self, head: str | tuple[Map, Map], count: int = 0, end: State | None = None):
+        self.head, self.count, self.end = head, count, end
+        self.known: dict[State, tuple[State, int]] = {}
+
 
 _RESET = re.compile(r"(?<=[^ ]) ")
 _WORD = re.compile(r" *[^ ]+| +")
@@ -36,7 +50,7 @@ _WORD = re.compile(r" *[^ ]+| +")
 class Transducer:
     """pieces: (text with U+2581 for a space, score); the highest score merges first, the leftmost of equals."""
 
-    STATES, WORDS, CHUNK = 300_000, 400_000, 1 << 16
+    STATES, WORDS, CHUNK = 300_000, 400_000, 4096
 
     def __init__(self, pieces: tuple[tuple[str, float], ...]):
         order = {s: i for i, s in enumerate(sorted({s for _, s in pieces}, reverse=True))}
@@ -49,13 +63,24 @@ class Transducer:
         self.longest = max(map(len, self.ranks), default=1)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, int] = {}
-        self.clear()
+        self.compile()
 
-    def clear(self) -> None:
+    def compile(self) -> None:
+        """The states on the way through every piece, from the start of a word and after its space."""
         #: A state: (suffix, for each position from its start to its end: (last token, its count less the end's)).
-        self.states: list[tuple] = [("", (("", 0),))]
+        self.states: list[State] = [("", (("", 0),))]
         self.ids = {self.states[0]: 0}
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
+        for p in sorted(self.valid):
+            self._read(0, p if p[0] == " " else " " + p)
+        self.compiled = len(self.states)
+
+    def state(self, content: State) -> int:
+        if (i := self.ids.get(content)) is None:
+            i = self.ids[content] = len(self.states)
+            self.states.append(content)
+            self.moves.append({})
+        return i
 
     def merge(self, s: str) -> list[str]:
         """The merges carried out one by one: the definition that states are compiled from."""
@@ -96,36 +121,32 @@ class Transducer:
         while grown and grown not in self.starts:
             grown, last = grown[1:], last[1:]
         new = (grown, last[-len(grown) - 1 :])
-        if (i := self.ids.get(new)) is None:
-            i = self.ids[new] = len(self.states)
-            self.states.append(new)
-            self.moves.append({})
-        self.moves[state][c] = i, delta
-        return i, delta
+        move = self.moves[state][c] = self.state(new), delta
+        return move
 
-    def walk(self, state: int, s: str) -> tuple[int, int]:
-        """The state after s, and the change of the count."""
-        total = 0
+    def _read(self, state: int, s: str) -> tuple[int, int]:
+        total, moves = 0, self.moves
         for c in s:
-            if (move := self.moves[state].get(c)) is None:
-                if len(self.states) > self.STATES:
-                    here = self.states[state]
-                    self.clear()
-                    state = self.ids.setdefault(here, len(self.states))
-                    if state:
-                        self.states.append(here)
-                        self.moves.append({})
-                move = self.step(state, c)
-            state, delta = move
+            state, delta = moves[state].get(c) or self.step(state, c)
             total += delta
         return state, total
 
+    def walk(self, state: State, s: str) -> tuple[State, int]:
+        """The state after s, and the change of the count."""
+        total = 0
+        for i in range(0, len(s), 100_000):  # a stretch adds no more states than characters
+            if len(self.states) > self.STATES:
+                self.compile()
+            at, n = self._read(self.state(state), s[i : i + 100_000])
+            state, total = self.states[at], total + n
+        return state, total
+
     def of_words(self, s: str) -> int:
         """The tokens of s from the start state, by whole words."""
         total, known = 0, self.words
         for word in _WORD.findall(s):
             if (n := known.get(word)) is None:
-                n = self.walk(0, word)[1]
+                n = self.walk(self.states[0], word)[1]
                 if len(word) <= 40:
                     if len(known) >= self.WORDS:
                         known.clear()
@@ -133,27 +154,37 @@ class Transducer:
             total += n
         return total
 
-    def chunk(self, s: str) -> tuple[str, int | None, str]:
-        """The map of a chunk; its end as the open word that the end state has read. No reset: (s, None, "")."""
+    def chunk(self, s: str) -> Map:
+        """The map of a chunk."""
         first = _RESET.search(s)
         if first is None:
-            return s, None, ""
+            return Map(s)
         cut = s.rfind(" ")
         while cut > first.start() and s[cut - 1] == " ":
             cut -= 1
         cut = max(cut, first.start())
-        return s[: first.start()], self.of_words(s[first.start() : cut]), s[cut:]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if a[1] is None and b[1] is None:
-            return a[0] + b[0], None, ""
-        if a[1] is None:
-            return a[0] + b[0], b[1], b[2]
-        if b[1] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self.of_words(a[2] + b[0]) + b[1], b[2]
-
-    def scan(self, maps: list[tuple]) -> list[tuple]:
+        end, n = self.walk(self.states[0], s[cut:])
+        return Map(s[: first.start()], n + self.of_words(s[first.start() : cut]), end)
+
+    def apply(self, m: Map, state: State) -> tuple[State, int]:
+        if (found := m.known.get(state)) is None:
+            if isinstance(m.head, str):
+                at, n = self.walk(state, m.head)
+            else:
+                at, n = self.apply(m.head[0], state)
+                at, more = self.apply(m.head[1], at)
+                n += more
+            found = m.known[state] = (at, n) if m.end is None else (m.end, n + m.count)
+        return found
+
+    def compose(self, a: Map, b: Map) -> Map:
+        """First a, then b."""
+        if a.end is None:
+            return Map((a, b if b.end is None else Map(b.head)), b.count, b.end)
+        end, n = self.apply(b, a.end)
+        return Map(a.head, a.count + n, end)
+
+    def scan(self, maps: list[Map]) -> list[Map]:
         """Prefix compositions of the maps: each round composes with the one 1, 2, 4, ... places before."""
         step = 1
         while step < len(maps):
@@ -161,20 +192,11 @@ class Transducer:
             step *= 2
         return maps
 
-    def reduce(self, maps: list[tuple]) -> tuple:
-        """The last of scan(maps), by the up-sweep alone."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
     def count(self, text: str) -> int:
         if not text:
             return 0
         s = " " + text.replace("▁", " ")
-        if len(s) <= self.CHUNK:
-            return self.of_words(s)
-        head, n, tail = self.reduce([self.chunk(s[i : i + self.CHUNK]) for i in range(0, len(s), self.CHUNK)])
-        return self.of_words(head) + (n or 0) + self.of_words(tail)
+        return self.apply(self.scan([self.chunk(s[i : i + self.CHUNK]) for i in range(0, len(s), self.CHUNK)])[-1], self.states[0])[1]
 
 
 def load(path: str) -> tuple[tuple[str, float], ...]:

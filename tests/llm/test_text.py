@@ -678,15 +678,51 @@ def test_counts_against_the_library(spark, rows):
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == expect
 
 
-def test_chunk_maps_compose_in_any_grouping():
-    t = token_fst.Transducer(token_fst.load(public_tokenizers.path("piece_bpe_32k.model")))
-    text = " the cat  sat on a matter of facts, unbelievably so" * 3
-    whole = t.of_words(text)
-    for size in (1, 3, 7, 20):
-        maps = [t.chunk(text[i : i + size]) for i in range(0, len(text), size)]
-        for last in (t.scan(maps)[-1], t.reduce(maps)):
-            head, n, tail = last
-            assert t.of_words(head) + (n or 0) + t.of_words(tail) == whole
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def transducer():
+    return token_fst.Transducer(token_fst.load(PIECES))
+
+
+def test_chunk_maps_compose_by_the_scan(transducer):
+    """Every prefix of the scan has the count of one walk over the text so far, and ends where whatever follows counts the same."""
+    t, start = transducer, transducer.states[0]
+    for text in (" the cat  sat on a matter of facts, unbelievably so" * 3, " x" + "abcde" * 40 + " y", " " * 40, "unbroken" * 30):
+        for size in (1, 3, 7, 20):
+            chunks = [text[i : i + size] for i in range(0, len(text), size)]
+            for i, m in enumerate(t.scan([t.chunk(c) for c in chunks])):
+                (a, n), (b, k) = t.apply(m, start), t.walk(start, "".join(chunks[: i + 1]))
+                assert n == k and a[0] == b[0] and all(t.walk(a, c)[1] == t.walk(b, c)[1] for c in ("er", "s on", " and"))
+
+
+def test_counting_goes_through_maps_and_scan(transducer, monkeypatch):
+    sizes, scan = [], transducer.scan
+    monkeypatch.setattr(transducer, "scan", lambda maps: sizes.append(len(maps)) or scan(maps))
+    text = "the cat sat on a mat and " * 1000
+    n = transducer.count(text)
+    assert transducer.count("short") and sizes == [-(-(len(text) + 1) // transducer.CHUNK), 1]
+    for chunk in (1, 10, 1 << 20):
+        monkeypatch.setattr(token_fst.Transducer, "CHUNK", chunk)
+        assert transducer.count(text[:3000]) == transducer.walk(transducer.states[0], " " + text[:3000])[1]
+    assert n == transducer.walk(transducer.states[0], " " + text)[1]
+
+
+def test_pieces_are_compiled_ahead_and_a_full_table_changes_nothing(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    t = token_fst.Transducer(token_fst.load(PIECES))
+    steps, step = [], t.step
+    monkeypatch.setattr(t, "step", lambda *a: steps.append(a) or step(*a))
+    words = [p for p in sorted(t.valid) if p[0] == " " and " " not in p[1:]][::50]
+    assert t.compiled == len(t.states) and [t.count(w[1:]) for w in words] == [len(sp.encode(w[1:])) for w in words] and not steps
+    monkeypatch.setattr(token_fst.Transducer, "STATES", t.compiled + 5)
+    text = "unheard-of blorfing quxlies, zworthy snarklets " * 20
+    assert t.count(text) == len(sp.encode(text)) and steps
+    t.words.clear()
+    assert t.count(text) == len(sp.encode(text))
 
 
 # -- chats
