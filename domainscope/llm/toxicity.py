@@ -1,26 +1,31 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-One dictionary is trained on ordinary text, one on the toxic text that ordinary text does not explain: words that stand in far more
-toxic than ordinary sample documents, after many different words (so that copies of one document count once). Both compressors
-know the ordinary dictionary; the toxic one also knows the toxic dictionary. A window is a word without its punctuation, framed by text that both know, since zstandard
-only starts matches some bytes before the end of a block. A window's gain is its compressed length without, less
-that with the toxic dictionary. A document is described by how many of its windows gain 2, 3, 4 and 6 bytes, by the share of
-these, and by its number of windows; a logistic regression on labelled rows calibrates this into a probability.
+Two dictionaries are trained apart, one on ordinary and one on toxic labelled text. Toxic text is mostly ordinary, too, so
+that the toxic dictionary is then refined by compression: of the words of toxic text only those stay that a compressor with it shortens more
+than it does all but 1 - REFINE of the words of ordinary text of their length, and that stand in a share SPREAD of the toxic texts.
+
+A window is WINDOW consecutive words, one at every STEP-th word, lower-cased and without punctuation, framed by ordinary text that both compressors know, since
+zstandard only starts matches some bytes before the end of a block. Its gain is its compressed length with the ordinary dictionary, less
+that with the toxic one beside it. Thresholds for gains are calibrated: quantiles QUANTILES of the gains of ordinary windows. A document is
+described by how many of its windows reach each threshold, by their shares, and by its number of windows; a logistic regression on labelled
+rows makes this a probability. (Two compressors with one dictionary each tell toxic from ordinary text hardly better than chance where most words are
+ordinary in both: what either dictionary happens to hold of them outweighs the rest.)
 
 Fitting uses a bounded sample of the labelled rows: at most TOXIC and ORDINARY documents of at most MAX_CHARS characters, those
-with the smallest hash of the id. Half of them trains the dictionaries, half calibrates. The class shares come from all labels. Rows whose crc32(doc_id) mod 4 is 2 are held out; labels, lang, source and doc_id never enter a score.
+with the smallest hash of the id, and runs in one task. Half of them trains the dictionaries, half calibrates. The class shares come from all labels. Rows whose
+crc32(doc_id) mod 4 is 2 are held out; labels, lang, source and doc_id never enter a score.
 
 Every text is scored whole. Edge cases: null text is empty and scores like any text without a gain; repeated rows score alike; with
-no labels of one of the classes the score is the share of toxic labels (0 without labels); words over 48 bytes are cut into windows of 48; an empty
+no labels of one of the classes the score is the share of toxic labels (0 without labels); words over 48 bytes are cut into words of 48; an empty
 table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +38,12 @@ from .common import id_and_text, kept, map_rows
 
 TOXIC, ORDINARY, MAX_CHARS = 1500, 3000, 20_000
 THRESHOLD = 0.3
-_LONGEST, _KEEP = 48, 200_000
+WINDOW, STEP = 4, 2
+#: Bytes of the dictionaries as trained, and of the toxic one as refined.
+ORDINARY_BYTES, TOXIC_BYTES, REFINED_BYTES = 110_000, 32_768, 4096
+REFINE, SPREAD = 0.98, 0.025
+QUANTILES = (0.9, 0.99, 0.999, 0.9999)
+_LONGEST = 48
 _PUNCTUATION = bytes(c for c in range(33, 128) if not chr(c).isalnum() and chr(c) not in "'-@")
 _LOWER = bytes(range(256)).lower()
 _LONG = re.compile(rb"\S{49,}")
@@ -42,33 +52,38 @@ _LONG = re.compile(rb"\S{49,}")
 class Model(NamedTuple):
     ordinary: bytes
     toxic: bytes
-    frame: tuple[bytes, bytes]
+    thresholds: tuple[int, ...]
     weights: tuple[float, ...]
     prior: float
 
 
-def windows(text: str) -> list[bytes]:
+def words(text: str) -> list[bytes]:
     """The words, lower-cased, without punctuation; cut where they are very long."""
-    data = text.encode().translate(_LOWER, _PUNCTUATION)
-    words = data.split()
+    data = text.encode("utf-8", "replace").translate(_LOWER, _PUNCTUATION)
+    found = data.split()
     if _LONG.search(data):
-        words = [w[i : i + _LONGEST] for w in words for i in range(0, len(w), _LONGEST)]
-    return words
+        found = [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
+    return found
+
+
+def windows(found: list[bytes]) -> list[bytes]:
+    """The windows of a list of words; the last may be shorter."""
+    return [b" ".join(found[i : i + WINDOW]) for i in range(0, max(len(found) - WINDOW + STEP, min(len(found), 1)), STEP)]
 
 
 class Gains:
-    """Gains of windows, remembered up to a bound."""
+    """Compressed lengths with the ordinary dictionary, less those with the toxic one beside it."""
 
-    def __init__(self, model: Model):
-        self.frame, self.known = model.frame, {}
-        half = len(model.ordinary) // 2
-        self.without = self._lengths(model.ordinary)
-        self.with_toxic = self._lengths(model.ordinary[:half] + model.toxic + model.ordinary[half:])
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        half = len(ordinary) // 2
+        self.before, self.after = ordinary[-120:-60] + b" ", b" " + ordinary[-1000:-960]
+        self.without = self._lengths(ordinary)
+        self.with_toxic = self._lengths(ordinary[:half] + toxic + ordinary[half:])
 
     @staticmethod
     def _lengths(content: bytes):
         params = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=3, target_length=32, strategy=zstandard.STRATEGY_GREEDY,
+            window_log=18, hash_log=16, chain_log=16, search_log=5, min_match=3, target_length=64, strategy=zstandard.STRATEGY_GREEDY,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -76,23 +91,22 @@ class Gains:
         compress = zstandard.ZstdCompressor(compression_params=params, dict_data=dictionary).compress
         return lambda x: len(compress(x))
 
-    def of(self, words: Iterable[bytes]) -> Counter:
-        known, count = self.known, Counter()
-        for w, n in Counter(words).items():
-            if (g := known.get(w)) is None:
-                x = self.frame[0] + b" " + w + b" " + self.frame[1]
-                g = self.without(x) - self.with_toxic(x)
-                if len(known) >= _KEEP:
-                    known.clear()
-                known[w] = g
-            if g > 1:
-                count[g] += n
-        return count
+    def of(self, window: bytes) -> int:
+        x = self.before + window + self.after
+        return self.without(x) - self.with_toxic(x)
 
+    def counted(self, text: str) -> tuple[int, Counter]:
+        """The number of windows of a text, and how many have each gain."""
+        found = Counter(windows(words(text)))
+        gains: Counter = Counter()
+        for w, n in found.items():
+            gains[self.of(w)] += n
+        return sum(found.values()), gains
 
-def _features(n: int, gains: Counter) -> list[float]:
-    at_least = [sum(c for g, c in gains.items() if g >= k) for k in (2, 3, 4, 6)]
-    return [1.0, *(math.log1p(c) for c in at_least), *(min(100.0 * c / n, 10.0) if n else 0.0 for c in at_least[:3]), math.log1p(n)]
+
+def _features(n: int, gains: Counter, thresholds: tuple[int, ...]) -> list[float]:
+    at_least = [sum(c for g, c in gains.items() if g >= k) for k in thresholds]
+    return [1.0, *(math.log1p(c) for c in at_least), *(min(100.0 * c / n, 10.0) if n else 0.0 for c in at_least), math.log1p(n)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -107,68 +121,86 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
     return b
 
 
+def _quantiles(counts: Counter, shares: tuple[float, ...]) -> list[int]:
+    """The least values that so large a share of the counted doesn't exceed."""
+    values = sorted(counts)
+    total = np.cumsum([counts[v] for v in values])
+    return [values[int(np.searchsorted(total, s * total[-1]))] for s in shares]
+
+
+def _refined(trained: bytes, ordinary: bytes, plain: list[list[bytes]], bad: list[list[bytes]]) -> bytes:
+    """What is left of the toxic dictionary: words of toxic texts by the number of texts, most frequent last."""
+    spread, gain = Counter(w for x in bad for w in set(x) if len(w) > 1), Gains(ordinary, trained).of
+    usual: dict[int, Counter] = defaultdict(Counter)
+    for w, n in Counter(w for x in plain for w in x).items():
+        usual[len(w)][gain(w)] += n
+    limits = {size: _quantiles(c, (REFINE,))[0] for size, c in usual.items()}
+    stay = [w for w, n in spread.items() if n >= max(3, SPREAD * len(bad)) and gain(w) > limits.get(len(w), max(limits.values()))]
+    return b"".join(b" " + w + b" " for w in sorted(stay, key=lambda w: (spread[w], w)))[-REFINED_BYTES:]
+
+
 def fit(sample: list[tuple[int, str, int]], share: float) -> Model:
     """sample: (order, text, toxic) of labelled documents; share: of toxic ones among all labels."""
     sample = sorted({t: (i, t, y) for i, t, y in sample}.values())
     train, rest = sample[::2], sample[1::2]
-    kinds = [[windows(t) for _, t, y in train if y == k] for k in (0, 1)]
-    if not kinds[0] or not kinds[1] or len({y for _, _, y in rest}) < 2:
-        return Model(b"", b"", (b"", b""), (), share)
-    seen = Counter(w for words in kinds[0] for w in set(words))
-    after: dict[bytes, set[bytes]] = defaultdict(set)
-    for words in kinds[1]:
-        for a, w in zip([b"", *words], words):
-            after[w].add(a)
-    least = max(5, 0.01 * len(kinds[1]))
-    telling = {w: len(a) for w, a in after.items() if 1 < len(w) <= _LONGEST and len(a) >= least and len(a) / len(kinds[1]) > 6 * (seen[w] + 0.2) / len(kinds[0])}
-    toxic = b"".join(b" " + w + b" " for w in sorted(telling, key=lambda w: (telling[w], w))[-400:])
-    lines = [b" ".join(words[i : i + 16]) for words in kinds[0] for i in range(0, len(words), 16)]
-    ordinary = _trained(lines, 16384)
-    if toxic:
-        toxic = _trained([b" " + w + b" " for words in kinds[1] for w in words if w in telling], 2048) + toxic
-    frame = (ordinary[-120:-60], ordinary[-1000:-960])
-    gains = Gains(Model(ordinary, toxic, frame, (), share))
-    x = np.array([_features(len(words := windows(t)), gains.of(words)) for _, t, _ in rest])
+    plain, bad = ([words(t) for _, t, y in train if y == k] for k in (0, 1))
+    if not any(plain) or not any(bad) or len({y for _, _, y in rest}) < 2:
+        return Model(b"", b"", (), (), share)
+    lines = lambda texts: [b" ".join(x[i : i + 16]) for x in texts for i in range(0, len(x), 16)]
+    ordinary = _trained(lines(plain), ORDINARY_BYTES)
+    toxic = _refined(_trained(lines(bad), TOXIC_BYTES), ordinary, plain, bad)
+    gains = Gains(ordinary, toxic)
+    counted = [gains.counted(t) for _, t, _ in rest]
+    usual: Counter = Counter()
+    for (_, c), (_, _, k) in zip(counted, rest, strict=True):
+        usual.update(c if not k else {})
+    thresholds = tuple(sorted({max(0, g) + 1 for g in _quantiles(usual, QUANTILES)})) if usual else (1,)
+    x = np.array([_features(n, c, thresholds) for n, c in counted])
     y = np.array([k for _, _, k in rest], float)
     w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return Model(ordinary, toxic, frame, tuple(_logistic(x, y, w).tolist()), share)
+    return Model(ordinary, toxic, thresholds, tuple(_logistic(x, y, w).tolist()), share)
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary's bytes; of too few samples to train on, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples[:200_000], level=3).as_bytes()
+        return zstandard.train_dictionary(size, samples[:200_000], k=32, d=6).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(samples)[-size:]
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on the bounded sample of labelled rows that aren't held out."""
+    """Fits on the bounded sample of labelled rows that aren't held out, in a task of its own; only the model comes to the driver."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     total = {y: n for y, n in known.groupBy("toxic").count().collect()}
     if not total:
-        return Model(b"", b"", (b"", b""), (), 0.0)
+        return Model(b"", b"", (), (), 0.0)
+    share = total.get(1, 0) / sum(total.values())
     order = F.xxhash64("doc_id", F.lit("fit"))
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(TOXIC).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(ORDINARY)).distinct()
     texts = id_and_text(docs).where(F.length("text").between(1, MAX_CHARS))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min(order).alias("order"), F.max("toxic").alias("toxic"))
-    rows = rows.select("order", "text", "toxic").collect()  # at most TOXIC + ORDINARY ids; the same in every run
-    return fit([tuple(r) for r in rows], total.get(1, 0) / sum(total.values()))
+
+    def run(sample: pa.Table) -> pa.Table:  # at most TOXIC + ORDINARY ids' texts; the same in every run
+        rows = zip(*(sample.column(c).to_pylist() for c in ("order", "text", "toxic")), strict=True)
+        return pa.table({"model": [pickle.dumps(tuple(fit(list(rows), share)))]})
+
+    found = rows.select("order", "text", "toxic").groupBy().applyInArrow(run, "model binary").first()
+    return Model(*pickle.loads(found["model"])) if found else Model(b"", b"", (), (), share)
 
 
 def _gains(model: Model) -> Gains:
-    return kept(("toxicity", model), lambda: Gains(model))
+    return kept(("toxicity", model), lambda: Gains(model.ordinary, model.toxic))
 
 
 def score(model: Model, text: str, gains: Gains | None = None) -> tuple[float, int, int]:
-    """The probability, the number of windows, and how many of them gain."""
-    words = windows(text)
+    """The probability, the number of windows, and how many of them reach the lowest threshold."""
     if not model.weights:
-        return model.prior, len(words), 0
-    found = (gains or _gains(model)).of(words)
-    z = sum(a * b for a, b in zip(model.weights, _features(len(words), found)))
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(words), sum(found.values())
+        return model.prior, len(windows(words(text))), 0
+    n, found = (gains or _gains(model)).counted(text)
+    z = sum(a * b for a, b in zip(model.weights, _features(n, found, model.thresholds), strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), n, sum(c for g, c in found.items() if g >= model.thresholds[0])
 
 
 def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

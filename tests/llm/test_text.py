@@ -149,6 +149,42 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(edge) == len(EDGES) and all(0 <= r["score"] <= 1 for r in edge)
 
 
+def test_toxicity_of_windows_against_brute_force(spark):
+    """Every score from its definition: windows cut by hand, each compressed with both dictionaries by fresh compressors."""
+    import math
+
+    import zstandard
+
+    given, labels = toxic_corpus(240)
+    given += [(1000, None), (1001, ""), (1002, "one"), (1003, "vilescum " * 30_000), (1003, "vilescum " * 30_000), (1004, "x" * 500 + " hatefool")]
+    df = docs(spark, given)
+    model = toxicity.fitted(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model == toxicity.fitted(df, spark.createDataFrame(labels, "doc_id long, toxic int")) and model.toxic and toxicity.WINDOW > 1
+    half, o = len(model.ordinary) // 2, model.ordinary
+
+    def length(content, x):
+        kind = zstandard.ZstdCompressionParameters(window_log=18, hash_log=16, chain_log=16, search_log=5, min_match=3, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=kind)
+        return len(zstandard.ZstdCompressor(compression_params=kind, dict_data=d).compress(x))
+
+    def score(t):
+        w = [x[i : i + 48] for x in (t or "").lower().encode().split() for i in range(0, len(x), 48)]
+        cut = [w[i : i + 4] for i in range(0, len(w), 2) if i == 0 or i + 2 < len(w)]
+        known = {}
+        for x in map(b" ".join, cut):
+            framed = o[-120:-60] + b" " + x + b" " + o[-1000:-960]
+            if x not in known:
+                known[x] = length(o, framed) - length(o[:half] + model.toxic + o[half:], framed)
+        reach = [sum(known[b" ".join(x)] >= k for x in cut) for k in model.thresholds]
+        z = sum(a * b for a, b in zip(model.weights, [1, *map(math.log1p, reach), *(min(100 * r / len(cut), 10) if cut else 0 for r in reach), math.log1p(len(cut))]))
+        return 1 / (1 + math.exp(-z)), len(cut)
+
+    some = [r for r in given if r[0] is None or r[0] % 12 == 0 or r[0] >= 1000]
+    got = sorted((str(r["doc_id"]), round(r["score"], 9), r["n_windows"]) for r in toxicity.scores(docs(spark, some), model).collect())
+    assert got == sorted((str(i), round(score(t)[0], 9), score(t)[1]) for i, t in some)
+
+
 def test_held_out_labels_are_not_read(spark):
     given, labels = toxic_corpus(200)
     df = docs(spark, given)
