@@ -1,14 +1,21 @@
-"""Benchmark decontamination by blocks of items, pairs of words and exact edit verification.
+"""Benchmark decontamination by CGK embeddings, bit-sampling LSH and exact edit verification.
 
 Texts and items are lower-cased sequences of words, ASCII and CJK punctuation read as white space; in scripts that set no spaces each
 character is a word. A document holds an item if some run of
 its words is within an edit distance (insertions, deletions, substitutions of words) of at most a share of the item's length. Items under MIN_WORDS words are held only
-by documents that have them word for word.
+by documents that have them word for word: the hash of the whole item is looked up at every word.
 
-Nothing is sampled and nothing is lost, at any length and number of items. k edits leave one of k + 1 blocks of an item as it is, moved
-by at most k words: the blocks of all items are looked up at every word of a document. They also leave at least L - 1 - 2 k of the
-L - 1 word pairs of an item (q-gram lemma): a place with fewer pairs, first of any item and then of its own, is ruled out. What is left
-is verified exactly, with free ends in the document.
+The CGK embedding walks over a word sequence: step j copies the word at the pointer and moves on if the random bit of (j, word) is
+set. Two walks with the same bits fall into step again after an edit, so that a small edit distance becomes a small Hamming
+distance between the copies. The longer a walk, the less often it is in step: so an item is cut into parts of SEGMENT to 2 SEGMENT - 1 words (a shorter item
+is one part), one of which has no more than its share of the item's edits, by the pigeonhole principle. Windows of the size of a part start at every word of a
+document; a key is the copies at SAMPLED random steps of one of WALKS walks, and a window that agrees with a part in any of KEYS keys is a candidate. A leak
+with all the edits that are allowed, spread at random, has a key in common with its item in 0.99 of cases or more at every length and number of items (measured in the
+tests), an exact copy always, and so does what has fewer edits nearly always.
+
+Before any walk, windows are ruled out by the q-gram lemma, which loses nothing: k edits leave at least L - 1 - 2 k of the
+L - 1 word pairs of a part, so a window with fewer pairs that occur in any item can hold none; nor can a candidate with fewer pairs, first of any and then
+of its own item. What is left is verified exactly, with free ends in the document.
 
 Items are held in memory in blocks of at most ITEM_BYTES; each block is one pass over the documents, without any shuffle.
 
@@ -34,8 +41,9 @@ from .words import BASE, U, hashes, mix, windows
 
 #: A quarter of an item's words may be edited, none of an item under MIN_WORDS.
 SHARE, MIN_WORDS = 0.25, 8
+SEGMENT, WALKS, SAMPLED, KEYS = 16, 16, 3, 64
 ITEM_BYTES = 16 << 20
-_PIECE, _FLAT, _HITS = 1 << 20, 400_000, 1_000_000
+_PIECE, _FLAT, _WINDOWS, _COPIES, _HITS = 1 << 20, 400_000, 20_000, 2_000_000, 1_000_000
 _BLANK = bytes(32 if c < 33 or c == 127 or c < 127 and not chr(c).isalnum() else c for c in range(256))
 _END = U(0x5851F42D4C957F2D)
 #: Thai, Lao, Myanmar, Khmer, kana, Han; and the punctuation between them.
@@ -81,58 +89,110 @@ class Known:
         return self.set[(h >> self.shift).astype(np.int64)]
 
 
-class Blocks(NamedTuple):
-    """The blocks of one number of words: their hashes, ascending, and the item of each and its place there."""
+class Parts(NamedTuple):
+    """Parts of items of about one length: the words of the longest, the edits allowed to it and the fewest pairs that any of them keeps;
+    the steps that keys sample (none: a key is the hash of all words); the keys, ascending, the item of each and the part's place there."""
 
+    size: int
+    edits: int
+    pairs: int
+    steps: np.ndarray | None
     keys: np.ndarray
     items: np.ndarray
     places: np.ndarray
-    known: Known
+
+
+def cgk_keys(flat: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """(keys, windows): the LSH keys of the walks that start there; key i samples its steps of walk i % WALKS."""
+    last, end = int(steps.max()) + 1, len(flat) - 1
+    walks = np.arange(WALKS, dtype=U)[:, None]
+    copies, at = np.empty((last, WALKS, len(starts)), U), np.tile(starts, (WALKS, 1))
+    for j in range(last):
+        word = copies[j] = flat[np.minimum(at, end)]
+        if not j % 64:
+            seed = mix((walks << U(32)) + U(j + 1))
+        at += ((mix(word ^ seed) >> U(j % 64)) & U(1)).astype(np.int64)
+    out = np.empty((len(steps), len(starts)), U)
+    for i, sampled in enumerate(steps):
+        key = np.full(len(starts), U(i), U)
+        for j in sampled:
+            key = key * BASE + copies[j, i % WALKS]
+        out[i] = mix(key)
+    return out
 
 
 class Index:
-    def __init__(self, items: list[np.ndarray], share: float):
+    def __init__(self, items: list[np.ndarray], share: float, seed: int = 11):
         self.items = items
         self.sizes = np.array([len(x) for x in items], np.int64)
         self.edits = allowed(self.sizes, share)
         usable = np.flatnonzero(self.sizes)
         self.known = Known(np.concatenate([pairs(items[i]) for i in usable])) if len(usable) else None
-        found: dict[int, list] = {}
+        short: dict[int, list[tuple[int, int, int, int]]] = {}
+        cut: list[tuple[int, int, int, int]] = []  # words and edits of a part, item, place
         for i in usable.tolist():
-            k, size = int(self.edits[i]), int(self.sizes[i])
-            bounds = np.arange(k + 2) * size // (k + 1)
-            widths = np.diff(bounds)
-            for width in np.unique(widths).tolist():
-                places = bounds[:-1][widths == width]
-                found.setdefault(width, []).append((windows(items[i], width)[places], np.full(len(places), i), places))
-        self.blocks = {}
-        for width, each in found.items():
-            keys, owners, places = (np.concatenate(c) for c in zip(*each, strict=True))
-            order = np.argsort(keys, kind="stable")
-            self.blocks[width] = Blocks(keys[order], owners[order], places[order], Known(keys))
+            size = int(self.sizes[i])
+            if size < MIN_WORDS:
+                short.setdefault(size, []).append((size, 0, i, 0))
+                continue
+            n = max(1, size // SEGMENT)
+            bounds = (np.arange(n + 1) * size // n).tolist()
+            cut += [(b - a, int(self.edits[i]) // n, i, a) for a, b in zip(bounds, bounds[1:])]
+        self.parts = [self._parts(members, None) for members in short.values()]
+        cut.sort()
+        rng, at = np.random.default_rng(seed), 0
+        while at < len(cut):
+            end = at
+            while end < len(cut) and cut[end][0] <= cut[at][0] * 1.15:
+                end += 1
+            self.parts.append(self._parts(cut[at:end], np.sort(rng.random((KEYS, max(SAMPLED, cut[at][0]))).argsort(axis=1)[:, :SAMPLED], axis=1)))
+            at = end
+
+    def _parts(self, members: list[tuple[int, int, int, int]], steps: np.ndarray | None) -> Parts:
+        sizes, edits, items, places = (np.array(c, np.int64) for c in zip(*members, strict=True))
+        words = [self.items[i][a : a + n] for n, _, i, a in members]
+        if steps is None:
+            keys = np.array([windows(w, len(w))[0] for w in words], U)
+        else:
+            ended = [np.r_[w, np.full(int(steps.max()) + 1, _END)] for w in words]
+            keys = cgk_keys(np.concatenate(ended), np.cumsum([0, *map(len, ended[:-1])]), steps).ravel()
+            items, places = np.tile(items, len(steps)), np.tile(places, len(steps))
+        order = np.argsort(keys, kind="stable")
+        return Parts(int(sizes.max()), int(edits.max()), int((sizes - 1 - 2 * edits).min()), steps, keys[order], items[order], places[order])
+
+    def _looked_up(self, flat: np.ndarray, edges: np.ndarray, present: np.ndarray, parts: Parts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window starts, places in parts.keys) that share a key, some at a time."""
+        at = np.arange(len(flat))
+        if parts.steps is None:
+            starts = np.flatnonzero(at + parts.size <= edges[np.searchsorted(edges, at, "right")])
+        else:
+            ends = np.minimum(at[:-1] + parts.size + parts.edits - 1, len(flat) - 1)
+            starts = np.flatnonzero(present[ends] - present[:-1] >= parts.pairs)
+        whole = windows(flat, parts.size) if parts.steps is None else None
+        some = _WINDOWS if parts.steps is None else max(16, min(_WINDOWS, _COPIES // (parts.size * WALKS)))
+        for i in range(0, len(starts), some):
+            now = starts[i : i + some]
+            keys = (whole[now] if whole is not None else cgk_keys(flat, now, parts.steps)).ravel()
+            first = np.searchsorted(parts.keys, keys, "left")
+            n = np.searchsorted(parts.keys, keys, "right") - first
+            hit = np.flatnonzero(n)
+            cut = np.flatnonzero(np.diff(np.cumsum(n[hit]) // _HITS)) + 1  # so many hits at a time
+            for h in np.split(hit, cut) if len(hit) else []:
+                m = n[h]
+                yield np.repeat(now[h % len(now)], m), np.repeat(first[h], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
 
     def candidates(self, flat: np.ndarray, edges: np.ndarray, present: np.ndarray) -> np.ndarray:
-        """(document, item, start): where a block of the item is, and around it enough pairs of any item; the start is that of the item if
-        nothing before the block is edited. present: running sum over pairs of items, with a 0 before."""
+        """(document, item, start): where a part of the item may be, and around it enough pairs of any item; the start is that of the item if
+        nothing before the part is edited. present: running sum over pairs of items, with a 0 before."""
         found = [np.empty((0, 3), np.int64)]
-        for width, blocks in self.blocks.items():
-            h = windows(flat, width)
-            at = np.flatnonzero(blocks.known(h))
-            first = np.searchsorted(blocks.keys, h[at], "left")
-            n = np.searchsorted(blocks.keys, h[at], "right") - first
-            doc = np.searchsorted(edges, at, "right") - 1
-            hit = np.flatnonzero((n > 0) & (at + width <= edges[doc + 1]))
-            at, first, n, doc = at[hit], first[hit], n[hit], doc[hit]
-            part = np.cumsum(n) // _HITS  # so many hits at a time
-            for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1) if len(at) else []:
-                m = n[some]
-                place = np.repeat(first[some], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                item, d = blocks.items[place], np.repeat(doc[some], m)
-                start = np.repeat(at[some], m) - blocks.places[place]
+        for parts in self.parts:
+            for at, place in self._looked_up(flat, edges, present, parts):
+                item, doc = parts.items[place], np.searchsorted(edges, at, "right") - 1
+                start = at - parts.places[place]
                 k, size = self.edits[item], self.sizes[item]
-                low, high = np.maximum(edges[d], start - k), np.minimum(edges[d + 1], start + size + k)
-                good = present[np.maximum(high - 1, low)] - present[low] >= size - 1 - 2 * k
-                found.append(np.unique(np.stack([d, item, start], axis=1)[good], axis=0))
+                low, high = np.maximum(edges[doc], start - 2 * k), np.minimum(edges[doc + 1], start + size + 3 * k)
+                good = (high > low) & (present[np.maximum(high - 1, low)] - present[low] >= size - 1 - 2 * k)
+                found.append(np.unique(np.stack([doc, item, start], axis=1)[good], axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
     def with_own_pairs(self, jobs: list[tuple[int, int, int, int]], flat: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -158,7 +218,7 @@ class Index:
 
     def search(self, flat: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, distance, start, end) for the documents flat[edges[i]:edges[i + 1]]; the places count from the document's start."""
-        if not len(flat) or not self.blocks:
+        if not len(flat) or not self.parts:
             return []
         there = self.known(pairs(flat))
         inner = edges[1:-1]
@@ -169,7 +229,7 @@ class Index:
             if last is not None and last[:2] == (d, i) and s <= last[2] + k:
                 continue
             last = (d, i, s)
-            jobs.append((d, i, max(int(edges[d]), s - k), min(int(edges[d + 1]), s + int(self.sizes[i]) + 2 * k)))
+            jobs.append((d, i, max(int(edges[d]), s - 2 * k), min(int(edges[d + 1]), s + int(self.sizes[i]) + 4 * k)))
         jobs = self.with_own_pairs(jobs, flat)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for (d, i, a, _), (dist, start, end) in zip(jobs, verify(flat, [(self.items[i], a, b) for _, i, a, b in jobs]), strict=True):

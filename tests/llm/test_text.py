@@ -497,6 +497,53 @@ def test_items_at_the_edit_limit_whatever_their_length_and_number(size, n_items)
     assert [x[:2] for x in got] == [(n, n) for n in range(24)] and all(x[2] <= size // 4 for x in got)
 
 
+@pytest.mark.parametrize("kind", [0, 1, 2, 3])
+def test_keys_reach_their_recall_at_the_edit_limit(kind):
+    """All edits that are allowed, substitutions, deletions, insertions or any: 0.99 of the leaks are found."""
+    rng, found, total = np.random.default_rng(kind), 0, 0
+    for size in (8, 11, 15, 16, 23, 31, 32, 47, 90):
+        items = [[f"i{n}x{j}" for j in range(size)] for n in range(60)]
+        given = []
+        for n, item in enumerate(items):
+            w = list(item)
+            for j in sorted(rng.choice(size, size // 4, replace=False).tolist(), reverse=True):
+                what = kind if kind < 3 else int(rng.integers(3))
+                w[j : j + (what < 2)] = [] if what == 1 else [f"e{n}x{j}"]
+            given.append(decontaminate.words(" ".join(["before"] * 9 + w + ["after"] * 9)))
+        index = decontaminate.Index([decontaminate.words(" ".join(x)) for x in items], 0.25)
+        got = {x[:2] for x in index.search(np.concatenate(given), np.cumsum([0, *map(len, given)]))}
+        found, total = found + len(got & {(n, n) for n in range(60)}), total + 60
+    assert found >= 0.99 * total
+
+
+def test_leaks_of_real_tables_by_full_edit_matrices(rows, sf_dir, spark, real):
+    """Every document against every item, without any index."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = [(r["item_id"], decontaminate.words(r["text"])) for r in bench.collect()]
+    expect = set()
+    for d, t in rows:
+        doc = decontaminate.words(t or "")
+        column = np.arange(len(doc) + 1)
+        for i, item in items:
+            row = np.zeros(len(doc) + 1, np.int64)
+            for x in item:
+                step = np.minimum(row[1:] + 1, row[:-1] + (doc != x))
+                row = np.minimum.accumulate(np.r_[row[0] + 1, step] - column) + column
+            if row.min() <= len(item) // 4:
+                expect.add((d, i, int(row.min())))
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.leaks(real, bench).collect()}
+    assert got == expect and expect
+
+
+def test_no_documents_and_a_very_long_one(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    none = docs(spark, EDGES).limit(0)
+    assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.without_leaks(none, bench).columns == none.columns
+    text = "filler words " * 400_000 + "one two three 4 five six seven eight nine ten " + "more " * 9
+    got = decontaminate.leaks(docs(spark, [(1, text), (1, text), (None, text)]), bench).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "None"] and {(r["distance"], r["start_word"]) for r in got} == {(1, 800_000)}
+
+
 def test_leaks_by_brute_force():
     """Few different words, so that places are many and near the limit; any kind of edit."""
     rng = np.random.default_rng(3)
