@@ -38,7 +38,7 @@ from .common import id_and_text, kept, map_rows
 
 TOXIC, ORDINARY, MAX_CHARS = 1500, 3000, 20_000
 THRESHOLD = 0.3
-WINDOW, STEP = 4, 2
+WINDOW, STEP = 8, 4
 #: Bytes of the dictionaries as trained, and of the toxic one as refined.
 ORDINARY_BYTES, TOXIC_BYTES, REFINED_BYTES = 110_000, 32_768, 4096
 REFINE, SPREAD = 0.98, 0.025

@@ -170,7 +170,8 @@ def test_toxicity_of_windows_against_brute_force(spark):
 
     def score(t):
         w = [x[i : i + 48] for x in (t or "").lower().encode().split() for i in range(0, len(x), 48)]
-        cut = [w[i : i + 4] for i in range(0, len(w), 2) if i == 0 or i + 2 < len(w)]
+        size, step = toxicity.WINDOW, toxicity.STEP
+        cut = [w[i : i + size] for i in range(0, len(w), step) if i == 0 or i + size - step < len(w)]
         known = {}
         for x in map(b" ".join, cut):
             framed = o[-120:-60] + b" " + x + b" " + o[-1000:-960]
