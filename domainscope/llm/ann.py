@@ -8,7 +8,7 @@ sum of M table entries (and, for Euclidean distance, its stored norm). The best
 original vectors in double precision.
 
 Every row is indexed: rows are dealt to blocks by the hash of their id, and each block meets the whole query set, a block of
-queries at a time, in an equi-join on the block's number. A block returns its k best for each query; the k best of these are the result. Equal
+queries at a time, in an equi-join on the block's number; a row's block depends on its id and the number of rows only. A block returns its k best for each query; the k best of these are the result. Equal
 vectors of a block are one entry with its k + 1 smallest ids: with ties going to the smaller id no further one can be among
 the k nearest of any query, so a vector that many rows share neither fills the candidate list nor loses a neighbour.
 
@@ -29,9 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BOOKS, WORDS, BEAM, SAMPLE, ROUNDS = 12, 256, 4, 20_000, 8
-#: Rows of a block at most, queries of a block at most, and candidates of a block that are scored exactly: at least LEAST_POOL,
-#: and a POOL_SHARE-th of the block's entries.
-ROWS, QUERIES, LEAST_POOL, POOL_SHARE = 32_768, 4096, 192, 32
+#: Rows of a block and queries of a block, about, and how many of a block's entries are scored exactly. No session setting changes them.
+ROWS, QUERIES, POOL = 8192, 4096, 384
 
 
 class Codebooks(NamedTuple):
@@ -107,7 +106,7 @@ def search_block(queries: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, vector
     sizes = np.diff(np.r_[starts, len(order)])
     first = order[starts]
     columns, code = np.ascontiguousarray(vectors[first].T.astype(np.float64)), [np.ascontiguousarray(c, np.intp) for c in codes[first].T]
-    pool = min(len(first), max(LEAST_POOL, -(-len(first) // POOL_SHARE)))
+    pool = min(len(first), POOL)
     few = np.minimum(sizes, k + 1)
     for i in range(0, len(queries), 64):
         q = queries[i : i + 64]
@@ -168,9 +167,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, metric: str = "
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = good.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(SAMPLE).select("v").toArrow()
     books = train(_matrix(sample.column("v"), d))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(-(-total // ROWS), min(least, -(-total // 1024)))
-    query_blocks = -(-total // (every * QUERIES))
+    blocks, query_blocks = -(-total // ROWS), -(-total // (every * QUERIES))
 
     def indexed(table: pa.Table) -> pa.Table:
         ids, x = _once(table, d)

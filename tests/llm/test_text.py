@@ -321,6 +321,31 @@ def test_neighbours_recall_ties_and_edges(spark):
     assert got[got.query_id == 120].vec_id.tolist()[:5] == [100, 101, 102, 103, 104]
 
 
+@pytest.mark.parametrize("sf", ["sf0.1", "sf0.01"])
+def test_recall_on_the_real_table(spark, sf):
+    """All queries of the table against brute force; a session setting changes nothing."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    given = [(r["vec_id"], r["embedding"]) for r in table.collect() if r["embedding"] is not None]
+    ids, x = np.array([i for i, _ in given]), np.array([v for _, v in given], np.float64)
+    keep = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    ids, x = ids[keep], x[keep]
+    got = ann.neighbours(table).toPandas()
+    hits = []
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hits.append(len(set(ids[np.lexsort((ids, -s))[:20]]) & set(got.vec_id[got.query_id == q])) / 20)
+    assert len(hits) == got.query_id.nunique() and np.mean(hits) >= 0.9
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        again = ann.neighbours(table).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    key = ["query_id", "rank"]
+    assert got.sort_values(key, ignore_index=True).equals(again.sort_values(key, ignore_index=True))
+
+
 def test_few_vectors_and_none(spark):
     kind = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.4, 0.5]), (2, [0.5, 0.5]), (20, [1.0, 0.0])], kind)
