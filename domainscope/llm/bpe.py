@@ -8,7 +8,8 @@ n bytes takes O(n log n) steps whatever its length, so a single run of a million
 
 One queue serves many pieces: the pieces of a group of texts that aren't remembered lie behind one another, with a barrier
 after each that no pair reaches over. Merges in different pieces don't touch, so that the lowest rank of all is the lowest of its
-piece, too, and a rank's bits are set and found once for all pieces. Texts are read GROUP characters at a time or so; what is
+piece, too, and a rank's bits are set and found once for all pieces; a bucket's merges are made together, as array operations, up to the first in each
+piece after which a lower rank would be next. Texts are read GROUP characters at a time or so; what is
 held beside a text and its ids doesn't grow with either.
 
 Edge cases: null text is empty; an empty text gives no ids, the digest of the empty string, and decodes to b"".
@@ -37,16 +38,29 @@ class RankQueue:
         self.low = [0] * ((ranks >> 6) + 1)
         self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[np.ndarray]] = {}
 
-    def open(self, rank: int, positions: list[int]) -> None:
-        self.buckets[rank] = positions
+    def push(self, rank: int, positions: np.ndarray) -> None:
+        if (bucket := self.buckets.get(rank)) is not None:
+            bucket.append(positions)
+            return
+        self.buckets[rank] = [positions]
         self.low[rank >> 6] |= 1 << (rank & 63)
         self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
         self.top |= 1 << (rank >> 12)
 
-    def take(self) -> tuple[int, list[int]]:
-        """The lowest open rank and its bucket, which is closed."""
+    def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Each position to the bucket of its rank; a negative rank is none."""
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        starts = [0, *cuts.tolist(), len(ranks)]
+        for r, a, b in zip(ranks[starts[:-1]].tolist(), starts, starts[1:], strict=False):
+            if r >= 0:
+                self.push(r, positions[a:b])
+
+    def take(self) -> tuple[int, np.ndarray]:
+        """The lowest open rank and its positions, ascending, each once; its bucket is closed."""
         a = (self.top & -self.top).bit_length() - 1
         word = self.mid[a]
         b = (a << 6) + (word & -word).bit_length() - 1
@@ -57,7 +71,9 @@ class RankQueue:
             self.mid[a] &= self.mid[a] - 1
             if not self.mid[a]:
                 self.top &= self.top - 1
-        return rank, self.buckets.pop(rank)
+        bucket = self.buckets.pop(rank)
+        positions = np.sort(bucket[0] if len(bucket) == 1 else np.concatenate(bucket))
+        return rank, positions[np.r_[True, positions[1:] != positions[:-1]]]
 
 
 class ByteBpe:
@@ -66,15 +82,20 @@ class ByteBpe:
     #: Pieces up to so many characters are remembered, about KEEP of them; when there are more, those of the last group.
     SHORT, KEEP = 24, 300_000
     #: Characters of the texts that are encoded together.
-    GROUP = 1 << 20
-    _NONE, _BARRIER = -1, -2
+    GROUP = 3 << 20
+    _NONE = -1
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.size = max(ranks.values()) + 1
+        self.queue = RankQueue(self.size)
         self.tokens = {i: t for t, i in ranks.items()}
-        self.two = np.array([ranks.get(bytes((a, b)), self._NONE) for a in range(256) for b in range(256)], np.int32)
+        self.byte_ids = np.array([ranks.get(bytes((a,)), self._NONE) for a in range(256)], np.int64)
+        get = ranks.get
+        pairs = sorted((a * self.size + b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None)
+        #: Of each two tokens that make one: their ids as one number, ascending, and its rank.
+        self.pairs, self.merged = (np.array(c, np.int64) for c in zip(*pairs, strict=True)) if pairs else (np.array([-1]), np.array([-1]))
         self.known: dict[str, tuple[int, ...]] = {}
 
     @classmethod
@@ -82,71 +103,65 @@ class ByteBpe:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
         return cls(ranks, pattern)
 
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.merged[at], self._NONE)
+
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each piece, by one queue for all of them."""
         data = b"\0".join(pieces) + b"\0"
-        barriers = np.cumsum([len(p) + 1 for p in pieces]) - 1
-        byte = np.frombuffer(data, np.uint8).astype(np.int32)
-        pair = np.full(len(data), self._NONE, np.int32)
-        pair[:-1] = self.two[(byte[:-1] << 8) | byte[1:]]
-        pair[barriers - 1] = self._NONE
-        pair[barriers] = self._BARRIER
-        now = pair.tolist()  # the rank of the pair that starts here
-        after, before = list(range(1, len(data) + 1)), list(range(-1, len(data) - 1))
-        queue, ranks, none, barrier = self.queue, self.ranks, self._NONE, self._BARRIER
-        buckets, rank_of = queue.buckets, ranks.get
-        order = np.argsort(pair, kind="stable")[np.count_nonzero(pair < 0) :]
-        if len(order):
-            sorted_ranks = pair[order]
-            starts = np.flatnonzero(np.r_[True, sorted_ranks[1:] != sorted_ranks[:-1]])
-            for r, positions in zip(sorted_ranks[starts].tolist(), np.split(order, starts[1:]), strict=True):
-                queue.open(r, positions.tolist())
+        n, barriers = len(data), np.cumsum([len(p) + 1 for p in pieces]) - 1
+        token = self.byte_ids[np.frombuffer(data, np.uint8)]
+        if (token < 0).any():
+            raise ValueError("the vocabulary lacks a byte")
+        barrier, alive = np.zeros(n, bool), np.ones(n, bool)
+        barrier[barriers] = True
+        alive[barriers] = False
+        now = np.full(n, self._NONE)  # the rank of the pair that starts here
+        now[:-1] = np.where(barrier[1:] | barrier[:-1], self._NONE, self._rank_of(token[:-1], token[1:]))
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # the last slot is a barrier, and so is the one before the first
+        queue, none = self.queue, self._NONE
+        queue.push_all(now, np.arange(n))
         while queue.top:
-            rank, bucket = queue.take()
-            bucket.sort()
-            for n, i in enumerate(bucket):
-                if now[i] != rank:
-                    continue
-                j = after[i]
-                k = after[j]
-                now[j] = none
-                after[i] = k
-                before[k] = i
-                lowest = rank
-                if now[k] != barrier:
-                    r = now[i] = rank_of(data[i : after[k]], none)
-                    if r >= 0:
-                        if (b := buckets.get(r)) is not None:
-                            b.append(i)
-                        else:
-                            queue.open(r, [i])
-                        lowest = r
-                else:
-                    now[i] = none
-                h = before[i]
-                if h >= 0 and now[h] != barrier:
-                    r = now[h] = rank_of(data[h:k], none)
-                    if r >= 0:
-                        if (b := buckets.get(r)) is not None:
-                            b.append(h)
-                        else:
-                            queue.open(r, [h])
-                        if r < lowest:
-                            lowest = r
-                if lowest < rank:  # a vocabulary in which a longer token has a lower rank: that one is first
-                    if rest := bucket[n + 1 :]:
-                        queue.open(rank, rest)
-                    break
-        out, i = [], 0
-        for end in barriers.tolist():
-            ids = []
-            while i < end:
-                k = after[i]
-                ids.append(ranks[data[i:k]])
-                i = k
-            out.append(tuple(ids))
-            i = end + 1
-        return out
+            rank, at = queue.take()
+            at = at[now[at] == rank]
+            if len(at) > 1 and (touching := after[at[:-1]] == at[1:]).any():  # in a run of overlapping pairs every second is left
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(np.r_[True, ~touching], place, 0))) % 2 == 0]
+            if not len(at):
+                continue
+            second = after[at]
+            right, left = after[second], before[at]
+            follows = right[:-1] == at[1:]
+            left[1:][follows] = at[:-1][follows]
+            left_token = token[left]
+            left_token[1:][follows] = rank
+            both = self._rank_of(np.concatenate([np.full(len(at), rank), left_token]), np.concatenate([token[right], np.full(len(at), rank)]))
+            rank_right, rank_left = both[: len(at)], both[len(at) :]
+            rank_right[barrier[right]] = none
+            rank_left[barrier[left]] = none
+            lower = ((rank_right >= 0) & (rank_right < rank)) | ((rank_left >= 0) & (rank_left < rank))
+            if lower.any():  # in these pieces another rank is next after the first such merge
+                piece = np.searchsorted(barriers, at)
+                seen = np.cumsum(lower) - lower
+                first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+                stay = seen == np.repeat(seen[first], np.diff(np.r_[first, len(at)]))
+                if not stay.all():
+                    queue.push(rank, at[~stay])
+                    at, second, right, left, rank_right, rank_left = (x[stay] for x in (at, second, right, left, rank_right, rank_left))
+            token[at] = rank
+            now[second] = none
+            alive[second] = False
+            after[at] = right
+            before[right] = at
+            now[at] = rank_right
+            there = ~barrier[left]
+            now[left[there]] = rank_left[there]
+            queue.push_all(np.concatenate([rank_right, rank_left]), np.concatenate([at, left]))
+        ids = token[alive].tolist()
+        ends = np.cumsum(np.add.reduceat(alive, np.r_[0, barriers[:-1] + 1], dtype=np.int64)).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def learn(self, pieces: set[str]) -> None:
         """Has the ids of all these pieces in ``known``."""
