@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
-from .words import SECOND, U, parts, two_hashes, windows
+from .words import BASE, SECOND, U, parts, two_hashes, windows
 
 _NULL_ID = np.iinfo(np.int64).min
 _PART_BYTES = 4 << 20
@@ -53,59 +53,65 @@ def _packed(docs: DataFrame, chunks: int) -> DataFrame:
 
 
 class _Chunk:
-    """The documents of a chunk by ascending doc_id, their words, and the distinct windows by bucket."""
-
-    def __init__(self, table: pa.Table, k: int, buckets: int, keep_words: bool):
-        ids = table.column("doc_id").to_pylist()
-        self.ids = np.array([_NULL_ID if i is None else i for i in ids], np.int64)
-        self.order = np.argsort(self.ids, kind="stable")
-        packed = table.column("packed")
-        inflate = zstandard.ZstdDecompressor().decompress
-        self.words: list[list[bytes] | None] = []
-        self.counts: list[int] = []
-        first, second = [], []
-        for i in self.order:
-            words = inflate(packed[int(i)].as_py(), max_output_size=(1 << 31) - 1).split()
-            one, two = two_hashes(words)
-            first.append(windows(one, k))
-            second.append(windows(two, k, SECOND))
-            self.counts.append(len(words))
-            self.words.append(words if keep_words else None)
-        self.sizes = np.array([len(x) for x in first], np.int64)
-        one, two = (np.concatenate(x) if x else np.empty(0, U) for x in (first, second))
-        order, starts = _grouped(one, two)
-        #: of each place its distinct window; of each distinct window its first place (so the smallest doc_id) and hashes
-        self.inverse = np.empty(len(order), np.int64)
-        self.inverse[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
-        self.first = order[starts]
-        self.one, self.two = one[self.first], two[self.first]
-        self.owner = np.repeat(self.ids[self.order], self.sizes)
-        bucket = ((self.two & _LOW) % U(buckets)).astype(np.int64)
-        self.by_bucket = np.lexsort((self.first, bucket))
+    """The documents of a chunk by ascending doc_id, and the distinct windows by bucket. Texts stay packed; words are cut again when they are needed."""
+
+    def __init__(self, table: pa.Table, k: int, buckets: int):
+        ids = np.array([_NULL_ID if i is None else i for i in table.column("doc_id").to_pylist()], np.int64)
+        self.packed, self.order = table.column("packed"), np.argsort(ids, kind="stable")
+        self.ids, sizes = ids[self.order], []
+        hashed: tuple[list, list] = [], []
+        for n in range(len(ids)):
+            for h, base, each in zip(two_hashes(self.words(n)), (BASE, SECOND), hashed, strict=True):
+                each.append(windows(h, k, base))
+            sizes.append(len(hashed[0][-1]))
+        self.sizes, self.ends = np.array(sizes, np.int64), np.cumsum(sizes, dtype=np.int64)
+        self.one, self.two = (np.concatenate(x) if x else np.empty(0, U) for x in hashed)
+        del hashed
+        #: an order of the places by window, where each distinct window starts in it, and its first place (so the smallest doc_id)
+        self.places, self.starts = _grouped(self.one, self.two)
+        self.first = self.places[self.starts]
+        self.one, self.two = self.one[self.first], self.two[self.first]
+        self.first_id = self.ids[np.searchsorted(self.ends, self.first, "right")]
+        bucket = ((self.two & _LOW) % U(buckets)).astype(np.int32)
+        self.by_bucket = np.lexsort((self.first, bucket)).astype(np.int32)
         self.edges = np.searchsorted(bucket[self.by_bucket], np.arange(buckets + 1))
 
+    def words(self, n: int) -> list[bytes]:
+        """Of the n-th document."""
+        return zstandard.ZstdDecompressor().decompress(self.packed[int(self.order[n])].as_py(), max_output_size=(1 << 31) - 1).split()
+
+    def flagged(self, later: np.ndarray) -> np.ndarray:
+        """The places whose window a smaller doc_id has; later: the distinct windows that one of another chunk has."""
+        out = np.empty(len(self.places), bool)
+        each = np.diff(np.r_[self.starts, len(self.places)])
+        own = np.repeat(self.ids, self.sizes)[self.places]
+        out[self.places] = np.repeat(later, each) | (np.repeat(self.first_id, each) < own)
+        return out
+
 
 def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal pairs stand together, each by ascending place, and where each distinct pair starts in it."""
-    order = np.argsort(one, kind="stable")
-    a, b = one[order], two[order]
-    same = a[1:] == a[:-1]
-    if (same & (b[1:] != b[:-1])).any():  # equal first hashes of different windows
-        order = np.lexsort((two, one))
+    def differ(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = one[order], two[order]
-        same = a[1:] == a[:-1]
-    return order, np.flatnonzero(np.r_[np.ones(min(1, len(a)), bool), ~(same & (b[1:] == b[:-1]))])
+        return a[1:] != a[:-1], b[1:] != b[:-1]
+
+    order = np.argsort(one, kind="stable").astype(np.int32)
+    a, b = differ(order)
+    if (b & ~a).any():  # equal first hashes of different windows
+        order = np.lexsort((two, one)).astype(np.int32)
+        a, b = differ(order)
+    return order, np.flatnonzero(np.r_[np.ones(min(1, len(order)), bool), a | b]).astype(np.int32)
 
 
 def _send(k: int, buckets: int):
     """For each bucket a blob: the number of owners, the owners, the number of each one's windows, and the windows' two hashes."""
 
     def run(table: pa.Table) -> pa.Table:
-        c = _Chunk(table, k, buckets, False)
+        c = _Chunk(table, k, buckets)
         chunk, rows, short = table.column("chunk")[0].as_py(), [], (c.two >> U(48)).astype(np.uint16)
         for b in np.flatnonzero(np.diff(c.edges)).tolist():
             at = c.by_bucket[c.edges[b] : c.edges[b + 1]]
-            owners = c.owner[c.first[at]]
+            owners = c.first_id[at]
             starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
             runs = np.diff(np.r_[starts, len(at)]).astype(np.uint32)
             rows.append((b, chunk, np.uint32(len(starts)).tobytes() + owners[starts].tobytes() + runs.tobytes() + c.one[at].tobytes() + short[at].tobytes()))
@@ -155,21 +161,20 @@ def _remove(k: int, buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _DONE.empty_table()
-        c = _Chunk(table, k, buckets, True)
+        c = _Chunk(table, k, buckets)
         later = np.zeros(len(c.first), bool)
         for b, places in zip(answers.column("bucket").to_pylist(), answers.column("places").to_pylist(), strict=True):
             later[c.by_bucket[c.edges[b] : c.edges[b + 1]][np.frombuffer(places, np.uint32)]] = True
-        flagged = later[c.inverse] | (c.owner[c.first][c.inverse] < c.owner) if len(c.inverse) else np.zeros(0, bool)
-        rows, at = [], 0
-        for i, words, n, size in zip(c.ids[c.order].tolist(), c.words, c.counts, c.sizes.tolist(), strict=True):
-            cuts = _intervals(flagged[at : at + size], k)
+        flagged, rows, at = c.flagged(later), [], 0
+        for n, (i, size) in enumerate(zip(c.ids.tolist(), c.sizes.tolist(), strict=True)):
+            words, cuts = c.words(n), _intervals(flagged[at : at + size], k)
             at += size
             kept, last = [], 0
             for a, b in cuts:
                 kept += words[last:a]
                 last = b
             kept = kept + words[last:] if cuts else words
-            rows.append((None if i == _NULL_ID else i, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"start": a, "end": b} for a, b in cuts]))
+            rows.append((None if i == _NULL_ID else i, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"start": a, "end": b} for a, b in cuts]))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _DONE.types, strict=True)], schema=_DONE)
 
     return run

@@ -650,7 +650,7 @@ def test_windows_of_equal_first_hash_are_told_apart(monkeypatch):
     import zstandard
 
     real = substring_dedup.windows
-    monkeypatch.setattr(substring_dedup, "windows", lambda h, k, *base: real(h, k, *base) * np.uint64(bool(base)))
+    monkeypatch.setattr(substring_dedup, "windows", lambda h, k, base: real(h, k, base) * np.uint64(base == substring_dedup.SECOND))
     rng = np.random.default_rng(5)
     given = [(i, " ".join(rng.choice([f"w{j}" for j in range(300)], 60))) for i in range(8)]
     given += [(20 + i, f"a{i} " + given[i][1][:150] + f" b{i}") for i in range(4)] + [(30, given[0][1])]
