@@ -562,30 +562,76 @@ def subset_grid(spark, d):
 
 
 def _bss(spark, d) -> selection.Selection:
-    p = ["q", "d", "t", "n"]
-    return selection.all_subsets(p, learners.LinearEvaluator(views.reg(spark, d), p, "obs", "fold"), "rmse", False, threads=1)
-
-
-@query()
+    return selection.all_subsets(_PREDICTORS, learners.LinearEvaluator(views.reg(spark, d), _PREDICTORS, "obs", "fold"), "rmse", False, threads=1)
+
+
+def _ols_sql(names: list[str]) -> str:
+    """CTEs up to `perf`: the held-out error of ordinary least squares for every subset of two predictors or more.
+
+    One elimination for all subsets and folds: a predictor that a subset leaves out has a unit row, so that its coefficient is 0."""
+    x, n = ["1.0", *names], len(names) + 1
+    at = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = ", ".join([f"sum({x[i]}*{x[j]}) AS s{i}{j}" for i, j in at] + [f"sum({x[i]}*obs) AS y{i}" for i in range(n)] + ["sum(obs*obs) AS yy", "count(*)::DOUBLE AS rows"])
+    keep = lambda i: f"in{i}" if i else "1"
+    first = ", ".join([f"{keep(i)}*{keep(j)}*(t.s{i}{j}-g.s{i}{j}){f' + (1-{keep(i)})' if i == j else ''} AS a{i}{j}" for i, j in at] + [f"{keep(i)}*(t.y{i}-g.y{i}) AS b{i}" for i in range(n)])
+    totals = ", ".join(f"sum({c}) AS {c}" for c in [f"s{i}{j}" for i, j in at] + [f"y{i}" for i in range(n)])
+    ctes = [
+        f"bit AS (SELECT m, {', '.join(f'(m >> {i - 1}) & 1 AS in{i}' for i in range(1, n))}, bit_count(m) AS nvar FROM range(1, {2 ** (n - 1)}) r(m) WHERE bit_count(m) > 1)",
+        f"g AS MATERIALIZED (SELECT fold, {sums} FROM reg GROUP BY fold)", f"tot AS (SELECT {totals} FROM g)",
+        f"e0 AS (SELECT m, fold, {first} FROM bit, g, tot t)",
+    ]
+    for k in range(n - 1):
+        old = [f"a{i}{j}" for i, j in at if i <= k] + [f"b{i}" for i in range(k + 1)]
+        new = [f"a{i}{j} - a{k}{i}*a{k}{j}/a{k}{k} AS a{i}{j}" for i, j in at if i > k] + [f"b{i} - a{k}{i}*b{k}/a{k}{k} AS b{i}" for i in range(k + 1, n)]
+        ctes.append(f"e{k + 1} AS (SELECT m, fold, {', '.join(old + new)} FROM e{k})")
+    for k in reversed(range(n)):
+        rest = "".join(f" - a{k}{j}*c{j}" for j in range(k + 1, n))
+        ctes.append(f"c{k}_ AS (SELECT *, (b{k}{rest})/a{k}{k} AS c{k} FROM {f'c{k + 1}_' if k < n - 1 else f'e{n - 1}'})")
+    square = " + ".join(f"{'' if i == j else '2*'}c{i}*c{j}*g.s{i}{j}" for i, j in at)
+    ctes.append(f"f AS (SELECT m, fold, sqrt((g.yy - 2*({' + '.join(f'c{i}*g.y{i}' for i in range(n))}) + {square})/g.rows) AS v FROM c0_ JOIN g USING (fold))")
+    ctes.append("perf AS (SELECT m, round(avg(v),4) AS rmse, round(stddev_samp(v)/sqrt(count(*)),4) AS se, any_value(nvar) AS nvar FROM f JOIN bit USING (m) GROUP BY m)")
+    return ", ".join(ctes)
+
+
+_PREDICTORS = ["q", "d", "t", "n"]
+_OLS = _ols_sql(_PREDICTORS)
+_NAMES = f"[{', '.join(repr(p) for p in _PREDICTORS)}]"
+#: The predictors of a subset in their order; all subsets by size, then in the order of combinations.
+_SUBSETS = f"{_OLS}, sub AS (SELECT *, list_filter({_NAMES}, lambda x, i: (m >> (i - 1)) & 1 = 1) AS vars, list_filter(range(1, 5), lambda i: (m >> (i - 1)) & 1 = 1) AS places FROM perf)"
+#: The forward search without early stopping: b2, b3 and b4 are the best of each size on its path, try3 what its third round tried.
+_FFS = f"""{_SUBSETS}, two AS (SELECT *, row_number() OVER (ORDER BY places) AS run FROM sub WHERE nvar=2), b2 AS (SELECT * FROM two ORDER BY rmse, run LIMIT 1),
+    try3 AS (SELECT s.*, list_append(b2.vars, list_filter(s.vars, lambda x: NOT list_contains(b2.vars, x))[1]) AS path, 6 + row_number() OVER (ORDER BY list_filter(s.places, lambda x: NOT list_contains(b2.places, x))[1]) AS run FROM sub s, b2 WHERE s.nvar=3 AND (s.m & b2.m) = b2.m),
+    b3 AS (SELECT * FROM try3 ORDER BY rmse, run LIMIT 1), b4 AS (SELECT s.*, list_append(b3.path, list_filter(s.vars, lambda x: NOT list_contains(b3.path, x))[1]) AS path FROM sub s, b3 WHERE s.nvar=4)"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 4) for c in ("rmse", "se") if c in df.columns})
+
+
+@query(f"{_SUBSETS}, top AS (SELECT *, min(rmse) OVER (PARTITION BY nvar) AS least FROM sub) SELECT CAST(nvar AS BIGINT) AS nvar, rmse, array_to_string(vars, ', ') AS variables FROM top WHERE rmse=least", "reg")
 def best_per_size(spark, d):
-    return _bss(spark, d).best_per_size(spark)
+    return _rounded(_bss(spark, d).best_per_size(spark))
 
 
-@query()
+@query(f"{_SUBSETS} SELECT row_number() OVER (ORDER BY nvar, places) AS run, vars[1] AS var1, vars[2] AS var2, vars[3] AS var3, vars[4] AS var4, rmse, se, CAST(nvar AS BIGINT) AS nvar FROM sub", "reg")
 def bss_lm(spark, d):
-    return _bss(spark, d).perf_all(spark)
+    return _rounded(_bss(spark, d).perf_all(spark))
 
 
-@query()
+@query(
+    f"{_FFS}, u AS (SELECT run, vars AS path, rmse, se, nvar FROM two UNION ALL SELECT run, path, rmse, se, nvar FROM try3 UNION ALL SELECT 9, path, rmse, se, nvar FROM b4) "
+    "SELECT run, path[1] AS var1, path[2] AS var2, path[3] AS var3, path[4] AS var4, rmse, se, CAST(nvar AS BIGINT) AS nvar FROM u", "reg",
+)
 def ffs_lm(spark, d):
-    p = ["q", "d", "t", "n"]
-    return selection.forward(p, learners.LinearEvaluator(views.reg(spark, d), p, "obs", "fold"), "rmse", False, early_stopping=False, threads=1).perf_all(spark)
+    return _rounded(selection.forward(_PREDICTORS, learners.LinearEvaluator(views.reg(spark, d), _PREDICTORS, "obs", "fold"), "rmse", False, early_stopping=False, threads=1).perf_all(spark))
 
 
-@query()
+@query(
+    f"{_FFS} SELECT CAST(1 AS BIGINT) AS step, array_to_string(vars, ' + ') AS label, rmse, se FROM b2 UNION ALL SELECT 2, array_to_string(b3.path, ' + '), b3.rmse, b3.se FROM b3, b2 WHERE b3.rmse < b2.rmse "
+    "UNION ALL SELECT 3, array_to_string(b4.path, ' + '), b4.rmse, b4.se FROM b4, b3, b2 WHERE b3.rmse < b2.rmse AND b4.rmse < b3.rmse", "reg",
+)
 def ffs_plot(spark, d):
-    p = ["q", "d", "t", "n"]
-    return selection.forward(p, learners.LinearEvaluator(views.reg(spark, d), p, "obs", "fold"), "rmse", False, threads=1).plot_data(spark)
+    return _rounded(selection.forward(_PREDICTORS, learners.LinearEvaluator(views.reg(spark, d), _PREDICTORS, "obs", "fold"), "rmse", False, threads=1).plot_data(spark))
 
 
 @query()
