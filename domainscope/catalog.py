@@ -34,7 +34,7 @@ def query(sql: str | None = None, *needs: str) -> Callable[[Query], Query]:
         run.__doc__ = f.__doc__
         QUERIES[f.__name__] = run
         if sql is not None:
-            ORACLES[f.__name__] = ("WITH " + ", ".join(views.SQL[n] for n in needs) + (", " if needs and not sql.lstrip().upper().startswith("SELECT") else " ") if needs else "") + sql.strip()
+            ORACLES[f.__name__] = ("WITH RECURSIVE " + ", ".join(views.SQL[n] for n in needs) + (", " if needs and not sql.lstrip().upper().startswith("SELECT") else " ") if needs else "") + sql.strip()
         return f
 
     return add
@@ -185,15 +185,12 @@ def nn_time_self(spark, d):
     return _dist(geodist.time_distances(views.tm(spark, d).where("train"), None, "ts", "id", "hours"))
 
 
-@query(f"SELECT i.id, CAST(i.unit%5 AS BIGINT) AS fold, round({_GAP},6) AS dist FROM tm i, tm j WHERE i.train AND j.train AND i.id%10=0 AND j.id%10=0 AND i.unit%5<>j.unit%5 GROUP BY ALL", "tm")
+@query(
+    "tr AS (SELECT id, epoch_us(ts) AS t, unit%5 AS f FROM tm WHERE train), rf AS (SELECT g.f, r.t FROM (SELECT DISTINCT f FROM tr) g JOIN tr r ON r.f<>g.f), "
+    "ne AS (SELECT i.id, i.f, i.t-r.t AS gap FROM tr i ASOF JOIN rf r ON i.f=r.f AND i.t>=r.t UNION ALL SELECT i.id, i.f, r.t-i.t FROM tr i ASOF JOIN rf r ON i.f=r.f AND i.t<=r.t) "
+    "SELECT id, CAST(any_value(f) AS BIGINT) AS fold, round(min(gap)/3600e6,6) AS dist FROM ne GROUP BY id", "tm",
+)
 def nn_time_cv(spark, d):
-    train = views.tm(spark, d).where("train and id % 10 = 0").withColumn("fold", F.col("unit") % 5)
-    return _dist(geodist.time_cv_distances(train, "ts", "id", "fold", "hours"), fold=True)
-
-
-@query()
-def nn_time_cv_whole(spark, d):
-    """nn_time_cv over all training events; its SQL, a join of all pairs, reads a tenth of them."""
     train = views.tm(spark, d).where("train").withColumn("fold", F.col("unit") % 5)
     return _dist(geodist.time_cv_distances(train, "ts", "id", "fold", "hours"), fold=True)
 
@@ -335,16 +332,33 @@ def aoa_grid_masked(spark, d):
     return applicability.masked(applicability.aoa(new, model), "layer").select("id", r6("di", "di"), "aoa")
 
 
-@query()
+def _kde(values: str, name: str) -> str:
+    """CTEs up to `name`: x and density of a Gaussian kernel estimate of the column v of `values`, counted in 8,192 cells, at 512 points."""
+    return f"""{name}_s AS (SELECT count(v)::DOUBLE AS n, stddev_samp(v) AS sd, (quantile_cont(v,0.75)-quantile_cont(v,0.25))/1.34 AS iqr, min(v) AS lo, max(v) AS hi FROM {values}),
+    {name}_h AS (SELECT *, 0.9*least(nullif(sd,0),nullif(iqr,0))*pow(n,-0.2) AS h, (hi-lo)/8192 AS wd FROM {name}_s),
+    {name}_c AS (SELECT any_value(lo)+(least(floor((v-lo)/wd),8191)+0.5)*any_value(wd) AS mid, count(*) AS k FROM {values}, {name}_h WHERE v IS NOT NULL GROUP BY least(floor((v-lo)/wd),8191)),
+    {name}_x AS (SELECT lo-3*h+i*((hi-lo+6*h)/511) AS x, h, n FROM range(512) r(i), {name}_h),
+    {name} AS (SELECT round(x,6) AS x, round(sum(exp(-0.5*((x-mid)/h)*((x-mid)/h))*k)/any_value(n*h*sqrt(2*pi())),9) AS density FROM {name}_x, {name}_c GROUP BY x)"""
+
+
+def _curve(df: DataFrame) -> DataFrame:
+    return df.withColumns({"x": F.round("x", 6), "density": F.round("density", 9)} | ({"threshold": F.round("threshold", 6)} if "threshold" in df.columns else {}))
+
+
+@query(
+    f"{_DICV}, {_NEW}, tl AS (SELECT id, count(*) FILTER (d/dbar < thr) AS lpd FROM pr, g, th WHERE fi<>fj GROUP BY id), v1 AS (SELECT train_di AS v FROM di), v2 AS (SELECT di AS v FROM n), v3 AS (SELECT lpd::DOUBLE AS v FROM tl), "
+    f"v4 AS (SELECT lpd::DOUBLE AS v FROM n), {_kde('v1', 'k1')}, {_kde('v2', 'k2')}, {_kde('v3', 'k3')}, {_kde('v4', 'k4')} "
+    "SELECT x, density, 'train' AS what, round(thr,6) AS threshold FROM k1, th UNION ALL SELECT x, density, 'target', round(thr,6) FROM k2, th UNION ALL SELECT x, density, 'train', NULL FROM k3 UNION ALL SELECT x, density, 'target', NULL FROM k4", "feat",
+)
 def aoa_plot(spark, d):
     f, model = _model(spark, d, fold="fold", lpd=True)
     found = applicability.aoa(f.where("not train"), model, lpd=True)
-    return found.plot_data("di").unionByName(found.plot_data("lpd"))
+    return _curve(found.plot_data("di").unionByName(found.plot_data("lpd")))
 
 
-@query()
+@query(f"{_DI}, v1 AS (SELECT train_di AS v FROM di), {_kde('v1', 'k1')} SELECT x, density, round(thr,6) AS threshold FROM k1, th", "feat")
 def train_di_plot(spark, d):
-    return _model(spark, d)[1].plot_data()
+    return _curve(_model(spark, d)[1].plot_data())
 
 
 # -- distance distributions
@@ -405,9 +419,9 @@ def density_hist(spark, d):
     return distributions.histogram(views.xy(spark, d), "x", 20).select("bin", r6("left", "left"), r6("right", "right"), "n", F.round("density", 9).alias("density"))
 
 
-@query()
+@query(f"v1 AS (SELECT x AS v FROM xy), {_kde('v1', 'k1')} SELECT x, density FROM k1", "xy")
 def density_kernel(spark, d):
-    return distributions.kernel_density(views.xy(spark, d), "x")
+    return _curve(distributions.kernel_density(views.xy(spark, d), "x"))
 
 
 # -- folds
@@ -519,10 +533,18 @@ def error_profile_log(spark, d):
     return spark.createDataFrame([(round(a, 4), round(b, 4))], "intercept double, slope double")
 
 
-@query()
+#: The closest monotone sequence by its min-max formula, over the means of 2,000 cells; between cells on a line.
+_ISO = f"""{_SC}, {_WDI}, p AS (SELECT rank, di, rmse FROM w WHERE k=5), lim AS (SELECT min(di) AS lo, (max(di)-min(di))/2000 AS wd FROM p),
+    ce AS (SELECT row_number() OVER (ORDER BY v) AS i, * FROM (SELECT avg(di) AS v, avg(rmse) AS y, count(*)::DOUBLE AS nw FROM p, lim GROUP BY floor((di-lo)/wd))), cu AS (SELECT *, sum(nw) OVER (ORDER BY i) AS sw, sum(nw*y) OVER (ORDER BY i) AS sy FROM ce),
+    pa AS (SELECT a.i AS j, b.i AS k, (b.sy-a.sy+a.nw*a.y)/(b.sw-a.sw+a.nw) AS m FROM cu a, cu b WHERE a.i<=b.i), lo AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM pa), iso AS (SELECT k AS i, max(m) AS fit FROM lo GROUP BY k),
+    kn AS (SELECT v, fit, lead(v) OVER (ORDER BY v) AS v1, lead(fit) OVER (ORDER BY v) AS fit1 FROM iso JOIN ce USING (i)), en AS (SELECT min(v) AS first, min(fit) AS low FROM kn)"""
+
+
+@query(f"{_ISO} SELECT rank, round(di,6) AS di, round(rmse,6) AS rmse, round(CASE WHEN di<first THEN low WHEN v1 IS NULL THEN fit ELSE fit+(di-v)*((fit1-fit)/(v1-v)) END,6) AS fitted FROM en, p ASOF LEFT JOIN kn ON p.di>=kn.v", "feat")
 def error_profile_isotonic(spark, d):
     rows, t = _scored(spark, d)
-    return profiles.error_profile(rows, "id", "di", t, calibration="isotonic").plot_data()
+    found = profiles.error_profile(rows, "id", "di", t, calibration="isotonic").plot_data()
+    return found.select("rank", *(r6(c, c) for c in ("di", "rmse", "fitted")))
 
 
 @query()
@@ -650,16 +672,42 @@ def _points(spark, d) -> tuple[DataFrame, DataFrame]:
     return p.where("train"), p.where("not train")
 
 
-@query()
+#: The greedy removal as steps over pointers: a row's neighbours go nearest first, so that its state is how many of its distances are gone. Distances
+#: of a row that are equal go together, and a row's last distance is followed by infinity.
+def _nndm_sql(pred: str, rows: str, metric: str) -> str:
+    """CTEs up to `fin`, the last pointers and nearest distances; rows: the numbers that metric compares, of the training rows."""
+    return f"""{pred}, tr AS ({rows}), ti AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM tr), pr AS (SELECT i.i AS i, j.i AS j, {metric} AS v FROM ti i, ti j WHERE i.i<>j.i), cnt AS (SELECT count(*) AS n FROM ti),
+    gs AS (SELECT list(v ORDER BY v) AS s, max(v) AS top, count(*) AS m FROM pred), phi AS (SELECT greatest(max(v), any_value(top))+1e-9 AS phi FROM pr, gs),
+    dv AS (SELECT i, v, count(*) AS k FROM pr GROUP BY i, v), dl AS (SELECT i, list(v ORDER BY v) || ['Infinity'::DOUBLE] AS vs, list(k ORDER BY v) AS ks FROM dv GROUP BY i),
+    mat AS MATERIALIZED (SELECT list(vs ORDER BY i) AS vs, list(ks ORDER BY i) AS ks FROM dl),
+    near(step, r, p, nr, lft) AS (
+        SELECT 0, list_min(list_transform(vs, lambda x: x[1])), list_transform(vs, lambda x: 1), list_transform(vs, lambda x: x[1]), list_transform(vs, lambda x: n-1) FROM mat, cnt
+        UNION ALL
+        SELECT step+1, list_min(list_filter(q.nr2, lambda x: CASE WHEN q.go THEN x>=q.r ELSE x>q.r END)), q.p2, q.nr2, q.lft2 FROM (
+            SELECT *, CASE WHEN go THEN p[:j-1] || [p[j]+1] || p[j+1:] ELSE p END AS p2, CASE WHEN go THEN nr[:j-1] || [vs[j][p[j]+1]] || nr[j+1:] ELSE nr END AS nr2, CASE WHEN go THEN lft[:j-1] || [lft[j]-ks[j][p[j]]] || lft[j+1:] ELSE lft END AS lft2 FROM (
+                SELECT *, coalesce((len(list_filter(nr, lambda x: x<=r))-1)/n::DOUBLE >= len(list_filter(gs.s, lambda x: x<=r))/m::DOUBLE AND lft[j]/n::DOUBLE > 0.5, false) AS go
+                FROM (SELECT *, list_position(nr, r) AS j FROM near, phi WHERE r<=phi AND NOT isinf(r)), mat, cnt, gs)) q),
+    fin AS (SELECT p, nr FROM near ORDER BY step DESC LIMIT 1)"""
+
+
+_NNDM = _nndm_sql(_PRED, "SELECT id, x, y FROM xy WHERE train", _XY)
+_ROLES = "SELECT CAST(a.i AS BIGINT) AS fold, b.id AS row_id, CASE WHEN a.i=b.i THEN 'test' WHEN pr.v < nr[a.i] THEN 'exclude' ELSE 'train' END AS role FROM fin, ti a CROSS JOIN ti b LEFT JOIN pr ON pr.i=a.i AND pr.j=b.i"
+
+
+@query(f"{_NNDM} {_ROLES}", "xy")
 def nndm_indices(spark, d):
     x, pred = _points(spark, d)
     return matching.nndm(x, pred, "id").table(spark)
 
 
-@query()
+@query(
+    f"{_NNDM}, {_OWN}, gg AS (SELECT 'Gij' AS what, v FROM pred UNION ALL SELECT 'Gj', v FROM own UNION ALL SELECT 'Gj*', unnest(nr) FROM fin), ru AS (SELECT what, v AS r FROM gg, phi WHERE v<=phi UNION SELECT DISTINCT what, 0.0::DOUBLE FROM gg UNION SELECT DISTINCT what, phi FROM gg, phi), "
+    "ff AS (SELECT ru.what, r, count(*) FILTER (v<=r)/count(*)::DOUBLE AS f FROM ru JOIN gg USING (what) GROUP BY ALL), la AS (SELECT CASE WHEN min(f) FILTER (r=phi)>=1 THEN max(r) FILTER (f<1) ELSE any_value(phi) END AS last FROM ff, phi) "
+    "SELECT what, round(r,6) AS r, round(f,6) AS f FROM ff, la WHERE r<=last", "xy",
+)
 def nndm_plot(spark, d):
     x, pred = _points(spark, d)
-    return matching.nndm(x, pred, "id").plot_data(spark)
+    return matching.nndm(x, pred, "id").plot_data(spark).select("what", r6("r", "r"), r6("f", "f"))
 
 
 @query()
@@ -683,20 +731,70 @@ def knndm_split(spark, d):
 @query()
 def knndm_summary(spark, d):
     x, pred = _points(spark, d)
-    return matching.knndm(x, pred, "id", k=4).summary(spark)
+    return matching.knndm(x, pred, "id", k=4).summary(spark).withColumn("w", F.round("w", 4))
 
 
-@query()
+#: Random folds: to places just beside the samples it is no further than from sample to sample, as the test finds; without that no row.
+_ALL = f"be AS (SELECT id, x+10 AS x, y FROM xy WHERE train), pred AS (SELECT i.id, min({_XY}) AS v FROM be i, xy j WHERE j.train GROUP BY i.id)"
+_KS = f"ks AS (SELECT exp(-2*pow(greatest(0,max(fa-fb)),2)*(any_value(n)*any_value(m)/(any_value(n)+any_value(m)))) AS p FROM o_s, (SELECT count(*)::DOUBLE AS n FROM own), (SELECT count(*)::DOUBLE AS m FROM pred))"
+_DEALT = "od AS (SELECT *, row_number() OVER (ORDER BY md5('1:'||id), id)-1 AS place, count(*) OVER () AS n FROM {v} WHERE train)"
+_RANDOM = f"{_OWN}, {_ALL}, {_w_sql('own', 'pred', 'o')}, {_KS}, {_DEALT.format(v='xy')}, fo AS (SELECT id, x, y, CAST(place%4+1 AS INTEGER) AS deal FROM od, ks WHERE p>=0.05)"
+_STAR = f"st AS (SELECT i.id, min({_XY}) AS v FROM fo i, fo j WHERE i.deal<>j.deal GROUP BY i.id), {_w_sql('st', 'pred', 's')}"
+
+
+@query(f"{_RANDOM} SELECT id AS row_id, deal AS fold FROM fo", "xy")
+def knndm_random(spark, d):
+    x, _ = _points(spark, d)
+    return matching.knndm(x, x.withColumn("x", F.col("x") + 10), "id", k=4).table(spark)
+
+
+@query(f"{_RANDOM} SELECT id AS row_id, CASE WHEN place < floor(0.3*n) THEN 2 ELSE 1 END AS fold FROM od, ks WHERE p>=0.05", "xy")
+def knndm_random_split(spark, d):
+    x, _ = _points(spark, d)
+    return matching.knndm(x, x.withColumn("x", F.col("x") + 10), "id", test_prop=0.3).table(spark)
+
+
+@query(f"{_RANDOM}, {_STAR} SELECT 'geographical' AS space, 'kmeans' AS clustering, 'random CV' AS intermediate, round((SELECT sum(abs(fa-fb)*(nx-v)) FROM s_s),4) AS w, (SELECT string_agg(k, ', ' ORDER BY deal) FROM (SELECT deal, count(*) AS k FROM fo GROUP BY deal)) AS fold_sizes", "xy")
+def knndm_random_summary(spark, d):
+    x, _ = _points(spark, d)
+    return matching.knndm(x, x.withColumn("x", F.col("x") + 10), "id", k=4, clustering="kmeans").summary(spark).withColumn("w", F.round("w", 4))
+
+
+_FEATURE_KS = f"own AS (SELECT i.id, min({{m}}) AS v FROM {{t}} i, {{t}} j{{w}} WHERE i.train AND j.train AND i.id<>j.id GROUP BY i.id), pred AS (SELECT i.id, min({{m}}) AS v FROM {{t}} i, {{t}} j{{w}} WHERE j.train GROUP BY i.id), {_w_sql('own', 'pred', 'o')}, {_KS}, {_DEALT.format(v='feat')}"
+_FEATURE = "SELECT id AS row_id, CAST(place%5+1 AS INTEGER) AS fold FROM od, ks WHERE p>=0.05"
+
+
+@query(f"{_Z}, {_FEATURE_KS.format(m=_D, t='z', w='')} {_FEATURE}", "feat")
+def knndm_feature(spark, d):
+    """In the space of scaled predictors."""
+    f = views.feat(spark, d)
+    return matching.knndm(f.where("train"), f, "id", k=5, space="feature", variables=["a", "b"]).table(spark)
+
+
+@query(f"{_RANGE_T}, {_FEATURE_KS.format(m=_GOWER, t='feat', w=', w')} {_FEATURE}", "feat")
+def knndm_feature_mixed(spark, d):
+    """With a category, by Gower's distance."""
+    f = views.feat(spark, d)
+    return matching.knndm(f.where("train"), f, "id", k=5, space="feature", metric="gower", variables=["a", "b", "c"]).table(spark)
+
+
+@query(
+    f"{_OWN}, gp AS (SELECT i AS id, (i%32+0.5)*3125.0 AS x, (i//32+0.5)*3125.0 AS y FROM range(1024) r(i)), pd AS (SELECT i.id, min({_XY}) AS v FROM gp i, xy j WHERE i.x < 100000.0-i.y AND j.train GROUP BY i.id) "
+    "SELECT round(v,6) AS dist, 'sample-to-sample' AS what, 'geographical' AS dist_type FROM own UNION ALL SELECT round(v,6), 'prediction-to-sample', 'geographical' FROM pd", "xy",
+)
 def geodist_domain(spark, d):
     """Against a sample of a polygon instead of prediction rows."""
     found = geodist.geodist(views.xy(spark, d).where("train"), None, "id", modeldomain=grid.Domain(ring=((0.0, 0.0), (100_000.0, 0.0), (0.0, 100_000.0))), samplesize=500)
-    return found.rows
+    return found.rows.select(r6("dist", "dist"), "what", "dist_type")
 
 
-@query()
+@query(
+    f"{_OWN}, {_PRED}, u AS (SELECT 'sample-to-sample' AS what, v FROM own UNION ALL SELECT 'prediction-to-sample', v FROM pred), c AS (SELECT what, v/1000.0 AS v, count(*) AS k FROM u GROUP BY ALL) "
+    "SELECT round(v,9) AS v, round(sum(k) OVER (PARTITION BY what ORDER BY v)/sum(k) OVER (PARTITION BY what)::DOUBLE,6) AS f, what FROM c", "xy",
+)
 def geodist_plot(spark, d):
     p = views.xy(spark, d)
-    return geodist.geodist(p.where("train"), p.where("not train"), "id").plot_data("ecdf", km=True)
+    return geodist.geodist(p.where("train"), p.where("not train"), "id").plot_data("ecdf", km=True).select(F.round("v", 9).alias("v"), r6("f", "f"), "what")
 
 
 # -- grids and samples
@@ -732,17 +830,26 @@ def points_in_polygon(spark, d):
     return p.where(grid.in_polygon(F.col("x"), F.col("y"), [(0.0, 0.0), (60_000.0, 0.0), (60_000.0, 90_000.0)])).select("id")
 
 
-@query()
+def _uniform_sql(key: str, stream: int) -> str:
+    return f"(('0x'||substr(md5('1:{stream}:'||{key}),1,12))::BIGINT/281474976710656.0)"
+
+
+@query(f"SELECT i AS id, round({_uniform_sql('i', 0)},6) AS x, round({_uniform_sql('i', 1)},6) AS y FROM range(1000) r(i)")
 def random_sample(spark, d):
-    return grid.random_points(spark, (0.0, 0.0, 1.0, 1.0), 1000)
+    return grid.random_points(spark, (0.0, 0.0, 1.0, 1.0), 1000).select("id", r6("x", "x"), r6("y", "y"))
 
 
-@query()
+@query(
+    f"WITH top AS (SELECT i+1 AS parent, {_uniform_sql('i', 0)}*100 AS x, {_uniform_sql('i', 1)}*100 AS y FROM range(10) r(i)), ch AS (SELECT parent, x AS px, y AS py, c, t, parent||'-'||c||'-'||t AS key FROM top, range(19) q(c), range(200) w(t)), "
+    f"dr AS (SELECT parent, px, py, c, t, px+sqrt({_uniform_sql('key', 2)})*5*cos({_uniform_sql('key', 3)}*2*pi()) AS x, py+sqrt({_uniform_sql('key', 2)})*5*sin({_uniform_sql('key', 3)}*2*pi()) AS y FROM ch), "
+    "ok AS (SELECT parent, c, arg_min(x, t) AS x, arg_min(y, t) AS y FROM dr WHERE x BETWEEN 0 AND 100 AND y BETWEEN 0 AND 100 GROUP BY ALL) "
+    "SELECT CAST(parent-1 AS BIGINT) AS id, round(x,6) AS x, round(y,6) AS y, parent FROM top UNION ALL SELECT 10+(parent-1)*19+c, round(coalesce(ok.x, top.x),6), round(coalesce(ok.y, top.y),6), parent FROM (SELECT parent, c, top.x, top.y FROM top, range(19) q(c)) top LEFT JOIN ok USING (parent, c)"
+)
 def clustered_sample(spark, d):
-    return grid.clustered_points(spark, (0.0, 0.0, 100.0, 100.0), 200, 10, 5.0)
+    return grid.clustered_points(spark, (0.0, 0.0, 100.0, 100.0), 200, 10, 5.0).select("id", r6("x", "x"), r6("y", "y"), "parent")
 
 
-@query()
+@query(f"{_DI}, {_NEW} SELECT id, round(di,6) AS di, CAST(di<=thr AS INTEGER) AS aoa FROM n, th", "feat")
 def stream_scoring(spark, d):
     """The new rows as a stream of files, scored and written; what was written is the result."""
     f, model = _model(spark, d)
@@ -750,7 +857,7 @@ def stream_scoring(spark, d):
     f.where("not train").write.mode("overwrite").parquet(f"{top}/in")
     stream = scoring.scored_stream(spark, f"{top}/in", f.schema.simpleString()[7:-1].replace(":", " "), model)
     scoring.score_to(stream, f"{top}/out", f"{top}/state").awaitTermination()
-    return spark.read.parquet(f"{top}/out").select("id", "di", "aoa")
+    return spark.read.parquet(f"{top}/out").select("id", r6("di", "di"), "aoa")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

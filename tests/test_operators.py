@@ -311,7 +311,7 @@ def test_knndm(spark):
             got = matching.knndm(x, pred, "id", k=4, nk_len=12, **how)
             shares = np.bincount(got.folds)[1:] / 96
             assert len(shares) == 4 and shares.max() <= 0.5 and got.w >= 0 and "clusters" in got.q
-            random = matching.fold_distances(matching.Sample.collect(x, geo(), "id", 1000).rows, Metric("euclidean"), matching._balanced(96, 4, 1))
+            random = matching.fold_distances(matching.Sample.collect(x, geo(), "id", 1000).rows, Metric("euclidean"), matching._dealt(np.arange(96), 1) % 4 + 1)
             assert got.w < matching.w1(random, got.gij)
         split = matching.knndm(x, pred, "id", test_prop=0.3, nk_len=12)
         assert set(split.folds.tolist()) == {1, 2}
