@@ -79,7 +79,7 @@ class RankQueue:
 class ByteBpe:
     """ranks: token bytes to id, where the id is the merge rank. pattern cuts a text into pieces."""
 
-    #: Pieces up to so many characters are remembered, about KEEP of them; when there are more, those of the last group.
+    #: Pieces up to so many characters are remembered, about KEEP of them at most.
     SHORT, KEEP = 24, 300_000
     #: Characters of the texts that are encoded together.
     GROUP = 3 << 20
@@ -164,41 +164,43 @@ class ByteBpe:
         return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def learn(self, pieces: set[str]) -> None:
-        """Has the ids of all these pieces in ``known``."""
-        new = [(p, p.encode("utf-8", "surrogatepass")) for p in pieces - self.known.keys()]
-        queued = []
-        for p, b in new:
-            if (whole := self.ranks.get(b)) is not None:
-                self.known[p] = (whole,)
+        """Has the ids of all these pieces, none of which is known, in ``known``."""
+        queued, known, rank_of = [], self.known, self.ranks.get
+        for p in pieces:
+            b = p.encode("utf-8", "surrogatepass")
+            if (whole := rank_of(b)) is not None:
+                known[p] = (whole,)
             else:
                 queued.append((p, b))
         if queued:
-            self.known.update(zip((p for p, _ in queued), self.merge([b for _, b in queued]), strict=True))
+            known.update(zip((p for p, _ in queued), self.merge([b for _, b in queued]), strict=True))
 
     def forget(self, pieces: set[str]) -> None:
+        """Long pieces, and if there are too many the half that was met first."""
         for p in [p for p in pieces if len(p) > self.SHORT]:
             del self.known[p]
         if len(self.known) > self.KEEP:
-            last = {p: self.known[p] for p in pieces if len(p) <= self.SHORT}
-            self.known = last if len(last) <= self.KEEP else {}
+            self.known = dict(islice(self.known.items(), len(self.known) - self.KEEP // 2, None))
+
+    def _all_ids(self, cut: list[list[str]]) -> list[list[int]]:
+        """The ids of texts that are cut into pieces."""
+        found = [list(map(self.known.get, c)) for c in cut]
+        new = {p for c, f in zip(cut, found, strict=True) if None in f for p, ids in zip(c, f, strict=True) if ids is None}
+        self.learn(new)
+        known = self.known.__getitem__
+        ids = [list(chain.from_iterable(map(known, c) if None in f else f)) for c, f in zip(cut, found, strict=True)]
+        self.forget(new)
+        return ids
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """The ids of each of some texts, which are held together."""
-        cut = [self.pattern.findall(t) for t in texts]
-        pieces = set(chain.from_iterable(cut))
-        self.learn(pieces)
-        ids = [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
-        self.forget(pieces)
-        return ids
+        return self._all_ids([self.pattern.findall(t) for t in texts])
 
     def encode_long(self, text: str) -> Iterator[list[int]]:
         """The ids of a text of any length, some pieces at a time."""
         found = (m.group() for m in self.pattern.finditer(text))
         while cut := list(islice(found, 1 + self.GROUP // 8)):
-            pieces = set(cut)
-            self.learn(pieces)
-            yield list(chain.from_iterable(map(self.known.__getitem__, cut)))
-            self.forget(pieces)
+            yield self._all_ids([cut])[0]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0] if len(text) <= self.GROUP else list(chain.from_iterable(self.encode_long(text)))
