@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import warnings
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from domainscope.errors import DomainWarning
 from domainscope.functions import distributions
 from domainscope.functions.scaling import Dummies, Scaler
 from domainscope.operators import applicability, folds, geodist, learners, matching, profiles, selection, validation
+from domainscope.plans.stable import shared_dir
 from domainscope.sources import grid
 from domainscope.streaming import scoring
 
@@ -853,7 +853,7 @@ def clustered_sample(spark, d):
 def stream_scoring(spark, d):
     """The new rows as a stream of files, scored and written; what was written is the result."""
     f, model = _model(spark, d)
-    top = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.gettempdir()}/stream-{f'{id(f):x}'}-{spark.sparkContext.startTime}"
+    top = f"{shared_dir(spark)}/stream-{f'{id(f):x}'}-{spark.sparkContext.startTime}"
     f.where("not train").write.mode("overwrite").parquet(f"{top}/in")
     stream = scoring.scored_stream(spark, f"{top}/in", f.schema.simpleString()[7:-1].replace(":", " "), model)
     scoring.score_to(stream, f"{top}/out", f"{top}/state").awaitTermination()

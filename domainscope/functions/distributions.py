@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,22 +14,42 @@ from pyspark.sql import functions as F
 from domainscope.errors import DomainError
 from domainscope.functions.scaling import number
 from domainscope.plans.ordered import running_totals
+from domainscope.plans.stable import kept
 
 
-def _pooled(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> tuple[DataFrame, int, int]:
+def _pooled(a: DataFrame, a_col: str, b: DataFrame, b_col: str, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int, int]:
     """v, next, fa, fb: both ECDFs at each distinct value of either, and the sample sizes."""
     one, two = (df.select(number(c).alias("v"), F.lit(float(w)).alias("na"), F.lit(float(1 - w)).alias("nb")).where("v is not null") for df, c, w in ((a, a_col, 1), (b, b_col, 0)))
     n, m = one.count(), two.count()
     if not n or not m:
         raise DomainError("a sample is empty")
-    sums = running_totals(one.unionByName(two), "v", ["na", "nb"])
+    sums = running_totals(one.unionByName(two), "v", ["na", "nb"], keep)
     return sums.select("v", "next", (F.col("na") / n).alias("fa"), (F.col("nb") / m).alias("fb")), n, m
 
 
 def wasserstein(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> float:
     """The integral of |F_a - F_b|; 0 for samples of one distribution."""
-    steps, _, _ = _pooled(a, a_col, b, b_col)
-    return steps.where("next is not null").agg(F.sum(F.abs(F.col("fa") - F.col("fb")) * (F.col("next") - F.col("v")))).first()[0] or 0.0
+    with kept() as keep:
+        steps, _, _ = _pooled(a, a_col, b, b_col, keep)
+        return steps.where("next is not null").agg(F.sum(F.abs(F.col("fa") - F.col("fb")) * (F.col("next") - F.col("v")))).first()[0] or 0.0
+
+
+def wasserstein_to(df: DataFrame, value: str, kind: str, target: str) -> dict[str, float]:
+    """The distance of each kind's values to those of the target kind: all in one pass over the distinct values."""
+    with kept() as keep:
+        values = keep(df.select(number(value).alias("v"), F.col(kind).alias("kind")).where("v is not null").groupBy("v", "kind").agg(F.count("*").cast("double").alias("n")))
+        sizes = {r["kind"]: r["n"] for r in values.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+        if target not in sizes:
+            raise DomainError("a sample is empty")
+        names = sorted(sizes)
+        counts = values.select("v", *(F.when(F.col("kind") == k, F.col("n")).otherwise(0.0).alias(f"n{i}") for i, k in enumerate(names)))
+        steps = running_totals(counts, "v", [f"n{i}" for i in range(len(names))], keep).where("next is not null")
+        share = lambda k: F.col(f"n{names.index(k)}") / sizes[k]
+        others = [k for k in names if k != target]
+        if not others:
+            return {}
+        found = steps.agg(*(F.sum(F.abs(share(k) - share(target)) * (F.col("next") - F.col("v"))) for k in others)).first()
+        return {k: w or 0.0 for k, w in zip(others, found, strict=True)}
 
 
 @dataclass(frozen=True)
@@ -40,8 +61,9 @@ class KsTest:
 
 def ks_greater(a: DataFrame, a_col: str, b: DataFrame, b_col: str, exact: bool | None = None) -> KsTest:
     """One-sided two-sample test against "the CDF of a lies above that of b": D+ = max(F_a - F_b)."""
-    steps, n, m = _pooled(a, a_col, b, b_col)
-    d = max(0.0, steps.agg(F.max(F.col("fa") - F.col("fb"))).first()[0])
+    with kept() as keep:
+        steps, n, m = _pooled(a, a_col, b, b_col, keep)
+        d = max(0.0, steps.agg(F.max(F.col("fa") - F.col("fb"))).first()[0])
     return ks_p_value(d, n, m, exact)
 
 
@@ -128,4 +150,4 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-__all__ = ["KsTest", "ecdf", "histogram", "kernel_density", "ks_arrays", "ks_greater", "ks_p_value", "union", "upper_whisker", "w1", "wasserstein"]
+__all__ = ["KsTest", "ecdf", "histogram", "kernel_density", "ks_arrays", "ks_greater", "ks_p_value", "union", "upper_whisker", "w1", "wasserstein", "wasserstein_to"]

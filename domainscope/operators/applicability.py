@@ -23,6 +23,7 @@ from domainscope.functions.metrics import Metric, whitening
 from domainscope.functions.scaling import Dummies, Scaler, is_categorical
 from domainscope.operators.folds import FoldLists, Folds
 from domainscope.plans.neighbours import REFERENCE_ROWS, Features, nearest
+from domainscope.plans.stable import numbered
 
 
 def checked_weights(weights: dict[str, float] | None, variables: list[str]) -> dict[str, float]:
@@ -121,14 +122,14 @@ def train_di(
     base = train.select(F.col(row_id).cast("long").alias("row_id"), *features.columns("__"), *([F.col(fold).cast("long").alias("__given")] if fold else []))
     inner = Features([F.col(f"__f{i}") for i in range(len(features.numeric))])
     averages = nearest(base, base, inner, metric, "row_id", rule="other").select(*base.columns, (F.col("sum_dist") / F.col("n_dist")).alias("avg_dist"), F.col("nn_dist").alias("__self"))
-    averages = averages.persist()
+    first = averages = averages.persist()
     dbar = averages.agg(F.avg("avg_dist")).first()[0]
     rule, apart = "other", None
     if isinstance(folds, FoldLists):
         tested = folds.fold_of()
         rule, apart = "apart", folds.allowed()
         given = train.sparkSession.createDataFrame(list(tested.items()), "__r long, __test long")
-        averages = averages.join(F.broadcast(given), averages["row_id"] == given["__r"], "left").drop("__r")
+        averages = averages.join(given, averages["row_id"] == given["__r"], "left").drop("__r")
     elif isinstance(folds, Folds):
         rule = "out_of_fold"
         given = folds.assigned.select(F.col("row_id").cast("long").alias("__r"), F.col("test_fold").cast("long").alias("__test"))
@@ -149,6 +150,7 @@ def train_di(
         rows = shown.select("row_id", "avg_dist", F.col("__self").alias("min_dist"), *inner_names(inner), "__test")
     rows = rows.withColumn("train_di", F.col("min_dist") / F.lit(dbar)).persist()
     threshold = upper_whisker(rows, "train_di")
+    first.unpersist()  # rows are kept from here on
     if threshold is None:
         raise DomainError("no training row has a dissimilarity")
     average = None
@@ -214,7 +216,7 @@ def checked_max_lpd(max_lpd: float, n: int) -> int:
 
 
 def aoa(newdata: DataFrame, model: TrainDI, lpd: bool = False, max_lpd: float = 1, indices: bool = False) -> Aoa:
-    """DI, AOA and LPD of new rows. newdata may be a stream. Results replace columns of the same names.
+    """DI, AOA and LPD of new rows. newdata may be a stream, if the training rows travel with the tasks. Results replace columns of the same names.
 
     A category that training has not seen is 0 in all dummies; a row that misses a variable gets nulls."""
     if missing := [v for v in model.space.variables if v not in newdata.columns]:
@@ -223,8 +225,15 @@ def aoa(newdata: DataFrame, model: TrainDI, lpd: bool = False, max_lpd: float =
     features = model.space.features()
     k = most if indices and most else 0
     clean = newdata.drop("di", "aoa", "lpd", "nn_ids")
-    row = F.monotonically_increasing_id() if model.n > REFERENCE_ROWS else F.lit(0).cast("long")  # only the way by blocks needs it
-    found = nearest(clean.withColumn("__row", row), model.train, features, model.metric, "__row", k=k, threshold=model.threshold * model.dbar, reference_id=model.row_id)
+    if model.n > REFERENCE_ROWS:  # the way by blocks joins its results back on a key, which must hold from one evaluation to the next
+        if clean.isStreaming:
+            raise DomainError(f"a stream can't be scored against more than {REFERENCE_ROWS} training rows")
+        clean = numbered(clean, "__row")
+        names = clean.columns[:-1]
+    else:
+        names = clean.columns
+        clean = clean.withColumn("__row", F.lit(0).cast("long"))
+    found = nearest(clean, model.train, features, model.metric, "__row", k=k, threshold=model.threshold * model.dbar, reference_id=model.row_id)
     di = F.col("nn_dist") / F.lit(model.dbar)
     out = [di.alias("di"), F.when(di.isNotNull(), F.when(di > F.lit(model.threshold), 0).otherwise(1)).alias("aoa")]
     if lpd:
@@ -232,7 +241,7 @@ def aoa(newdata: DataFrame, model: TrainDI, lpd: bool = False, max_lpd: float =
         out.append(count.alias("lpd"))
         if indices:
             out.append(F.slice("nn_ids", F.lit(1), count.cast("int")).alias("nn_ids"))
-    return Aoa(found.select(*clean.columns, *out), model, model.threshold, most, model.rows)
+    return Aoa(found.select(*names, *out), model, model.threshold, most, model.rows)
 
 
 def masked(result: Aoa, layer: str, columns: tuple[str, ...] = ("di", "aoa", "lpd")) -> DataFrame:

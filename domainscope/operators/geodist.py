@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from domainscope.errors import DomainError, DomainWarning
-from domainscope.functions.distributions import ecdf, kernel_density, union, wasserstein
+from domainscope.functions.distributions import ecdf, kernel_density, union, wasserstein_to
 from domainscope.functions.metrics import TIME_UNITS, Metric, check, time_value, whitening
 from domainscope.functions.scaling import Scaler, is_categorical
 from domainscope.operators.folds import FoldLists
@@ -109,7 +109,7 @@ def cv_distances(x: DataFrame, comparer: Comparer, row_id: str, fold: str | None
         tested = x.where(F.col(fold).isNotNull())
         return comparer.nearest(tested, x, row_id, rule="out_of_fold", fold=fold, keep=[row_id, fold]).select(F.col(row_id).alias("row_id"), F.col(fold).alias("fold"), F.col("nn_dist").alias("dist"))
     pairs = x.sparkSession.createDataFrame([(i, f) for f, ids in lists.test.items() for i in ids], "__r long, __fold_no long")
-    tested = x.join(F.broadcast(pairs), F.col(row_id).cast("long") == pairs["__r"]).drop("__r")
+    tested = x.join(pairs, F.col(row_id).cast("long") == pairs["__r"]).drop("__r")
     return comparer.nearest(tested, x, row_id, rule="apart", fold="__fold_no", apart=lists.allowed(), keep=[row_id, "__fold_no"]).select(F.col(row_id).alias("row_id"), F.col("__fold_no").alias("fold"), F.col("nn_dist").alias("dist"))
 
 
@@ -136,14 +136,18 @@ def time_cv_distances(x: DataFrame, time: str, row_id: str, fold: str, unit: str
 
 @dataclass(frozen=True)
 class GeoDist:
-    """rows: dist, what, dist_type. w: Wasserstein-1 of each kind against the prediction-to-sample distances."""
+    """rows: dist, what, dist_type, kept in memory until free(). w: Wasserstein-1 of each kind against the prediction-to-sample distances."""
 
     rows: DataFrame
-    w_sample: float
+    w_sample: float | None
     w_test: float | None
     w_cv: float | None
     unit: str | None = None
 
+    def free(self) -> None:
+        """Lets go of the distances; rows still works, and computes them again."""
+        self.rows.unpersist()
+
     def summary(self) -> DataFrame:
         return self.rows.groupBy("what", "dist_type").agg(F.count("dist").alias("n"), F.avg("dist").alias("mean"), F.min("dist").alias("min"), F.max("dist").alias("max"))
 
@@ -204,7 +208,6 @@ def geodist(
         test = distances_to(testdata, x, comparer, row_id) if testdata is not None else None
     cv = cv_distances(x, comparer, row_id, fold, lists) if fold or lists else None
     parts = {"sample-to-sample": own, "prediction-to-sample": pred, "test-to-sample": test, "CV-distances": cv}
-    parts = {k: v.select("dist").persist() for k, v in parts.items() if v is not None}
-    rows = union([d.select("dist", F.lit(what).alias("what"), F.lit(space).alias("dist_type")) for what, d in parts.items()])
-    w = {what: wasserstein(d, "dist", parts["prediction-to-sample"], "dist") for what, d in parts.items() if what != "prediction-to-sample"}
-    return GeoDist(rows, w["sample-to-sample"], w.get("test-to-sample"), w.get("CV-distances"), unit)
+    rows = union([d.select("dist", F.lit(what).alias("what"), F.lit(space).alias("dist_type")) for what, d in parts.items() if d is not None]).persist()
+    w = wasserstein_to(rows, "dist", "what", "prediction-to-sample")
+    return GeoDist(rows, w.get("sample-to-sample"), w.get("test-to-sample"), w.get("CV-distances"), unit)

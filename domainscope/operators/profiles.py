@@ -80,5 +80,8 @@ def multi_cv_predictions(
             model = train_di(tagged, row_id, variables, weights, fold="__held", lpd=lpd or variable == "lpd")
             found = held.join(model.rows.select(F.col("row_id").alias(row_id), F.col("train_di").alias("di"), "lpd"), row_id).select(row_id, "obs", "pred", "di", "lpd", F.lit(count).alias("n_clusters"))
             found, threshold = inside(found, variable, model.threshold), model.threshold
+        names = found.schema
+        found = spark.createDataFrame(found.toArrow(), names)  # no more rows than the bounded sample has
+        tagged.unpersist()
         out = found if out is None else out.unionByName(found)
     return out, threshold

@@ -6,16 +6,19 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from domainscope.errors import DomainError
 from domainscope.plans.ordered import with_rank
 
 
-def regression_metrics(obs: str = "obs", pred: str = "pred") -> dict[str, Column]:
+def regression_metrics(obs: str = "obs", pred: str = "pred", frame: WindowSpec | None = None) -> dict[str, Column]:
+    """Over a group, or over the rows of a frame."""
     o, p = F.col(obs).cast("double"), F.col(pred).cast("double")
-    return {"rmse": F.sqrt(F.avg((o - p) * (o - p))), "rsquared": F.pow(F.corr(o, p), 2), "mae": F.avg(F.abs(o - p))}
+    over = lambda c: c if frame is None else c.over(frame)
+    return {"rmse": F.sqrt(over(F.avg((o - p) * (o - p)))), "rsquared": F.pow(over(F.corr(o, p)), 2), "mae": over(F.avg(F.abs(o - p)))}
 
 
 def confusion(predictions: DataFrame, obs: str = "obs", pred: str = "pred") -> DataFrame:
@@ -112,26 +115,40 @@ def mean_and_se(metrics: DataFrame, metric: str) -> DataFrame:
     return metrics.agg(F.avg(metric).alias("mean"), (F.stddev_samp(metric) / F.sqrt(F.count(metric))).alias("se"))
 
 
-def moving_error(rows: DataFrame, variable: str, window: int, ties: list[str], obs: str = "obs", pred: str = "pred", metric: str = "rmse") -> DataFrame:
-    """rank, variable, and the metric over a centred window of rows in the order of the variable; incomplete windows are left out.
+#: Ranks that one partition of moving windows holds, beside a halo of less than a window.
+_STRETCH = 100_000
+
 
-    Each row enters the windows that hold it, and these are aggregated by number: no window function over all rows in one task."""
+def _windows(rows: DataFrame, variable: str, window: int, ties: list[str], obs: str, pred: str) -> DataFrame:
+    """rank, v, obs, pred, home (the stretch of ranks that a row is in) and stretch: each row in its own stretch, and those at the edges beside it, too."""
     if window < 1:
         raise DomainError("the window must hold at least one row")
-    ranked = with_rank(rows.where(F.col(variable).isNotNull()).select(F.col(variable).alias("v"), F.col(obs).alias("obs"), F.col(pred).alias("pred"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(ties))).persist(), "v", [f"t{i}" for i in range(len(ties))])
-    back, ahead = (window - 1) // 2, window // 2
-    spread = ranked.select("*", F.explode(F.sequence(F.col("rank") - ahead, F.col("rank") + back)).alias("at"))
-    metrics = regression_metrics() | {"accuracy": F.avg((F.col("obs") == F.col("pred")).cast("double"))}
+    ranked = with_rank(rows.where(F.col(variable).isNotNull()).select(F.col(variable).alias("v"), F.col(obs).alias("obs"), F.col(pred).alias("pred"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(ties))), "v", [f"t{i}" for i in range(len(ties))])
+    size = max(_STRETCH, window)
+    own = F.floor((F.col("rank") - 1) / size)
+    place = (F.col("rank") - 1) % size
+    near = F.array(own, F.when(place < window, own - 1), F.when(place >= size - window, own + 1))
+    return ranked.select("rank", "v", "obs", "pred", own.alias("home"), F.explode(F.array_compact(near)).alias("stretch"))
+
+
+def moving_error(rows: DataFrame, variable: str, window: int, ties: list[str], obs: str = "obs", pred: str = "pred", metric: str = "rmse") -> DataFrame:
+    """rank, variable, and the metric over a centred window of rows in the order of the variable; incomplete windows are left out.
+
+    Windows run within stretches of ranks that overlap by a window: no window function over all rows in one task."""
+    frame = Window.partitionBy("stretch").orderBy("rank").rowsBetween(-((window - 1) // 2), window // 2)
+    metrics = regression_metrics(frame=frame) | {"accuracy": F.avg((F.col("obs") == F.col("pred")).cast("double")).over(frame)}
     if metric == "kappa":
         raise DomainError("kappa by window: take moving_kappa")
     if metric not in metrics:
         raise DomainError(f"metric {metric!r}: one of {', '.join(metrics)}, kappa")
-    return spread.groupBy("at").agg(F.count("*").alias("n"), F.max(F.when(F.col("rank") == F.col("at"), F.col("v"))).alias(variable), metrics[metric].alias(metric)).where((F.col("n") == window) & F.col(variable).isNotNull()).select(F.col("at").alias("rank"), variable, metric)
+    spread = _windows(rows, variable, window, ties, obs, pred)
+    found = spread.select("rank", "v", "stretch", "home", F.count(F.lit(1)).over(frame).alias("n"), metrics[metric].alias(metric))
+    return found.where((F.col("stretch") == F.col("home")) & (F.col("n") == window)).select("rank", F.col("v").alias(variable), metric)
 
 
 def moving_kappa(rows: DataFrame, variable: str, window: int, ties: list[str], obs: str = "obs", pred: str = "pred") -> DataFrame:
     """The same for kappa; 0 where a window holds one class alone."""
-    ranked = with_rank(rows.where(F.col(variable).isNotNull()).select(F.col(variable).alias("v"), F.col(obs).cast("string").alias("obs"), F.col(pred).cast("string").alias("pred"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(ties))).persist(), "v", [f"t{i}" for i in range(len(ties))])
+    ranked = with_rank(rows.where(F.col(variable).isNotNull()).select(F.col(variable).alias("v"), F.col(obs).cast("string").alias("obs"), F.col(pred).cast("string").alias("pred"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(ties))), "v", [f"t{i}" for i in range(len(ties))])
     back, ahead = (window - 1) // 2, window // 2
     spread = ranked.select("*", F.explode(F.sequence(F.col("rank") - ahead, F.col("rank") + back)).alias("at"))
     base = spread.groupBy("at").agg(F.count("*").alias("n"), F.max(F.when(F.col("rank") == F.col("at"), F.col("v"))).alias(variable), F.sum((F.col("obs") == F.col("pred")).cast("double")).alias("right"))
@@ -144,7 +161,7 @@ def moving_kappa(rows: DataFrame, variable: str, window: int, ties: list[str], o
 
 @dataclass(frozen=True)
 class ErrorModel:
-    """The windows' metric and its fitted curve. kind: lm, exp (on the logarithm), isotonic, or spline (monotone)."""
+    """The windows' metric, kept in memory until free(), and its fitted curve. kind: lm, exp (on the logarithm), isotonic, or spline (monotone)."""
 
     points: DataFrame
     variable: str
@@ -153,6 +170,10 @@ class ErrorModel:
     knots: tuple[tuple[float, float], ...]
     threshold: float | None = None
 
+    def free(self) -> None:
+        """Lets go of the points, which still work."""
+        self.points.unpersist()
+
     def predict(self, df: DataFrame, column: str | None = None, name: str = "error") -> DataFrame:
         """df with the error that the curve gives for its variable; beyond the fitted range a curve other than a line stays at its end."""
         v = F.col(column or self.variable).cast("double")

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from domainscope.plans.stable import stable
+
 #: The first cells hold a reference for every FIRST on average.
 FIRST = 16
 
@@ -24,7 +26,7 @@ def nearest_in_plane(queries: DataFrame, references: DataFrame, row_id: str, x:
     """row_id, dist; null where there is no reference or a coordinate is missing. other: not the reference of the same id. Query ids must be unique."""
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
     left = queries.select(F.col(row_id).alias("id"), number(x).alias("qx"), number(y).alias("qy"))
-    right = references.select(F.col(row_id).alias("rid"), number(x).alias("rx"), number(y).alias("ry")).where("rx is not null and ry is not null").persist()
+    right = references.select(F.col(row_id).alias("rid"), number(x).alias("rx"), number(y).alias("ry")).where("rx is not null and ry is not null")
     n, x0, x1, y0, y1 = right.agg(F.count("*"), F.min("rx"), F.max("rx"), F.min("ry"), F.max("ry")).first()
     nothing = left.select("id", F.lit(None).cast("double").alias("dist"))
     if not n:
@@ -47,7 +49,7 @@ def nearest_in_plane(queries: DataFrame, references: DataFrame, row_id: str, x:
             met = met.where("id <> rid")
         dx, dy = F.col("qx") - F.col("rx"), F.col("qy") - F.col("ry")
         near = met.groupBy("id").agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("dist"))
-        found = open_.join(near, "id", "left").persist()
+        found = stable(open_.join(near, "id", "left"))
         settled = F.coalesce(F.col("dist") <= F.lit(h), F.lit(False)) | F.lit(last)
         done.append(found.where(settled).select("id", "dist"))
         open_ = found.where(~settled).select("id", "qx", "qy")

@@ -1,16 +1,23 @@
 """Global order without a single task: ranks, running sums and fills in range buckets.
 
-A window without a partition key pulls all rows into one task. Here rows are dealt to at most BUCKETS ranges of the ordering value;
-totals of the ranges (BUCKETS rows, so safe to collect) give each range its offset, and the window runs within a range. The split
-points come from ``percentile_approx`` and only balance the work: any split points give the same result.
+A window without a partition key pulls all rows into one task. Ranks come from a range partitioning by the ordering value and its ties together, so that
+rows of one value spread over partitions, too; its rows are sorted, numbered and written once, and the sizes of the partitions give their offsets. Running
+sums and fills deal rows to ranges of the value, whose totals give each range its offset, and the window runs within a range; the split
+points come from ``percentile_approx`` and only balance the work: any split points give the same result. Totals are one row a range, so safe to collect.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from domainscope.plans.stable import numbered
 
-BUCKETS, BUCKET_ROWS = 200, 50_000
+#: The most ranges, and the rows of a range while there are fewer.
+BUCKETS, BUCKET_ROWS = 4096, 50_000
 _B = "__bucket"
 
 
@@ -20,7 +27,7 @@ def _splits(df: DataFrame, value: str) -> list:
     if parts < 2:
         return []
     shares = [i / parts for i in range(1, parts)]
-    return sorted(set(df.agg(F.percentile_approx(value, shares, 10 * BUCKETS)).first()[0] or ()))
+    return sorted(set(df.agg(F.percentile_approx(value, shares, 10 * parts)).first()[0] or ()))
 
 
 def _bucketed(df: DataFrame, value: str, splits: list) -> DataFrame:
@@ -28,7 +35,7 @@ def _bucketed(df: DataFrame, value: str, splits: list) -> DataFrame:
     if not splits:
         return df.withColumn(_B, F.lit(0))
     points = F.array(*(F.lit(s) for s in splits))
-    # a binary search over at most BUCKETS points: eight halvings reach the place
+    # a binary search: a dozen halvings reach the place
     low, width = F.lit(0), 1 << (len(splits) - 1).bit_length()
     at: Column = low
     while width:
@@ -41,56 +48,46 @@ def _bucketed(df: DataFrame, value: str, splits: list) -> DataFrame:
 
 def with_rank(df: DataFrame, value: str, ties: list[str], name: str = "rank") -> DataFrame:
     """df with the place of each row, from 1, in the order of (value, ties)."""
-    splits = _splits(df, value)
-    if not splits:
+    parts = -(-df.count() // BUCKET_ROWS)
+    if parts < 2:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(value, *ties)).cast("long"))
-    dealt = _bucketed(df, value, splits)
-    sizes = dict(dealt.groupBy(_B).count().collect())
-    before, total = {}, 0
-    for b in sorted(sizes):
-        before[b], total = total, total + sizes[b]
-    offset = _lookup(before, "long")
-    rank = F.row_number().over(Window.partitionBy(_B).orderBy(value, *ties)).cast("long")
-    return dealt.withColumn(name, rank + offset).drop(_B)
+    dealt = numbered(df.repartitionByRange(parts, value, *ties).sortWithinPartitions(value, *ties), "__at")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dict(dealt.groupBy(part.alias("p")).count().collect())
+    before, total = [], 0
+    for p in range(max(sizes) + 1):
+        before.append(total)
+        total += sizes.get(p, 0)
+    return dealt.withColumn(name, place + F.get(F.lit(before).cast("array<bigint>"), part.cast("int")) + 1).drop("__at")
 
 
 def hash_rank(df: DataFrame, unit: str, seed: int, name: str = "rank") -> DataFrame:
-    """df with the place of each row, from 1, in the order of md5(seed:unit), unit: a reproducible shuffle. Buckets are the first two hex digits."""
-    df = df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(unit).cast("string")).cast("binary"))).withColumn(_B, F.substring("__h", 1, 2))
-    sizes = dict(df.groupBy(_B).count().collect())
-    before, total = {}, 0
-    for b in sorted(sizes, key=lambda b: (b is not None, b)):
-        before[b], total = total, total + sizes[b]
-    rank = F.row_number().over(Window.partitionBy(_B).orderBy("__h", unit)).cast("long")
-    return df.withColumn(name, rank + _lookup(before, "long")).drop("__h", _B)
-
-
-def _lookup(values: dict, kind: str, column: str = _B) -> Column:
-    """The value of a bucket; at most a few hundred entries. A null bucket reads the entry of None."""
-    known = [(k, v) for k, v in values.items() if k is not None]
-    other = F.lit(values.get(None, 0)).cast(kind)
-    if not known:
-        return other
-    table = F.create_map(*(F.lit(x) for kv in known for x in kv))
-    return F.coalesce(F.try_element_at(table, F.col(column)).cast(kind), other)
-
-
-def running_totals(df: DataFrame, value: str, counters: list[str]) -> DataFrame:
-    """One row for each distinct value: value, next (the next larger value, null at the end), and the running sums of the counters."""
-    sums = df.groupBy(value).agg(*(F.sum(c).alias(c) for c in counters)).persist()
+    """df with the place of each row, from 1, in the order of md5(seed:unit), unit: a reproducible shuffle."""
+    hashed = df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(unit).cast("string")).cast("binary")))
+    return with_rank(hashed, "__h", [unit], name).drop("__h")
+
+
+def _by_bucket(values: dict, kind) -> Column:
+    """The value of a bucket, by its number."""
+    return F.get(F.lit([values.get(b) for b in range(max(values, default=0) + 1)]).cast(T.ArrayType(kind)), F.col(_B)) if any(v is not None for v in values.values()) else F.lit(None).cast(kind)
+
+
+def running_totals(df: DataFrame, value: str, counters: list[str], keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """One row for each distinct value: value, next (the next larger value, null at the end), and the running sums of the counters.
+
+    keep: persists the sums, where the caller knows when they can go."""
+    sums = keep(df.groupBy(value).agg(*(F.sum(c).cast("double").alias(c) for c in counters)))
     dealt = _bucketed(sums, value, _splits(sums, value))
     rows = sorted(dealt.groupBy(_B).agg(F.min(value).alias("least"), *(F.sum(c).alias(c) for c in counters)).collect(), key=lambda r: r[_B])
     before, following = {c: {} for c in counters}, {}
     for i, r in enumerate(rows):
         for c in counters:
-            before[c][r[_B]] = 0 if not i else before[c][rows[i - 1][_B]] + rows[i - 1][c]
-        if i + 1 < len(rows):
-            following[r[_B]] = rows[i + 1]["least"]
+            before[c][r[_B]] = 0.0 if not i else before[c][rows[i - 1][_B]] + rows[i - 1][c]
+        following[r[_B]] = rows[i + 1]["least"] if i + 1 < len(rows) else None
     within = Window.partitionBy(_B).orderBy(value)
-    last = F.try_element_at(F.create_map(*(F.lit(x) for kv in following.items() for x in kv)), F.col(_B)) if following else F.lit(None)
     return dealt.select(
-        value, F.coalesce(F.lead(value).over(within), last.cast(df.schema[value].dataType)).alias("next"),
-        *((F.sum(c).over(within) + _lookup(before[c], "double")).alias(c) for c in counters),
+        value, F.coalesce(F.lead(value).over(within), _by_bucket(following, df.schema[value].dataType)).alias("next"),
+        *((F.sum(c).over(within) + _by_bucket(before[c], T.DoubleType())).alias(c) for c in counters),
     )
 
 
@@ -108,7 +105,7 @@ def nearest_1d(df: DataFrame, value: str, is_reference: str) -> DataFrame:
     for r in reversed(rows):
         over[r[_B]], known = known, r["least"] if r["least"] is not None else known
     kind = df.schema[value].dataType
-    fixed = lambda d: F.try_element_at(F.create_map(*(F.lit(x) for kv in d.items() for x in kv if kv[1] is not None)), F.col(_B)).cast(kind) if any(v is not None for v in d.values()) else F.lit(None).cast(kind)
+    fixed = lambda d: _by_bucket(d, kind)
     # both ways as running frames, which take linear time; the second runs exactly against the first, ties included
     placed = dealt.withColumn("__at", F.row_number().over(Window.partitionBy(_B).orderBy(value, F.col(is_reference).cast("int"))))
     before = lambda order: F.last(ref, ignorenulls=True).over(Window.partitionBy(_B).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
