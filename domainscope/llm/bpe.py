@@ -80,9 +80,9 @@ class ByteBpe:
     """ranks: token bytes to id, where the id is the merge rank. pattern cuts a text into pieces."""
 
     #: Pieces up to so many characters are remembered, about KEEP of them at most.
-    SHORT, KEEP = 24, 300_000
+    SHORT, KEEP = 24, 200_000
     #: Characters of the texts that are encoded together.
-    GROUP = 3 << 20
+    GROUP = 1 << 20
     _NONE = -1
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
