@@ -12,7 +12,7 @@ from domainscope import views
 from domainscope.errors import DomainWarning
 from domainscope.functions import distributions
 from domainscope.functions.scaling import Dummies, Scaler
-from domainscope.operators import applicability, folds, geodist, learners, matching, profiles, selection, validation
+from domainscope.operators import applicability, folds, geodist, learners, matching, model, profiles, selection, validation
 from domainscope.plans.stable import shared_dir
 from domainscope.sources import grid
 from domainscope.streaming import scoring
@@ -656,6 +656,29 @@ def ffs_plot(spark, d):
     return _rounded(selection.forward(_PREDICTORS, learners.LinearEvaluator(views.reg(spark, d), _PREDICTORS, "obs", "fold"), "rmse", False, threads=1).plot_data(spark))
 
 
+@query(f"{_OLS} SELECT round(sqrt(sum(v*v*rows)/sum(rows)),3) AS rmse FROM f JOIN g USING (fold) WHERE m=3", "reg")
+def model_validation(spark, d):
+    """Of the held-out predictions that a fitted model carries."""
+    rows = views.reg(spark, d).withColumn("id", F.monotonically_increasing_id())
+    return model.fitted(rows, "id", ["q", "d"], "obs", "fold").global_validation().select(F.round("rmse", 3).alias("rmse"))
+
+
+@query()
+def ffs_rf(spark, d):
+    """Forward selection of a random forest, with a tuning grid; y is known from a and b, the others are noise."""
+    f = views.feat(spark, d).where("train").withColumns({"y": F.col("b") + F.col("a") * 3, "n1": F.pmod(F.col("id") * 7919, F.lit(101)).cast("double"), "n2": F.pmod(F.col("id") * 104729, F.lit(97)).cast("double")})
+    evaluate = learners.MlEvaluator(f, "y", "fold", "rf", "rmse", [{"maxDepth": 3}, {"maxDepth": 6}], numTrees=5, seed=1)
+    return _rounded(selection.forward(["a", "b", "n1", "n2"], evaluate, "rmse", False).perf_all(spark))
+
+
+@query()
+def ffs_class(spark, d):
+    """The same for a class, judged by kappa."""
+    f = views.feat(spark, d).where("train").withColumns({"y": (F.col("a") > 25).cast("int"), "n1": F.pmod(F.col("id") * 7919, F.lit(101)).cast("double")})
+    evaluate = learners.MlEvaluator(f, "y", "fold", "rf_class", "kappa", numTrees=5, seed=1)
+    return selection.forward(["a", "b", "n1"], evaluate, "kappa", True).perf_all(spark)
+
+
 @query()
 def rf_weighted_aoa(spark, d):
     f = views.feat(spark, d).withColumn("y", F.col("b") + F.col("a") * 3)
@@ -834,6 +857,17 @@ def _uniform_sql(key: str, stream: int) -> str:
     return f"(('0x'||substr(md5('1:{stream}:'||{key}),1,12))::BIGINT/281474976710656.0)"
 
 
+_SQUARE = "(x BETWEEN {0} AND {1} AND y BETWEEN {2} AND {3})"
+
+
+@query(f"SELECT id FROM xy WHERE x < 60000.5 AND y > 0.5 AND y-0.5 < 1.5*(x-0.5) AND NOT {_SQUARE.format(30000.5, 45000.5, 10000.5, 25000.5)} OR {_SQUARE.format(70000.5, 90000.5, 50000.5, 70000.5)}", "xy")
+def points_in_parts(spark, d):
+    """A triangle with a hole, and a square apart from it."""
+    square = lambda x0, x1, y0, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    polygon = [[(0.5, 0.5), (60_000.5, 0.5), (60_000.5, 90_000.5)], square(30_000.5, 45_000.5, 10_000.5, 25_000.5), square(70_000.5, 90_000.5, 50_000.5, 70_000.5)]
+    return views.xy(spark, d).where(grid.in_polygon(F.col("x"), F.col("y"), polygon)).select("id")
+
+
 @query(f"SELECT i AS id, round({_uniform_sql('i', 0)},6) AS x, round({_uniform_sql('i', 1)},6) AS y FROM range(1000) r(i)")
 def random_sample(spark, d):
     return grid.random_points(spark, (0.0, 0.0, 1.0, 1.0), 1000).select("id", r6("x", "x"), r6("y", "y"))

@@ -6,6 +6,7 @@ A grid table has a row for each cell: cell_id (row-major from the upper left cor
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from domainscope.errors import DomainError
 
+Ring = Sequence[tuple[float, float]]
+Polygon = Ring | Sequence[Ring]
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -83,7 +87,7 @@ def fibonacci_points(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select("id", lon.alias("x"), F.degrees(F.asin((F.col("id") * 2 + 1) / n - 1)).alias("y"))
 
 
-def sample_points(spark: SparkSession, box: tuple[float, float, float, float], n: int, sampling: str = "regular", ring: list[tuple[float, float]] | None = None, seed: int = 1, tries: int = 20) -> DataFrame:
+def sample_points(spark: SparkSession, box: tuple[float, float, float, float], n: int, sampling: str = "regular", ring: Polygon | None = None, seed: int = 1, tries: int = 20) -> DataFrame:
     """id, x, y: points of a box, or of the polygon in it; random sampling gives n of them, regular about n."""
     if sampling not in ("regular", "random", "fibonacci"):
         raise DomainError(f"sampling {sampling!r}: regular, random or fibonacci")
@@ -92,7 +96,7 @@ def sample_points(spark: SparkSession, box: tuple[float, float, float, float], n
         return points if ring is None else points.where(in_polygon(F.col("x"), F.col("y"), ring))
     if ring is None:
         return regular_points(spark, box, n) if sampling == "regular" else random_points(spark, box, n, seed)
-    share = abs(ring_area(ring)) / ((box[2] - box[0]) * (box[3] - box[1]))
+    share = polygon_area(ring) / ((box[2] - box[0]) * (box[3] - box[1]))
     if share <= 0:
         raise DomainError("the polygon has no area")
     many = math.ceil(n / share)
@@ -111,15 +115,31 @@ def sample_cells(grid: DataFrame, layers: list[str], n: int, seed: int = 1) -> D
     return footprint(grid, layers).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("cell_id").cast("string")).cast("binary")), "cell_id").limit(n)
 
 
-def ring_area(ring: list[tuple[float, float]]) -> float:
-    return sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, [*ring[1:], ring[0]], strict=True)) / 2
+def rings(polygon: Polygon) -> list[list[tuple[float, float]]]:
+    """The rings of a polygon: one, or several. What lies in an odd number of rings is inside: parts stand apart, a hole is a ring within a part."""
+    return [list(polygon)] if isinstance(polygon[0][0], (int, float)) else [list(r) for r in polygon]
+
+
+def _edges(ring: list[tuple[float, float]]):
+    return zip(ring, [*ring[1:], ring[0]], strict=True)
+
+
+def polygon_area(polygon: Polygon) -> float:
+    """Parts less holes; a ring is a hole if an odd number of the others hold its first point."""
+    every, total = rings(polygon), 0.0
+    for ring in every:
+        x, y = ring[0]
+        depth = sum(sum((y < y0) != (y < y1) and x < (y - y0) * ((x1 - x0) / (y1 - y0)) + x0 for (x0, y0), (x1, y1) in _edges(other) if y0 != y1) % 2 for other in every if other is not ring)
+        total += (-1) ** depth * abs(sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in _edges(ring))) / 2
+    return total
 
 
-def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Whether a point is in a ring, by counting the edges that a ray to the right crosses. A box test goes first, and can be pushed to a scan."""
-    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+def in_polygon(x: Column, y: Column, polygon: Polygon) -> Column:
+    """Whether a point is inside, by counting the edges that a ray to the right crosses. A box test goes first, and can be pushed to a scan."""
+    every = rings(polygon)
+    xs, ys = [p[0] for r in every for p in r], [p[1] for r in every for p in r]
     crossings = F.lit(0)
-    for (x0, y0), (x1, y1) in zip(ring, [*ring[1:], ring[0]], strict=True):
+    for (x0, y0), (x1, y1) in (edge for ring in every for edge in _edges(ring)):
         if y0 != y1:
             crosses = ((y < y0) != (y < y1)) & (x < (y - y0) * ((x1 - x0) / (y1 - y0)) + x0)
             crossings = crossings + crosses.cast("int")
@@ -128,10 +148,10 @@ def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
 
 @dataclass(frozen=True)
 class Domain:
-    """Where predictions will be made: a box, a polygon (its ring), or the cells of a grid table in which any of the layers has a value."""
+    """Where predictions will be made: a box, a polygon (its ring, or its rings), or the cells of a grid table in which any of the layers has a value."""
 
     box: tuple[float, float, float, float] | None = None
-    ring: tuple[tuple[float, float], ...] | None = None
+    ring: Polygon | None = None
     cells: DataFrame | None = None
     layers: tuple[str, ...] = ()
 
@@ -149,11 +169,12 @@ class Domain:
             return found.withColumn(row_id, F.col("cell_id"))
         if self.ring is None and self.box is None:
             raise DomainError("a domain needs a box, a ring or cells")
-        box = self.box or (min(x for x, _ in self.ring), min(y for _, y in self.ring), max(x for x, _ in self.ring), max(y for _, y in self.ring))
-        return sample_points(spark, box, n, sampling, list(self.ring) if self.ring else None, seed).withColumnRenamed("id", row_id)
+        corners = [p for r in rings(self.ring) for p in r] if self.ring else []
+        box = self.box or (min(x for x, _ in corners), min(y for _, y in corners), max(x for x, _ in corners), max(y for _, y in corners))
+        return sample_points(spark, box, n, sampling, self.ring, seed).withColumnRenamed("id", row_id)
 
 
-def clustered_points(spark: SparkSession, box: tuple[float, float, float, float], n: int, parents: int, radius: float, ring: list[tuple[float, float]] | None = None, seed: int = 1, tries: int = 200) -> DataFrame:
+def clustered_points(spark: SparkSession, box: tuple[float, float, float, float], n: int, parents: int, radius: float, ring: Polygon | None = None, seed: int = 1, tries: int = 200) -> DataFrame:
     """id, x, y, parent: parents uniform in the area, then round((n - parents) / parents) children of each within radius of it and in the area.
 
     A child takes the first of ``tries`` seeded draws that lies in the area; one without any stands on its parent."""

@@ -475,7 +475,7 @@ def test_polygon_and_samples(spark):
     ring = [(0.0, 0.0), (10.0, 0.0), (0.0, 10.0)]
     p = grid.sample_points(spark, (0, 0, 10, 10), 200, "random", ring)
     assert p.count() == 200 and p.where("x + y > 10").count() == 0
-    assert grid.ring_area(ring) == 50
+    assert grid.polygon_area(ring) == 50
     a, b = (grid.random_points(spark, (0, 0, 1, 1), 50).repartition(n).orderBy("id").collect() for n in (1, 5))
     assert a == b
     with pytest.raises(DomainError):
@@ -515,3 +515,44 @@ def test_grid_files(spark, tmp_path):
     cells = grid.Grid(0, 4, 1, 4, 4).cells(spark)
     grid.write_grid(cells, str(tmp_path / "g"), tile=2)
     assert grid.read_grid(spark, str(tmp_path / "g")).where("tile_row = 1 and tile_col = 0").count() == 4
+
+
+def test_polygons_with_holes_and_parts(spark):
+    """An outer ring, a hole, an island in it, and a part apart, against counting by hand; samples keep to it."""
+    square = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    polygon = [square(0.5, 0.5, 20), square(5.5, 5.5, 10)[::-1], square(8.5, 8.5, 3), square(30.5, 0.5, 6)]
+    within = lambda x, y, s: s[0][0] <= x < s[2][0] and s[0][1] <= y < s[2][1]
+    boxes = [square(0.5, 0.5, 20), square(5.5, 5.5, 10), square(8.5, 8.5, 3), square(30.5, 0.5, 6)]
+    points = spark.range(40 * 25).select((F.col("id") % 40).cast("double").alias("x"), F.floor(F.col("id") / 40).cast("double").alias("y"))
+    got = {tuple(r) for r in points.where(grid.in_polygon(F.col("x"), F.col("y"), polygon)).collect()}
+    assert got == {(x, y) for x in range(40) for y in range(25) if sum(within(x, y, b) for b in boxes) % 2}
+    assert grid.polygon_area(polygon) == 400 - 100 + 9 + 36
+    for how in ("regular", "random"):
+        some = grid.Domain(ring=polygon).points(spark, 200, how).collect()
+        assert all(sum(within(r["x"], r["y"], b) for b in boxes) % 2 for r in some) and (len(some) == 200 if how == "random" else abs(len(some) - 200) < 40)
+
+
+def test_a_fitted_model_carries_all(spark):
+    """Predictions, validation, dissimilarity and profile from one object agree with the pieces put together by hand."""
+    from domainscope.operators import model
+
+    rng = np.random.default_rng(9)
+    rows = [(i, float(a), float(b), float(3 * a - b + rng.normal(0, 0.1)), i % 4) for i, (a, b) in enumerate(rng.normal(size=(80, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double, f int")
+    m = model.fitted(df, "id", ["a", "b"], "y", "f")
+    x, y, f = np.array([[1, r[1], r[2]] for r in rows]), np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    held = np.empty(80)
+    for k in range(4):
+        held[f == k] = x[f == k] @ np.linalg.lstsq(x[f != k], y[f != k], rcond=None)[0]
+    got = {r["id"]: r["pred"] for r in m.predictions.collect()}
+    assert np.allclose([got[i] for i in range(80)], held, atol=1e-6)
+    assert abs(m.global_validation().first()["rmse"] - np.sqrt(np.mean((held - y) ** 2))) < 1e-6
+    whole = np.linalg.lstsq(x, y, rcond=None)[0]
+    assert abs(m.weights["a"] - abs(whole[1])) < 1e-4 and np.allclose([r["pred"] for r in m.predict(df).orderBy("id").collect()], x @ whole, atol=1e-4)
+    by_hand = applicability.train_di(df, "id", ["a", "b"], m.weights, fold="f")
+    assert abs(m.train_di().threshold - by_hand.threshold) < 1e-12 and m.aoa(df).rows.where("aoa = 1").count() >= 60
+    assert m.error_profile(calibration="lm", window=5).points.count() > 40
+    best = model.fitted(df, "id", ["a", "b"], "y", "f", method="rf", grid=[{"numTrees": 1, "maxDepth": 1}, {"numTrees": 5, "maxDepth": 5}], seed=1)
+    assert best.setting["maxDepth"] == 5
+    with pytest.raises(DomainError):
+        model.fitted(df.where("f = 1"), "id", ["a", "b"], "y", "f")
