@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,6 +24,22 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col))
 
 
+def _trim() -> Callable[[int], object]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: None
+
+
+_malloc_trim = _trim()
+
+
+def give_back() -> None:
+    """Returns free memory to the system, at the end of a task: an idle Python worker then holds what it keeps, and not its last peak."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterable[tuple]], Iterator[tuple]]], schema: str, arrow: pa.Schema, rows: int = 2000) -> DataFrame:
     """mapInArrow over tuples. ``make`` runs once a task and returns the generator function that does the work.
 
@@ -37,6 +54,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterable[tuple]], Itera
                 out = list(work(zip(*(c.to_pylist() for c in part.columns), strict=True)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+                del out
+            del part, batch
+        give_back()
 
     return df.mapInArrow(run, schema)
 

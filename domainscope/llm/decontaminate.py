@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, kept
+from .common import give_back, id_and_text, kept
 from .words import BASE, U, hashes, mix, windows
 
 #: A quarter of an item's words may be edited, none of an item under MIN_WORDS.
@@ -307,6 +307,8 @@ def _scan(docs: DataFrame, ids: list, texts: tuple[str, ...], share: float) -> D
             rows = [(who[r], ids[i], dist, int(index.sizes[i]), start, end) for r, i, dist, start, end in _searched(b.column(1), index)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FOUND.types, strict=True)], schema=_FOUND)
+            del b, rows
+        give_back()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long")
 
@@ -339,6 +341,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, t
                 keep = np.ones(b.num_rows, bool)
                 keep[[r for r, *_ in _searched(b.column(b.schema.get_field_index(text_col)), index)]] = False
                 yield b.filter(pa.array(keep))
+                del b
+            give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

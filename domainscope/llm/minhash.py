@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hinted, id_and_text, release
+from .common import checkpointed, give_back, hinted, id_and_text, release
 from .words import U, hashes, mix, windows
 
 SYMBOLS, CHUNKS, ERRORS, CENTRES = 40, 10, 1, 3
@@ -117,6 +117,8 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                     end += 1
                 yield batch(ids[at:end], b.column(2).slice(at, end - at), texts[at:end])
                 at = end
+            del b, ids, texts
+        give_back()
 
     return id_and_text(docs).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, n long, h1 long, h2 long, chunks array<long>, parity array<long>")
 
@@ -130,6 +132,9 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 sets = [shingles(t.encode(), k).view(np.int64) for t in b.column(1).slice(at, 200).to_pylist()]
                 h1, h2 = zip(*map(_digest, sets), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(sets, pa.list_(pa.int64()))], names=["h1", "h2", "elements"])
+                del sets
+            del b
+        give_back()
 
     return docs.mapInArrow(run, "h1 long, h2 long, elements array<long>")
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import give_back, id_and_text
 from .words import BASE, SECOND, U, parts, two_hashes, windows
 
 _NULL_ID = np.iinfo(np.int64).min
@@ -47,6 +47,8 @@ def _packed(docs: DataFrame, chunks: int) -> DataFrame:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([press.compress(t.encode()) for t in part.column(2).to_pylist()], pa.binary())], names=["chunk", "doc_id", "packed"])
+            del b, part
+        give_back()
 
     dealt = id_and_text(docs).select(F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
     return dealt.mapInArrow(run, "chunk int, doc_id long, packed binary")
@@ -107,6 +109,7 @@ def _send(k: int, buckets: int):
     """For each bucket a blob: the number of owners, the owners, the number of each one's windows, and the windows' two hashes."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()  # of the chunk before
         c = _Chunk(table, k, buckets)
         chunk, rows, short = table.column("chunk")[0].as_py(), [], (c.two >> U(48)).astype(np.uint16)
         for b in np.flatnonzero(np.diff(c.edges)).tolist():
@@ -161,6 +164,7 @@ def _remove(k: int, buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _DONE.empty_table()
+        give_back()
         c = _Chunk(table, k, buckets)
         later = np.zeros(len(c.first), bool)
         for b, places in zip(answers.column("bucket").to_pylist(), answers.column("places").to_pylist(), strict=True):

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, kept, map_rows
+from .common import give_back, id_and_text, kept, map_rows
 
 TOXIC, ORDINARY, MAX_CHARS = 1500, 3000, 20_000
 THRESHOLD = 0.3
@@ -226,5 +226,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([score(model, t or "", gains)[0] < threshold for t in texts], pa.bool_()))
+            del b, texts
+        give_back()
 
     return docs.mapInArrow(run, docs.schema).select(*names)
