@@ -40,6 +40,19 @@ def give_back() -> None:
     _malloc_trim(0)
 
 
+#: Rows and bytes of an Arrow batch at most. Buffers outside the heap grow with a batch: 10,000 texts, the default, can be any size.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session Arrow batches have been bounded; smaller bounds of its own stay."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterable[tuple]], Iterator[tuple]]], schema: str, arrow: pa.Schema, rows: int = 2000) -> DataFrame:
     """mapInArrow over tuples. ``make`` runs once a task and returns the generator function that does the work.
 
@@ -58,7 +71,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterable[tuple]], Itera
             del part, batch
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 _kept: dict = {}

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, id_and_text, kept
+from .common import give_back, id_and_text, kept, small_batches
 from .words import BASE, U, hashes, mix, windows
 
 #: A quarter of an item's words may be edited, none of an item under MIN_WORDS.
@@ -310,7 +310,7 @@ def _scan(docs: DataFrame, ids: list, texts: tuple[str, ...], share: float) -> D
             del b, rows
         give_back()
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long")
+    return id_and_text(small_batches(docs)).mapInArrow(run, "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long")
 
 
 def _item_blocks(benchmark: DataFrame) -> Iterator[tuple[list, tuple[str, ...]]]:
@@ -344,5 +344,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, t
                 del b
             give_back()
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, give_back, hinted, id_and_text, release
+from .common import checkpointed, give_back, hinted, id_and_text, release, small_batches
 from .words import U, hashes, mix, windows
 
 SYMBOLS, CHUNKS, ERRORS, CENTRES = 40, 10, 1, 3
@@ -120,7 +120,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             del b, ids, texts
         give_back()
 
-    return id_and_text(docs).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, n long, h1 long, h2 long, chunks array<long>, parity array<long>")
+    return id_and_text(small_batches(docs)).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, n long, h1 long, h2 long, chunks array<long>, parity array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             del b
         give_back()
 
-    return docs.mapInArrow(run, "h1 long, h2 long, elements array<long>")
+    return small_batches(docs).mapInArrow(run, "h1 long, h2 long, elements array<long>")
 
 
 def _alike_in_size(a: str, b: str, percent: int) -> Column:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, id_and_text
+from .common import give_back, id_and_text, small_batches
 from .words import BASE, SECOND, U, parts, two_hashes, windows
 
 _NULL_ID = np.iinfo(np.int64).min
@@ -50,7 +50,7 @@ def _packed(docs: DataFrame, chunks: int) -> DataFrame:
             del b, part
         give_back()
 
-    dealt = id_and_text(docs).select(F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
+    dealt = id_and_text(small_batches(docs)).select(F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
     return dealt.mapInArrow(run, "chunk int, doc_id long, packed binary")
 
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, id_and_text, kept, map_rows
+from .common import give_back, id_and_text, kept, map_rows, small_batches
 
 TOXIC, ORDINARY, MAX_CHARS = 1500, 3000, 20_000
 THRESHOLD = 0.3
@@ -229,4 +229,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
             del b, texts
         give_back()
 
-    return docs.mapInArrow(run, docs.schema).select(*names)
+    return small_batches(docs).mapInArrow(run, docs.schema).select(*names)
