@@ -4,7 +4,7 @@ A template is a black box: a function from a list of (role, text) to a string. T
 1, 2, ... turns; where one output begins with the one before, what was added is the span of the newest turn, and where
 it does not, the template rewrites history: the turn at which this first happens is reported, and spans are then only
 what follows the longest common prefix. Within an assistant's span, the loss covers the text itself: its place is found
-by rendering the turn once more with a probe text of the same beginning and end around it.
+by rendering the turn once more with a probe in its place.
 
 The template of this module marks turns with `[INST] ... [/INST]`, `... </s>`, and `[SYS] ... [/SYS]`, any other role by
 its name. Inside texts and role names a backslash follows each `[`, `]`, `<` and backslash, so no control string can occur there and
@@ -88,8 +88,8 @@ def spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, i
 def loss_spans(turns: list[Turn], template: Template, role: str = "assistant") -> tuple[str, list[tuple[int, int]], int | None]:
     """The output, the place of each text of the role, and the first turn that rewrote history.
 
-    A turn's text is located by rendering the turn with an empty text: what both share at the start and the end of
-    the span is the template's. History that was rewritten leaves no masks, as spans found earlier no longer hold."""
+    A turn's text is located by rendering the turn once more with a probe in its place, one character that the text neither begins nor ends with: what both
+    share at the start and the end of the span is the template's. History that was rewritten leaves no masks, as spans found earlier no longer hold."""
     out, where, rewrote = spans(turns, template)
     if rewrote is not None:
         return out, [], rewrote
@@ -97,10 +97,11 @@ def loss_spans(turns: list[Turn], template: Template, role: str = "assistant") -
     for i, ((r, text), (a, b)) in enumerate(zip(turns, where, strict=True)):
         if r != role:
             continue
-        empty = template([*turns[:i], (r, "")])[a:]
-        probe = template([*turns[:i], (r, "\x00")])[a:]
-        head = len(commonprefix([empty, probe]))
-        masks.append((a + head, b - (len(empty) - head)) if text else (a + head, a + head))
+        probe = next(c for c in "\x00\x01\x02" if c not in (text[:1], text[-1:]))
+        now, other = out[a:b], template([*turns[:i], (r, probe)])[a:]
+        head = len(commonprefix([now, other]))
+        tail = len(commonprefix([now[head:][::-1], other[head:][::-1]]))
+        masks.append((a + head, b - tail))
     return out, masks, None
 
 

@@ -849,6 +849,21 @@ def test_chats_round_trip(spark):
     assert full[1]["spans"][-1]["end"] == len(full[1]["text"]) == got[1]["formatted_chars"] and full[1]["rewrote"] is None
 
 
+@pytest.mark.parametrize("text", ["", "x", "\x00", "\x00 and \x01", "\x01\x00", " spaced ", "[INST] a [/INST]", "</s>" * 3])
+def test_masks_hold_the_text_alone_in_two_renderings_a_turn(text):
+    calls = []
+
+    def counted(turns):
+        calls.append(len(turns))
+        return chat.inst_template(turns)
+
+    turns = [("user", text), ("assistant", text), ("user", "u"), ("assistant", text)]
+    out, masks, rewrote = chat.loss_spans(turns, counted)
+    assert rewrote is None and [chat.unescape(out[a:b]) for a, b in masks] == [text, text] and len(calls) == 5 + 2
+    closing = lambda t: "".join(f"{r}: {x.strip()}\n" for r, x in t) + "END"
+    assert chat.spans([("user", "a"), ("assistant", "b")], closing)[2] == 0
+
+
 def test_a_template_that_rewrites_history_is_detected():
     def thinking(turns):
         return "".join(f"<{r}>{t if i == len(turns) - 1 else t.upper()}" for i, (r, t) in enumerate(turns))
