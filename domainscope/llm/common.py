@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from domainscope.plans.stable import shared_dir as shared_dir
+from domainscope.plans.stable import stable as checkpointed  # noqa: F401
+
 #: What counts as white space between words: space, tab, line feed, vertical tab, form feed, return.
 #: ``bytes.split()`` without arguments splits on exactly these six.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -92,32 +94,12 @@ def release() -> None:
     _kept.clear()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, a local session, as in tests, gets one of its own; on a cluster
-    a folder that executors don't share would lose rows, so that is an error."""
-    conf = spark.sparkContext.getConf()
-    if named := conf.get("spark.checkpoint.dir"):
-        return named
-    master = conf.get("spark.master", "")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-    return f"{tempfile.gettempdir()}/checkpoints"
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder wherever Spark can write."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, materialised in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 #: Up to so many short rows, under 20 MB, are broadcast after they have been counted; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 

@@ -17,7 +17,8 @@ Before any walk, windows are ruled out by the q-gram lemma, which loses nothing:
 L - 1 word pairs of a part, so a window with fewer pairs that occur in any item can hold none; nor can a candidate with fewer pairs, first of any and then
 of its own item. What is left is verified exactly, with free ends in the document.
 
-Items are held in memory in blocks of at most ITEM_BYTES; each block is one pass over the documents, without any shuffle.
+Items are held in memory in blocks of about ITEM_BYTES, one at a time; each block is one pass over the documents, without any shuffle, whose result is written
+if there are several.
 
 Edge cases: null and empty texts hold nothing; items without words are held by nothing; an item with
 repeated rows gives a row for each of them, as a repeated document does; of several places in one document the closest,
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, id_and_text, kept, small_batches
+from .common import checkpointed, give_back, id_and_text, kept, small_batches
 from .words import BASE, U, hashes, mix, windows
 
 #: A quarter of an item's words may be edited, none of an item under MIN_WORDS.
@@ -313,19 +314,24 @@ def _scan(docs: DataFrame, ids: list, texts: tuple[str, ...], share: float) -> D
     return id_and_text(small_batches(docs)).mapInArrow(run, "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long")
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[tuple[list, tuple[str, ...]]]:
-    """Ids and texts of the items, in blocks of about ITEM_BYTES."""
+def _item_blocks(benchmark: DataFrame) -> tuple[int, Iterator[tuple[list, tuple[str, ...]]]]:
+    """How many blocks of about ITEM_BYTES the items make, and the ids and texts of each, collected one after another."""
     items = id_and_text(benchmark, "item_id").where(F.length("text") > 0)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // ITEM_BYTES)
-    for n in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == n).orderBy("item_id", "text").collect()  # about ITEM_BYTES
-        yield [r["item_id"] for r in some], tuple(r["text"] for r in some)
+
+    def each() -> Iterator[tuple[list, tuple[str, ...]]]:
+        for n in range(blocks):
+            some = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == n).orderBy("item_id", "text").collect()  # about ITEM_BYTES
+            yield [r["item_id"] for r in some], tuple(r["text"] for r in some)
+
+    return blocks, each()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, distance, item_words, start_word, end_word (exclusive): the items that each document holds."""
-    passes = [_scan(docs, ids, texts, share) for ids, texts in _item_blocks(benchmark)]
+    blocks, each = _item_blocks(benchmark)
+    passes = [found if blocks == 1 else checkpointed(found) for ids, texts in each for found in [_scan(docs, ids, texts, share)]]  # of several blocks the driver holds one
     if not passes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long")
     return reduce(DataFrame.unionByName, passes)
@@ -333,7 +339,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no item, all their columns unchanged."""
-    for _, texts in _item_blocks(benchmark):
+    blocks, each = _item_blocks(benchmark)
+    for _, texts in each:
 
         def run(batches: Iterator[pa.RecordBatch], texts: tuple[str, ...] = texts) -> Iterator[pa.RecordBatch]:
             index = _index(texts, share)
@@ -345,4 +352,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, t
             give_back()
 
         docs = small_batches(docs).mapInArrow(run, docs.schema)
+        docs = docs if blocks == 1 else checkpointed(docs)
     return docs

@@ -612,6 +612,16 @@ def test_short_items_and_texts_without_spaces(spark):
     assert decontaminate.Index([one], 0.25).search(one, np.array([0, 1])) == [(0, 0, 0, 0, 1)]
 
 
+def test_a_benchmark_in_several_blocks(spark, monkeypatch):
+    items, given = leaky(12)
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), docs(spark, given)
+    one = {tuple(r) for r in decontaminate.leaks(df, bench).collect()}
+    left = {r["doc_id"] for r in decontaminate.without_leaks(df, bench).collect()}
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 500)
+    assert decontaminate._item_blocks(bench)[0] > 3
+    assert {tuple(r) for r in decontaminate.leaks(df, bench).collect()} == one and {r["doc_id"] for r in decontaminate.without_leaks(df, bench).collect()} == left
+
+
 def test_no_benchmark(spark):
     assert decontaminate.leaks(docs(spark, EDGES), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
