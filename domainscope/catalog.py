@@ -714,7 +714,7 @@ def _nndm_sql(pred: str, rows: str, metric: str) -> str:
 
 
 _NNDM = _nndm_sql(_PRED, "SELECT id, x, y FROM xy WHERE train", _XY)
-_ROLES = "SELECT CAST(a.i AS BIGINT) AS fold, b.id AS row_id, CASE WHEN a.i=b.i THEN 'test' WHEN pr.v < nr[a.i] THEN 'exclude' ELSE 'train' END AS role FROM fin, ti a CROSS JOIN ti b LEFT JOIN pr ON pr.i=a.i AND pr.j=b.i"
+_ROLES = "SELECT CAST(a.i AS INTEGER) AS fold, b.id AS row_id, CASE WHEN a.i=b.i THEN 'test' WHEN pr.v < nr[a.i] THEN 'exclude' ELSE 'train' END AS role FROM fin, ti a CROSS JOIN ti b LEFT JOIN pr ON pr.i=a.i AND pr.j=b.i"
 
 
 @query(f"{_NNDM} {_ROLES}", "xy")
