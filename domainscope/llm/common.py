@@ -64,6 +64,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterable[tuple]], Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
+            part = None
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 out = list(work(zip(*(c.to_pylist() for c in part.columns), strict=True)))

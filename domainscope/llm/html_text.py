@@ -53,7 +53,7 @@ _DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:banner|promo\w*|menu|consent|notice|subs
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Characters to an element below which a block of a doubtful name is no text; what is left of the density of blocks by their name; the
 #: share of the least density on the path so far that the node above needs.
-SPARSE, LOWERED, SHARE = 20, 0.1, 0.7
+SPARSE, LOWERED, SHARE = 20, 0.02, 0.7
 _ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<decl>[!?/](?![a-zA-Z])[^>]*)(?:>|\Z)|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?P<cut>\Z)))", re.S)
 _ATTR = re.compile(r"""([^\s/=][^\s/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")

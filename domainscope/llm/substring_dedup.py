@@ -44,6 +44,7 @@ def _packed(docs: DataFrame, chunks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
+            part = None
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([press.compress(t.encode()) for t in part.column(2).to_pylist()], pa.binary())], names=["chunk", "doc_id", "packed"])
