@@ -556,3 +556,29 @@ def test_a_fitted_model_carries_all(spark):
     assert best.setting["maxDepth"] == 5
     with pytest.raises(DomainError):
         model.fitted(df.where("f = 1"), "id", ["a", "b"], "y", "f")
+
+
+def test_rasters_and_features_from_text(spark, tmp_path):
+    from domainscope.sources import files
+
+    values = np.arange(12.0).reshape(3, 4)
+    text = "NCOLS 4\nNROWS 3\nXLLCORNER 100\nYLLCORNER 200\nCELLSIZE 10\nNODATA_VALUE -9999\n" + "\n".join(" ".join(f"{v:g}" if v != 5 else "-9999" for v in row) for row in values) + "\n"
+    (tmp_path / "a.asc").write_text(text)
+    (tmp_path / "b.asc").write_text(text.replace("XLLCORNER 100", "xllcenter 105").replace("-9999\n", "-1\n", 1).replace(" 7\n", " 70\n"))
+    g, cells = files.read_rasters(spark, {"a": str(tmp_path / "a.asc"), "b": str(tmp_path / "b.asc")})
+    got = cells.orderBy("cell_id").collect()
+    assert (g.xmin, g.ymax) == (100, 230) and [r["cell_id"] for r in got] == list(range(12))
+    assert [r["a"] for r in got] == [None if v == 5 else v for v in values.ravel()] and got[7]["b"] == 70 and got[5]["b"] == -9999
+    assert [(r["x"], r["y"]) for r in got] == [(105 + 10 * c, 225 - 10 * r) for r in range(3) for c in range(4)]
+    points = spark.createDataFrame([(1, 116.0, 213.0), (2, 99.0, 213.0)], "id long, x double, y double")
+    assert {r["id"]: r["a"] for r in g.extract(points, cells, ["a"]).collect()} == {1: None, 2: None}
+    (tmp_path / "cut.asc").write_text(text[:-4])
+    with pytest.raises(DomainError):
+        files.read_raster(spark, str(tmp_path / "cut.asc"), "a")
+    feature = '{"type":"Feature","geometry":{"type":"%s","coordinates":%s},"properties":{"id":%d,"soil":"s%d"}}'
+    square = "[[[0,0],[9,0],[9,9],[0,9],[0,0]],[[3,3],[3,6],[6,6],[6,3],[3,3]]]"
+    (tmp_path / "f.geojsonl").write_text("\n".join([feature % ("Point", "[1.5,2.5]", 1, 1), feature % ("Polygon", square, 2, 2), feature % ("MultiPolygon", "[[[[20,0],[22,0],[22,2],[20,2],[20,0]]]]", 3, 3), ""]))
+    rows = files.read_points(spark, str(tmp_path / "f.geojsonl"), "id: bigint, soil: string").where("x is not null").collect()
+    assert [(r["x"], r["y"], r["id"], r["soil"]) for r in rows] == [(1.5, 2.5, 1, "s1")]
+    polygon = files.read_polygon(spark, str(tmp_path / "f.geojsonl"))
+    assert len(polygon) == 3 and grid.polygon_area(polygon) == 81 - 9 + 4
