@@ -83,11 +83,17 @@ class TrainDI:
     rows: DataFrame
     avg_lpd: int | None = None
     has_folds: bool = False
+    kept: DataFrame | None = field(default=None, repr=False)
 
     def summary(self) -> DataFrame:
         row = (", ".join(self.space.variables), self.n, self.metric.name, self.dbar, self.threshold, self.avg_lpd)
         return self.train.sparkSession.createDataFrame([row], "variables string, n long, method string, avg_distance double, threshold double, avg_lpd long")
 
+    def free(self) -> None:
+        """Lets go of the training rows' results, which are kept in memory; they still work, and are computed again."""
+        if self.kept is not None:
+            self.kept.unpersist()
+
     def plot_data(self, points: int = 512) -> DataFrame:
         """x, density of the training DI, and the threshold in each row."""
         return kernel_density(self.rows, "train_di", points).withColumn("threshold", F.lit(self.threshold))
@@ -148,7 +154,7 @@ def train_di(
         rows = low.select("row_id", "avg_dist", least.alias("min_dist"), *inner_names(inner), "__test")
     else:
         rows = shown.select("row_id", "avg_dist", F.col("__self").alias("min_dist"), *inner_names(inner), "__test")
-    rows = rows.withColumn("train_di", F.col("min_dist") / F.lit(dbar)).persist()
+    held = rows = rows.withColumn("train_di", F.col("min_dist") / F.lit(dbar)).persist()
     threshold = upper_whisker(rows, "train_di")
     first.unpersist()  # rows are kept from here on
     if threshold is None:
@@ -160,7 +166,7 @@ def train_di(
         average = rows.agg(F.bround(F.avg("lpd"))).first()[0]
     else:
         rows = rows.select("row_id", "avg_dist", "min_dist", "train_di", F.lit(None).cast("long").alias("lpd"))
-    return TrainDI(train, row_id, space, metric, n, dbar, threshold, rows, None if average is None else int(average), has_folds)
+    return TrainDI(train, row_id, space, metric, n, dbar, threshold, rows, None if average is None else int(average), has_folds, held)
 
 
 def inner_names(features: Features) -> list[str]:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domainscope.errors import DomainError
+from domainscope.plans.ordered import with_rank
 
 Ring = Sequence[tuple[float, float]]
 Polygon = Ring | Sequence[Ring]
@@ -182,8 +183,7 @@ def clustered_points(spark: SparkSession, box: tuple[float, float, float, float]
         raise DomainError("at least one parent, no fewer points than parents, and a radius over 0 are needed")
     children = round((n - parents) / parents)
     tops = sample_points(spark, box, parents, "random", ring, seed).select(F.col("id").alias("__id"), "x", "y")
-    rank = F.row_number().over(_by("__id"))  # at most `parents` rows, fixed by the caller
-    tops = tops.select(rank.cast("long").alias("parent"), "x", "y")
+    tops = with_rank(tops, "__id", [], "parent").select("parent", "x", "y")
     own = tops.select((F.col("parent") - 1).alias("id"), "x", "y", "parent")
     drawn = tops.select("parent", F.col("x").alias("px"), F.col("y").alias("py"), F.explode(F.sequence(F.lit(0), F.lit(children - 1))).alias("child")) if children else None
     if drawn is None:
@@ -202,12 +202,6 @@ def clustered_points(spark: SparkSession, box: tuple[float, float, float, float]
     return own.unionByName(placed)
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 def write_grid(grid: DataFrame, path: str, tile: int | None = None, cols: int | None = None) -> None:
     """Parquet; with tile (cells on a side) partitioned by tile, so that readers of an area skip the rest."""
     if tile is None:
