@@ -80,9 +80,9 @@ class ByteBpe:
     """ranks: token bytes to id, where the id is the merge rank. pattern cuts a text into pieces."""
 
     #: Pieces up to so many characters are remembered, about KEEP of them at most.
-    SHORT, KEEP = 24, 200_000
+    SHORT, KEEP = 24, 300_000
     #: Characters of the texts that are encoded together.
-    GROUP = 1 << 20
+    GROUP = 4 << 20
     _NONE = -1
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -240,7 +240,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         codec, _ = _codec(data, pattern)
         return lambda rows: ((d, list(chain.from_iterable(ids))) for d, ids in codec.groups(rows))
 
-    return map_rows(id_and_text(docs), make, "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), rows=1000)
+    return map_rows(id_and_text(docs), make, "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -251,7 +251,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         codec, _ = _codec(data, pattern)
         return lambda rows: ((d, codec.decode(ids or ()).decode("utf-8", "replace")) for d, ids in rows)
 
-    return map_rows(encoded.select("doc_id", "ids"), make, "doc_id long, text string", pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), rows=1000)
+    return map_rows(encoded.select("doc_id", "ids"), make, "doc_id long, text string", pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -289,5 +289,5 @@ def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     return map_rows(
         id_and_text(docs), make, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string",
-        pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())]), rows=1000,
+        pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())]),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,23 +56,22 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterable[tuple]], Iterator[tuple]]], schema: str, arrow: pa.Schema, rows: int = 2000) -> DataFrame:
-    """mapInArrow over tuples. ``make`` runs once a task and returns the generator function that does the work.
+def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterable[tuple]], Iterator[tuple]]], schema: str, arrow: pa.Schema, rows: int = 1000) -> DataFrame:
+    """mapInArrow over tuples. ``make`` runs once a task and returns the generator function that does the work, over all rows of the task.
 
-    Results leave in batches of ``rows``, so that a task never holds more than one input batch and one output batch.
-    """
+    Rows come as they are asked for and results leave in batches of ``rows``, so that a task never holds more than one input batch, one output batch and what
+    the work holds."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            part = None
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                out = list(work(zip(*(c.to_pylist() for c in part.columns), strict=True)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
-                del out
-            del part, batch
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            del batch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = make()(read(batches))
+        while out := list(islice(found, rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+            del out
         give_back()
 
     return small_batches(df).mapInArrow(run, schema)
