@@ -182,19 +182,24 @@ class ByteBpe:
         if len(self.known) > self.KEEP:
             self.known = dict(islice(self.known.items(), len(self.known) - self.KEEP // 2, None))
 
-    def _all_ids(self, cut: list[list[str]]) -> list[list[int]]:
-        """The ids of texts that are cut into pieces."""
-        found = [list(map(self.known.get, c)) for c in cut]
-        new = {p for c, f in zip(cut, found, strict=True) if None in f for p, ids in zip(c, f, strict=True) if ids is None}
+    def _all_ids(self, cut: Iterable[list[str]]) -> list[list[int]]:
+        """The ids of texts that are cut into pieces. A text's pieces are looked up while they are at hand, and only the unknown are held."""
+        known, texts, new = self.known.get, [], set()
+        for pieces in cut:
+            found = list(map(known, pieces))
+            holes = [(i, pieces[i]) for i, ids in enumerate(found) if ids is None]
+            new.update(p for _, p in holes)
+            texts.append((found, holes))
         self.learn(new)
-        known = self.known.__getitem__
-        ids = [list(chain.from_iterable(map(known, c) if None in f else f)) for c, f in zip(cut, found, strict=True)]
+        for found, holes in texts:
+            for i, p in holes:
+                found[i] = self.known[p]
         self.forget(new)
-        return ids
+        return [list(chain.from_iterable(found)) for found, _ in texts]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """The ids of each of some texts, which are held together."""
-        return self._all_ids([self.pattern.findall(t) for t in texts])
+        return self._all_ids(map(self.pattern.findall, texts))
 
     def encode_long(self, text: str) -> Iterator[list[int]]:
         """The ids of a text of any length, some pieces at a time."""
