@@ -229,12 +229,16 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _codec(data: bytes, pattern: str) -> tuple[ByteBpe, dict[int, str]]:
+def _codec(data: bytes, pattern: str, small: bool = False) -> tuple[ByteBpe, dict[int, str]]:
+    """small: for operators that return ids, which hold those of many rows beside a group."""
+
     def make():
         codec = ByteBpe.from_bytes(data, pattern)
+        if small:
+            codec.GROUP, codec.KEEP = codec.GROUP // 4, codec.KEEP // 2
         return codec, {i: str(i) for i in codec.tokens}
 
-    return kept(("bpe", data, pattern), make)
+    return kept(("bpe", data, pattern, small), make)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -242,10 +246,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     data = file_bytes(path)
 
     def make():
-        codec, _ = _codec(data, pattern)
+        codec, _ = _codec(data, pattern, small=True)
         return lambda rows: ((d, list(chain.from_iterable(ids))) for d, ids in codec.groups(rows))
 
-    return map_rows(id_and_text(docs), make, "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+    return map_rows(id_and_text(docs), make, "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), rows=200)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -289,10 +293,10 @@ def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     data = file_bytes(path)
 
     def make():
-        codec, _ = _codec(data, pattern)
+        codec, _ = _codec(data, pattern, small=True)
         return lambda rows: ((d, len(ids), ids, hashlib.sha256(codec.decode(ids)).hexdigest()) for d, parts in codec.groups(rows) for ids in [list(chain.from_iterable(parts))])
 
     return map_rows(
         id_and_text(docs), make, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string",
-        pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())]),
+        pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())]), rows=200,
     )
