@@ -432,6 +432,20 @@ def test_groups_of_texts_and_long_ones_give_the_same_ids(monkeypatch):
         assert [[x for part in parts for x in part] for _, parts in codec.groups(enumerate(texts))] == expect
 
 
+def test_pieces_that_come_again_and_again_are_merged_once(monkeypatch):
+    """With more different pieces than are remembered; the rare ones go, and the queue is shared by a few at a time."""
+    codec, seen = bpe.ByteBpe.from_bytes(open(RANKS, "rb").read(), public_tokenizers.PATTERN), []
+    texts = [f" quxly zq{a}{b}vx quxly blorfgh{b}{a}jk" for a in "abcdefghij" for b in "klmnopqrst"]
+    expect = [codec.encode(t) for t in texts]
+    codec = bpe.ByteBpe.from_bytes(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    merge = codec.merge
+    monkeypatch.setattr(codec, "merge", lambda pieces: seen.append(pieces) or merge(pieces))
+    codec.GROUP, codec.KEEP, codec.QUEUED = 60, 20, 30
+    assert [[x for part in parts for x in part] for _, parts in codec.groups(enumerate(texts))] == expect
+    assert [p for pieces in seen for p in pieces].count(b" quxly") == 1 and len(codec.known) + len(codec.older) < 40
+    assert all(len(pieces) == 1 or sum(map(len, pieces)) <= 30 for pieces in seen) and max(map(len, seen)) > 1
+
+
 # -- decontamination
 
 
