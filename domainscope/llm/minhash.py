@@ -16,6 +16,9 @@ of distant variants around a much copied text.
 Before the comparison of full sets, two tests that lose nothing are made: the ratio of the set sizes, and the parities of the sets' elements
 by hash bucket, which bound their difference from below. A pair that shares several keys is compared at the first only.
 
+Full sets are made of one text of each class that shares a key. A filter on the ids and texts wanted keeps the others from being shuffled; the sets
+are written parted by class, and pairs are sent to them.
+
 Edge cases: null and empty texts, and texts of white space only, have an empty set, are linked with nothing and are kept. With fewer
 words than a shingle the whole sequence is the one shingle. Rows repeated with one doc_id fall into one class and each keep their row; an id
 that comes with different texts stands in the class of each, links them all the same, and each row has the component of its own text. A null
@@ -26,17 +29,22 @@ an empty result; other columns are ignored; texts are used whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, give_back, hinted, id_and_text, release, small_batches
-from .words import U, hashes, mix, windows
+from .words import U, hashes, mix, parts, windows
 
 SYMBOLS, CHUNKS, ERRORS, CENTRES = 40, 10, 1, 3
+#: Bits of the filter that tells which texts are read again: for each such text, and in all, 8 MB, at most.
+FILTER_BITS, FILTER_MOST = 16, 1 << 26
+#: Bytes of the table for each part of the sets.
+PART_BYTES = 16 << 20
 PARITY_BITS = 512
 _rng = np.random.default_rng(20240117)
 _ODD = [U(int(x) | 1) for x in _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.int64)]
@@ -123,20 +131,64 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return id_and_text(small_batches(docs)).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, n long, h1 long, h2 long, chunks array<long>, parity array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """h1, h2, elements: the sets (of docs' second column) as ascending 64-bit hashes, with their digests."""
+def _filter(hashed: DataFrame, n: int) -> np.ndarray:
+    """The bits at the remainders of n numbers (the only column) by how many bits there are, as bytes.
+
+    Each stretch of 32,768 bits is put together in one task, so that what is shuffled are the numbers and not bitmaps of every task."""
+    size = 1 << 15
+    while size < min(FILTER_BITS * n, FILTER_MOST):
+        size *= 2
+    at = hashed.select(F.pmod(F.col(hashed.columns[0]), F.lit(size)).alias("at"))
+    stretches = at.select(F.shiftright("at", 15).alias("part"), F.col("at").bitwiseAND(F.lit(32767)).alias("bit")).repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit"))
+    out = np.zeros((size >> 15, 4096), np.uint8)
+    for part, bitmap in stretches.collect():
+        out[part] = np.frombuffer(bitmap, np.uint8)
+    return out.ravel()
+
+
+def _among(docs: DataFrame, hashed: Column, bits: np.ndarray) -> DataFrame:
+    """The rows of docs whose hash is in a filter: all that were put in, and a few more. The others don't reach a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy()
+            yield b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            del b
+        give_back()
+
+    marked = docs.withColumn("at", F.pmod(hashed, F.lit(8 * len(bits))).cast("long"))
+    return small_batches(marked).mapInArrow(run, marked.schema).select(docs.columns)
+
+
+@contextmanager
+def _as_planned(spark: SparkSession) -> Iterator[None]:
+    """Without adaptive plans: of frames that these write, Spark doesn't know how the rows were parted."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """c, elements: the sets of texts (c, text) as ascending 64-bit hashes. A c that a task meets again is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                sets = [shingles(t.encode(), k).view(np.int64) for t in b.column(1).slice(at, 200).to_pylist()]
-                h1, h2 = zip(*map(_digest, sets), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(sets, pa.list_(pa.int64()))], names=["h1", "h2", "elements"])
-                del sets
+                new = {c: t for c, t in zip(b.column(0).slice(at, 200).to_pylist(), b.column(1).slice(at, 200).to_pylist(), strict=True) if c not in seen}
+                seen.update(new)
+                sets = [shingles(t.encode(), k).view(np.int64) for t in new.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["c", "elements"])
+                del new, sets
             del b
         give_back()
 
-    return small_batches(docs).mapInArrow(run, "h1 long, h2 long, elements array<long>")
+    return small_batches(texts).mapInArrow(run, "c long, elements array<long>")
 
 
 def _alike_in_size(a: str, b: str, percent: int) -> Column:
@@ -213,11 +265,12 @@ def _rooted(docs: DataFrame, k: int, percent: int) -> DataFrame:
     every = classes.select("c", "n", F.explode(index_keys()).alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = checkpointed(every.join(shared, "key"))
-    weight = members.groupBy("c").agg(F.sum("size").alias("weight"))
-    named = classes.select("c", "h1", "h2", "rep", "t").join(weight.select("c"), "c", "left_semi")
-    texts = id_and_text(docs).withColumn("t", F.xxhash64("text"))
-    texts = texts.join(named.select("rep", F.col("t").alias("u")), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t") == F.col("u")), "left_semi")
-    sets = checkpointed(_sets(texts.select("doc_id", "text"), k).dropDuplicates(["h1", "h2"]).join(named, ["h1", "h2"]).select("c", "elements"))
+    named = checkpointed(classes.select("c", "rep", F.col("t").alias("u")).join(members.groupBy("c").agg(F.sum("size").alias("weight")), "c"))
+    weight = named.select("c", "weight")
+    texts = _among(id_and_text(docs).withColumn("t", F.xxhash64("text")), F.xxhash64("doc_id", "t"), _filter(named.select(F.xxhash64("rep", "u")), named.count()))
+    texts = texts.join(named, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t") == F.col("u"))).select("c", "text")
+    with _as_planned(docs.sparkSession):  # parted by c once and for all: what joins them later comes to them
+        sets = checkpointed(_sets(texts, k).repartition(parts(docs, PART_BYTES), "c").dropDuplicates(["c"]))
 
     orders = [F.col("weight"), *(F.xxhash64("c", F.lit(i)) for i in range(CENTRES - 1))]
     centres = members.join(weight, "c").groupBy("key").agg(F.array_distinct(F.array(*(F.max(F.struct(o.alias("o"), F.negative("c").alias("order"), F.struct("c", "n").alias("m")))["m"] for o in orders))).alias("m"))

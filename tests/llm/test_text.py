@@ -286,6 +286,31 @@ def test_one_id_with_several_texts_loses_no_link(spark):
     assert sorted(r["text"] for r in left) == sorted(t for i, t in given if i % 10 == 0)
 
 
+def test_a_filter_misses_none_of_its_texts(spark):
+    """Others come along, all of them if the filter is full."""
+    rows = spark.range(40_000).select("id", F.xxhash64("id").alias("h"), F.lit("x").alias("text"))
+    for n, most in ((500, 1_500), (40_000, 40_000)):
+        bits = minhash._filter(rows.where(F.col("id") < n).select("h"), n if n < 1_000 else 1)
+        among = minhash._among(rows, F.col("h"), bits)
+        found = {r["id"] for r in among.collect()}
+        assert among.columns == rows.columns and found >= set(range(n)) and len(found) <= most
+
+
+def test_texts_are_not_shuffled_and_sets_once(spark):
+    """Of long texts, one in five with a near copy, much less is shuffled than they are long."""
+    rng = np.random.default_rng(12)
+    vocabulary = np.array([f"word{i}" for i in range(20_000)])
+    given = []
+    for i in range(400):
+        words = rng.choice(vocabulary, 2000)
+        given += [(i, " ".join(words)), *([(1000 + i, " ".join([*words[:-20], "other"]))] if i % 5 == 0 else [])]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = minhash.near_duplicates(docs(spark, given), 4, 80).collect()
+    assert sum(r["component_id"] != r["doc_id"] for r in got) == 80 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert written() - before < 0.9 * sum(len(t) for _, t in given)
+
+
 def test_pairs_within_the_guaranteed_distance_share_a_key(spark):
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 16, (200, minhash.SYMBOLS)).astype(np.uint16)
