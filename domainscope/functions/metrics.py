@@ -45,23 +45,56 @@ class Metric(NamedTuple):
 
     def distances(self, a: Rows, b: Rows) -> np.ndarray:
         """(len(a), len(b)) distances of prepared rows, by direct differences, so that equal rows are at exactly 0."""
+        return self.between(a.numeric[:, None], a.categories[:, None], b.numeric[None], b.categories[None])
+
+    def between(self, an: np.ndarray, ac: np.ndarray, bn: np.ndarray, bc: np.ndarray) -> np.ndarray:
+        """The same of any two arrays of prepared rows that go together but for their last axis, the features."""
         if self.name == "great_circle":
-            lon = a.numeric[:, None, 0] - b.numeric[None, :, 0]
-            lat = a.numeric[:, None, 1] - b.numeric[None, :, 1]
-            h = np.sin(lat / 2) ** 2 + np.cos(a.numeric[:, None, 1]) * np.cos(b.numeric[None, :, 1]) * np.sin(lon / 2) ** 2
+            lon, lat = an[..., 0] - bn[..., 0], an[..., 1] - bn[..., 1]
+            h = np.sin(lat / 2) ** 2 + np.cos(an[..., 1]) * np.cos(bn[..., 1]) * np.sin(lon / 2) ** 2
             return 2 * EARTH_RADIUS * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
-        out = np.zeros((len(a), len(b)))
+        out = np.zeros(np.broadcast_shapes(an.shape[:-1], bn.shape[:-1]))
         if self.name == "gower":
             for j, r in enumerate(self.ranges):
                 if r > 0:
-                    out += np.abs(a.numeric[:, None, j] - b.numeric[None, :, j]) / r
-            for j in range(a.categories.shape[1]):
-                out += a.categories[:, None, j] != b.categories[None, :, j]
-            return out / max(1, len(self.ranges) + a.categories.shape[1])
-        for j in range(a.numeric.shape[1]):
-            out += np.square(a.numeric[:, None, j] - b.numeric[None, :, j])
+                    out += np.abs(an[..., j] - bn[..., j]) / r
+            for j in range(ac.shape[-1]):
+                out += ac[..., j] != bc[..., j]
+            return out / max(1, len(self.ranges) + ac.shape[-1])
+        for j in range(an.shape[-1]):
+            out += np.square(an[..., j] - bn[..., j])
         return np.sqrt(out)
 
+    # -- boxes: rows in a space where no two are farther apart than by the metric, and how far a box is there
+
+    def levels(self, rows: Rows) -> list[np.ndarray]:
+        """The categories that ``embedded`` knows."""
+        return [np.unique(c) for c in rows.categories.T] if self.name == "gower" else []
+
+    def embedded(self, rows: Rows, levels: list[np.ndarray]) -> np.ndarray:
+        """Prepared rows as points; categories are indicators of a half, so that two of them are 1 apart, and unknown ones a half."""
+        if self.name == "great_circle":
+            lon, lat = rows.numeric[:, 0], rows.numeric[:, 1]
+            return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+        if self.name != "gower":
+            return rows.numeric
+        parts = [rows.numeric[:, j] / r for j, r in enumerate(self.ranges) if r > 0] + [(c == v) * 0.5 for c, known in zip(rows.categories.T, levels, strict=True) for v in known]
+        return np.stack(parts or [np.zeros(len(rows))], axis=1) / max(1, len(self.ranges) + rows.categories.shape[1])
+
+    def box(self, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The distance of points to a box each."""
+        out = np.zeros(len(at))
+        for j in range(at.shape[1]):
+            gap = np.maximum(np.maximum(low[:, j] - at[:, j], at[:, j] - high[:, j]), 0)
+            out += gap if self.name == "gower" else np.square(gap)
+        return out if self.name == "gower" else np.sqrt(out)
+
+    def reach(self, d: np.ndarray) -> np.ndarray:
+        """The farthest that rows at a distance d may be apart as points, beside rounding."""
+        if self.name == "great_circle":
+            return 2 * np.sin(np.minimum(d / (2 * EARTH_RADIUS), np.pi / 2)) * (1 + 1e-9) + 1e-12
+        return d * (1 + 1e-9) + 1e-12 if self.name == "gower" else d * (1 + 1e-12)
+
 
 def whitening(covariance: np.ndarray) -> tuple[tuple[float, ...], ...]:
     """The square root of the pseudo-inverse: L2 after it is the Mahalanobis distance. Directions without variance are left out."""

@@ -22,7 +22,7 @@ from domainscope.functions.distributions import kernel_density, upper_whisker
 from domainscope.functions.metrics import Metric, whitening
 from domainscope.functions.scaling import Dummies, Scaler, is_categorical
 from domainscope.operators.folds import FoldLists, Folds
-from domainscope.plans.neighbours import REFERENCE_ROWS, Features, nearest
+from domainscope.plans.neighbours import Features, nearest, rows_that_travel
 from domainscope.plans.stable import numbered
 
 
@@ -149,7 +149,7 @@ def train_di(
     shown = averages.withColumn("__test", F.col("__test") if has_folds else F.lit(1).cast("long"))
     if has_folds:
         # a row that no fold tests has no DI, but may be a neighbour
-        low = nearest(shown, shown, inner, metric, "row_id", rule=rule, fold="__test", apart=apart)
+        low = nearest(shown, shown, inner, metric, "row_id", rule=rule, fold="__test", apart=apart, sums=False)
         least = F.when(F.col("__test").isNotNull(), F.col("nn_dist"))
         rows = low.select("row_id", "avg_dist", least.alias("min_dist"), *inner_names(inner), "__test")
     else:
@@ -161,7 +161,7 @@ def train_di(
         raise DomainError("no training row has a dissimilarity")
     average = None
     if lpd:
-        counted = nearest(rows, rows, inner, metric, "row_id", rule=rule, fold="__test", apart=apart, threshold=threshold * dbar)
+        counted = nearest(rows, rows, inner, metric, "row_id", rule=rule, fold="__test", apart=apart, threshold=threshold * dbar, sums=False)
         rows = counted.withColumn("lpd", F.when(F.col("min_dist").isNotNull(), F.col("n_under"))).select("row_id", "avg_dist", "min_dist", "train_di", "lpd")
         average = rows.agg(F.bround(F.avg("lpd"))).first()[0]
     else:
@@ -231,15 +231,15 @@ def aoa(newdata: DataFrame, model: TrainDI, lpd: bool = False, max_lpd: float =
     features = model.space.features()
     k = most if indices and most else 0
     clean = newdata.drop("di", "aoa", "lpd", "nn_ids")
-    if model.n > REFERENCE_ROWS:  # the way by blocks joins its results back on a key, which must hold from one evaluation to the next
+    if model.n > (most_rows := rows_that_travel(*features.shape)):  # the way by blocks joins its results back on a key, which must hold from one evaluation to the next
         if clean.isStreaming:
-            raise DomainError(f"a stream can't be scored against more than {REFERENCE_ROWS} training rows")
+            raise DomainError(f"a stream can't be scored against more than {most_rows} training rows")
         clean = numbered(clean, "__row")
         names = clean.columns[:-1]
     else:
         names = clean.columns
         clean = clean.withColumn("__row", F.lit(0).cast("long"))
-    found = nearest(clean, model.train, features, model.metric, "__row", k=k, threshold=model.threshold * model.dbar, reference_id=model.row_id)
+    found = nearest(clean, model.train, features, model.metric, "__row", k=k, threshold=model.threshold * model.dbar, reference_id=model.row_id, sums=False)
     di = F.col("nn_dist") / F.lit(model.dbar)
     out = [di.alias("di"), F.when(di.isNotNull(), F.when(di > F.lit(model.threshold), 0).otherwise(1)).alias("aoa")]
     if lpd:

@@ -15,7 +15,7 @@ from domainscope.functions.metrics import TIME_UNITS, Metric, check, time_value,
 from domainscope.functions.scaling import Scaler, is_categorical
 from domainscope.operators.folds import FoldLists
 from domainscope.plans.cells import nearest_in_plane
-from domainscope.plans.neighbours import REFERENCE_ROWS, Features, nearest, ranges
+from domainscope.plans.neighbours import Features, nearest, ranges, rows_that_travel
 from domainscope.plans.ordered import nearest_1d
 from domainscope.sources.grid import Domain
 
@@ -81,10 +81,10 @@ class Comparer:
 
     def planar(self, references: DataFrame) -> bool:
         """Whether a search by cells of the plane is the better way: points, Euclidean, and too many references to travel."""
-        return self.metric.name == "euclidean" and self.place is not None and references.count() > REFERENCE_ROWS
+        return self.metric.name == "euclidean" and self.place is not None and references.count() > rows_that_travel(2)
 
     def nearest(self, queries: DataFrame, references: DataFrame, row_id: str, **how) -> DataFrame:
-        return nearest(queries, references, self.features, self.metric, row_id, **how)
+        return nearest(queries, references, self.features, self.metric, row_id, sums=False, **how)
 
 
 def self_distances(x: DataFrame, comparer: Comparer, row_id: str) -> DataFrame:

@@ -60,6 +60,45 @@ def test_blocks_give_the_same(spark):
     assert np.allclose(a["nn_dist"], b["nn_dist"]) and (a["n_dist"] == 89).all() and (b["n_dist"] == 89).all()
 
 
+def alike(n, seed, missing=True):
+    """Rows of two numbers, a category and a fold; many are alike, some miss a value."""
+    rng = np.random.default_rng(seed)
+    rows = [(i, float(a), float(b), "xyz"[c], None if f == 4 else int(f)) for i, (a, b, c, f) in enumerate(rng.integers(0, [7, 5, 3, 5], size=(n, 4)))]
+    return rows + [(n, None, 1.0, "x", 1), (n + 1, 1.0, 1.0, None, 2)] * missing
+
+
+@pytest.mark.parametrize("limit", [None, 150, 40])
+def test_a_tree_finds_what_all_pairs_have(spark, limit):
+    """Whether references travel as rows, as the different ones, or by blocks."""
+    schema = "id long, a double, b double, c string, f int"
+    x, q = spark.createDataFrame(alike(300, 21), schema), spark.createDataFrame(alike(200, 22), schema).withColumn("a", F.col("a") * 0.7)
+    numbers, mixed = Features([F.col("a"), F.col("b")]), Features([F.col("a"), F.col("b")], [F.col("c")])
+    for metric, f in ((Metric("euclidean"), numbers), (Metric("great_circle"), numbers), (Metric("gower", ranges=(6.0, 4.0)), mixed), (Metric("euclidean"), Features([F.col(v) for v in "ab"] * 7))):
+        for queries, how in ((q, {}), (q, {"k": 7, "threshold": 2.5}), (x, {"rule": "other", "threshold": 0.5}), (x, {"rule": "out_of_fold", "fold": "f", "threshold": 2.0})):
+            new, old = (nearest(queries, x, f, metric, "id", limit=n, sums=s, **how).orderBy("id").toPandas() for n, s in ((limit, False), (1000, True)))
+            assert new["id"].tolist() == old["id"].tolist()
+            for c in ("nn_dist", "n_dist", "n_under"):
+                assert np.allclose(new[c].astype(float), old[c].astype(float), rtol=0, atol=1e-9, equal_nan=True), (metric.name, how, c)
+            assert [None if v is None else list(v) for v in new["nn_ids"]] == [None if v is None else list(v) for v in old["nn_ids"]]
+    other = spark.createDataFrame(alike(300, 21), schema)
+    new, old = (nearest(a, x, mixed, Metric("gower", ranges=(6.0, 4.0)), "id", rule="other").orderBy("id").toPandas() for a in (x, other))
+    assert np.allclose(new["sum_dist"], old["sum_dist"], equal_nan=True) and new["sum_dist"].isna().sum() == 2 and (new["n_dist"].dropna() == old["n_dist"].dropna()).all()
+
+
+def test_few_pairs_are_compared(spark, monkeypatch):
+    """The cost of a search: of 20,000 queries and as many references a few pairs in a thousand, and none twice for rows that are alike."""
+    from domainscope.functions.metrics import Rows
+    from domainscope.plans.neighbours import Points
+
+    rng, pairs = np.random.default_rng(5), []
+    x = Rows(rng.random((20_000, 2)), np.empty((20_000, 0), np.int64))
+    between = Metric.between
+    monkeypatch.setattr(Metric, "between", lambda self, an, ac, bn, bc: pairs.append(np.prod(np.broadcast_shapes(an.shape, bn.shape)[:-1])) or between(self, an, ac, bn, bc))
+    Points.of(x, np.ones(20_000, np.int64), None, None, Metric("euclidean"), 0).search(Metric("euclidean")).least(x, place=1)
+    assert sum(pairs) < 200 * 20_000
+    assert len(Points.of(Rows(np.tile(x.numeric[:9], (50, 1)), np.empty((450, 0), np.int64)), np.ones(450, np.int64), None, None, Metric("euclidean"), 0).rows) == 9
+
+
 @pytest.mark.parametrize("other", [False, True])
 def test_cells_give_the_same(spark, other):
     rng = np.random.default_rng(14)
