@@ -256,7 +256,13 @@ def masked(result: Aoa, layer: str, columns: tuple[str, ...] = ("di", "aoa", "lp
 
 
 def normalised(result: Aoa) -> Aoa:
-    """DI and training DI in units of the threshold, which becomes 1."""
-    t = F.lit(result.threshold)
-    rows = result.model.rows.withColumn("train_di", F.col("train_di") / t)
-    return replace(result, rows=result.rows.withColumn("di", F.col("di") / t), threshold=1.0, train_di=rows)
+    """DI and training DI in units of the threshold, which becomes 1. A threshold of 0, as where most training rows are alike, leaves no number: a DI over it is infinite."""
+
+    def units(name: str) -> Column:
+        di = F.col(name)
+        if result.threshold:
+            return di / F.lit(result.threshold)
+        return F.when(di.isNotNull(), F.when(di > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+
+    rows = result.model.rows.withColumn("train_di", units("train_di"))
+    return replace(result, rows=result.rows.withColumn("di", units("di")), threshold=1.0, train_di=rows)

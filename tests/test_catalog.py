@@ -1,5 +1,7 @@
 """Every catalogued query runs, and agrees with its SQL where it has one."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -46,3 +48,30 @@ def test_matching_is_over_all_training_points(spark):
         assert {r["row_id"] for r in catalog.QUERIES[name](spark, where).collect()} == ids
     sizes = catalog.QUERIES["knndm_summary"](spark, where).first()["fold_sizes"]
     assert sum(map(int, sizes.split(", "))) == len(ids)
+
+
+@pytest.fixture(scope="module")
+def alike(sf_dir, tmp_path_factory):
+    """The tables with every part six times, so that the nearest training row of most is one that is alike, and the threshold 0."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    top = tmp_path_factory.mktemp("alike")
+    for path in Path(sf_dir).glob("*.parquet"):
+        if path.stem != "part":
+            (top / path.name).symlink_to(path)
+    part = pq.read_table(f"{sf_dir}/part.parquet")
+    at, key = part.schema.get_field_index("p_partkey"), part.column("p_partkey")
+    pq.write_table(pa.concat_tables([part.set_column(at, "p_partkey", pc.add(key, i * part.num_rows)) for i in range(6)]), top / "part.parquet")
+    return str(top)
+
+
+@pytest.mark.parametrize("name", ["aoa_normalized", "aoa_flag", "error_profile_window", "error_profile_lm", "error_profile_log", "error_profile_isotonic", "train_lpd", "knn_ids", "aoa_categorical"])
+def test_agrees_with_sql_where_rows_are_alike(spark, alike, name):
+    assert difference(catalog.QUERIES[name](spark, alike), alike, catalog.ORACLES[name]) is None
+
+
+def test_no_row_inside_gives_no_spline(spark, alike):
+    found = catalog.QUERIES["error_profile_spline"](spark, alike)
+    assert found.columns == ["rank", "di", "rmse", "fitted"] and found.count() == 0
