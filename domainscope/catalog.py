@@ -519,18 +519,21 @@ def error_profile_window(spark, d):
     return validation.moving_error(validation.inside(rows, "di", t), "di", 5, ["id"]).select("rank", r6("di", "di"), r6("rmse", "rmse"))
 
 
+def _line(spark, found: validation.ErrorModel) -> DataFrame:
+    """Nulls, where there is nothing to fit a line to."""
+    return spark.createDataFrame([tuple(None if v is None else round(v, 4) for v in found.knots[0])], "intercept double, slope double")
+
+
 @query(f"{_SC}, {_WDI} SELECT round(regr_intercept(rmse, di),4) AS intercept, round(regr_slope(rmse, di),4) AS slope FROM w WHERE k=5", "feat")
 def error_profile_lm(spark, d):
     rows, t = _scored(spark, d)
-    ((a, b),) = profiles.error_profile(rows, "id", "di", t, calibration="lm").knots
-    return spark.createDataFrame([(round(a, 4), round(b, 4))], "intercept double, slope double")
+    return _line(spark, profiles.error_profile(rows, "id", "di", t, calibration="lm"))
 
 
 @query(f"{_SC}, {_WLPD} SELECT round(regr_intercept(rmse, ln(lpd)),4) AS intercept, round(regr_slope(rmse, ln(lpd)),4) AS slope FROM w WHERE k=5", "feat")
 def error_profile_log(spark, d):
     rows, t = _scored(spark, d)
-    ((a, b),) = profiles.error_profile(rows, "id", "lpd", t, calibration="exp").knots
-    return spark.createDataFrame([(round(a, 4), round(b, 4))], "intercept double, slope double")
+    return _line(spark, profiles.error_profile(rows, "id", "lpd", t, calibration="exp"))
 
 
 #: The closest monotone sequence by its min-max formula, over the means of 2,000 cells; between cells on a line.

@@ -161,7 +161,9 @@ def moving_kappa(rows: DataFrame, variable: str, window: int, ties: list[str], o
 
 @dataclass(frozen=True)
 class ErrorModel:
-    """The windows' metric, kept in memory until free(), and its fitted curve. kind: lm, exp (on the logarithm), isotonic, or spline (monotone)."""
+    """The windows' metric, kept in memory until free(), and its fitted curve. kind: lm, exp (on the logarithm), isotonic, or spline (monotone).
+
+    Without a complete window there is no curve: no knots, or a line of nulls, and no point; the error is null everywhere."""
 
     points: DataFrame
     variable: str
@@ -179,7 +181,9 @@ class ErrorModel:
         v = F.col(column or self.variable).cast("double")
         if self.kind in ("lm", "exp"):
             (intercept, slope), = self.knots
-            return df.withColumn(name, F.lit(intercept) + F.lit(slope) * (F.log(v) if self.kind == "exp" else v))
+            return df.withColumn(name, F.lit(intercept).cast("double") + F.lit(slope).cast("double") * (F.log(v) if self.kind == "exp" else v))
+        if not self.knots:
+            return df.withColumn(name, F.lit(None).cast("double"))
         out = F.lit(self.knots[-1][1])
         for (x0, y0), (x1, y1) in reversed(list(zip(self.knots, self.knots[1:]))):
             out = F.when(v < x1, F.lit(y0) + (v - x0) * ((y1 - y0) / (x1 - x0) if x1 > x0 else 0.0)).otherwise(out)
@@ -250,7 +254,7 @@ def error_model(rows: DataFrame, variable: str, ties: list[str], *, metric: str
     # the curve is fitted on at most 2,000 cells of the variable, each its mean with its number of windows
     low, high = points.agg(F.min(variable), F.max(variable)).first()
     if low is None:
-        raise DomainError("no window is complete")
+        return ErrorModel(points, variable, metric, calibration, (), threshold)
     cell = F.floor((F.col(variable) - F.lit(low)) / F.lit((high - low) / 2000 or 1.0))
     table = points.where(F.col(metric).isNotNull()).groupBy(cell.alias("cell")).agg(F.avg(variable).alias("v"), F.avg(metric).alias("y"), F.count("*").alias("w")).orderBy("v").toPandas()
     x, y, w = table["v"].to_numpy(float), table["y"].to_numpy(float), table["w"].to_numpy(float)
