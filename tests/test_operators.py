@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from domainscope.errors import DomainError, DomainWarning
-from domainscope.functions.metrics import Metric
+from domainscope.functions.metrics import Metric, Rows
 from domainscope.operators import applicability, cluster, folds, geodist, learners, matching, profiles, selection, validation
 from domainscope.plans.cells import nearest_in_plane
 from domainscope.plans.neighbours import Features, nearest
@@ -87,7 +87,6 @@ def test_a_tree_finds_what_all_pairs_have(spark, limit):
 
 def test_few_pairs_are_compared(spark, monkeypatch):
     """The cost of a search: of 20,000 queries and as many references a few pairs in a thousand, and none twice for rows that are alike."""
-    from domainscope.functions.metrics import Rows
     from domainscope.plans.neighbours import Points
 
     rng, pairs = np.random.default_rng(5), []
@@ -358,6 +357,49 @@ def test_knndm(spark):
         assert same.q == "random CV" and np.bincount(same.folds)[1:].tolist() == [24] * 4
 
 
+def test_matching_without_a_matrix(spark, monkeypatch):
+    """The same roles, clusters and distances as from a matrix, also where rows are alike; and no row too many."""
+    rng = np.random.default_rng(31)
+    for x in (rng.integers(0, 9, size=(60, 2)), rng.random((50, 2)) * 9, np.repeat(rng.random((3, 2)), 5, axis=0)):
+        rows = Rows(x.astype(float), np.empty((len(x), 0), np.int64))
+        sample = matching.Sample(np.arange(len(x)), rows, Metric("euclidean"))
+        d = sample.matrix()
+        off = d + np.where(np.eye(len(x)), np.inf, 0)
+        assert np.array_equal(matching.own_distances(rows, sample.metric), off.min(axis=1))
+        fold = rng.integers(0, 4, len(x))
+        assert np.array_equal(matching.fold_distances(rows, sample.metric, fold), matching.fold_distances(rows, sample.metric, fold, d))
+        assert matching.farthest(spark, sample) == d.max()
+        for far, share in ((1, 0.5), (6, 0.5), (30, 0.0), (3, 0.9)):
+            gij = rng.random(200) * far
+            kept, star = matching.match_loo(d, gij, 100.0, share)
+            np.fill_diagonal(kept, False)
+            gj, got, left = matching.matched(sample, gij, 100.0, share)
+            assert np.array_equal(got, star) and np.array_equal(gj, off.min(axis=1)) and np.array_equal(left, kept.sum(axis=1))
+            assert np.array_equal(matching.Nndm(sample, left, gij, gj, got, 100.0).kept, kept)
+    spread = np.vstack([rng.random((40, 2)) * 9, rng.random((3, 2))[[0, 1, 1, 2, 2, 2]]])
+    for linkage in cluster.LINKAGES:
+        for metric in ("euclidean", "gower"):
+            sample = matching.Sample(np.arange(46), Rows(spread, np.empty((46, 0), np.int64)), Metric(metric, ranges=(9.0, 9.0)))
+            one, two = cluster.merge_tree(sample.matrix(), linkage), matching.merges(sample, linkage)
+            assert np.allclose(one[:, 2], two[:, 2])
+            for k in (2, 5, 9, 20):
+                assert np.array_equal(cluster.cut(one, 46, k), cluster.cut(two, 46, k)), (linkage, metric, k)
+
+
+def test_matching_has_no_bound_where_no_matrix_is_needed(spark):
+    rng = np.random.default_rng(32)
+    x = points(spark, rng.random((matching.MATRIX_ROWS + 200, 2)) * 1000)
+    pred = points(spark, rng.random((300, 2)) * 1000, 10_000)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        got = matching.nndm(x, pred, "id")
+        assert got.table(spark).where("fold <= 3").groupBy("role").count().where("role = 'test'").first()["count"] == 3
+        assert matching.knndm(x, x.withColumn("x", F.col("x") + 0.1), "id", k=4).q == "random CV"
+        far = points(spark, rng.random((300, 2)) * 9000, 10_000)
+        split = matching.knndm(x, far, "id", k=4, nk_len=2)
+        assert "clusters" in split.q and len(split.folds) == matching.MATRIX_ROWS + 200
+
+
 def test_all_prediction_distances_count(spark, monkeypatch):
     """At any number of prediction rows, repeated distances included; the limit is that of an earlier version, which went over to quantiles."""
     monkeypatch.setattr(matching, "PREDICTION_ROWS", 100, raising=False)
