@@ -16,7 +16,7 @@ from domainscope.functions.scaling import Scaler, is_categorical
 from domainscope.operators.folds import FoldLists
 from domainscope.plans.cells import nearest_in_plane
 from domainscope.plans.neighbours import Features, nearest, ranges, rows_that_travel
-from domainscope.plans.ordered import nearest_1d
+from domainscope.plans.ordered import nearest_1d, nearest_other
 from domainscope.sources.grid import Domain
 
 
@@ -129,9 +129,13 @@ def time_distances(queries: DataFrame, references: DataFrame | None, time: str,
 
 
 def time_cv_distances(x: DataFrame, time: str, row_id: str, fold: str, unit: str) -> DataFrame:
-    """row_id, fold, dist: to the nearest time in another fold."""
-    comparer = Comparer(Features([time_value(F.col(time), unit)]), Metric("euclidean"), [], [time])
-    return cv_distances(x, comparer, row_id, fold)
+    """row_id, fold, dist: to the nearest time in another fold, by one ordered pass instead of pairs; only rows with a fold are tested."""
+    if unit not in TIME_UNITS:
+        raise DomainError(f"time unit {unit!r}: one of {', '.join(TIME_UNITS)}")
+    t = x.select(F.col(row_id).alias("row_id"), F.col(fold).alias("fold"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"))  # whole numbers: differences are exact
+    dist = F.least(F.col("t") - F.col("below"), F.col("above") - F.col("t")).cast("double") / (1e6 * TIME_UNITS[unit])
+    found = nearest_other(t.where("t is not null"), "t", "fold").select("row_id", "fold", dist.alias("dist"))
+    return found.unionByName(t.where("t is null").select("row_id", "fold", F.lit(None).cast("double").alias("dist"))).where("fold is not null")
 
 
 @dataclass(frozen=True)
@@ -206,7 +210,7 @@ def geodist(
         own = self_distances(x, comparer, row_id)
         pred = distances_to(preddata, x, comparer, pred_id, row_id)
         test = distances_to(testdata, x, comparer, row_id) if testdata is not None else None
-    cv = cv_distances(x, comparer, row_id, fold, lists) if fold or lists else None
+    cv = time_cv_distances(x, time, row_id, fold, unit) if space == "time" and fold else cv_distances(x, comparer, row_id, fold, lists) if fold or lists else None
     parts = {"sample-to-sample": own, "prediction-to-sample": pred, "test-to-sample": test, "CV-distances": cv}
     rows = union([d.select("dist", F.lit(what).alias("what"), F.lit(space).alias("dist_type")) for what, d in parts.items() if d is not None]).persist()
     w = wasserstein_to(rows, "dist", "what", "prediction-to-sample")

@@ -18,7 +18,7 @@ from domainscope.plans.stable import numbered
 
 #: The most ranges, and the rows of a range while there are fewer.
 BUCKETS, BUCKET_ROWS = 4096, 50_000
-_B = "__bucket"
+_B, _NO_GROUP = "__bucket", -(1 << 63)
 
 
 def _splits(df: DataFrame, value: str) -> list:
@@ -112,4 +112,40 @@ def nearest_1d(df: DataFrame, value: str, is_reference: str) -> DataFrame:
     return placed.select(*df.columns, F.coalesce(before(F.col("__at")), fixed(under)).alias("below"), F.coalesce(before(F.desc("__at")), fixed(over)).alias("above"))
 
 
-__all__ = ["hash_rank", "nearest_1d", "running_totals", "with_rank"]
+def nearest_other(df: DataFrame, value: str, group: str) -> DataFrame:
+    """df with ``below`` and ``above``: the nearest value at or under, and at or over, each row's value, of the rows of another group; a null group is one, too.
+
+    In the order of the values the last row of another group is the one before the run of rows of the own group. What stands in the buckets before is known from
+    two rows of different groups."""
+    dealt = _bucketed(df.withColumn("__g", F.coalesce(F.col(group).cast("long"), F.lit(_NO_GROUP))), value, _splits(df, value))
+    ends = dealt.groupBy(_B, "__g").agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    two = lambda order: F.row_number().over(Window.partitionBy(_B).orderBy(order, "__g"))
+    ends = ends.withColumns({"low": two(F.col("least")), "high": two(F.desc("most"))}).where("low <= 2 or high <= 2").collect()  # four of a bucket
+    kind = df.schema[value].dataType
+
+    def carried(rows: list, name: str, sign: int) -> Column:
+        """The nearest value of another group in the buckets before (sign -1) or behind a row's own."""
+        buckets: dict = {}
+        for r in rows:
+            buckets.setdefault(r[_B], []).append((r[name], r["__g"]))
+        first, group_of, second, known = {}, {}, {}, []
+        for b in sorted(buckets, reverse=sign > 0):
+            first[b], group_of[b], second[b] = (known[0][0] if known else None), (known[0][1] if known else None), (known[1][0] if len(known) > 1 else None)
+            best: dict = {}
+            for v, g in sorted([*known, *buckets[b]], key=lambda p: sign * p[0]):
+                best.setdefault(g, v)
+            known = [(v, g) for g, v in best.items()][:2]
+        return F.when(F.col("__g") == _by_bucket(group_of, T.LongType()), _by_bucket(second, kind)).otherwise(_by_bucket(first, kind))
+
+    placed = dealt.withColumn("__at", F.row_number().over(Window.partitionBy(_B).orderBy(value, "__g")))
+
+    def before(order: Column) -> Column:
+        window = Window.partitionBy(_B).orderBy(order)
+        return F.when(F.lag("__g").over(window) != F.col("__g"), F.lag(value).over(window))
+
+    starts = placed.withColumns({"__b": before(F.col("__at")), "__a": before(F.desc("__at"))})
+    run = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy(_B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return starts.select(*df.columns, F.coalesce(run("__b", F.col("__at")), carried(ends, "most", -1)).alias("below"), F.coalesce(run("__a", F.desc("__at")), carried(ends, "least", 1)).alias("above"))
+
+
+__all__ = ["hash_rank", "nearest_1d", "nearest_other", "running_totals", "with_rank"]

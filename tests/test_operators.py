@@ -125,6 +125,25 @@ def test_time_units(spark):
     assert days.tolist() == [1, 1, 0, 0, 6] and np.allclose(hours, days * 24)
 
 
+@pytest.mark.parametrize("bucket_rows", [50_000, 7])
+def test_times_of_other_folds_in_one_pass(spark, monkeypatch, bucket_rows):
+    """Runs of one fold over several buckets, equal times, a fold of its own for rows without, and a time that is missing."""
+    from domainscope.plans import ordered
+
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", bucket_rows)
+    rng = np.random.default_rng(41)
+    rows = [(i, int(s), None if f == 3 else int(f)) for i, (s, f) in enumerate(zip(rng.integers(0, 90, 120), rng.integers(0, 4, 120)))] + [(200 + i, 100 + i, 1) for i in range(30)] + [(300, None, 1), (301, 500, 2)]
+    x = spark.createDataFrame(rows, "id long, s long, f int").select("id", "f", F.timestamp_seconds("s").alias("t"))
+    monkeypatch.setattr(geodist, "cv_distances", None)  # no pairs are compared
+    got = {r["row_id"]: (r["fold"], r["dist"]) for r in geodist.time_cv_distances(x, "t", "id", "f", "secs").collect()}
+    assert sorted(got) == [i for i, _, f in rows if f is not None]
+    for i, (f, d) in got.items():
+        s = {r[0]: r[1] for r in rows}[i]
+        assert d is None if s is None else d == pytest.approx(min(abs(s - o) for _, o, g in rows if o is not None and g != f))
+    one = x.where("f = 1")
+    assert geodist.time_cv_distances(one, "t", "id", "f", "secs").where("dist is not null").count() == 0
+
+
 def test_cv_is_no_nearer_than_self(spark):
     rng = np.random.default_rng(2)
     x = points(spark, rng.random((60, 2))).withColumn("f", (F.col("id") % 4).cast("int"))
