@@ -136,13 +136,16 @@ def polygon_area(polygon: Polygon) -> float:
 
 
 def in_polygon(x: Column, y: Column, polygon: Polygon) -> Column:
-    """Whether a point is inside, by counting the edges that a ray to the right crosses. A box test goes first, and can be pushed to a scan."""
+    """Whether a point is inside, by counting the edges above it. A box test goes first, and can be pushed to a scan.
+
+    Points on an edge: those on a lower edge or on a vertical one to the right are inside, those on an upper one or a vertical one to the left aren't. Sides
+    are told by products, so that whole numbers are exact."""
     every = rings(polygon)
     xs, ys = [p[0] for r in every for p in r], [p[1] for r in every for p in r]
     crossings = F.lit(0)
-    for (x0, y0), (x1, y1) in (edge for ring in every for edge in _edges(ring)):
-        if y0 != y1:
-            crosses = ((y < y0) != (y < y1)) & (x < (y - y0) * ((x1 - x0) / (y1 - y0)) + x0)
+    for (x0, y0), (x1, y1) in (sorted(edge) for ring in every for edge in _edges(ring)):
+        if x0 != x1:
+            crosses = (x > x0) & (x <= x1) & ((y - y0) * (x1 - x0) < (x - x0) * (y1 - y0))
             crossings = crossings + crosses.cast("int")
     return x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)) & (crossings % 2 == 1)
 

@@ -376,6 +376,18 @@ def test_knndm(spark):
         assert same.q == "random CV" and np.bincount(same.folds)[1:].tolist() == [24] * 4
 
 
+def test_points_on_edges_of_a_polygon(spark):
+    """On the vertical edge to the right and on the lower edge: inside; on the slanted one above, also where its slope is no binary fraction: not."""
+    ring = [(0.0, 0.0), (60_000.0, 0.0), (60_000.0, 90_000.0)]
+    rows = [(1, 60_000, 1), (2, 60_000, 89_999), (3, 30_000, 0), (4, 60_001, 5), (5, 59_999, 5)] + [(10 + i, 2 * i, 3 * i) for i in range(1, 3000, 7)] + [(4000 + i, 2 * i, 3 * i - 1) for i in range(1, 3000, 7)]
+    x = spark.createDataFrame([(i, float(a), float(b)) for i, a, b in rows], "id long, x double, y double")
+    got = {r["id"] for r in x.where(grid.in_polygon(F.col("x"), F.col("y"), ring)).collect()}
+    assert got == {1, 2, 3, 5} | {4000 + i for i in range(1, 3000, 7)}
+    third = [(0.0, 0.0), (90_000.0, 0.0), (90_000.0, 60_000.0)]
+    slanted = x.where("id >= 10 and id < 4000").select(F.col("y").alias("x"), F.col("x").alias("y"))
+    assert slanted.count() > 400 and slanted.where(grid.in_polygon(F.col("x"), F.col("y"), third)).count() == 0
+
+
 def test_matching_without_a_matrix(spark, monkeypatch):
     """The same roles, clusters and distances as from a matrix, also where rows are alike; and no row too many."""
     rng = np.random.default_rng(31)
