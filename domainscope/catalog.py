@@ -13,7 +13,7 @@ from domainscope.errors import DomainWarning
 from domainscope.functions import distributions
 from domainscope.functions.scaling import Dummies, Scaler
 from domainscope.operators import applicability, folds, geodist, learners, matching, model, profiles, selection, validation
-from domainscope.plans.stable import shared_dir
+from domainscope.plans.stable import kept, shared_dir
 from domainscope.sources import grid
 from domainscope.streaming import scoring
 
@@ -670,8 +670,9 @@ def model_validation(spark, d):
 def ffs_rf(spark, d):
     """Forward selection of a random forest, with a tuning grid; y is known from a and b, the others are noise."""
     f = views.feat(spark, d).where("train").withColumns({"y": F.col("b") + F.col("a") * 3, "n1": F.pmod(F.col("id") * 7919, F.lit(101)).cast("double"), "n2": F.pmod(F.col("id") * 104729, F.lit(97)).cast("double")})
-    evaluate = learners.MlEvaluator(f, "y", "fold", "rf", "rmse", [{"maxDepth": 3}, {"maxDepth": 6}], numTrees=5, seed=1)
-    return _rounded(selection.forward(["a", "b", "n1", "n2"], evaluate, "rmse", False).perf_all(spark))
+    with kept() as keep:  # read once for all fits
+        evaluate = learners.MlEvaluator(keep(f.select("a", "b", "n1", "n2", "y", "fold")), "y", "fold", "rf", "rmse", [{"maxDepth": 3}, {"maxDepth": 6}], numTrees=5, seed=1)
+        return _rounded(selection.forward(["a", "b", "n1", "n2"], evaluate, "rmse", False).perf_all(spark))
 
 
 @query()

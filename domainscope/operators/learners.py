@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,6 +81,10 @@ class LinearEvaluator:
         return Performance(float(each.mean()), float(each.std(ddof=1) / np.sqrt(len(each))) if len(each) > 1 else None)
 
 
+#: Fits of one table that run at once.
+FITS = 5
+
+
 class MlEvaluator:
     """Any Spark ML estimator: fitted once for each fold and setting of the grid, on a table tagged with folds."""
 
@@ -117,10 +122,15 @@ def assembled(df: DataFrame, variables: list[str], response: str) -> DataFrame:
 
 
 def held_out(df: DataFrame, variables: list[str], response: str, fold: str, folds: list, method: str, **options) -> DataFrame:
-    """The rows with the prediction of the model that their fold did not train."""
+    """The rows with the prediction of the model that their fold did not train. A few folds are fitted at once: one fit is many small jobs."""
     rows, out = assembled(df, variables, response), None
-    for f in folds:
-        model = estimator(method, **options).fit(rows.where(F.col(fold) != f))
+
+    def fitted(f):
+        return estimator(method, **options).fit(rows.where(F.col(fold) != f))
+
+    with ThreadPoolExecutor(max(1, min(len(folds), FITS))) as pool:
+        models = list(pool.map(fitted, folds))
+    for f, model in zip(folds, models, strict=True):
         found = model.transform(rows.where(F.col(fold) == f)).select(*df.columns, F.col("__y").alias("obs"), "pred")
         out = found if out is None else out.unionByName(found)
     return out

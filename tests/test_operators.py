@@ -376,6 +376,26 @@ def test_knndm(spark):
         assert same.q == "random CV" and np.bincount(same.folds)[1:].tolist() == [24] * 4
 
 
+def test_folds_are_fitted_at_once(spark, monkeypatch):
+    import threading
+
+    together = threading.Barrier(3, timeout=30)
+
+    class Mean:
+        def fit(self, rows):
+            together.wait()  # breaks where one fit waits for the one before
+            self.mean = rows.agg(F.avg("__y")).first()[0]
+            return self
+
+        def transform(self, rows):
+            return rows.withColumn("pred", F.lit(self.mean))
+
+    monkeypatch.setattr(learners, "estimator", lambda method, **options: Mean())
+    x = spark.createDataFrame([(float(i), float(i), i % 3) for i in range(9)], "a double, y double, f int")
+    got = {r["a"]: r["pred"] for r in learners.held_out(x, ["a"], "y", "f", [0, 1, 2], "lm").collect()}
+    assert got == {float(i): (36 - sum(j for j in range(9) if j % 3 == i % 3)) / 6 for i in range(9)}
+
+
 def test_points_on_edges_of_a_polygon(spark):
     """On the vertical edge to the right and on the lower edge: inside; on the slanted one above, also where its slope is no binary fraction: not."""
     ring = [(0.0, 0.0), (60_000.0, 0.0), (60_000.0, 90_000.0)]
