@@ -98,6 +98,23 @@ def test_few_pairs_are_compared(spark, monkeypatch):
     assert len(Points.of(Rows(np.tile(x.numeric[:9], (50, 1)), np.empty((450, 0), np.int64)), np.ones(450, np.int64), None, None, Metric("euclidean"), 0).rows) == 9
 
 
+def test_vectors_are_compared_by_products_first(monkeypatch):
+    """Of 64 numbers: hardly more than the nearest pairs go through the metric itself, and the result is the metric's; also for vectors far from the origin."""
+    from domainscope.plans.neighbours import Points
+
+    rng, metric, pairs = np.random.default_rng(6), Metric("euclidean"), []
+    between = Metric.between
+    for shift, scale in ((0.0, 1.0), (1000.0, 1.0), (0.0, 1e-9), (0.0, 1e14)):
+        x, q = (Rows((rng.normal(size=(n, 64)) + shift) * scale, np.empty((n, 0), np.int64)) for n in (900, 300))
+        points = Points.of(x, np.ones(900, np.int64), None, None, metric, 0)
+        d = metric.distances(q, points.rows)
+        with monkeypatch.context() as m:
+            m.setattr(Metric, "between", lambda self, an, ac, bn, bc: pairs.append(np.prod(np.broadcast_shapes(an.shape, bn.shape)[:-1])) or between(self, an, ac, bn, bc))
+            got = points.search(metric).least(q)
+        assert np.array_equal(got, d.min(axis=1))
+    assert sum(pairs) < 4 * 300 * 5
+
+
 @pytest.mark.parametrize("other", [False, True])
 def test_cells_give_the_same(spark, other):
     rng = np.random.default_rng(14)
